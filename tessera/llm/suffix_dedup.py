@@ -334,7 +334,7 @@ def source_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return keyed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), "id", "t").select("k1", "k2", text_or_empty("t").alias("t"))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, gram: int = 40, bucket: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, gram: int = 40, bucket: int = 4000) -> DataFrame:
     """One row (k1, k2, spans) for each keyed() document with bytes to remove: byte ranges [a, b), which may overlap."""
     if not gram <= length < 1024:
         raise ValueError("gram <= length < 1024 is needed")
@@ -348,7 +348,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     todo = contexts.join(spread, "gram").select("one.k1", "one.k2", F.struct("gram", "weight", (F.col("contexts") > bucket).alias("hot"), "one.place").alias("todo"))
     cut = joined(source, todo.groupBy("k1", "k2").agg(F.collect_list("todo").alias("todo")), "inner")
     cut = written(cut.mapInArrow(_context_rows(length), "k1 long, k2 long, gram long, weight long, hot boolean, first long, left long, bytes binary"), "contexts")
-    cool = cut.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_bucket_rows(length, 4000), "k1 long, k2 long, a long, b long")
+    cool = cut.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_bucket_rows(length, bucket), "k1 long, k2 long, a long, b long")
     windows = written(cut.where("hot").mapInArrow(_window_rows(length), "k1 long, k2 long, weight long, h1 long, h2 long, a long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
     hot = windows.join(twice, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b"))
