@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, text_or_empty
+from .common import fresh, plus, text_or_empty
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -185,7 +186,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> Data
     rows = docs.select(*rest, text_or_empty(text).alias("t"))
     if model is None:
         return rows.select(*rest, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    schema = plus(docs.select(*rest), lang_pred=T.StringType(), score=T.DoubleType())
     return rows.mapInArrow(_predictor(model), schema)
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,3 +54,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def plus(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """df's schema with further fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more.items())])

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import plus, text_or_empty
 
 MARK = "▁"
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -117,7 +118,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", m
     rest = [c for c in docs.columns if c != text]
     if {"t", ids} & set(rest):
         raise ValueError(f"columns t and {ids} are added here; rename them first")
-    schema = docs.select(*rest).schema.add(ids, "array<int>")
+    schema = plus(docs.select(*rest), **{ids: T.ArrayType(T.IntegerType())})
     return docs.select(*rest, text_or_empty(text).alias("t")).mapInArrow(_ids(model, most, rest, ids), schema)
 
 
@@ -131,11 +132,11 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -
             found = batch.column(ids).to_pylist()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([sp.decode(x) if x else "" for x in found], pa.string())], [*rest, text])
 
-    return rows.select(*rest, ids).mapInArrow(run, rows.select(*rest).schema.add(text, "string"))
+    return rows.select(*rest, ids).mapInArrow(run, plus(rows.select(*rest), **{text: T.StringType()}))
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", most: int = 300_000) -> DataFrame:
     """A row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    schema = docs.select(F.col(doc_id).alias("doc_id")).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = plus(docs.select(F.col(doc_id).alias("doc_id")), n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType())
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     return rows.mapInArrow(_digests(model, most, ["doc_id"]), schema)
