@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from .common import plus
 
-_maps: dict[str, tuple] = {}
+_maps: dict[str, DigestArray] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def host_of(url: str | Column) -> Column:
@@ -118,10 +119,13 @@ class DigestArray:
 
 
 def shipped(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
-    """Writes the rules' file and gives it to all executors; returns its name there."""
+    """Writes the rules' file and gives it to all executors, once for each application and set of rules; returns its name there."""
     path = DigestArray.write(rules, tempfile.mkdtemp(prefix="tessera-rules-"))
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    name = os.path.basename(path)
+    if (spark.sparkContext.applicationId, name) not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add((spark.sparkContext.applicationId, name))
+    return name
 
 
 def _judge(name: str, rest: list[str]):
