@@ -340,17 +340,18 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("gram <= length < 1024 is needed")
     source = source_rows(docs, doc_id, text)
     rows = written(source.where(F.octet_length("t") >= length).mapInArrow(_anchor_rows(length, gram), "k1 long, k2 long, gram long, context long, place long"), "anchors")
-    again = rows.groupBy("gram").count().where("count > 1").select("gram")
+    # Sums are written before they are joined: a join right above a sum can't split its hot keys.
+    again = written(rows.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     found = written(rows.join(again, "gram"), "found")
     dropped(rows)
-    contexts = found.groupBy("gram", "context").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place")).alias("one"))
+    contexts = written(found.groupBy("gram", "context").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "place")).alias("one")), "classes")
     spread = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("weight").alias("least")).where("least = 1")
     todo = contexts.join(spread, "gram").select("one.k1", "one.k2", F.struct("gram", "weight", (F.col("contexts") > bucket).alias("hot"), "one.place").alias("todo"))
     cut = joined(source, todo.groupBy("k1", "k2").agg(F.collect_list("todo").alias("todo")), "inner")
     cut = written(cut.mapInArrow(_context_rows(length), "k1 long, k2 long, gram long, weight long, hot boolean, first long, left long, bytes binary"), "contexts")
     cool = cut.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_bucket_rows(length, bucket), "k1 long, k2 long, a long, b long")
     windows = written(cut.where("hot").mapInArrow(_window_rows(length), "k1 long, k2 long, weight long, h1 long, h2 long, a long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
+    twice = written(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"), "twice")
     hot = windows.join(twice, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b"))
     first = F.shiftright("place", 20)
     settled = found.join(contexts.where("weight > 1").select("gram", "context"), ["gram", "context"])
