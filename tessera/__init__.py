@@ -1,0 +1 @@
+"""Image forensics and corpus analytics as Spark jobs."""
