@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metrics
 from .splits import fold_of
@@ -189,9 +190,11 @@ def _explained(trees: list, rest: list[str]):
 
 
 def tree_contributions(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with base and contributions of a tree ensemble: log-odds for boosted trees, probability for a forest."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(_explained(exported_trees(model), rows.columns), f"{fields}, base double, contributions array<double>")
+    """rows, but for vector columns, with base and contributions of a tree ensemble: log-odds for boosted trees, probability for a forest."""
+    plain = [f for f in rows.schema if f.dataType.typeName() != "udt"]
+    schema = T.StructType([*plain, T.StructField("base", T.DoubleType()), T.StructField("contributions", T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in plain]
+    return rows.select(*names).mapInPandas(_explained(exported_trees(model), names), schema)
 
 
 def ledger(rows: DataFrame, k: int = 8) -> DataFrame:

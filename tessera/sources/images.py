@@ -33,6 +33,7 @@ def two_classes(spark: SparkSession, real: str, made: str) -> DataFrame:
 def decoded(spark: SparkSession, folder: str, label: int | None = None) -> DataFrame:
     """(path, height, width, n_channels, data, label, error) from the JVM's reader; an unreadable file is a row with an error."""
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    image = image.where(names.extension_of(F.col("origin")).isin("jpg", "jpeg", "png"))
     bad = F.col("height") < 0
     return image.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(label).cast("int").alias("label"), F.when(bad, "unreadable").alias("error"))
 
