@@ -7,9 +7,10 @@ the Manhattan distance is then the bit count of an exclusive or.
 
 The grid cuts the 32 coordinates into `distance` + `spare` blocks. Embeddings at Manhattan distance
 `distance` differ in so many blocks at most, so they share a cell in the grid over some `spare`
-blocks: each fingerprint goes into one cell for each choice of them, and cells are joined. Pairs of a
-cell must pass the Manhattan bound and then the exact Hamming distance. Texts with one fingerprint
-are one node; only distinct fingerprints are joined, hot cells are split by the skew join.
+blocks: each fingerprint goes into one cell for each choice of them. Pairs of a cell must pass the
+Manhattan bound and then the exact Hamming distance. Texts with one fingerprint are one node; only
+distinct fingerprints go into cells. A large cell gives a spanning forest of its links instead of all of
+them: its components are the same, and its links are fewer than its members.
 
 Words are runs of non-white space with A-Z lower-cased. Null and wordless texts have the fingerprint
 zero, linked like any other; texts of fewer words than a shingle are one shingle. A null id never
@@ -86,17 +87,84 @@ def grid_masks(distance: int, spare: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def linked_pairs(prints: DataFrame, f: str = "f", distance: int = 4, spare: int = 3) -> DataFrame:
-    """(fa, fb), fa < fb: all pairs of distinct fingerprints at Hamming distance 1 to `distance`."""
+def spanning(prints: np.ndarray, marks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links within `distance` connect, at most one less than there are fingerprints.
+
+    marks: their embeddings. Whatever a fingerprint reaches first leaves the rest, so a dense group costs a few
+    passes over it and no group gives more links than members.
+    """
+    ends: list[list[np.ndarray]] = [[], []]
+    while len(prints) > 1:
+        frontier = [(prints[0], marks[0])]
+        prints, marks = prints[1:], marks[1:]
+        while frontier and len(prints):
+            p, m = frontier.pop()
+            near = np.flatnonzero(np.bitwise_count(marks ^ m) <= distance)
+            near = near[np.bitwise_count(prints[near] ^ p) <= distance]
+            if len(near):
+                ends[0].append(np.full(len(near), p))
+                ends[1].append(prints[near])
+                frontier += zip(prints[near], marks[near], strict=True)
+                rest = np.ones(len(prints), bool)
+                rest[near] = False
+                prints, marks = prints[rest], marks[rest]
+    return tuple(np.concatenate(e) if e else np.zeros(0, np.uint64) for e in ends)
+
+
+def _links(distance: int, small: int = 24):
+    """Links of each cell of a sorted partition: all of a small cell's, a spanning forest of a larger one's."""
+
+    def settle(t: np.ndarray, cell: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = f.view(np.uint64)
+        high = f >> np.uint64(1)
+        marks = ((f | high) & np.uint64(EVEN)) | ((f & high) & np.uint64(EVEN)) << np.uint64(1)
+        cut = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1])) + 1
+        first = np.concatenate([[0], cut])
+        sizes = np.diff(np.append(first, len(f)))
+        out = [spanning(f[a : a + n], marks[a : a + n], distance) for a, n in zip(first[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)]
+        run, of = np.repeat(np.arange(len(first)), sizes), np.repeat(sizes, sizes)
+        for step in range(1, small):
+            a = np.flatnonzero((run[step:] == run[:-step]) & (of[step:] <= small))
+            if not len(a):
+                break
+            a = a[np.bitwise_count(marks[a] ^ marks[a + step]) <= distance]
+            a = a[np.bitwise_count(f[a] ^ f[a + step]) <= distance]
+            out.append((f[a], f[a + step]))
+        return tuple(np.concatenate(x) if out else np.zeros(0, np.uint64) for x in zip(*out, strict=True)) if out else (f[:0], f[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            a, b = settle(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fa", "fb"])
+
+        for batch in batches:
+            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "cell", "f"))
+            if not len(rows[0]):
+                continue
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last cell, which may go on, begins
+            if held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
+                yield emit(tuple(map(np.concatenate, zip(*held, strict=True))))
+                held = []
+            if last:
+                held.append(tuple(c[:last] for c in rows))
+                yield emit(tuple(map(np.concatenate, zip(*held, strict=True))))
+                held = []
+            held.append(tuple(c[last:] for c in rows))
+        if held:
+            yield emit(tuple(map(np.concatenate, zip(*held, strict=True))))
+
+    return run
+
+
+def links(prints: DataFrame, f: str = "f", distance: int = 4, spare: int = 3) -> DataFrame:
+    """(fa, fb): links between distinct fingerprints at Hamming distance 1 to `distance` that connect whatever all such links connect."""
     masks = F.array(*(F.lit(m).cast("long") for m in grid_masks(distance, spare)))
     cells = prints.select(F.col(f).alias("f"), embedded(f).alias("e")).distinct().select("f", "e", F.posexplode(masks).alias("t", "m"))
     cells = cells.select("t", F.col("e").bitwiseAND(F.col("m")).alias("cell"), "f")
-    a, b = cells.alias("a"), cells.alias("b")
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
-    ea, eb = embedded("a.f"), embedded("b.f")
-    earlier = F.exists(F.slice(masks, 1, F.col("a.t")), lambda m: ea.bitwiseXOR(eb).bitwiseAND(m) == 0)  # a pair comes once, from its first cell
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.f") < F.col("b.f")) & near(ea, eb) & near(F.col("a.f"), F.col("b.f")) & ~earlier)
-    return pairs.select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb"))
+    return cells.repartition("t", "cell").sortWithinPartitions("t", "cell").mapInArrow(_links(distance), "fa long, fb long")
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str, words: int, distance: int, seed: int) -> DataFrame:
@@ -104,7 +172,7 @@ def labelled(docs: DataFrame, doc_id: str, text: str, words: int, distance: int,
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text_or_empty(text).alias("t"))
     rows = written(rows.mapInArrow(_fingerprints(words, seed), "id long, tag long, f long"), "fingerprints")
     nodes = rows.groupBy("f").agg(F.min("id").alias("least"))
-    comp = components(linked_pairs(nodes, "f", distance), "fa", "fb")
+    comp = components(links(nodes, "f", distance), "fa", "fb")
     # A component's name comes from ids, not from fingerprints: the least id over its nodes.
     named = nodes.join(comp, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -147,10 +147,34 @@ def test_grid_finds_all_close_pairs(spark):
             for b in rng.sample(range(64), rng.randint(1, 5)):
                 q ^= 1 << b
             prints.add(q)
+    for p in list(prints)[:2]:  # a dense ball: more in a cell than are compared pair by pair
+        for b in range(64):
+            prints.add(p ^ 1 << b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     want = {tuple(sorted((signed(a), signed(b)))) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 4}
-    got = simhash_dedup.linked_pairs(spark.createDataFrame([(signed(p),) for p in prints], "f long")).collect()
-    assert len(got) == len(want) and {(r.fa, r.fb) for r in got} == want
+    got = {tuple(sorted((r.fa, r.fb))) for r in simhash_dedup.links(spark.createDataFrame([(signed(p),) for p in prints], "f long")).collect()}
+    assert got <= want
+
+    def roots(pairs):
+        up = {signed(p): signed(p) for p in prints}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return {x: top(x) for x in up}
+
+    assert roots(got) == roots(want)
+
+
+def test_spanning_links_of_a_ball():
+    rng = np.random.default_rng(0)
+    ball = np.unique(np.array([1 << int(b) for b in rng.integers(0, 64, 300)], np.uint64) ^ np.array([1 << int(b) for b in rng.integers(0, 64, 300)], np.uint64))
+    a, b = simhash_dedup.spanning(ball, ball, 4)
+    assert len(a) == len(ball) - 1 and (np.bitwise_count(a ^ b) <= 4).all()
 
 
 def test_near_dedup_of_repeated_and_null_rows(spark):
