@@ -18,11 +18,11 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).__add__(F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, places: int = 6):
     """Registers a function (spark, sf_dir) -> DataFrame under its name, with the SQL that gives the same rows."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir), places)
         if sql:
             ORACLES[f.__name__] = sql
         return f

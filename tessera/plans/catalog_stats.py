@@ -10,6 +10,7 @@ from . import bindings as b
 from .bindings import FILES, MEASURES, PX, RGB, query
 
 R6 = lambda x: f"round({x}, 6) + 0e0"
+R9 = lambda x: f"round({x}, 9) + 0e0"
 
 
 def _moments_sql(source: str, keys: str, x: str = "x") -> str:
@@ -78,7 +79,7 @@ def glcm_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_GREY}, n AS (SELECT img, i, j, count(*) / 112e0 AS p FROM pairs GROUP BY img, i, j), mu AS (SELECT img, sum(i * p) AS m FROM n GROUP BY img)
-SELECT img, {R6('sum(pow(i - j, 2) * p)')} AS contrast, {R6('CASE WHEN sum(pow(i - m, 2) * p) > 1e-12 THEN sum((i - m) * (j - m) * p) / sum(pow(i - m, 2) * p) ELSE 0 END')} AS correlation, {R6('sum(p * p)')} AS energy, {R6('sum(p / (1 + abs(i - j)))')} AS homogeneity FROM n JOIN mu USING (img) GROUP BY img""")
+SELECT img, {R9('sum(pow(i - j, 2) * p)')} AS contrast, {R9('CASE WHEN sum(pow(i - m, 2) * p) > 1e-12 THEN sum((i - m) * (j - m) * p) / sum(pow(i - m, 2) * p) ELSE 0 END')} AS correlation, {R9('sum(p * p)')} AS energy, {R9('sum(p / (1 + abs(i - j)))')} AS homogeneity FROM n JOIN mu USING (img) GROUP BY img""", places=9)
 def glcm_props(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     return rows.select("img", *(c.alias(n) for n, c in pl.glcm_properties(F.col("pairs")).items()))

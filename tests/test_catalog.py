@@ -21,7 +21,7 @@ def duck():
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        return "nan" if math.isnan(v) else round(v, 9)
     return tuple(map(norm, v)) if isinstance(v, (list, tuple)) else v
 
 
