@@ -65,8 +65,7 @@ def brier(scored: DataFrame, p: str = "p", y: str = "y", by: Sequence[str] = ())
 
 def right_closed_bin(p: Column, bins: int) -> Column:
     """1..bins: the bin (lo, hi] of equal width on [0, 1] that holds p; the first also holds 0."""
-    edges = [i / bins for i in range(1, bins)]
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < p)) + 1
+    return sum(((p > F.lit(i / bins)).cast("int") for i in range(1, bins)), F.lit(1))
 
 
 def reliability(scored: DataFrame, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:

@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def count_at_or_below(x: Column, bounds: Sequence[float]) -> Column:
+    """How many of the bounds are at or below x: plain comparisons, so that they are compiled."""
+    return sum(((x >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+
+
 def bucketed(df: DataFrame, value: str, buckets: int = 64, name: str = "bucket_") -> DataFrame:
     """df with the number of quantile bounds at or below value; equal values share a bucket, nulls are in bucket 0."""
     bounds = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col(value).cast("double"))) if bounds else F.lit(0)
+    at = count_at_or_below(F.col(value).cast("double"), sorted(set(bounds)))
     return df.withColumn(name, F.when(F.col(value).isNull(), 0).otherwise(at))
 
 
