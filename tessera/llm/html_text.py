@@ -257,7 +257,7 @@ class Page:
         return "\n\n".join(run for node, run, _ in self.runs if main[node])
 
 
-def fit(pages: int = 500, seed: int = 20) -> BoostedTrees:
+def fit(pages: int = 900, seed: int = 20) -> BoostedTrees:
     """Trees learned from `pages` made pages."""
     from .page_templates import labelled_pages
 
@@ -272,7 +272,7 @@ def fit(pages: int = 500, seed: int = 20) -> BoostedTrees:
                     node = page.parent[node]
         x += page.features()
         y += main
-    return BoostedTrees.train(np.array(x, np.float64), np.array(y, np.float64))
+    return BoostedTrees.train(np.array(x, np.float64), np.array(y, np.float64), trees=80)
 
 
 def _extractor(model: BoostedTrees, rest: list[str], at_once: int = 200):

@@ -1,7 +1,6 @@
-"""Made pages with known main text, for learning: many layouts, invented words, each run of text marked.
+"""Made pages with known main text, for learning: many layouts, invented words.
 
-A run of main text starts with the word MAIN_WORD among its first words only in the learner's eyes:
-labelled_pages() returns, with each page, a function that tells a main run from others by the set of runs.
+labelled_pages() gives, with each page, a function that tells a main run of text from others.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ class Maker:
     def words(self, low: int, high: int) -> str:
         r = self.rng
         out = ["".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(r.randint(low, high))]
+        if r.random() < 0.15:
+            out = [r.choice([w, w[0], str(len(w))]) for w in out]
         if self.noise:
             out = [w + r.choice(["%%%", "***", "$$$", "&&&", "###"]) for w in out]
         elif r.random() < 0.7:
@@ -66,7 +67,7 @@ class Maker:
 
     def paragraph(self) -> str:
         r = self.rng
-        text = self.say(1, r.choice([3, 12, 40, 120, 400]), True)
+        text = self.say(1, r.choice([1, 3, 12, 40, 120, 400]), True)
         kind = r.random()
         if kind < 0.12:
             return f"<p><b>{text}<br>"
@@ -101,10 +102,20 @@ class Maker:
                 parts.append(self.box("share social related newsletter subscribe recommended"))
             else:
                 parts.append(self.tag("aside", self.say(3, 30, False), "sidebar related"))
+        if r.random() < 0.12:
+            parts.insert(0, self.tag("header", r.choice([self.say, lambda *x: self.tag("p", self.say(*x))])(1, 10, False)))
+        if r.random() < 0.08:
+            parts.insert(r.randint(0, 1), self.links("", "nav"))
+        if r.random() < 0.12:
+            parts.append(self.tag("footer", r.choice([self.say, lambda *x: self.tag("p", self.say(*x))])(1, 14, False)))
+        if r.random() < 0.08:
+            parts.append(r.choice([self.comments, self.form])())
         inner = "".join(parts)
         kind = r.random()
-        if kind < 0.55:
+        if kind < 0.5:
             whole = self.tag("article", inner, "post entry story" if r.random() < 0.3 else "")
+        elif kind < 0.55:
+            return inner if r.random() < 0.5 else self.tag("div", inner)
         elif kind < 0.7:
             whole = f"<main>{self.tag('div', inner) if r.random() < 0.5 else inner}</main>"
         else:
