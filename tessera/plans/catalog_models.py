@@ -9,6 +9,7 @@ from ..operators import audit, metrics, models, names, splits, stats
 from ..schema import feature_dict
 from ..sources import images
 from . import bindings as b
+from . import folders
 from .bindings import query
 from .catalog_stats import feature_long
 
@@ -192,3 +193,19 @@ def jpeg_probe(spark, sf_dir):
 def name_fields(spark, sf_dir):
     rows = b.file_records(spark, sf_dir).withColumn("path", F.concat(F.lit("a\\b/"), "stem", F.lit("."), "ext"))
     return rows.select("doc_id", names.stem_of(F.col("path")).alias("stem"), names.extension_of(F.col("path")).alias("ext"))
+
+
+@query()
+def folder_counters(spark, sf_dir):
+    """Outcomes of normalising a folder: from names and sizes alone, no pixel is touched."""
+    rows = b.file_records(spark, sf_dir).select(F.concat_ws(".", "stem", "ext").alias("path"), "label", "width", "height", F.lit(None).cast("string").alias("error"))
+    done = rows.where("label = 1").select(F.lower(names.stem_of(F.col("path"))).alias("target")).limit(0)
+    return images.run_counters(folders.outcomes(rows, done))
+
+
+@query()
+def explained_images(spark, sf_dir):
+    """The largest contributions to each image's score, by a boosted model on the 230 features."""
+    rows = images.measured(made_images(spark, sf_dir, 256)).select("path", "label", "f").where("f is not null").cache()
+    model = models.boosted(5, 3).fit(models.with_vector(rows))
+    return folders.explain(model, rows, feature_dict(spark), 0.5, 5)
