@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, plus, text_or_empty
+from .common import fresh, others, plus, text_or_empty
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -120,7 +120,7 @@ def windows_of(raw: bytes, window: int, overlap: int) -> tuple[np.ndarray, np.nd
     return rows, np.minimum(step, len(raw) - overlap - np.arange(n) * step).clip(1)
 
 
-def _predictor(model: ByteCNN, at_once: int = 32):
+def _predictor(model: ByteCNN, t: str, rest: list[str], at_once: int = 32):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = model.lookups()
         overlap = max(model.widths) - 1
@@ -135,19 +135,19 @@ def _predictor(model: ByteCNN, at_once: int = 32):
                 names[i], scores[i] = model.classes[best], min(1.0, value)
 
         for batch in batches:
-            texts = batch.column("t").to_pylist()
+            texts = batch.column(t).to_pylist()
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             todo, size = [], 0
-            for i, t in enumerate(texts):
-                if _LETTER.search(t):
+            for i, text in enumerate(texts):
+                if _LETTER.search(text):
                     todo.append(i)
-                    size += len(t)
+                    size += len(text)
                     if size > 1 << 20:
                         scored(texts, todo, names, scores)
                         todo, size = [], 0
             if todo:
                 scored(texts, todo, names, scores)
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "t"), pa.array(names), pa.array(scores)], [*(n for n in batch.schema.names if n != "t"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return run
 
@@ -178,16 +178,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
 
 
 def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFrame:
-    """docs without text, with lang_pred and score. Without a model everything is `und`."""
-    t = fresh(docs, "t")
-    rest = [c for c in docs.columns if c != text]
-    if t != "t" or {"lang_pred", "score"} & set(rest):
-        raise ValueError("columns t, lang_pred and score are added here; rename them first")
-    rows = docs.select(*rest, text_or_empty(text).alias("t"))
+    """docs without text, with lang_pred and score (which replace columns of these names). Without a model everything is `und`."""
+    t, rest = fresh(docs, "t"), others(docs, (text,), ("lang_pred", "score"))
+    rows = docs.select(*rest, text_or_empty(text).alias(t))
     if model is None:
         return rows.select(*rest, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = plus(docs.select(*rest), lang_pred=T.StringType(), score=T.DoubleType())
-    return rows.mapInArrow(_predictor(model), schema)
+    return rows.mapInArrow(_predictor(model, t, rest), schema)
 
 
 def known_language(docs: DataFrame, model: ByteCNN | None, text: str = "text", least: float = 0.4) -> DataFrame:

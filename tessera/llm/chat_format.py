@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, text_or_empty
+from .common import fresh, others, plus, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 _coders: dict[str, Coder] = {}
@@ -78,11 +78,11 @@ def masks(lengths: np.ndarray, counted: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:-1]
 
 
-def _formatted(path: str, rest: list[str], loss_roles: tuple[str, ...]):
+def _formatted(path: str, r: str, t: str, rest: list[str], loss_roles: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for batch in batches:
-            turns = [code.turn(r, t, r in loss_roles) for r, t in zip(batch.column("r").to_pylist(), batch.column("t").to_pylist(), strict=True)]
+            turns = [code.turn(who, said, who in loss_roles) for who, said in zip(batch.column(r).to_pylist(), batch.column(t).to_pylist(), strict=True)]
             mask = masks(np.array([n for x in turns for n in x[1]], np.int64), np.array([n for x in turns for n in x[2]], np.int64))
             ends = pa.array(np.cumsum([0, *(len(x[0]) for x in turns)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.array([i for x in turns for i in x[0]], np.int32)))
@@ -93,12 +93,10 @@ def _formatted(path: str, rest: list[str], loss_roles: tuple[str, ...]):
 
 
 def formatted(rows: DataFrame, path: str, role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """rows with role and text replaced by ids and loss_mask (arrays of one length)."""
-    rest = [c for c in rows.columns if c not in (role, text)]
-    if {"r", "t", "ids", "loss_mask"} & {c.lower() for c in rest}:
-        raise ValueError("columns r, t, ids and loss_mask are added here; rename them first")
+    """rows with role and text replaced by ids and loss_mask (arrays of one length), which replace columns of these names."""
+    r, t, rest = fresh(rows, "r"), fresh(rows, "t"), others(rows, (role, text), ("ids", "loss_mask"))
     schema = plus(rows.select(*rest), ids=T.ArrayType(T.IntegerType()), loss_mask=T.ArrayType(T.ByteType()))
-    return rows.select(*rest, text_or_empty(role).alias("r"), text_or_empty(text).alias("t")).mapInArrow(_formatted(path, rest, loss_roles), schema)
+    return rows.select(*rest, text_or_empty(role).alias(r), text_or_empty(text).alias(t)).mapInArrow(_formatted(path, r, t, rest, loss_roles), schema)
 
 
 def placed(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:

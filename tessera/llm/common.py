@@ -59,3 +59,9 @@ def text_or_empty(c: str | Column) -> Column:
 def plus(df: DataFrame, **more: T.DataType) -> T.StructType:
     """df's schema with further fields."""
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more.items())])
+
+
+def others(df: DataFrame, used: tuple[str, ...], made: tuple[str, ...]) -> list[str]:
+    """The columns of df that an operator hands on: not those it uses, nor any with a name it gives to a result, which replaces it."""
+    gone = {c.lower() for c in (*used, *made)}
+    return [c for c in df.columns if c.lower() not in gone]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .boosting import BoostedTrees
-from .common import plus, text_or_empty
+from .common import fresh, others, plus, text_or_empty
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASSES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -275,10 +275,10 @@ def fit(pages: int = 900, seed: int = 20) -> BoostedTrees:
     return BoostedTrees.train(np.array(x, np.float64), np.array(y, np.float64), trees=80)
 
 
-def _extractor(model: BoostedTrees, rest: list[str], at_once: int = 200):
+def _extractor(model: BoostedTrees, h: str, rest: list[str], at_once: int = 200):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, texts = batch.column("h").to_pylist(), []
+            sources, texts = batch.column(h).to_pylist(), []
             for i in range(0, len(sources), at_once):
                 pages = [Page(s) for s in sources[i : i + at_once]]
                 p = model.probability(np.array([row for page in pages for row in page.features()], np.float64)).tolist()
@@ -292,9 +292,7 @@ def _extractor(model: BoostedTrees, rest: list[str], at_once: int = 200):
 
 
 def extracted(pages: DataFrame, model: BoostedTrees, html: str = "html") -> DataFrame:
-    """pages with html replaced by text and n_chars."""
-    rest = [c for c in pages.columns if c != html]
-    if {"h", "text", "n_chars"} & {c.lower() for c in rest}:
-        raise ValueError("columns h, text and n_chars are added here; rename them first")
+    """pages with html replaced by text and n_chars (which replace columns of these names)."""
+    h, rest = fresh(pages, "h"), others(pages, (html,), ("text", "n_chars"))
     schema = plus(pages.select(*rest), text=T.StringType(), n_chars=T.LongType())
-    return pages.select(*rest, text_or_empty(html).alias("h")).mapInArrow(_extractor(model, rest), schema)
+    return pages.select(*rest, text_or_empty(html).alias(h)).mapInArrow(_extractor(model, h, rest), schema)

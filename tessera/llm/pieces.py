@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, text_or_empty
+from .common import fresh, others, plus, text_or_empty
 
 MARK = "▁"
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -103,28 +103,26 @@ def _digests(model: str, most: int, rest: list[str]):
     return run
 
 
-def _ids(model: str, most: int, rest: list[str], name: str):
+def _ids(model: str, most: int, rest: list[str], t: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model, most)
         for batch in batches:
-            out = [[int(i) for x in chunks for i in x[0].split(",")] for texts in _some_at_once(batch.column("t").to_pylist()) for chunks in table.encode(texts)]
+            out = [[int(i) for x in chunks for i in x[0].split(",")] for texts in _some_at_once(batch.column(t).to_pylist()) for chunks in table.encode(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.list_(pa.int32()))], [*rest, name])
 
     return run
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", most: int = 300_000) -> DataFrame:
-    """docs with text replaced by ids (array of int)."""
-    rest = [c for c in docs.columns if c != text]
-    if {"t", ids} & set(rest):
-        raise ValueError(f"columns t and {ids} are added here; rename them first")
+    """docs with text replaced by ids (array of int), which replaces a column of that name."""
+    t, rest = fresh(docs, "t"), others(docs, (text,), (ids,))
     schema = plus(docs.select(*rest), **{ids: T.ArrayType(T.IntegerType())})
-    return docs.select(*rest, text_or_empty(text).alias("t")).mapInArrow(_ids(model, most, rest, ids), schema)
+    return docs.select(*rest, text_or_empty(text).alias(t)).mapInArrow(_ids(model, most, rest, t, ids), schema)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """rows with ids replaced by the library's text for them."""
-    rest = [c for c in rows.columns if c != ids]
+    """rows with ids replaced by the library's text for them, which replaces a column of that name."""
+    rest = others(rows, (ids,), (text,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = table_of(model, 300_000).sp

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus
+from .common import others, plus
 
 _maps: dict[str, DigestArray] = {}
 _sent: set[tuple[str, str]] = set()
@@ -141,10 +141,8 @@ def _judge(name: str, rest: list[str]):
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """pages without url, with host, path, rule (host + path, null: none fits) and verdict."""
-    rest = [c for c in pages.columns if c != url]
-    if {"host", "path", "rule", "verdict"} & {c.lower() for c in rest}:
-        raise ValueError("columns host, path, rule and verdict are added here; rename them first")
+    """pages without url, with host, path, rule (host + path, null: none fits) and verdict, which replace columns of these names."""
+    rest = others(pages, (url,), ("host", "path", "rule", "verdict"))
     name = shipped(pages.sparkSession, rules)
     rows = pages.select(*rest, host_of(url).alias("host"), path_of(url).alias("path"))
     schema = plus(rows, rule=T.StringType(), verdict=T.StringType())

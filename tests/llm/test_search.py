@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bit_sliced, chat_format, cross_polytope, html_text, queries, url_filter
 from tessera.llm.page_templates import labelled_pages
@@ -190,3 +191,23 @@ def test_odd_html_never_fails(trees):
     for _ in range(300):
         page = html_text.Page("".join(rng.choice(bits) for _ in range(rng.randint(0, 40))))
         page.text(page.decoded(trees.probability(np.array(page.features())).tolist()))
+
+
+def test_clashing_columns_are_replaced_or_kept(spark, trees):
+    from tessera.llm import byte_cnn, mixing, pieces, simhash_dedup, suffix_dedup
+
+    fields = "doc_id long, text string, lang string, source string, n_chars long, t string, h string, r string, score string, ids string, host string, k1 string, whole string, id_key string, tag string, size string, spans string"
+    row = (1, "a text of some words for this", "en", "s", 3, *["x"] * 12)
+    docs = spark.createDataFrame([row, (2, None, None, None, None, *[None] * 12)], fields)
+    path = queries.tokenizer(queries.PIECES)
+    assert pieces.encoded(docs, path).where("doc_id = 1").first().t == "x"
+    assert isinstance(pieces.encoded(docs, path).first().ids, list)
+    assert byte_cnn.identify(docs, byte_cnn.fit(docs)).where("doc_id = 1").first().t == "x"
+    for made in (simhash_dedup.one_of_each(docs), suffix_dedup.remove_repeats(docs), mixing.mixed_documents(docs), byte_cnn.known_language(docs, byte_cnn.fit(docs))):
+        assert made.columns == docs.columns and made.where("doc_id = 1").first().tag == "x"
+    pages = docs.select("doc_id", F.lit("<article><p>Words.</p></article>").alias("html"), "h", "text", "host", F.lit("http://a.com/en/").alias("url"))
+    assert html_text.extracted(pages, trees).first().text == "Words." and html_text.extracted(pages, trees).where("doc_id = 1").first().h == "x"
+    assert url_filter.judged(pages, queries.RULES).first().host == "a.com"
+    chats = spark.createDataFrame([(1, 0, "assistant", "hi", "x", "x", "x")], "conv_id long, turn long, role string, text string, r string, t string, ids string")
+    out = chat_format.formatted(chats, queries.tokenizer(queries.CHAT_BPE)).first()
+    assert (out.r, out.t) == ("x", "x") and isinstance(out.ids, list)
