@@ -145,7 +145,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, probes: int = 24, part: int = 16384, seed: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, probes: int = 32, part: int = 16384, seed: int = 1) -> DataFrame:
     """Each query's k rows found with the largest inner product, itself left out: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     taken = lambda df, is_query: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(is_query).alias("is_query")).where(usable("v", zero=False) & F.col("id").isNotNull())
