@@ -354,7 +354,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     twice = written(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"), "twice")
     hot = windows.join(twice, ["h1", "h2"]).select("k1", "k2", "a", (F.col("a") + length).alias("b"))
     first = F.shiftright("place", 20)
-    settled = found.join(contexts.where("weight > 1").select("gram", "context"), ["gram", "context"])
+    # Contexts that hold over a thousandth of all anchors are fewer than a thousand, whatever the input: they are broadcast.
+    heavy = F.col("weight") > max(1, found.count() // 1000)
+    same = ["gram", "context"]
+    marked = found.join(F.broadcast(contexts.where(heavy).select(*same, F.lit(True).alias("heavy"))), same, "left")
+    light = marked.where("heavy is null").join(contexts.where((F.col("weight") > 1) & ~heavy).select(*same), same)
+    settled = marked.where("heavy").select(*found.columns).unionByName(light.select(*found.columns))
     settled = settled.select("k1", "k2", first.alias("a"), (first + F.shiftright("place", 10).bitwiseAND(1023) + length).alias("b"))
     return settled.unionByName(cool).unionByName(hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
