@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
+from .ordered import medians, running_sums
 
 
 def crosstab(rows: DataFrame, key: str, label: str = "label", top: int | None = None) -> DataFrame:
@@ -32,7 +32,9 @@ def exclusive_share(rows: DataFrame, key: str, label: str = "label", top: int |
 def numeric_summary(long: DataFrame, name: str = "name", label: str = "label", x: str = "x") -> DataFrame:
     """(name, of each class median, mean, min, max; gap: larger over smaller median; overlap: whether the ranges meet)."""
     of = lambda k: F.when(F.col(label) == k, F.col(x))
-    out = long.groupBy(name).agg(*(f(of(k)).alias(f"{n}_{k}") for k in (0, 1) for n, f in (("median", F.median), ("mean", F.avg), ("min", F.min), ("max", F.max))))
+    out = long.groupBy(name).agg(*(f(of(k)).alias(f"{n}_{k}") for k in (0, 1) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))))
+    mid = medians(long.where(F.col(label).isin(0, 1)), x, [name, label])
+    out = out.join(mid.groupBy(name).agg(*(F.max(F.when(F.col(label) == k, F.col("median"))).alias(f"median_{k}") for k in (0, 1))), name, "left")
     out = out.withColumn("gap", F.try_divide(F.greatest("median_0", "median_1"), F.least("median_0", "median_1")))
     return out.withColumn("overlap", F.least("max_0", "max_1") >= F.greatest("min_0", "min_1"))
 

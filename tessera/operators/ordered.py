@@ -45,3 +45,13 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, Column | str], desce
 def numbered(df: DataFrame, value: str, name: str = "row_number", within: Sequence[str] = ()) -> DataFrame:
     """df with 1, 2, ... in order of value, which should be unique."""
     return running_sums(df, value, {name: F.lit(1)}, within=within)
+
+
+def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
+    """(by, name): exact medians from counts of distinct values and their running sums; no task holds a group's values. Null values don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count("*").alias("n_"))
+    totals = counts.groupBy(*by).agg(F.sum("n_").alias("total_"))
+    rows = running_sums(counts, "value_", {"upto_": "n_"}, within=by).join(totals, list(by))
+    first = lambda k: F.min(F.when(F.col("upto_") >= k, F.col("value_")))
+    total = F.col("total_")
+    return rows.groupBy(*by).agg(((first(F.floor((total + 1) / 2)) + first(F.floor(total / 2) + 1)) / 2).alias(name))

@@ -65,6 +65,13 @@ def test_running_sums_with_ties_nulls_and_groups(spark):
     assert sorted(r.row_number for r in ordered.numbered(spark.range(50).withColumn("x", F.col("id") * 3), "x").collect()) == list(range(1, 51))
 
 
+def test_medians(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 301), rng.integers(0, 25, 301))] + [(9, 2.0), (8, None), (7, 1.0), (7, 4.0)]
+    got = {r.g: r["median"] for r in ordered.medians(spark.createDataFrame(rows, "g int, v double"), "v", ["g"]).collect()}
+    assert got == {g: float(np.median([v for h, v in rows if h == g])) for g in {0, 1, 2, 3, 7, 9}}
+
+
 def test_audit_and_resumption(spark):
     facts = spark.createDataFrame([(0.5, 0.0, 0.0, 1.0, 1.0, 0.5, 1.0), (0.9, 9.0, 0.9, 2.0, 2.0, 0.95, 1.0)], "auc double, sd_from_chance double, exclusive_share double, density_gap double, resolution_gap double, best_cut double, cut_gap double")
     assert [(r.problems, r.verdict) for r in audit.verdict(facts).orderBy("auc").collect()] == [(0, "clean"), (5, "uninterpretable")]
