@@ -1,0 +1,199 @@
+"""Near-dedup by the Jaccard similarity of word shingles: MinHash bands propose pairs, the sets themselves decide.
+
+A text's set is that of its shingles' 64-bit hashes; texts with one set are one node. A node goes into a
+bucket for each of `bands` keys, each made of `rows` minima, so two nodes of similarity j share a bucket with
+probability 1 - (1 - j^rows)^bands: at 0.8 all but 3 of 100,000 pairs, above it more. Nothing is linked
+by a bucket alone: the exact similarity of the two sets must be `similarity` or more.
+
+A bucket of up to `small` nodes proposes all its pairs whose sizes allow the similarity. A larger one first
+proposes each node with one other, so a dense group costs as many pairs as it has nodes; where that leaves
+its nodes unconnected, all pairs of nodes not connected yet are compared in one task. The components are those of all pairs.
+
+Words are those of simhash_dedup; null and wordless texts are one node, texts of fewer words than a shingle are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import text_or_empty, written
+from .components import components
+from .simhash_dedup import least_rows, shingle_hashes
+
+#: Up to so many keys are broadcast, having been counted: 8 MB.
+FEW = 1_000_000
+
+
+def shingle_set(raw: bytes, words: int, seed: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(raw, words, seed), np.uint64))
+
+
+def _name(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 1)
+
+
+class MinHash:
+    def __init__(self, bands: int, rows: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.bands = bands
+        self.flip, self.by = (rng.integers(0, 1 << 64, (bands * rows, 1), np.uint64) for _ in range(2))
+        self.by |= np.uint64(1)
+
+    def keys(self, hashes: np.ndarray) -> list[int]:
+        """Of each band, a hash of its minima; none for an empty set."""
+        if not len(hashes):
+            return []
+        least = np.min([((hashes[i : i + 2048] ^ self.flip) * self.by).min(1) for i in range(0, len(hashes), 2048)], 0)
+        return [xxhash.xxh64_intdigest(part.tobytes(), b) for b, part in enumerate(least.reshape(self.bands, -1))]
+
+
+def _signed(words: int, seed: int, bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = MinHash(bands, rows, seed)
+        for batch in batches:
+            names, sizes, keys = [], [], []
+            for raw in batch.column("t").cast(pa.binary()).to_pylist():
+                found = shingle_set(raw, words, seed)
+                names.append(_name(found))
+                sizes.append(len(found))
+                keys.append(np.array(minhash.keys(found), np.uint64).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "tag", "s", "n", "keys"])
+
+    return run
+
+
+def _sets(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(raw, words, seed) for raw in batch.column("t").cast(pa.binary()).to_pylist()]
+            names = np.array([_name(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["s", "hashes"])
+
+    return run
+
+
+def _proposed(top: int, of: int, small: int):
+    """Of a partition sorted by band, key and n: pairs (a, b, null), and the members (a, null, bucket) of large buckets."""
+
+    def settle(rows: list[np.ndarray]) -> pa.RecordBatch:
+        band, key, n, s = rows
+        edges = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1, [len(s)]])
+        sizes = np.diff(edges)
+        run, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+        a, b = [], []
+        for step in range(1, small):
+            i = np.flatnonzero((run[step:] == run[:-step]) & (size[step:] <= small))
+            if not len(i):
+                break
+            i = i[n[i] * of >= n[i + step] * top]
+            a.append(s[i])
+            b.append(s[i + step])
+        members, buckets = [], []
+        for at in np.flatnonzero(sizes > small).tolist():
+            x, y = edges[at], edges[at + 1]
+            while x < y:  # the shortest and all that may be similar to it
+                z = x + int(np.searchsorted(n[x:y] * top, n[x] * of, "right"))
+                a.append(np.full(z - x - 1, s[x]))
+                b.append(s[x + 1 : z])
+                x = z
+            members.append(s[edges[at] : y])
+            buckets.append(np.full(y - edges[at], xxhash.xxh64_intdigest(np.array([band[edges[at]], key[edges[at]]]).tobytes()), np.uint64).view(np.int64))
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        a, b, members, buckets = map(join, (a, b, members, buckets))
+        ends = [pa.array(np.concatenate([np.minimum(a, b), members])), pa.array(np.concatenate([np.maximum(a, b), members])), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(buckets)])]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "key", "n", "s")]
+            if not len(rows[0]):
+                continue
+            ends = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = int(ends[-1]) + 1 if len(ends) else 0  # where the last bucket, which may go on, begins
+            if held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
+                yield settle([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+            if last:
+                yield settle([np.concatenate(c) for c in zip(*held, [c[:last] for c in rows], strict=True)])
+                held = []
+            held.append([c[last:] for c in rows])
+        if held:
+            yield settle([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _across(top: int, of: int):
+    """Similar pairs of a bucket whose nodes aren't connected yet."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        s, c = (rows.column(x).to_numpy() for x in ("s", "c"))
+        sets = rows.column("hashes").combine_chunks()
+        flat, sizes = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        c, a, b = c.copy(), [], []
+        for i in range(len(s)):
+            if (c == c[i]).all():
+                break
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+            for j in np.flatnonzero((common * of >= (sizes + sizes[i] - common) * top) & (c != c[i])).tolist():
+                if c[j] != c[i]:
+                    a.append(s[i])
+                    b.append(s[j])
+                    c[c == c[j]] = c[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links(rows: DataFrame, docs: DataFrame, text: str, words: int, similarity: tuple[int, int], seed: int, small: int) -> DataFrame:
+    """(a, b): links between sets at `similarity` or more that connect whatever all such links among the buckets connect."""
+    top, of = similarity
+    nodes = written(rows.groupBy("s").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    cells = nodes.select("s", "n", F.posexplode("keys").alias("band", "key")).select("band", "key", "n", "s")
+    found = cells.repartition("band", "key").sortWithinPartitions("band", "key", "n", "s").mapInArrow(_proposed(top, of, small), "a long, b long, bucket long")
+    found = written(found, "proposed")
+    pairs = written(found.where("bucket is null").select("a", "b").distinct(), "pairs")
+    members = found.where("bucket is not null").select("bucket", F.col("a").alias("s"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(members.select("s")).distinct()
+    tags = written(nodes.join(asked, "s", "left_semi").select("tag"), "tags")
+    few = F.broadcast(tags) if tags.count() <= FEW else tags
+    texts = docs.select(F.xxhash64(text).alias("tag"), text_or_empty(text).alias("t")).join(few, "tag", "left_semi").select("t")
+    sets = written(texts.mapInArrow(_sets(words, seed), "s long, hashes array<long>").dropDuplicates(["s"]), "hashes")
+    side = lambda end: sets.select(F.col("s").alias(end), F.col("hashes").alias(f"{end}_hashes"))
+    common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sure = written(both.where(common * of >= (F.size("a_hashes") + F.size("b_hashes") - common) * top).select("a", "b"), "links")
+    if members.isEmpty():
+        return sure
+    comp = components(sure, "a", "b")
+    placed = written(members.join(comp, F.col("s") == F.col("node"), "left").select("bucket", "s", F.coalesce("component", "s").alias("c")), "members")
+    # Bands often gather the same nodes: one bucket of each set of nodes is enough.
+    apart = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("s")).alias("who")).where("low <> high")
+    apart = apart.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = placed.join(apart, "bucket", "left_semi").join(sets, "s")
+    return sure.unionByName(written(left.groupBy("bucket").applyInArrow(_across(top, of), "a long, b long"), "across"))
+
+
+def labelled(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tuple[int, int], bands: int, rows: int, seed: int, small: int) -> DataFrame:
+    """(id, tag: a hash of the text, component) of each document."""
+    signed = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text_or_empty(text).alias("t"))
+    signed = written(signed.mapInArrow(_signed(words, seed, bands, rows), "id long, tag long, s long, n int, keys array<long>"), "minima")
+    comp = components(links(signed, docs, text, words, similarity, seed, small), "a", "b")
+    return signed.select("id", "tag", "s").join(comp, F.col("s") == F.col("node"), "left").select("id", "tag", F.coalesce("component", "s").alias("component"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5), bands: int = 20, rows: int = 4, seed: int = 42, small: int = 24) -> DataFrame:
+    """docs with one row left of each group of similar texts, that with the smallest id (null ids last, then by text hash and row); all columns stay."""
+    return least_rows(docs, labelled(docs, doc_id, text, words, similarity, bands, rows, seed, small), doc_id, text)

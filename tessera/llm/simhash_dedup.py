@@ -185,12 +185,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one row left of each group, that with the smallest id (null ids last, then by text hash and row); all columns stay."""
-    rows = labelled(docs, doc_id, text, words, distance, seed)
+def least_rows(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one row left of each component of rows (id, tag, component)."""
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("best"))
     key = fresh(docs, "id_key")
     named = lambda i, tag: F.concat_ws(":", i.cast("string"), tag.cast("string"))
     kept = docs.withColumn(key, named(F.col(doc_id).cast("long"), F.xxhash64(text)))
     kept = kept.join(best.select(named(F.col("best.id"), F.col("best.tag")).alias(key)), key, "left_semi")
     return kept.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(f"{key}_row")).select(f"{key}_row.*")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one row left of each group, that with the smallest id (null ids last, then by text hash and row); all columns stay."""
+    return least_rows(docs, labelled(docs, doc_id, text, words, distance, seed), doc_id, text)
