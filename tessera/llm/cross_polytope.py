@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiple probes and exact reranking.
 
-For the largest inner product, vectors are made unit ones by a further coordinate (the square root of
-what their squared norm lacks to the largest; 0 for queries), padded to a power of two and turned by a
+For the largest inner product, rows are taken in bands of norms within a factor of 1.25, and made unit ones by a
+further coordinate (the square root of what their squared norm lacks to the band's largest; 0 for queries), padded to a power of two and turned by a
 pseudo-rotation: three rounds of random signs and a fast Hadamard transform. A vector's bucket in a
 table is the signed axis nearest to it. A query probes the `probes` axes nearest to it in each of the
 `tables`. A bucket's queries and rows meet in one task, rows some thousands at a time; inner products
 of all its pairs are exact, of the original vectors in double precision, and the best k go on.
 
+All bands are probed. Rows of bands above 1.5 times the median norm are near to any query in inner product
+whatever their direction, so they aren't hashed: every query meets all of them.
+
 Hot buckets, known from a count of at most tables x 2 x dimensions buckets, are salted: rows are dealt
 into parts of about `part` rows and queries go to all of these. Null, empty, zero and non-finite
 vectors take no part, nor do vectors of another size than the commonest. A table without usable
@@ -65,8 +68,13 @@ class CrossPolytope:
         return np.stack([np.argpartition(-a, m - 1, axis=1)[:, :m] for a in self.axes(x, True)], 1)
 
 
-def _hashed(index: CrossPolytope, probes: int):
-    """A row for each table (rows) or probe (queries)."""
+def _band(norm: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(norm) / np.log(1.25)).astype(np.int64)
+
+
+def _hashed(index: CrossPolytope, probes: int, bands: dict[int, float], whole: float):
+    """A row for each table (rows) or probe (queries). bands: the largest norm of each; rows of those above
+    `whole` go into one further table that every query meets whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,11 +82,22 @@ def _hashed(index: CrossPolytope, probes: int):
                 part = batch.slice(at, 256)
                 x = matrix(part.column("v"))
                 is_query = part.column("is_query").to_numpy(zero_copy_only=False)
-                found = index.buckets(x)[:, :, None] if not is_query[0] else index.probes(x, probes)
+                every = np.ones(len(x), bool)
+                if not is_query[0]:
+                    norm = np.linalg.norm(x, axis=1)
+                    largest = np.maximum(norm, [bands.get(b, 0.0) for b in _band(norm).tolist()])  # at an edge, logarithms may round apart
+                    every = largest > whole
+                    found = index.buckets(x / largest[:, None])[:, :, None]
+                else:
+                    found = index.probes(x, probes)
                 n, t, m = found.shape
-                table = np.broadcast_to(np.arange(t)[None, :, None], (n, t, m)).ravel()
-                row = pa.array(np.repeat(np.arange(n), t * m))
-                yield pa.RecordBatch.from_arrays([pa.array(table.astype(np.int32)), pa.array(found.ravel().astype(np.int32)), part.column("is_query").take(row), part.column("id").take(row), part.column("v").take(row)], ["table", "bucket", "is_query", "id", "v"])
+                row, table, place = (c.ravel() for c in np.broadcast_arrays(np.arange(n)[:, None, None], np.arange(t)[None, :, None], found))
+                if not is_query[0]:
+                    row, table, place = (c[~every[row]] for c in (row, table, place))
+                extra = np.flatnonzero(every)
+                row = pa.array(np.concatenate([row, extra]))
+                table, place = np.concatenate([table, np.full(len(extra), t)]), np.concatenate([place, np.zeros(len(extra), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(table.astype(np.int32)), pa.array(place.astype(np.int32)), part.column("is_query").take(row), part.column("id").take(row), part.column("v").take(row)], ["table", "bucket", "is_query", "id", "v"])
 
     return run
 
@@ -154,10 +173,15 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = taken(queries, True).where(F.size("v") == d)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    index = CrossPolytope(d, float(np.sqrt(rows.agg(F.max(squares)).first()[0])), tables, seed)
+    norms = rows.select(F.sqrt(squares).alias("norm"))
+    middle = norms.agg(F.percentile_approx("norm", 0.5)).first()[0]
+    near = F.floor(F.log("norm") / float(np.log(1.25)))
+    found = norms.groupBy(near.alias("band")).agg(F.max("norm")).collect()  # a few bands for each power of ten
+    bands = {int(b): float(m) for b, m in found}
+    index = CrossPolytope(d, 1.0, tables, seed)
     kind = "array<float>" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "array<double>"
     schema = f"table int, bucket int, is_query boolean, id long, v {kind}"
-    hashed = lambda df: written(df.mapInArrow(_hashed(index, probes), schema), "hashed")
+    hashed = lambda df: written(df.mapInArrow(_hashed(index, probes, bands, 1.5 * middle), schema), "hashed")
     rows, queries = hashed(rows), hashed(queries)
     hot = rows.groupBy("table", "bucket").count().where(F.col("count") > part).collect()  # at most tables x 2n buckets
     parts = F.create_map(*(x for r in hot for x in (F.lit(r[0] << 20 | r[1]), F.lit(-(-r[2] // part))))) if hot else F.create_map(F.lit(-1), F.lit(1))
