@@ -164,6 +164,13 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _ranked_pairs(met: DataFrame, k: int) -> DataFrame:
+    met = met.repartition("table", "bucket", "salt").sortWithinPartitions("table", "bucket", "salt", "is_row")
+    found = met.mapInArrow(_score(k), "query_id long, vecs array<long>, scores array<double>")
+    found = found.select("query_id", F.explode(F.arrays_zip("vecs", "scores")).alias("x"))
+    return ranked(found.groupBy("query_id", F.col("x.vecs").alias("vec_id")).agg(F.max("x.scores").alias("score")), k)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, probes: int = 32, part: int = 16384, seed: int = 1) -> DataFrame:
     """Each query's k rows found with the largest inner product, itself left out: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
@@ -182,6 +189,7 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     kind = "array<float>" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "array<double>"
     schema = f"table int, bucket int, is_query boolean, id long, v {kind}"
     hashed = lambda df: written(df.mapInArrow(_hashed(index, probes, bands, 1.5 * middle), schema), "hashed")
+    every, asked = rows, queries
     rows, queries = hashed(rows), hashed(queries)
     hot = rows.groupBy("table", "bucket").count().where(F.col("count") > part).collect()  # at most tables x 2n buckets
     parts = F.create_map(*(x for r in hot for x in (F.lit(r[0] << 20 | r[1]), F.lit(-(-r[2] // part))))) if hot else F.create_map(F.lit(-1), F.lit(1))
@@ -189,7 +197,13 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     cols = ["table", "bucket", "salt", "is_row", "id", "v"]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("is_row", F.lit(1)).select(cols)
     queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("is_row", F.lit(0)).select(cols)
-    met = rows.unionByName(queries).repartition("table", "bucket", "salt").sortWithinPartitions("table", "bucket", "salt", "is_row")
-    found = met.mapInArrow(_score(k), "query_id long, vecs array<long>, scores array<double>")
-    found = found.select("query_id", F.explode(F.arrays_zip("vecs", "scores")).alias("x"))
-    return ranked(found.groupBy("query_id", F.col("x.vecs").alias("vec_id")).agg(F.max("x.scores").alias("score")), k)
+    score = lambda rows, queries: _ranked_pairs(rows.unionByName(queries), k)
+    found = written(score(rows, queries), "found")
+    # Queries that their probes gave fewer than k meet every row once, in parts.
+    few = written(asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
+    if few.isEmpty():
+        return found
+    n = F.lit(-(-every.count() // part))
+    at = lambda df, salt, is_row: df.select(F.lit(0).alias("table"), F.lit(0).alias("bucket"), salt.alias("salt"), F.lit(is_row).alias("is_row"), "id", "v")
+    more = score(at(every, F.pmod(F.xxhash64("id"), n).cast("int"), 1), at(few, F.explode(F.sequence(F.lit(0), n - 1)), 0))
+    return found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)

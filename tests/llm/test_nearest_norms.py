@@ -23,3 +23,12 @@ def test_recall_with_unequal_norms(spark, case):
         s[q] = -np.inf
         hits += len(got.get(q, set()) & set(np.argsort(-s)[:20].tolist()))
     assert hits / (20 * 75) >= 0.9
+
+
+@pytest.mark.parametrize("n", [10, 30])
+def test_every_query_gets_all_it_is_due(spark, n):
+    x = np.random.default_rng(5).normal(0, 1, (n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<double>")
+    for part in (4, 16384):
+        got = cross_polytope.nearest(df, df, part=part).collect()
+        assert len(got) == n * min(20, n - 1) and len({(r.query_id, r.vec_id) for r in got}) == len(got)
