@@ -45,11 +45,11 @@ def passages(rng, n=60):
     return [*docs, docs[3], docs[3] + "x", None, "", "a" * 1200, "ab" * 400, "short", "short", shared[0] * 2]
 
 
-@pytest.mark.parametrize("bucket", [2, 200])
-def test_removal_is_that_of_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "key_bits"), [(2, 64), (200, 3)])
+def test_removal_is_that_of_brute_force(spark, bucket, key_bits):
     texts = passages(random.Random(5))
     rows = [(i, t, "x", "clash") for i, t in enumerate(texts)] + [(None, texts[5], None, None), (7, texts[7], None, None)]
-    got = suffix_dedup.removal_digests(spark.createDataFrame(rows, SCHEMA).repartition(3), length=200, bucket=bucket).collect()
+    got = suffix_dedup.removal_digests(spark.createDataFrame(rows, SCHEMA).repartition(3), length=200, bucket=bucket, key_bits=key_bits).collect()
     want = [(r[0], *x) for r, x in zip(rows, brute_removal([r[1] for r in rows], 200))]
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
@@ -59,10 +59,49 @@ def test_removal_is_that_of_brute_force(spark, bucket):
 def test_small_alphabet_and_short_windows(spark, seed):
     rng = random.Random(seed)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(25)] + ["ab" * 50]
-    got = suffix_dedup.removal_digests(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), length=20, gram=6, bucket=5 if seed % 2 else 500).collect()
+    got = suffix_dedup.removal_digests(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), length=20, gram=6, bucket=3 if seed % 2 else 500).collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(brute_removal(texts, 20))
 
 
+@pytest.mark.parametrize("bits", [0, 2, 64])
+def test_bucket_of_colliding_hashes(monkeypatch, bits):
+    """Windows of a bucket are those of brute force, whatever the hashes propose."""
+    true = suffix_dedup.windows_hashes
+    monkeypatch.setattr(suffix_dedup, "windows_hashes", lambda *a: true(*a) & np.uint64((1 << bits) - 1))
+    rng = random.Random(bits)
+    length, gram = 30, b"anchor"
+    bank = ["".join(rng.choice("xy") for _ in range(24)).encode() for _ in range(4)]
+    for size in (2, 40):
+        group = np.array(sorted(rng.randrange(3) for _ in range(size)))
+        made = {}
+        while len(made) < size:
+            before = (bytes([rng.choice(b"xy")]) + rng.choice(bank))[rng.randrange(1, 20) :]
+            behind = rng.choice(bank)[: rng.randint(24 - len(before), 24)] if len(before) < 24 else rng.choice(bank)
+            raw = before + gram + behind
+            if len(raw) >= length:
+                made.setdefault((raw, len(before)), None)
+        raws, left = zip(*made)
+        weight = np.array([rng.choice([1, 1, 2]) for _ in raws])
+        got = {(i, w) for i, a, b in zip(*map(np.ndarray.tolist, suffix_dedup.repeated_windows(list(raws), np.array(left), weight, group, length))) for w in range(a, b - length + 1)}
+        seen = Counter((g, left[i] - w, raws[i][w : w + length]) for i, g in enumerate(group) for w in range(len(raws[i]) - length + 1) if 0 <= left[i] - w <= length - len(gram))
+        want = {(i, w) for i, g in enumerate(group) for w in range(len(raws[i]) - length + 1) if weight[i] == 1 and seen[g, left[i] - w, raws[i][w : w + length]] > 1}
+        assert got == want
+
+
+def test_anchors_of_equal_windows_in_short_and_long_texts():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(97, 123, 900).astype(np.uint8)
+    long = np.concatenate([rng.integers(97, 123, 65_300).astype(np.uint8), shared, rng.integers(97, 123, 80_000).astype(np.uint8)])
+
+    def offsets(data):
+        place, gram, first, last = suffix_dedup.anchors(data, 200, 40)
+        assert first[0] == 0 and last[-1] == len(data) - 200 and (first[1:] == last[:-1] + 1).all()
+        return np.repeat(place, last - first + 1) - np.arange(len(data) - 199), np.repeat(gram, last - first + 1)
+
+    for a, b in zip(offsets(shared), offsets(long), strict=True):
+        assert (a == b[65_300 : 65_300 + len(a)]).all()
+
+
 def test_suffix_sort_orders_and_measures():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 400).astype(np.uint8)
