@@ -305,19 +305,23 @@ def _sorted_windows(data, prefix, anchor, group, length, context, open_, base, l
 # ---------------------------------------------------------------- Spark
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, key_bits: int):
+    digest, drop = xxhash.xxh3_64_intdigest, 64 - key_bits
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, rows = [], 0
 
             def made() -> pa.RecordBatch:
                 doc, *rest = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))  # noqa: B023
-                return pa.RecordBatch.from_arrays([batch.column("k1").take(doc), batch.column("k2").take(doc), *rest], ["k1", "k2", "gram", "place"])  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column("k1").take(doc), batch.column("k2").take(doc), *rest], ["k1", "k2", "gram", "context", "place"])  # noqa: B023
 
-            for i, raw in enumerate(batch.column("t")):
-                at, grams, first, last = anchors(np.frombuffer(raw.as_buffer(), np.uint8), length, gram)
+            for i, text in enumerate(batch.column("t")):
+                raw = memoryview(text.as_buffer())
+                at, grams, first, last = anchors(np.frombuffer(raw, np.uint8), length, gram)
                 if len(at):
-                    out.append((np.full(len(at), i), grams.view(np.int64), first << 20 | (last - first) << 10 | (at - first)))
+                    context = np.fromiter((digest(raw[a : b + length], p - a) >> drop for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(at))
+                    out.append((np.full(len(at), i), grams.view(np.int64), context.view(np.int64), first << 20 | (last - first) << 10 | (at - first)))
                     rows += len(at)
                 if rows >= 50_000:
                     yield made()
@@ -328,7 +332,7 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _context_rows(length: int, key_bits: int):
+def _context_rows(length: int):
     """The contexts of anchors whose grams repeat, cut out of their documents."""
     kinds = [*[pa.int64()] * 6, pa.binary()]
     names = ["k1", "k2", "gram", "context", "first", "left", "bytes"]
@@ -340,12 +344,9 @@ def _context_rows(length: int, key_bits: int):
             made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)  # noqa: B023, E731
             for i, (text, todo) in enumerate(zip(batch.column("t"), batch.column("todo"), strict=True)):
                 raw, todo = memoryview(text.as_buffer()), todo.values
-                grams, places = (todo.field(x).to_numpy(zero_copy_only=False) for x in ("gram", "place"))
-                for gram, place in zip(grams.tolist(), places.tolist(), strict=True):
+                for gram, context, place in zip(*(todo.field(x).to_pylist() for x in ("gram", "context", "place")), strict=True):
                     first, more, left = place >> 20, place >> 10 & 1023, place & 1023
-                    part = bytes(raw[first : first + more + length])
-                    key = xxhash.xxh3_64_intdigest(part, left) >> (64 - key_bits)
-                    for c, v in zip(cols, (k1[i], k2[i], gram, key - (1 << 64) if key >> 63 else key, first, left, part), strict=True):
+                    for c, v in zip(cols, (k1[i], k2[i], gram, context, first, left, bytes(raw[first : first + more + length])), strict=True):
                         c.append(v)
                 if len(cols[0]) >= 20_000:
                     yield made()
@@ -466,34 +467,33 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not gram <= length < 1024:
         raise ValueError("gram <= length < 1024 is needed")
     source = source_rows(docs, doc_id, text)
-    rows = written(source.where(F.octet_length("t") >= length).mapInArrow(_anchor_rows(length, gram), "k1 long, k2 long, gram long, place long"), "anchors")
+    rows = written(source.where(F.octet_length("t") >= length).mapInArrow(_anchor_rows(length, gram, key_bits), "k1 long, k2 long, gram long, context long, place long"), "anchors")
     again = written(rows.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    found = rows.join(again, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place")).alias("todo"))
-    contexts = written(joined(source, found, "inner").mapInArrow(_context_rows(length, key_bits), "k1 long, k2 long, gram long, context long, first long, left long, bytes binary"), "contexts")
+    found = written(rows.join(again, "gram"), "found")
     dropped(rows)
     dropped(again)
+    todo = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "context", "place")).alias("todo"))
+    contexts = joined(source, todo, "inner").mapInArrow(_context_rows(length), "k1 long, k2 long, gram long, context long, first long, left long, bytes binary")
     kinds = ["gram", "context", "left", "bytes"]
     classes = written(contexts.groupBy(*kinds).agg(F.count("*").alias("weight"), *(F.max(c).alias(c) for c in ("k1", "k2", "first"))), "classes")
-    own = [contexts, classes]
-    # A context goes by the hash of its bytes where it is told whether others are the same; where hashes of other bytes collide, by the bytes.
-    clash = written(classes.groupBy("gram", "context").count().where("count > 1").select("gram", "context"), "clash")
-    many = written(classes.where("weight > 1").select("gram", "context", "left", "weight"), "many")
+    own = [found, classes]
+    # A context goes by the hash of its bytes where it is told that others are the same; where hashes of other bytes collide, by the bytes.
+    key = ["gram", "context"]
+    clash = written(classes.groupBy(*key).count().where("count > 1").select(*key), "clash")
+    many = classes.where("weight > 1").select(*key, "weight")
+    clear = clash.isEmpty()
+    many = written(many if clear else many.join(clash, key, "left_anti"), "many")
     own += [clash, many]
     # Contexts that hold over a thousandth of all are fewer than a thousand, whatever the input: they are broadcast.
-    heavy = F.col("weight") > max(1, contexts.count() // 1000)
-    key = ["gram", "context"]
-    members = contexts.select("k1", "k2", "gram", "context", "first", F.octet_length("bytes").alias("n"))
-    if clash.isEmpty():
-        sure = many
-    else:
-        sure = many.join(clash, key, "left_anti")
+    heavy = F.col("weight") > max(1, found.count() // 1000)
+    first, span = F.shiftright("place", 20), ["k1", "k2", "first", "n"]
+    members = found.select("k1", "k2", *key, first.alias("first"), (F.shiftright("place", 10).bitwiseAND(1023) + length).alias("n"))
+    marked = members.join(F.broadcast(many.where(heavy).select(*key, F.lit(True).alias("heavy"))), key, "left")
+    light = marked.where("heavy is null").join(many.where(~heavy).select(*key), key)
+    settled = marked.where("heavy").select(*span).unionByName(light.select(*span))
+    if not clear:
         twice = classes.where("weight > 1").join(clash, key, "left_semi").select(*kinds)
-        twice = contexts.join(twice, kinds, "left_semi").select("k1", "k2", "first", F.octet_length("bytes").alias("n"))
-    marked = members.join(F.broadcast(sure.where(heavy).select(*key, F.lit(True).alias("heavy"))), key, "left")
-    light = marked.where("heavy is null").join(sure.where(~heavy).select(*key), key)
-    settled = marked.where("heavy").select("k1", "k2", "first", "n").unionByName(light.select("k1", "k2", "first", "n"))
-    if not clash.isEmpty():
-        settled = settled.unionByName(twice)
+        settled = settled.unionByName(contexts.join(twice, kinds, "left_semi").select("k1", "k2", "first", F.octet_length("bytes").alias("n")))
     spans = [settled.select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))]
     wide = classes.withColumnRenamed("gram", "key").drop("context").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     spans += _bucket_spans(wide, length, bucket, own)
