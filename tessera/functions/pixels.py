@@ -201,7 +201,7 @@ VARIANTS = {
     "jpeg60": lambda a: jpeg_round_trip(a, 60),
     "denoise": lambda a: by_channel(lambda x: blurred(x, 0.6), a),
     "sharpen": sharpened,
-    "web_sim": lambda a: sharpened(jpeg_round_trip(scaled(a, 0.75), 85)),
+    "web_sim": lambda a: jpeg_round_trip(sharpened(scaled(a, 0.75)), 85),
 }
 
 
@@ -238,19 +238,21 @@ def png16(data: bytes) -> np.ndarray:
         up = out[r - 1] if r else np.zeros(w * step, np.int64)
         if kind == 0:
             out[r] = line
+        elif kind == 1:
+            out[r] = np.cumsum(line.reshape(w, step), axis=0).ravel() & 255
         elif kind == 2:
             out[r] = (line + up) & 255
-        else:
-            for i in range(w * step):
-                a = out[r, i - step] if i >= step else 0
-                b, c = up[i], up[i - step] if i >= step else 0
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + b) // 2
+        else:  # each pixel needs the one before it: a step for each, over its bytes at once
+            lines, ups, left, corner = line.reshape(w, step), up.reshape(w, step), np.zeros(step, np.int64), np.zeros(step, np.int64)
+            for i in range(w):
+                if kind == 3:
+                    guess = (left + ups[i]) // 2
                 else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                out[r, i] = (line[i] + guess) & 255
+                    p = left + ups[i] - corner
+                    near = np.stack([abs(p - left), abs(p - ups[i]), abs(p - corner)])
+                    guess = np.choose(near.argmin(axis=0), [left, ups[i], corner])
+                left = (lines[i] + guess) & 255
+                corner = ups[i]
+                out[r, i * step : (i + 1) * step] = left
     values = (out[:, ::2] << 8 | out[:, 1::2]).astype(np.uint16)
     return values.reshape(h, w, channels)

@@ -1,8 +1,8 @@
 """Pixel planes as arrays in a row: statistics, texture, stencils and small transforms without a shuffle.
 
 A plane is an ARRAY<DOUBLE> in row-major order with a known width. All functions are Column
-expressions: an image stays one row, whatever is computed of it. Whole-size images go through
-functions/features.py; these serve small planes and checks, in the JVM.
+expressions: an image stays one row, whatever is computed of it. Transforms are matrix products over
+Arrow batches, the rest is computed in the JVM. Whole-size images go through functions/features.py.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,35 +144,23 @@ def glcm_properties(pairs: Column) -> dict[str, Column]:
     }
 
 
-def product(a: Column | Sequence[float], b: Column | Sequence[float], n: int, m: int, k: int) -> Column:
-    """The n x m matrix a times the m x k matrix b, both row-major arrays."""
-    lift = lambda x: x if isinstance(x, Column) else F.array(*(F.lit(float(v)) for v in x))
+def _over_batches(kind: T.DataType, f: Callable[[np.ndarray], object]) -> Callable[[Column], Column]:
+    """f over all planes of an Arrow batch at once, as rows of one array; a null plane gives null."""
 
-    def of(p: Column) -> Column:
-        def at(i: Column) -> Column:
-            r, c = F.floor(i / k) * m, i % k
-            out = None
-            for j in range(m):
-                term = F.element_at(p["a"], (r + j + 1).cast("int")) * F.element_at(p["b"], (c + j * k + 1).cast("int"))
-                out = term if out is None else out + term
-            return out
+    def run(planes: pd.Series) -> pd.Series:
+        have = [p for p in planes if p is not None]
+        made = iter(f(np.stack(have).astype(np.float64)) if have else ())
+        return pd.Series([None if p is None else next(made) for p in planes], index=planes.index, dtype=object)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(n * k - 1)), at)
-
-    return let(F.struct(lift(a).alias("a"), lift(b).alias("b")), of)
+    return F.pandas_udf(run, kind)
 
 
 def dft_magnitudes(a: Column, n: int) -> Column:
-    """Magnitudes of the 2-D transform of an n x n plane, frequencies in row-major order."""
-    wave = lambda f: [f(2 * math.pi * u * x / n) for u in range(n) for x in range(n)]
-    cos, sin = wave(math.cos), wave(math.sin)
-
-    def of(x: Column) -> Column:
-        re = F.zip_with(product(x["c"], cos, n, n, n), product(x["s"], sin, n, n, n), lambda u, v: u - v)
-        im = F.zip_with(product(x["c"], sin, n, n, n), product(x["s"], cos, n, n, n), lambda u, v: u + v)
-        return F.zip_with(re, im, lambda u, v: F.sqrt(u * u + v * v))
+    """Magnitudes of the 2-D transform of an n x n plane, frequencies in row-major order.
 
-    return let(F.struct(product(cos, a, n, n, n).alias("c"), product(sin, a, n, n, n).alias("s")), of)
+    Array expressions are interpreted value by value; a transform is one product of matrices a batch instead.
+    """
+    return _over_batches(T.ArrayType(T.DoubleType()), lambda x: np.abs(np.fft.fft2(x.reshape(-1, n, n))).reshape(len(x), -1))(a)
 
 
 def ring_of(n: int, rings: int) -> list[int]:
@@ -208,13 +199,16 @@ def wavelet_matrix(n: int, high: bool) -> list[list[float]]:
 
 
 def wavelet_bands(a: Column, n: int) -> dict[str, Column]:
-    """One level of an n x n plane: cA, cH (high along rows), cV (high along columns), cD."""
-    flat: Callable = lambda rows: [v for r in rows for v in r]
-    lo, hi = wavelet_matrix(n, False), wavelet_matrix(n, True)
-    m = len(lo)
-    turned = lambda rows: flat(zip(*rows, strict=True))
-    low, high = product(flat(lo), a, m, n, n), product(flat(hi), a, m, n, n)
-    return {"cA": product(low, turned(lo), m, n, m), "cH": product(high, turned(lo), m, n, m), "cV": product(low, turned(hi), m, n, m), "cD": product(high, turned(hi), m, n, m)}
+    """One level of an n x n plane: cA, cH (high along rows), cV (high along columns), cD, in row-major order."""
+    lo, hi = (np.array(wavelet_matrix(n, high)) for high in (False, True))
+    names = ("cA", "cH", "cV", "cD")
+
+    def bands(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(-1, n, n)
+        return np.stack([(rows @ x @ cols.T).reshape(len(x), -1) for rows, cols in ((lo, lo), (hi, lo), (lo, hi), (hi, hi))], 1)
+
+    made = _over_batches(T.ArrayType(T.ArrayType(T.DoubleType())), lambda x: [list(m) for m in bands(x)])(a)
+    return {name: F.element_at(made, i + 1) for i, name in enumerate(names)}
 
 
 def crop_origin(n: Column, side: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import medians, running_sums
+from .ordered import medians, running_sums, with_medians
 
 
 def crosstab(rows: DataFrame, key: str, label: str = "label", top: int | None = None) -> DataFrame:
@@ -24,9 +24,11 @@ def crosstab(rows: DataFrame, key: str, label: str = "label", top: int | None =
 
 
 def exclusive_share(rows: DataFrame, key: str, label: str = "label", top: int | None = None) -> DataFrame:
-    """(n, exclusive_n, share): rows whose value occurs in one class only."""
+    """(n, exclusive_n, share): rows whose value, one of the `top` commonest, occurs in one class only; the share is of all rows of both classes."""
     n = F.col("n0") + F.col("n1")
-    return crosstab(rows, key, label, top).agg(F.sum(n).alias("n"), F.sum(F.when(F.col("exclusive"), n).otherwise(0)).alias("exclusive_n")).withColumn("share", F.try_divide("exclusive_n", "n"))
+    listed = crosstab(rows, key, label, top).agg(F.sum(F.when(F.col("exclusive"), n).otherwise(0)).alias("exclusive_n"))
+    every = rows.agg(F.count_if(F.col(label).isin(0, 1)).alias("n"))
+    return every.join(F.broadcast(listed)).withColumn("share", F.try_divide("exclusive_n", "n"))  # one row each
 
 
 def numeric_summary(long: DataFrame, name: str = "name", label: str = "label", x: str = "x") -> DataFrame:
@@ -51,22 +53,34 @@ def best_cut(rows: DataFrame, x: str, label: str = "label") -> DataFrame:
 
 
 def folder_stats(files: DataFrame, by: Sequence[str] = ("folder",), width: str = "width", height: str = "height", size: str = "bytes", kind: str = "format", floor: int = 256) -> DataFrame:
-    """One row a folder: counts, medians and means of the sizes, the short side's range, files under the floor, bytes a pixel, formats."""
+    """One row a folder: counts, medians and means of the sizes, the short side's range, files under the floor, median bytes a pixel and size, formats."""
     short = F.least(width, height)
     density = F.col(size) / F.nullif(F.col(width) * F.col(height), F.lit(0))
-    return files.groupBy(*by).agg(
-        F.count("*").alias("n"), F.median(width).alias("median_width"), F.median(height).alias("median_height"), F.avg(width).alias("mean_width"), F.avg(height).alias("mean_height"), F.min(short).alias("min_short"), F.max(short).alias("max_short"),
-        F.count_if(short < floor).alias("small"), F.avg(density).alias("bytes_per_pixel"), (F.avg(size) / 1024).alias("mean_kb"), F.count_if(F.lower(kind).isin("jpg", "jpeg")).alias("jpg"), F.count_if(F.lower(kind) == "png").alias("png"))
+    out = files.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(width).alias("mean_width"), F.avg(height).alias("mean_height"), F.min(short).alias("min_short"), F.max(short).alias("max_short"),
+        F.count_if(short < floor).alias("small"), F.count_if(F.lower(kind).isin("jpg", "jpeg")).alias("jpg"), F.count_if(F.lower(kind) == "png").alias("png"))
+    columns = {"median_width": F.col(width), "median_height": F.col(height), "median_short": short, "median_bpp": density, "median_kb": F.col(size) / 1024}
+    return with_medians(out, files, columns, by)
 
 
 def folder_verdict(stats: DataFrame, folder: str = "folder", resolution: float = 1.25, density: float = 1.35, small: float = 0.05) -> DataFrame:
-    """(resolution_gap, density_gap, small_share, format_mismatch and a flag for each): rules over the two folders' stats."""
-    ratio = lambda c: F.try_divide(F.max(c), F.min(c))
+    """(resolution_gap, density_gap, small_share, format_mismatch and a flag for each): rules over the two folders' stats.
+
+    Gaps are those of the median short side and of the median bytes a pixel; null where a median isn't above 0.
+    """
+    ratio = lambda c: F.when(F.min(c) > 0, F.try_divide(F.max(c), F.min(c)))
     jpg, png = F.col("jpg") > 0, F.col("png") > 0
-    out = stats.agg(ratio(F.sqrt(F.col("median_width") * F.col("median_height"))).alias("resolution_gap"), ratio(F.col("bytes_per_pixel")).alias("density_gap"), F.max(F.col("small") / F.col("n")).alias("small_share"), ((F.count_distinct(jpg) > 1) | (F.count_distinct(png) > 1)).alias("format_mismatch"))
-    return out.withColumns({"resolution_bad": F.col("resolution_gap") > resolution, "density_bad": F.col("density_gap") > density, "small_bad": F.col("small_share") > small}).withColumn("problems", sum((F.col(c).cast("int") for c in ("resolution_bad", "density_bad", "small_bad", "format_mismatch")), F.lit(0)))
+    out = stats.agg(ratio(F.col("median_short")).alias("resolution_gap"), ratio(F.col("median_bpp")).alias("density_gap"), F.max(F.col("small") / F.greatest("n", F.lit(1))).alias("small_share"), ((F.count_distinct(jpg) > 1) | (F.count_distinct(png) > 1)).alias("format_mismatch"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns({"resolution_bad": flag(F.col("resolution_gap") >= resolution), "density_bad": flag(F.col("density_gap") >= density), "small_bad": flag(F.col("small_share") > small)}).withColumn("problems", sum((F.col(c).cast("int") for c in ("resolution_bad", "density_bad", "small_bad", "format_mismatch")), F.lit(0)))
 
 
-def class_percent(counts: DataFrame, n: str, by: Sequence[str]) -> Column:
-    """A count as percent of its group's total (a window)."""
+def class_percent(n: str, by: Sequence[str]) -> Column:
+    """A count as percent of its group's total, over a table of one row for each value and group."""
     return 100 * F.col(n) / F.sum(n).over(Window.partitionBy(*by))
+
+
+def class_balance(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(larger, smaller, ratio) of the classes' sizes."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.agg(F.max("n").alias("larger"), F.min("n").alias("smaller"), F.try_divide(F.max("n"), F.min("n")).alias("ratio"))

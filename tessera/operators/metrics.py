@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
+from .ordered import running_sums, with_medians
 
 
 def tallies(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -117,4 +117,10 @@ def verdict(p: Column, t: float) -> Column:
 def score_summary(scored: DataFrame, t: float = 0.5, p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """(by, n, flagged, share, mean, median, low, high)."""
     hit = F.count_if(F.col(p) >= t)
-    return scored.groupBy(*by).agg(F.count("*").alias("n"), hit.alias("flagged"), F.try_divide(hit, F.count("*")).alias("share"), F.avg(p).alias("mean"), F.median(p).alias("median"), F.min(p).alias("low"), F.max(p).alias("high"))
+    out = scored.groupBy(*by).agg(F.count("*").alias("n"), hit.alias("flagged"), F.try_divide(hit, F.count("*")).alias("share"), F.avg(p).alias("mean"), F.min(p).alias("low"), F.max(p).alias("high"))
+    return with_medians(out, scored, {"median": F.col(p)}, by)
+
+
+def best_model(compared: DataFrame, by: str = "auc", name: str = "model") -> DataFrame:
+    """The row of the model with the largest measure; of equal ones the first by name."""
+    return compared.orderBy(F.round(by, 12).desc_nulls_last(), name).limit(1)

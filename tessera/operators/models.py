@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import metrics
-from .splits import fold_of
+from .splits import balanced_folds
 
 
 def with_vector(features: DataFrame, f: str = "f") -> DataFrame:
@@ -77,10 +78,10 @@ class Calibrated:
 KINDS = ("none", "isotonic", "sigmoid")
 
 
-def choose_calibration(slice_: DataFrame, group: str, bins: int = 15, seed: int = 42) -> tuple[str, DataFrame]:
+def choose_calibration(slice_: DataFrame, group: str, bins: int = 15, seed: int = 42, y: str = "y") -> tuple[str, DataFrame]:
     """(the kind with the least calibration error on a held-out part of the slice, all errors); ties go to the simpler kind."""
-    held = fold_of(F.col(group), 2, seed) == 0
-    fit_on, test_on = slice_.where(~held), slice_.where(held)
+    halves = balanced_folds(slice_, group, y, 2, seed)
+    fit_on, test_on = halves.where("fold = 1").drop("fold"), halves.where("fold = 0").drop("fold")
     trials = None
     for i, kind in enumerate(KINDS):
         one = metrics.calibration_error(Calibrated(kind, fit_on).apply(test_on), bins).select(F.lit(i).alias("place"), F.lit(kind).alias("kind"), "ece")
@@ -95,6 +96,12 @@ def importances(model: PipelineModel, width: int, spark) -> DataFrame:
     return spark.createDataFrame([(i, float(values[i])) for i in range(width)], "col0 int, importance double")
 
 
+def top_importances(importances_: DataFrame, k: int = 20) -> DataFrame:
+    """(rank, col0, importance) of the k largest, ties by column."""
+    order = Window.orderBy(F.desc("importance"), "col0")  # a row a column of the layout
+    return importances_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("rank", "col0", "importance")
+
+
 # ---------------------------------------------------------------- exact explanations
 
 
@@ -136,55 +143,75 @@ def exported_trees(model: PipelineModel) -> list[tuple[float, list[tuple]]]:
     return out
 
 
-def tree_values(nodes: list[tuple], x: np.ndarray) -> tuple[float, np.ndarray]:
-    """(expected value, Shapley value of each feature) of one tree, exact over the tree's own covers.
-
-    For a leaf, each feature on its path multiplies the leaf's weight by one factor if it is known and by
-    another if it isn't; the mean over all orders of the features follows from the coefficients of a
-    product of linear polynomials, one for each distinct feature on the path.
-    """
-    phi = np.zeros(len(x))
-    expected = 0.0
-
-    def leaf(value: float, factors: dict[int, tuple[float, float]]) -> None:
-        nonlocal expected
-        expected += value * float(np.prod([u for u, _ in factors.values()])) if factors else value
-        n = len(factors)
-        for f, (unknown, known) in factors.items():
-            poly = np.ones(1)
-            for g, (u, k) in factors.items():
-                if g != f:
-                    poly = np.convolve(poly, (u, k))
-            weight = 0.0
-            share = 1.0 / n  # 1 / (n * C(n - 1, s))
-            for s, c in enumerate(poly):
-                weight += c * share
-                share *= (s + 1) / max(n - 1 - s, 1)
-            phi[f] += value * weight * (known - unknown)
-
-    def walk(at: int, factors: dict[int, tuple[float, float]]) -> None:
+def leaves_of(nodes: list[tuple]) -> list[tuple]:
+    """(value, features, lower limits, upper limits, shares) of each leaf: a row reaches it if each feature is in (lower, upper];
+    a feature that isn't known goes that way with its share of the covers."""
+    out = []
+    todo: list[tuple[int, dict]] = [(0, {})]
+    while todo:
+        at, path = todo.pop()
         f, limit, left, right, value, cover = nodes[at]
         if f < 0:
-            leaf(value, factors)
-            return
-        for child, goes in ((left, x[f] <= limit), (right, x[f] > limit)):
-            u, k = factors.get(f, (1.0, 1.0))
-            walk(child, factors | {f: (u * nodes[child][5] / max(cover, 1e-12), k * float(goes))})
+            lo, hi, share = zip(*path.values(), strict=True) if path else ((), (), ())
+            out.append((value, np.array(list(path), np.int64), np.array(lo), np.array(hi), np.array(share)))
+            continue
+        lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+        part = [nodes[child][5] / max(cover, 1e-12) for child in (left, right)]
+        todo.append((right, path | {f: (max(lo, limit), hi, share * part[1])}))
+        todo.append((left, path | {f: (lo, min(hi, limit), share * part[0])}))
+    return out
+
+
+def tree_values(nodes: list[tuple], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """(expected value, Shapley values rows x features) of one tree for the rows of x, exact over the tree's own covers."""
+    return leaf_values(leaves_of(nodes), x)
 
-    walk(0, {})
+
+def leaf_values(leaves: list[tuple], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """tree_values() of a tree's leaves, a leaf at a time over all rows.
+
+    Each feature on a leaf's path multiplies the leaf's weight by 0 or 1 if it is known and by its share if it
+    isn't. The mean over all orders of the features follows from the coefficients of a product of linear
+    polynomials, one for each feature; it depends on a row only by which features lead to the leaf.
+    """
+    phi, expected = np.zeros(x.shape), 0.0
+    for value, features, lo, hi, share in leaves:
+        n = len(features)
+        expected += value * float(np.prod(share))
+        if not n or not len(x):
+            continue
+        part = x[:, features]
+        leads = (part > lo) & (part <= hi)
+        patterns, which = np.unique(leads, axis=0, return_inverse=True)
+        known = patterns.astype(np.float64)
+        weights = np.array([1.0 / (n * math.comb(n - 1, s)) for s in range(n)])
+        values = np.empty((len(known), n))
+        for i in range(n):
+            poly = np.zeros((len(known), n))  # poly[:, s]: sum over sets of s other features
+            poly[:, 0] = 1
+            for j in range(n):
+                if j != i:
+                    grown = poly * share[j]
+                    grown[:, 1:] += poly[:, :-1] * known[:, j : j + 1]
+                    poly = grown
+            values[:, i] = value * (poly @ weights) * (known[:, i] - share[i])
+        phi[:, features] += values[which.ravel()]
     return expected, phi
 
 
 def _explained(trees: list, rest: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest_ = [(w, leaves_of(nodes)) for w, nodes in trees]
         for b in batches:
-            base, values = [], []
-            for x in b["f"]:
-                x = np.asarray(x, np.float64)
-                parts = [(w, *tree_values(nodes, x)) for w, nodes in trees]
-                base.append(sum(w * e for w, e, _ in parts))
-                values.append(sum(w * phi for w, _, phi in parts))
-            yield b[rest].assign(base=base, contributions=values)
+            if not len(b):
+                continue
+            x = np.stack([np.asarray(v, np.float64) for v in b["f"]])
+            base, values = 0.0, np.zeros(x.shape)
+            for w, leaves in forest_:
+                expected, phi = leaf_values(leaves, x)
+                base += w * expected
+                values += w * phi
+            yield b[rest].assign(base=base, contributions=list(values))
 
     return run
 
@@ -197,6 +224,41 @@ def tree_contributions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows.select(*names).mapInPandas(_explained(exported_trees(model), names), schema)
 
 
+def sampled_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int, orders: int = 4, seed: int = 42) -> DataFrame:
+    """(key, base, contributions): what each feature adds to the probability, for a model of any kind.
+
+    For a few rows to explain against a small background (vectors f): along `orders` seeded orders of the features, the row's
+    values replace the background's one by one, and the mean probability's steps are the contributions. Each
+    order goes forth and back. They add up to the row's probability less the background's mean.
+    """
+    walk = [np.random.default_rng(seed + i).permutation(width).tolist() for i in range(orders)]
+    walk += [w[::-1] for w in walk]
+    places = [[w.index(f) for f in range(width)] for w in walk]  # when each feature is replaced
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(i, w, p) for i, (w, p) in enumerate(zip(walk, places, strict=True))], "walk int, order_ array<int>, places array<int>")
+    # orders x 2 walks and a small background: the product is what the method evaluates.
+    mixed = rows.select(key, F.col("f").alias("own")).join(F.broadcast(table)).join(F.broadcast(background.select(F.col("f").alias("other"))))
+    mixed = mixed.select(key, "walk", "order_", "places", "own", "other", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("step"))
+    f = F.transform("own", lambda x, i: F.when(F.element_at("places", i + 1) < F.col("step"), x).otherwise(F.element_at("other", i + 1)))
+    p = scored(model, with_vector(mixed.select(key, "walk", "order_", "step", f.alias("f"))).drop("f"))
+    p = p.groupBy(key, "walk", "step").agg(F.avg("p").alias("p"), F.first("order_").alias("order_"))
+    before = F.lag("p").over(Window.partitionBy(key, "walk").orderBy("step"))
+    steps = p.select(key, "walk", "step", (F.col("p") - before).alias("gain"), "p", F.when(F.col("step") > 0, F.element_at("order_", F.greatest("step", F.lit(1)))).alias("col0"))
+    base = steps.where("step = 0").groupBy(key).agg(F.avg("p").alias("base"))
+    each = steps.where("step > 0").groupBy(key, "col0").agg(F.avg("gain").alias("gain"))
+    values = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col0", "gain"))), lambda t: t["gain"]).alias("contributions"))
+    return base.join(values, key)
+
+
+def contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, base, contributions, space): exact for trees (`logit` for boosted ones), sampled in probability for other models."""
+    ensemble = model.stages[-1]
+    if hasattr(ensemble, "trees"):
+        space = "logit" if "GBT" in type(ensemble).__name__ else "probability"
+        return tree_contributions(model, rows.select(key, "f")).select(key, "base", "contributions", F.lit(space).alias("space"))
+    return sampled_contributions(model, rows, background, key, width).withColumn("space", F.lit("probability"))
+
+
 def ledger(rows: DataFrame, k: int = 8) -> DataFrame:
     """rows with top (the k largest contributions by size: col0 and value), top_sum, rest_sum, total (base and all)."""
     pairs = F.transform("contributions", lambda v, i: F.struct((-F.abs(v)).alias("size"), i.alias("col0"), v.alias("value")))
@@ -209,8 +271,6 @@ def ledger(rows: DataFrame, k: int = 8) -> DataFrame:
 
 def class_evidence(long: DataFrame, reference: DataFrame, key: str = "img_id", k: int = 8) -> DataFrame:
     """(key, rank, col0, nearer, distance_real, distance_ai): the k columns that speak loudest among the reference's, by distances to the class means in pooled deviations."""
-    from pyspark.sql import Window
-
     rows = long.join(reference.select("col0", "mean_0", "mean_1", "pooled"), "col0")
     to0, to1 = (F.abs(F.col("x") - F.col(f"mean_{c}")) / F.col("pooled") for c in (0, 1))
     rows = rows.select(key, "col0", to0.alias("distance_real"), to1.alias("distance_ai"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import dense_places
+
 #: Suffixes of augmented copies.
 SUFFIXES = ("qhi", "qlo", "rweb", "soft", "q85", "q60", "r75q85")
 SUFFIX = f"(?i)_({'|'.join(SUFFIXES)})$"
@@ -52,7 +54,7 @@ def collisions(files: DataFrame, key: str = "key", ext: str = "ext") -> DataFram
 
 def renamed(files: DataFrame, stem: str = "stem", path: str = "path") -> DataFrame:
     """files with target: the stem, and `__2`, `__3`, ... for later files with the same stem in any case."""
-    n = F.row_number().over(Window.partitionBy(F.lower(stem)).orderBy(path))
+    n = F.row_number().over(Window.partitionBy(F.lower(stem)).orderBy(path))  # of the files that share a stem
     return files.withColumn("n_", n).withColumn("target", F.when(F.col("n_") > 1, F.concat(stem, F.lit("__"), F.col("n_").cast("string"))).otherwise(F.col(stem))).drop("n_")
 
 
@@ -74,6 +76,27 @@ def shared_keys(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
 
 def ordinal(rows: DataFrame, column: str, name: str) -> DataFrame:
     """rows with the place of their value among the sorted distinct ones, from 0; nulls are a value of their own, last."""
-    codes = rows.select(F.col(column).alias("value_")).distinct()
-    codes = codes.withColumn(name, (F.row_number().over(Window.orderBy(F.col("value_").asc_nulls_last())) - 1).cast("int"))  # one row a category
+    codes = dense_places(rows, column, name).withColumn(name, F.col(name).cast("int"))
     return rows.join(codes, F.col(column).eqNullSafe(F.col("value_"))).drop("value_")
+
+
+def default_names(rows: DataFrame, label: str = "y", number: str = "n", path: str = "path") -> DataFrame:
+    """rows with path filled where it is null: real_1, real_2, ... and ai_1, ai_2, ..., from their number within the class."""
+    made = F.concat(F.when(F.col(label) == 1, "ai_").otherwise("real_"), F.col(number).cast("string"))
+    return rows.withColumn(path, F.coalesce(path, made))
+
+
+def magnitude(x: Column, digits: int = 4) -> Column:
+    """A number as text at any size: `-` for NaN, 0, `digits` significant digits and thousands marked from 1e-3 to below 1e5, two places and an exponent outside.
+
+    A number that needs more places before the point than `digits` has an exponent too. Trailing zeros go.
+    """
+    text = F.format_string(f"%.{digits - 1}e", x)
+    rounded, exponent = text.cast("double"), F.substring_index(text, "e", -1).cast("int")
+    zeros = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    plain = F.format_number(rounded, 0)
+    for places in range(1, digits + 3):
+        plain = F.when(digits - 1 - exponent == places, zeros(F.format_number(rounded, places))).otherwise(plain)
+    short = F.concat(zeros(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))
+    inside = F.when(exponent < digits, plain).otherwise(short)
+    return F.when(F.isnan(x), "-").when(x == 0, "0").when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e5), inside).otherwise(F.format_string("%.2e", x))

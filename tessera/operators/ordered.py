@@ -1,12 +1,13 @@
-"""Running sums and ranks over a whole table without sending it to one task.
+"""Running sums, places and medians over a whole table without sending it to one task.
 
-Rows are dealt by value into `buckets` ranges between approximate quantiles (the only thing the
-driver sees). Sums within a bucket come from a window over that bucket; sums before it from the
-totals of at most `buckets` buckets, a table small enough to broadcast at any size of input.
+Rows are dealt by value into ranges between approximate quantiles, about one for every `FULL` rows and 4096 at
+most; the quantiles are all that the driver sees. Sums within a range come from a window over it, sums before it
+from the ranges' totals. Separate runs (`within`) have quantiles of their own, so a narrow run is cut too.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,27 +19,58 @@ def count_at_or_below(x: Column, bounds: Sequence[float]) -> Column:
     return sum(((x >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
 
 
-def bucketed(df: DataFrame, value: str, buckets: int = 64, name: str = "bucket_") -> DataFrame:
-    """df with the number of quantile bounds at or below value; equal values share a bucket, nulls are in bucket 0."""
-    bounds = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    at = count_at_or_below(F.col(value).cast("double"), sorted(set(bounds)))
-    return df.withColumn(name, F.when(F.col(value).isNull(), 0).otherwise(at))
+#: Rows a range is meant to hold, and the most ranges.
+FULL, MOST = 500_000, 4096
+#: Up to so many bounds are compared one by one; more are cut twice.
+FLAT = 64
 
 
-def running_sums(df: DataFrame, value: str, sums: dict[str, Column | str], descending: bool = False, within: Sequence[str] = (), ties: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def _place(x: Column, bounds: Sequence[float]) -> Column:
+    """count_at_or_below() of many sorted bounds: first among every 64th, then in the stretch behind it."""
+    if len(bounds) <= FLAT:
+        return count_at_or_below(x, bounds)
+    stretches = [list(bounds[i : i + FLAT]) for i in range(0, len(bounds), FLAT)]
+    which = count_at_or_below(x, [s[0] for s in stretches[1:]])
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in stretches)), which + 1)
+    return which * FLAT + F.size(F.filter(inside, lambda b: b <= x))
+
+
+def bucketed(df: DataFrame, value: str, buckets: int | None = None, within: Sequence[str] = (), name: str = "bucket_") -> DataFrame:
+    """df with the number of quantile bounds at or below value; equal values share a bucket, nulls are in bucket 0.
+
+    buckets: how many, by default from the number of rows. A table of few rows is one bucket.
+    """
+    x = F.col(value).cast("double")
+    buckets = buckets or min(MOST, -(-df.count() // FULL))
+    if buckets < 2:
+        return df.withColumn(name, F.lit(0))
+    cuts = F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(x))
+    if within:
+        at = F.coalesce(F.size(F.filter("bounds_", lambda b: b <= x)), F.lit(0))
+        rows = df.join(known.groupBy(*within).agg(F.array_distinct(cuts).alias("bounds_")), list(within), "left")
+        return rows.withColumn(name, F.when(F.col(value).isNull(), 0).otherwise(at)).drop("bounds_")
+    bounds = known.agg(cuts).first()[0] or []
+    return df.withColumn(name, F.when(F.col(value).isNull(), 0).otherwise(_place(x, sorted(set(bounds)))))
+
+
+def running_sums(df: DataFrame, value: str, sums: dict[str, Column | str], descending: bool = False, within: Sequence[str] = (), ties: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """df with each named sum over the rows up to and including this one in order of value, then ties.
 
-    Rows that agree on value and ties are taken together (a range frame). within: separate runs.
+    Rows that agree on value and ties are taken together (a range frame). within: separate runs, whose
+    columns aren't null. A value that repeats without end should be summed up first, as metrics.tallies does: its rows share a range.
     """
-    rows = bucketed(df, value, buckets)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    buckets = buckets or min(MOST, -(-df.count() // FULL))
+    frame_of = lambda *keys: Window.partitionBy(*keys).orderBy(way(value), *ties).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    if buckets < 2:  # FULL rows at most
+        return df.withColumns({n: F.sum(x).over(frame_of(*within)) for n, x in sums.items()})
+    rows = bucketed(df, value, buckets, within)
     totals = rows.groupBy(*within, "bucket_").agg(*(F.sum(x).alias(f"{n}_total") for n, x in sums.items()))
     before = Window.partitionBy(*within).orderBy(way("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*within, "bucket_", *(F.coalesce(F.sum(f"{n}_total").over(before), F.lit(0)).alias(f"{n}_before") for n in sums))
     joined = rows.join(offsets, [*within, "bucket_"])
-    here = Window.partitionBy(*within, "bucket_").orderBy(way(value), *ties)
-    frame = here.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined.withColumns({n: F.col(f"{n}_before") + F.sum(x).over(frame) for n, x in sums.items()})
+    out = joined.withColumns({n: F.col(f"{n}_before") + F.sum(x).over(frame_of(*within, "bucket_")) for n, x in sums.items()})
     return out.drop("bucket_", *(f"{n}_before" for n in sums))
 
 
@@ -47,6 +79,16 @@ def numbered(df: DataFrame, value: str, name: str = "row_number", within: Sequen
     return running_sums(df, value, {name: F.lit(1)}, within=within)
 
 
+def running_max(df: DataFrame, value: str, of: str, name: str = "before") -> DataFrame:
+    """df, whose values are unique, with the largest `of` among the rows before this one in order of value; null for the first."""
+    rows = bucketed(df, value)
+    tops = rows.groupBy("bucket_").agg(F.max(of).alias("top_"))
+    earlier = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("bucket_", F.max("top_").over(earlier).alias("earlier_"))  # MOST rows at most
+    here = F.max(of).over(Window.partitionBy("bucket_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(F.broadcast(tops), "bucket_").withColumn(name, F.greatest("earlier_", here)).drop("bucket_", "earlier_")
+
+
 def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
     """(by, name): exact medians from counts of distinct values and their running sums; no task holds a group's values. Null values don't count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count("*").alias("n_"))
@@ -55,3 +97,33 @@ def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median")
     first = lambda k: F.min(F.when(F.col("upto_") >= k, F.col("value_")))
     total = F.col("total_")
     return rows.groupBy(*by).agg(((first(F.floor((total + 1) / 2)) + first(F.floor(total / 2) + 1)) / 2).alias(name))
+
+
+def with_medians(summary: DataFrame, rows: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """summary, one row for each value of `by`, with the exact median of each named column of rows."""
+    keys = [f"by{i}_" for i in range(len(by))]
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name_"), c.cast("double").alias("value_")) for n, c in columns.items()))).alias("m")
+    long = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), pairs).select(*keys, "m.name_", "m.value_")
+    found = medians(long, "value_", [*keys, "name_"])
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("name_") == n, F.col("median"))).alias(n) for n in columns))
+    if not by:
+        return summary.join(F.broadcast(wide), how="left")  # one row
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
+    return summary.join(wide, functools.reduce(Column.__and__, same), "left").drop(*keys)
+
+
+def dense_places(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(value_, name): the distinct values with their place, from 0, in order, nulls last. Of any type that can be ordered.
+
+    Ranges are cut between up to 255 of the values, those whose hashes are smallest: a sample that doesn't depend on partitions.
+    """
+    values = rows.select(F.col(column).alias("value_")).distinct()
+    bounds = sorted(r[0] for r in values.where("value_ is not null").orderBy(F.xxhash64("value_"), "value_").limit(255).collect())
+    kind = values.schema["value_"].dataType
+    cut = F.array(*(F.lit(b).cast(kind) for b in bounds)) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    values = values.withColumn("bucket_", F.when(F.col("value_").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(cut, lambda b: b <= F.col("value_")))))
+    totals = values.groupBy("bucket_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))  # up to 257 rows
+    here = F.row_number().over(Window.partitionBy("bucket_").orderBy("value_"))
+    return values.withColumn("here_", here).join(F.broadcast(offsets), "bucket_").select("value_", (F.col("before_") + F.col("here_") - 1).alias(name))

@@ -20,24 +20,19 @@ def fold_of(key: Column, k: int, seed: int = 42) -> Column:
     return F.floor(draw(key, seed) * k).cast("int")
 
 
-def split_3way(rows: DataFrame, group: str, test: float = 0.2, calibration: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with part: test, cal or train, whole groups at a time."""
-    u = draw(F.col(group), seed)
-    v = draw(F.col(group), seed + 1)
-    share = min(0.5, max(1e-6, calibration / (1 - test)))
-    return rows.withColumn("part", F.when(u < test, "test").when(v < share, "cal").otherwise("train"))
-
-
 def balanced_folds(rows: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """rows with fold: groups of like class share and size are dealt in turn, so folds are near in both; no group is in two.
 
-    Groups are summed up first; dealing is a window over groups of one stratum and hash slot, so it spreads.
+    Groups are summed up first. Dealing is a window over the groups of a stratum and a slot; there is a slot for every 200,000 groups.
     """
     groups = rows.groupBy(group).agg(F.count("*").alias("n_"), F.avg(F.col(label).cast("double")).alias("share_"))
-    stratum = [F.round(F.col("share_"), 1), F.floor(F.log2("n_"))]
-    slot = F.floor(draw(F.col(group), seed + 7) * 256)
+    slots = max(1, groups.count() // 200_000)
+    stratum = [F.round(F.col("share_"), 1), F.length(F.bin("n_"))]
+    slot = F.floor(draw(F.col(group), seed + 7) * slots)
     order = F.row_number().over(Window.partitionBy(*stratum, slot).orderBy(draw(F.col(group), seed), group))
-    groups = groups.select(group, ((order - 1 + slot) % k).cast("int").alias("fold"))
+    # Strata begin at different folds, so that small ones don't all end in the first.
+    first = F.pmod(F.length(F.bin("n_")) + F.round(F.col("share_") * 10).cast("int") + slot, F.lit(k))
+    groups = groups.select(group, ((order - 1 + first) % k).cast("int").alias("fold"))
     return rows.join(groups, group)
 
 
@@ -46,6 +41,45 @@ def kfold_count(fraction: float) -> int:
     return max(2, round(1 / fraction))
 
 
+def split_3way(rows: DataFrame, group: str, label: str = "label", test: float = 0.2, calibration: float = 0.15, seed: int = 42) -> DataFrame:
+    """rows with part: test, cal or train, whole groups at a time and near in class shares.
+
+    test is the first of kfold_count(test) balanced folds, cal the first of those of the rest.
+    """
+    share = min(0.5, max(1e-6, calibration / (1 - test)))
+    rows = balanced_folds(rows, group, label, kfold_count(test), seed).withColumnRenamed("fold", "fold_")
+    rest = balanced_folds(rows.where("fold_ <> 0"), group, label, kfold_count(share), seed + 1)
+    rest = rest.withColumn("part", F.when(F.col("fold") == 0, "cal").otherwise("train")).drop("fold", "fold_")
+    return rows.where("fold_ = 0").withColumn("part", F.lit("test")).drop("fold_").unionByName(rest)
+
+
+def split_rows(rows: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with part: of each class the round(n x test) rows with the smallest draws are test, the others train. For tables without groups."""
+    ranked = running_sums(rows.withColumn("draw_", draw(F.col(key), seed)), "draw_", {"rank_": F.lit(1)}, within=(label,), ties=(key,))
+    sizes = rows.groupBy(F.col(label).alias("of_")).agg(F.round(F.count("*") * F.lit(test)).alias("take_"))
+    out = ranked.join(sizes, F.col(label).eqNullSafe(F.col("of_")))
+    return out.withColumn("part", F.when(F.col("rank_") <= F.col("take_"), "test").otherwise("train")).drop("draw_", "rank_", "of_", "take_")
+
+
+def fractional_cut(rows: DataFrame, group: str, fraction: float, seed: int = 42, name: str = "cut") -> DataFrame:
+    """rows with a mark on max(1, round(groups x fraction)) of the groups, those with the smallest draws; a row's own key makes it a cut by rows."""
+    groups = rows.select(group).distinct().withColumn("draw_", draw(F.col(group), seed))
+    n = cut_size(groups.count(), fraction)
+    ranked = running_sums(groups, "draw_", {"rank_": F.lit(1)}, ties=(group,))
+    chosen = ranked.select(F.col(group).alias("of_"), (F.col("rank_") <= n).alias(name))
+    return rows.join(chosen, F.col(group).eqNullSafe(F.col("of_"))).drop("of_")
+
+
+def among(rows: DataFrame, tag: str, chosen: Sequence | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose tag is one of the chosen, the others); chosen is a list, or a table whose first column holds the tags. A null tag is with the others."""
+    if isinstance(chosen, DataFrame):
+        keys = chosen.select(F.col(chosen.columns[0]).alias("chosen_")).distinct()
+        same = F.col(tag) == F.col("chosen_")
+        return rows.join(keys, same, "left_semi"), rows.join(keys, same, "left_anti")
+    inside = F.coalesce(F.col(tag).isin(*chosen), F.lit(False)) if len(chosen) else F.lit(False)
+    return rows.where(inside), rows.where(~inside)
+
+
 def exact_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest draws, ties by key: a top-k, without a global sort."""
     return rows.withColumn("draw_", draw(F.col(key), seed)).orderBy("draw_", key).limit(n).drop("draw_")
@@ -65,7 +99,8 @@ def thinned(rows: DataFrame, is_extra: Column, key: str, fraction: float, seed:
 
 def leave_one_out(rows: DataFrame, tag: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(rows to learn from, held-out rows of one tag)."""
-    return rows.where(F.col(tag) != value), rows.where(F.col(tag) == value)
+    held, learn = among(rows, tag, [value])
+    return learn, held
 
 
 def describe(rows: DataFrame, part: str = "part", label: str = "label") -> DataFrame:

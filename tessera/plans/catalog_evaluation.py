@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, compare, metrics, names, ordered, splits, stats
+from ..sources import images, tables
 from . import bindings as b
+from . import folders
 from .bindings import FILES, LOGS, PX, SCORED, query
 from .catalog_stats import R6, feature_long
 
@@ -125,7 +126,7 @@ def score_summary(spark, sf_dir):
 @query(f"WITH {SCORED}, g AS (SELECT group_key, y, count(*) AS n FROM scored GROUP BY 1, 2) SELECT group_key, y, n, {R6('100e0 * n / sum(n) OVER (PARTITION BY y)')} AS percent FROM g")
 def class_percent(spark, sf_dir):
     counts = b.scored(spark, sf_dir).groupBy("group_key", "y").agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("y")))
+    return counts.withColumn("percent", compare.class_percent("n", ["y"]))
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS n, {R6('avg((p < 0.5)::INT)')} AS real_accuracy, avg((p < 0.5)::INT) >= 0.9 AS ok FROM scored WHERE y = 0")
@@ -135,8 +136,7 @@ def in_domain_gate(spark, sf_dir):
 
 @query(f"WITH {SCORED}, t AS (SELECT y, count(*) AS n FROM scored GROUP BY y) SELECT max(n) AS larger, min(n) AS smaller, {R6('max(n) / min(n)')} AS ratio FROM t")
 def class_balance(spark, sf_dir):
-    counts = b.scored(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n").alias("larger"), F.min("n").alias("smaller"), (F.max("n") / F.min("n")).alias("ratio"))
+    return compare.class_balance(b.scored(spark, sf_dir), "y")
 
 
 # ---------------------------------------------------------------- names and sets
@@ -201,25 +201,49 @@ def plausible_generators(spark, sf_dir):
     return names.plausible_generators(b.table(spark, sf_dir, "documents").select(F.col("lang").alias("generator")))
 
 
-@query("SELECT doc_id, CASE WHEN abs(n_chars) >= 1000 THEN format('{:d}', n_chars // 1000) || 'k' WHEN n_chars >= 100 THEN CAST(n_chars AS VARCHAR) ELSE 'small' END AS shown FROM documents")
+def _magnitude_sql(x: str) -> str:
+    strip = lambda t: f"regexp_replace({t}, '\\.?0+$', '')"
+    places = " ".join(f"WHEN {3 - p} THEN {strip(f"printf('%.{p}f', r)")}" for p in range(1, 7))
+    thousand = f"WHEN 3 THEN printf('%s%d', CASE WHEN r < 0 THEN '-' ELSE '' END, floor(abs(r) / 1000)::BIGINT) || ',' || lpad((abs(r) % 1000)::BIGINT::VARCHAR, 3, '0')"
+    return f"""x AS (SELECT doc_id, {x} AS v FROM documents), e AS (SELECT *, printf('%.3e', v) AS t FROM x), p AS (SELECT *, TRY_CAST(t AS DOUBLE) AS r, split_part(t, 'e', 1) AS m, TRY_CAST(split_part(t, 'e', 2) AS INT) AS ex FROM e)
+SELECT doc_id, CASE WHEN isnan(v) THEN '-' WHEN v = 0 THEN '0' WHEN abs(v) >= 1e-3 AND abs(v) < 1e5 THEN CASE WHEN ex < 4 THEN CASE ex {thousand} {places} END ELSE {strip('m')} || 'e' || split_part(t, 'e', 2) END ELSE printf('%.2e', v) END AS shown FROM p"""
+
+
+@query("WITH " + _magnitude_sql("CASE doc_id % 14 WHEN 0 THEN 0e0 WHEN 1 THEN 'NaN'::DOUBLE ELSE (1 - 2 * (doc_id % 3 = 0)::INT) * sqrt(n_chars + 0.37e0) * pow(10e0, doc_id % 14 - 8) END"))
 def magnitude_format(spark, sf_dir):
-    n = F.col("n_chars")
-    shown = F.when(F.abs(n) >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))).when(n >= 100, n.cast("string")).otherwise("small")
-    return b.table(spark, sf_dir, "documents").select("doc_id", shown.alias("shown"))
+    docs, of = b.table(spark, sf_dir, "documents"), F.col("doc_id") % 14
+    x = F.when(F.col("doc_id") % 3 == 0, -1.0).otherwise(1.0) * F.sqrt(F.col("n_chars") + F.lit(0.37)) * F.pow(F.lit(10.0), of - 8)
+    x = F.when(of == 0, F.lit(0.0)).when(of == 1, F.lit(float("nan"))).otherwise(x)
+    return docs.select("doc_id", names.magnitude(x).alias("shown"))
+
+
+@query(f"WITH {SCORED}, r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY doc_id) AS n FROM scored) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'file_' || doc_id WHEN y = 1 THEN 'ai_' || n ELSE 'real_' || n END AS path FROM r")
+def default_names(spark, sf_dir):
+    rows = b.scored(spark, sf_dir).select("doc_id", "y", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("file_"), F.col("doc_id"))).alias("path"))
+    return names.default_names(ordered.numbered(rows, "doc_id", "n", within=("y",))).select("doc_id", "path")
 
 
 # ---------------------------------------------------------------- splits
 
 _U = lambda key, seed: f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 12))::BIGINT / 281474976710656e0)"
-_FOLD = lambda key, k, seed=42: f"floor({_U(key, seed)} * {k})::INT"
-_SHARE = min(0.5, max(1e-6, 0.15 / 0.8))
-_PART = f"CASE WHEN {_U('custkey', 42)} < 0.2 THEN 'test' WHEN {_U('custkey', 43)} < {_SHARE!r} THEN 'cal' ELSE 'train' END"
-_SPLIT = f"s AS (SELECT custkey, label, {_PART} AS part FROM (SELECT o_custkey AS custkey, (o_orderstatus = 'F')::INT AS label FROM orders))"
+
+
+def _folds(name: str, source: str, key: str, label: str, k: int, seed: int = 42) -> str:
+    """CTE `name`: the rows of source with fold."""
+    return f"""{name}_s AS (SELECT {key} AS g_, length(bin(count(*))) AS b_, round(avg({label}::DOUBLE) * 10)::INT AS r_ FROM {source} GROUP BY {key}),
+{name}_f AS (SELECT g_, ((row_number() OVER (PARTITION BY r_, b_ ORDER BY {_U('g_', seed)}, g_) - 1 + (b_ + r_) % {k}) % {k})::INT AS fold FROM {name}_s), {name} AS (SELECT s.*, f.fold FROM {source} s JOIN {name}_f f ON s.{key} = f.g_)"""
+
+
+_ORDERS = "o AS (SELECT o_orderkey, o_custkey AS custkey, (o_orderstatus = 'F')::INT AS label FROM orders)"
+_SPLIT = f"{_ORDERS}, {_folds('t5', 'o', 'custkey', 'label', 5)}, rest AS (SELECT o_orderkey, custkey, label FROM t5 WHERE fold <> 0), {_folds('c5', 'rest', 'custkey', 'label', 5, 43)}, s AS (SELECT o_orderkey, custkey, label, 'test' AS part FROM t5 WHERE fold = 0 UNION ALL SELECT o_orderkey, custkey, label, CASE WHEN fold = 0 THEN 'cal' ELSE 'train' END FROM c5)"
+
+
+def _orders(spark, sf_dir):
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
 
 
 def _split(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    return splits.split_3way(rows, "custkey")
+    return splits.split_3way(_orders(spark, sf_dir), "custkey")
 
 
 @query(f"WITH {_SPLIT} SELECT part, label, count(*) AS n FROM s GROUP BY 1, 2")
@@ -232,6 +256,26 @@ def split_no_leak(spark, sf_dir):
     return splits.leaks(_split(spark, sf_dir), "custkey")
 
 
+@query(f"WITH {_ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_U('o_orderkey', 42)}, o_orderkey) AS k, count(*) OVER (PARTITION BY label) AS n FROM o) SELECT o_orderkey, label, CASE WHEN k <= round(n * 0.2e0) THEN 'test' ELSE 'train' END AS part FROM r")
+def split_rows(spark, sf_dir):
+    """A random split that keeps the class shares, for rows without groups."""
+    return splits.split_rows(_orders(spark, sf_dir), "o_orderkey", "label").select("o_orderkey", "label", "part")
+
+
+@query(f"WITH {_ORDERS}, g AS (SELECT DISTINCT custkey FROM o), r AS (SELECT custkey, row_number() OVER (ORDER BY {_U('custkey', 42)}, custkey) AS k, count(*) OVER () AS n FROM g) SELECT o_orderkey, k <= greatest(1, round_even(n * 0.1e0, 0)) AS cut FROM o JOIN r USING (custkey)")
+def fractional_cut(spark, sf_dir):
+    return splits.fractional_cut(_orders(spark, sf_dir), "custkey", 0.1).select("o_orderkey", "cut")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(l_returnflag IN ('A', 'R'), false) AS by_list, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS by_table FROM lineitem")
+def membership(spark, sf_dir):
+    """Rows whose tag is among chosen ones, and the others, for a list and for a table of tags."""
+    rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    both = lambda df, tag, chosen, name: (lambda x: x[0].withColumn(name, F.lit(True)).unionByName(x[1].withColumn(name, F.lit(False))))(splits.among(df, tag, chosen))
+    out = both(rows, "l_returnflag", ["A", "R"], "by_list")
+    return both(out, "l_orderkey", b.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "by_table").drop("l_returnflag")
+
+
 @query(f"SELECT doc_id FROM documents ORDER BY {_U('doc_id', 42)}, doc_id LIMIT 200")
 def hash_sample(spark, sf_dir):
     return splits.exact_sample(b.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200)
@@ -243,16 +287,15 @@ def thinned_augmented(spark, sf_dir):
     return splits.thinned(rows, names.is_augmented(F.col("stem")), "doc_id", 0.25).select("doc_id")
 
 
-@query(f"SELECT {_FOLD('o_custkey', 5)} AS fold, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM orders GROUP BY 1")
+@query(f"WITH {_ORDERS}, {_folds('f5', 'o', 'custkey', 'label', 5)} SELECT fold, count(*) AS n, count(DISTINCT custkey) AS groups FROM f5 GROUP BY 1")
 def cv_fold_counts(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "orders").select(splits.fold_of(F.col("o_custkey"), 5).alias("fold"), "o_custkey")
-    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("groups"))
+    rows = splits.balanced_folds(_orders(spark, sf_dir), "custkey", "label", 5)
+    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("custkey").alias("groups"))
 
 
-@query()
+@query(f"WITH {_ORDERS}, {_folds('f5', 'o', 'custkey', 'label', 5)} SELECT fold, label, count(*) AS n FROM f5 GROUP BY 1, 2")
 def balanced_fold_counts(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    return splits.balanced_folds(rows, "o_custkey", "label", 5).groupBy("fold", "label").agg(F.count("*").alias("n"))
+    return splits.balanced_folds(_orders(spark, sf_dir), "custkey", "label", 5).groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, round(40 + {_U('doc_id', 42)} * 30)::INT AS quality FROM documents")
@@ -284,51 +327,102 @@ def signed_shift_topk(spark, sf_dir):
 
 @query(f"WITH {_SHIFT} SELECT set, col0 // 8 AS block, {R6('avg(shift)')} AS shift FROM f GROUP BY 1, 2")
 def block_shift(spark, sf_dir):
-    return _shift(spark, sf_dir).groupBy("set", F.floor(F.col("col0") / 8).cast("int").alias("block")).agg(F.avg("shift").alias("shift"))
+    blocks = spark.range(64).select(F.col("id").cast("int").alias("col0"), F.floor(F.col("id") / 8).cast("int").alias("block"))
+    return audit.block_shift(_shift(spark, sf_dir), blocks)
+
 
+_FACTS = f"""{FILES}, f AS (SELECT *, bytes / (width * height)::DOUBLE AS bpp, CASE WHEN doc_id % 7 < 5 THEN ext ELSE ext || label END AS q, floor({_U('doc_id', 42)} * 3)::INT AS fold FROM files),
+ranks AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY bpp) + (count(*) OVER (PARTITION BY fold, bpp) - 1) / 2e0 AS k FROM f),
+aucs AS (SELECT fold, (sum(CASE WHEN label = 1 THEN k ELSE 0 END) - sum(label)::DOUBLE * (sum(label) + 1) / 2) / (sum(label)::DOUBLE * sum(1 - label)) AS auc FROM ranks GROUP BY fold),
+cue AS (SELECT avg(auc) AS auc, stddev_pop(auc) AS sd FROM aucs),
+{", ".join(f"{n} AS (SELECT sum(CASE WHEN n0 = 0 OR n1 = 0 THEN n0 + n1 ELSE 0 END) / (SELECT count(*) FROM f) AS share FROM (SELECT {c} AS v, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM f GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 12))" for n, c in (("es", "ext"), ("qs", "q")))},
+{", ".join(f"{n}m AS (SELECT label, median({c}) AS m FROM f GROUP BY label), {n}v AS (SELECT {c} AS x, count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1 FROM f GROUP BY 1), {n}t AS (SELECT sum(c0) AS n0, sum(c1) AS n1, max(x) AS last FROM {n}v), {n}a AS (SELECT greatest(n0, n1) / (n0 + n1) AS base, CASE WHEN x < last THEN (sum(c0) OVER (ORDER BY x) + n1 - sum(c1) OVER (ORDER BY x)) / (n0 + n1) END AS acc FROM {n}v, {n}t), {n} AS (SELECT (SELECT max(m) / min(m) FROM {n}m) AS gap, greatest(max(base), max(acc), 1 - min(acc)) AS cut FROM {n}a)" for n, c in (("w", "width"), ("d", "bpp")))},
+facts AS (SELECT cue.auc, CASE WHEN sd > 0 THEN (cue.auc - 0.5e0) / sd ELSE 0 END AS sd_from_chance, es.share AS extension_share, qs.share AS table_share, w.gap AS resolution_gap, w.cut AS resolution_cut, d.gap AS density_gap, d.cut AS density_cut FROM cue, es, qs, w, d)"""
+#: The rules of the verdict, as SQL over facts.
+_RULES = {"cue_uninterpretable": "auc >= 0.8", "cue_shortcut": "auc >= 0.65 AND auc < 0.8", "tables_exclusive": "table_share >= 0.5", "extensions_exclusive": "extension_share >= 0.5", "density": "density_gap >= 1.35", "resolution": "resolution_gap >= 1.25", "width_cut": "resolution_cut >= 0.9 AND resolution_gap < 1.25", "density_cut": "density_cut >= 0.9 AND density_gap < 1.25"}
+_RULED = f"""ruled AS (SELECT *, {", ".join(f"{v} AS is_{k}" for k, v in _RULES.items())} FROM facts), counted AS (SELECT *, {" + ".join(f"is_{k}::INT" for k in _RULES)} AS problems FROM ruled)"""
+_FACT_COLS = ("auc", "sd_from_chance", "extension_share", "table_share", "resolution_gap", "resolution_cut", "density_gap", "density_cut")
+_VERDICT = f"""SELECT {", ".join(f"{R6(c)} AS {c}" for c in _FACT_COLS)}, {", ".join(f"is_{k}" for k in _RULES)}, problems, CASE WHEN problems > 0 THEN 'problems' WHEN sd_from_chance >= 3 THEN 'residual' ELSE 'clean' END AS verdict FROM counted"""
 
-@query(f"""WITH {FILES}, x AS (SELECT ext AS value, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM files GROUP BY 1), e AS (SELECT sum(CASE WHEN n0 = 0 OR n1 = 0 THEN n0 + n1 ELSE 0 END) / sum(n0 + n1) AS share FROM x),
-d AS (SELECT label, median(bytes / (width * height)::DOUBLE) AS density, median(width * height) AS area FROM files GROUP BY label), g AS (SELECT max(density) / min(density) AS density_gap, max(area) / min(area) AS resolution_gap FROM d),
-a AS (SELECT 0.62e0 AS auc, 1.5e0 AS sd_from_chance, share AS exclusive_share, density_gap, resolution_gap, 0.93e0 AS best_cut, 1.1e0 AS cut_gap FROM e, g),
-f AS (SELECT *, auc > 0.8 AS cue_uninterpretable, auc > 0.65 AND auc <= 0.8 AND sd_from_chance > 3 AS cue_shortcut, exclusive_share > 0.5 AS exclusive, density_gap > 1.35 AS density, resolution_gap > 1.25 AS resolution, best_cut >= 0.9 AND cut_gap < 1.25 AS hidden_cut FROM a),
-p AS (SELECT *, cue_uninterpretable::INT + cue_shortcut::INT + exclusive::INT + density::INT + resolution::INT + hidden_cut::INT AS problems FROM f)
-SELECT auc, sd_from_chance, {R6('exclusive_share')} AS exclusive_share, {R6('density_gap')} AS density_gap, {R6('resolution_gap')} AS resolution_gap, best_cut, cut_gap, cue_uninterpretable, cue_shortcut, exclusive, density, resolution, hidden_cut, problems, CASE WHEN problems = 0 THEN 'clean' WHEN cue_uninterpretable THEN 'uninterpretable' ELSE 'shortcuts' END AS verdict FROM p""")
+
+@query(f"WITH {_FACTS}, {_RULED} {_VERDICT}")
 def audit_verdict_rules(spark, sf_dir):
+    """The audit's facts and verdict over all files; the cue is the density alone, so that SQL can tell its AUC."""
+    files = b.file_records(spark, sf_dir).withColumns({"bpp": F.col("bytes") / (F.col("width") * F.col("height")), "qhash": F.when(F.col("doc_id") % 7 < 5, F.col("ext")).otherwise(F.concat("ext", F.col("label").cast("string"))), "fold": splits.fold_of(F.col("doc_id"), 3)})
+    of = lambda k: metrics.roc_auc(files.where(F.col("fold") == k), "bpp", "label").select(F.lit(k).alias("fold"), "auc", F.lit(None).cast("double").alias("accuracy"))
+    return audit.verdict(audit.container_facts(files, of(0).unionByName(of(1)).unionByName(of(2))))
+
+
+_CASES = [(0.5, 1.0, 0.2, 0.2, 1.0, 0.6, 1.0, 0.6), (0.5, 3.0, 0.2, 0.2, 1.0, 0.6, 1.0, 0.6), (0.65, 0.1, 0.0, 0.0, 1.0, 0.5, 1.0, 0.5), (0.7999, 9.0, 0.5, 0.0, 1.0, 0.5, 1.0, 0.5), (0.8, 0.0, 0.0, 0.5, 1.0, 0.5, 1.0, 0.5), (0.6, 0.0, 0.49, 0.49, 1.25, 0.95, 1.35, 0.95), (0.6, 0.0, 0.0, 0.0, 1.2, 0.9, 1.24, 0.9), (0.6, 0.0, 0.0, 0.0, 1.3, 0.9, 1.3, 0.9)]
+
+
+@query(f"WITH facts AS (SELECT {', '.join(f'c{i}::DOUBLE AS {c}' for i, c in enumerate(_FACT_COLS))} FROM (VALUES {', '.join(map(str, _CASES))}) t({', '.join(f'c{i}' for i in range(8))})), {_RULED} {_VERDICT}")
+def verdict_rules(spark, sf_dir):
+    """The rules at and beside their limits."""
+    return audit.verdict(spark.createDataFrame(_CASES, ", ".join(f"{c} double" for c in _FACT_COLS)))
+
+
+_OUTCOMES = f"""{FILES}, n AS (SELECT *, 'dir' || doc_id || '/' || stem || '.' || ext AS path FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path) AS k FROM n), t AS (SELECT *, CASE WHEN k > 1 THEN stem || '__' || k ELSE stem END AS target FROM r),
+o AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN {_AUG} THEN 'skipped_augmented' WHEN least(width, height) < 448 THEN 'skipped_small' WHEN target IN (SELECT stem FROM files WHERE label = 1) THEN 'existed' ELSE 'written' END AS outcome FROM t)"""
+
+
+def _outcomes(spark, sf_dir):
     files = b.file_records(spark, sf_dir)
-    area = F.col("width") * F.col("height")
-    gaps = files.groupBy("label").agg(F.median(F.col("bytes") / area).alias("density"), F.median(area).alias("area"))
-    gaps = gaps.agg((F.max("density") / F.min("density")).alias("density_gap"), (F.max("area") / F.min("area")).alias("resolution_gap"))
-    share = compare.exclusive_share(files, "ext").select(F.col("share").alias("exclusive_share"))
-    facts = share.join(F.broadcast(gaps)).select(F.lit(0.62).alias("auc"), F.lit(1.5).alias("sd_from_chance"), "exclusive_share", "density_gap", "resolution_gap", F.lit(0.93).alias("best_cut"), F.lit(1.1).alias("cut_gap"))  # one row each
-    return audit.verdict(facts)
+    rows = files.select("doc_id", F.concat(F.lit("dir"), F.col("doc_id").cast("string"), F.lit("/"), "stem", F.lit("."), "ext").alias("path"), "label", "width", "height", F.when(F.col("doc_id") % 11 == 0, "unreadable").alias("error"))
+    return folders.outcomes(rows, files.where("label = 1").select(F.col("stem").alias("target")))
 
 
-@query("SELECT coalesce(event_type, 'all') AS event_type, count(*) FILTER (value >= 80) AS written, count(*) FILTER (value < 80 AND value >= 20) AS existed, count(*) FILTER (value < 20) AS failed FROM events GROUP BY ROLLUP (event_type)")
+_KINDS = ("written", "existed", "skipped_small", "skipped_augmented", "failed")
+
+
+@query(f"WITH {_OUTCOMES} SELECT label, {', '.join(f"count(*) FILTER (outcome = '{k}') AS {k}" for k in _KINDS)} FROM o GROUP BY ROLLUP (label)")
 def run_counters(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "events").rollup("event_type").agg(F.count_if(F.col("value") >= 80).alias("written"), F.count_if((F.col("value") < 80) & (F.col("value") >= 20)).alias("existed"), F.count_if(F.col("value") < 20).alias("failed"))
-    return rows.withColumn("event_type", F.coalesce("event_type", F.lit("all")))
+    """Outcomes of normalising a folder: from names and sizes alone, no pixel is touched."""
+    return images.run_counters(_outcomes(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT count(*) AS n, min(least(width, height)) AS min_short, {R6('median(least(width, height))')} AS median_short, max(least(width, height)) AS max_short FROM files WHERE least(width, height) < 448")
+@query(f"WITH {_OUTCOMES} SELECT count(*) AS n, min(least(width, height)) AS min_short, {R6('median(least(width, height))')} AS median_short, max(least(width, height)) AS max_short FROM o WHERE outcome = 'skipped_small'")
 def dropped_sizes(spark, sf_dir):
-    short = F.least("width", "height")
-    return b.file_records(spark, sf_dir).where(short < 448).agg(F.count("*").alias("n"), F.min(short).alias("min_short"), F.median(short).alias("median_short"), F.max(short).alias("max_short"))
+    return folders.dropped_sizes(_outcomes(spark, sf_dir))
 
 
 @query(f"WITH {FILES} SELECT doc_id, CASE WHEN least(width, height) < 448 THEN 'TOOSMALL' ELSE 'DONE' END AS status, CASE WHEN least(width, height) >= 448 THEN {R6('bytes / (width * height)::DOUBLE')} END AS bpp FROM files")
 def size_floor_status(spark, sf_dir):
-    big = F.least("width", "height") >= 448
-    return b.file_records(spark, sf_dir).select("doc_id", F.when(big, "DONE").otherwise("TOOSMALL").alias("status"), F.when(big, F.col("bytes") / (F.col("width") * F.col("height"))).alias("bpp"))
+    rows = b.file_records(spark, sf_dir).withColumn("bpp", F.col("bytes") / (F.col("width") * F.col("height")))
+    return images.answered(rows, ["bpp"]).select("doc_id", "status", "bpp")
 
 
-@query("SELECT DISTINCT substr(sha256(text), 1, 16) AS digest FROM documents WHERE text IS NOT NULL")
+@query("SELECT sha256(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_digest_dedup(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").where("text is not null").select(F.substring(F.sha2("text", 256), 1, 16).alias("digest")).distinct()
+    """One file of each content: its digest, and how many there were."""
+    files = b.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
+    digest = F.sha2("content", 256).alias("digest")
+    return images.digested(files).select("digest").join(files.groupBy(digest).agg(F.count("*").alias("copies")), "digest")
 
 
 @query("SELECT sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines FROM benchmark")
 def line_count(spark, sf_dir):
-    return b.table(spark, sf_dir, "benchmark").agg(F.sum(F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("long").alias("lines"))
+    """Lines of a text file, written from the benchmark's passages where executors can all see it."""
+    path = b.scratch(spark, "lines")
+    b.table(spark, sf_dir, "benchmark").select("text").write.text(path)
+    return spark.range(1).select(F.lit(tables.line_count(spark, path)).cast("long").alias("lines"))
+
+
+@query(f"WITH {LOGS}, r AS (SELECT variant, avg((p >= 0.5)::INT) AS flip FROM variants GROUP BY 1), c AS (SELECT max(flip) <= 1 AS fine FROM r WHERE variant = 'view') SELECT variant, {R6('flip')} AS flip_rate FROM r, c WHERE fine AND variant <> 'view' ORDER BY round(flip, 12) DESC, variant LIMIT 1")
+def worst_variant(spark, sf_dir):
+    return audit.worst_variant(audit.flip_table(b.variant_scores(spark, sf_dir), control="view", gate=1.0), "view").select("variant", "flip_rate")
+
+
+@query("SELECT c AS \"check\", value, least, value >= least AS ok FROM (SELECT 'documents' AS c, count(*) AS value, 200 AS least FROM documents UNION ALL SELECT 'benchmark', count(*), 1000000 FROM benchmark)")
+def setup_counts(spark, sf_dir):
+    rows = lambda name, least: b.table(spark, sf_dir, name).agg(F.lit(name).alias("check"), F.count("*").alias("value"), F.lit(least).alias("least"))
+    return audit.setup(rows("documents", 200).unionByName(rows("benchmark", 1_000_000)))
+
+
+@query("SELECT k AS key FROM (VALUES ('en'), ('fr'), ('xx')) t(k) WHERE k NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")
+def missing_keys(spark, sf_dir):
+    have = b.table(spark, sf_dir, "documents").select(F.col("lang").alias("key"))
+    return audit.missing_keys(have, ["en", "fr", "xx"])
 
 
 @query("SELECT source, count(*) FILTER (contains(text, 'the')) > 0 AS has_the, count(*) FILTER (contains(text, 'zzz')) > 0 AS has_zzz FROM documents GROUP BY source")

@@ -227,6 +227,13 @@ def exclusive_share(spark, sf_dir):
     return compare.exclusive_share(b.file_records(spark, sf_dir), "stem")
 
 
+@query(f"WITH {FILES}, x AS (SELECT source || ':' || n_ AS value, label FROM (SELECT *, bytes // 50 AS n_ FROM files)), v AS (SELECT value, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM x GROUP BY 1), t AS (SELECT * FROM v ORDER BY n0 + n1 DESC, value LIMIT 12) SELECT (SELECT count(*) FROM x) AS n, sum(CASE WHEN n0 = 0 OR n1 = 0 THEN n0 + n1 ELSE 0 END)::BIGINT AS exclusive_n, {R6('sum(CASE WHEN n0 = 0 OR n1 = 0 THEN n0 + n1 ELSE 0 END) / (SELECT count(*) FROM x)')} AS share FROM t")
+def exclusive_share_top(spark, sf_dir):
+    """Only the 12 commonest values are looked at; the share is of all files."""
+    files = b.file_records(spark, sf_dir)
+    return compare.exclusive_share(files.withColumn("value", F.concat("source", F.lit(":"), F.floor(F.col("bytes") / 50).cast("string"))), "value", top=12)
+
+
 _SUM = f"{MEASURES}, k AS (SELECT name, median(CASE WHEN label = 0 THEN x END) AS median_0, avg(CASE WHEN label = 0 THEN x END) AS mean_0, min(CASE WHEN label = 0 THEN x END) AS min_0, max(CASE WHEN label = 0 THEN x END) AS max_0, median(CASE WHEN label = 1 THEN x END) AS median_1, avg(CASE WHEN label = 1 THEN x END) AS mean_1, min(CASE WHEN label = 1 THEN x END) AS min_1, max(CASE WHEN label = 1 THEN x END) AS max_1 FROM measures GROUP BY name)"
 
 
@@ -249,7 +256,7 @@ def best_single_threshold(spark, sf_dir):
 
 
 _FOLDERS = f"""{FILES}, u AS (SELECT 'A' AS folder, width, height, bytes, ext AS format FROM files WHERE label = 0 UNION ALL SELECT 'B', width + 60, height + 40, bytes, 'jpg' FROM files WHERE label = 1),
-g AS (SELECT folder, count(*) AS n, median(width) AS median_width, median(height) AS median_height, avg(width) AS mean_width, avg(height) AS mean_height, min(least(width, height)) AS min_short, max(least(width, height)) AS max_short, count(*) FILTER (least(width, height) < 256) AS small, avg(bytes / nullif(width * height, 0)::DOUBLE) AS bytes_per_pixel, avg(bytes) / 1024 AS mean_kb, count(*) FILTER (lower(format) IN ('jpg', 'jpeg')) AS jpg, count(*) FILTER (lower(format) = 'png') AS png FROM u GROUP BY folder)"""
+g AS (SELECT folder, count(*) AS n, median(width) AS median_width, median(height) AS median_height, avg(width) AS mean_width, avg(height) AS mean_height, min(least(width, height)) AS min_short, max(least(width, height)) AS max_short, count(*) FILTER (least(width, height) < 256) AS small, median(least(width, height)) AS median_short, median(bytes / nullif(width * height, 0)::DOUBLE) AS median_bpp, median(bytes / 1024e0) AS median_kb, count(*) FILTER (lower(format) IN ('jpg', 'jpeg')) AS jpg, count(*) FILTER (lower(format) = 'png') AS png FROM u GROUP BY folder)"""
 
 
 def _folders(spark, sf_dir):
@@ -259,7 +266,7 @@ def _folders(spark, sf_dir):
     return compare.folder_stats(a.unionByName(other))
 
 
-_FOLDER_COLS = ", ".join(f"{R6(c)} AS {c}" for c in ("median_width", "median_height", "mean_width", "mean_height", "bytes_per_pixel", "mean_kb"))
+_FOLDER_COLS = ", ".join(f"{R6(c)} AS {c}" for c in ("median_width", "median_height", "median_short", "mean_width", "mean_height", "median_bpp", "median_kb"))
 
 
 @query(f"WITH {_FOLDERS} SELECT folder, n, min_short, max_short, small, jpg, png, {_FOLDER_COLS} FROM g")
@@ -267,7 +274,7 @@ def folder_stats(spark, sf_dir):
     return _folders(spark, sf_dir)
 
 
-@query(f"""WITH {_FOLDERS}, z AS (SELECT max(sqrt(median_width * median_height)) / min(sqrt(median_width * median_height)) AS resolution_gap, max(bytes_per_pixel) / min(bytes_per_pixel) AS density_gap, max(small / n) AS small_share, (count(DISTINCT jpg > 0) > 1 OR count(DISTINCT png > 0) > 1) AS format_mismatch FROM g)
-SELECT {R6('resolution_gap')} AS resolution_gap, {R6('density_gap')} AS density_gap, {R6('small_share')} AS small_share, format_mismatch, resolution_gap > 1.25 AS resolution_bad, density_gap > 1.35 AS density_bad, small_share > 0.05 AS small_bad, ((resolution_gap > 1.25)::INT + (density_gap > 1.35)::INT + (small_share > 0.05)::INT + format_mismatch::INT) AS problems FROM z""")
+@query(f"""WITH {_FOLDERS}, z AS (SELECT CASE WHEN min(median_short) > 0 THEN max(median_short) / min(median_short) END AS resolution_gap, CASE WHEN min(median_bpp) > 0 THEN max(median_bpp) / min(median_bpp) END AS density_gap, max(small / n) AS small_share, (count(DISTINCT jpg > 0) > 1 OR count(DISTINCT png > 0) > 1) AS format_mismatch FROM g)
+SELECT {R6('resolution_gap')} AS resolution_gap, {R6('density_gap')} AS density_gap, {R6('small_share')} AS small_share, format_mismatch, coalesce(resolution_gap >= 1.25, false) AS resolution_bad, coalesce(density_gap >= 1.35, false) AS density_bad, small_share > 0.05 AS small_bad, (coalesce(resolution_gap >= 1.25, false)::INT + coalesce(density_gap >= 1.35, false)::INT + (small_share > 0.05)::INT + format_mismatch::INT) AS problems FROM z""")
 def folder_verdict(spark, sf_dir):
     return compare.folder_verdict(_folders(spark, sf_dir))

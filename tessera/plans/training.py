@@ -40,7 +40,10 @@ def train(features: DataFrame, pipeline, group: str = "group_key", threshold_on:
     report |= metrics.rates(metrics.confusion(final, threshold)).first().asDict()
     report |= {"auc": metrics.roc_auc(final).first()["auc"], "auc_uncalibrated": metrics.roc_auc(test).first()["auc"], "brier": metrics.brier(final).first()["brier"], "ece": metrics.calibration_error(final, 15).first()["ece"], "ece_uncalibrated": metrics.calibration_error(test, 15).first()["ece"]}
     long = features.select("label", F.posexplode("f").alias("col0", "x"))
-    return Trained(model, calibration, threshold, report, stats.effect_sizes(long, "col0"), rows.select(group, "part").distinct())
+    parts = rows.select(group, "part").distinct()
+    for kept in (rows, cal, test):
+        kept.unpersist()
+    return Trained(model, calibration, threshold, report, stats.effect_sizes(long, "col0"), parts)
 
 
 def final_test(scored: DataFrame, threshold: float, train_keys: DataFrame, key: str = "group_key") -> dict[str, DataFrame]:
@@ -57,12 +60,48 @@ def final_test(scored: DataFrame, threshold: float, train_keys: DataFrame, key:
 
 
 def compared(features: DataFrame, pipelines: dict, group: str = "group_key", seed: int = 42) -> DataFrame:
-    """(model, n, counts and rates, auc) of several models on one grouped split."""
+    """(model, n, counts and rates, auc) of several models on one grouped split; metrics.best_model() picks one."""
     rows = models.with_vector(splits.split_3way(features, group, seed=seed)).cache()
-    out = None
+    out = []
     for name, pipeline in pipelines.items():
         model = pipeline.fit(rows.where("part <> 'test'"))
         test = models.scored(model, rows.where("part = 'test'").select(F.col("label").alias("y"), "features"))
-        one = metrics.rates(metrics.confusion(test)).join(F.broadcast(metrics.roc_auc(test).select("auc"))).withColumn("model", F.lit(name))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = metrics.rates(metrics.confusion(test)).join(F.broadcast(metrics.roc_auc(test).select("auc")))  # one row each
+        out.append((name, *one.first()))
+        kind = one.schema.simpleString()[7:-1].replace(":", " ")
+    rows.unpersist()
+    return features.sparkSession.createDataFrame(out, f"model string, {kind}")  # a row a model
+
+
+def leave_one_generator_out(features: DataFrame, pipeline, generator: str = "generator", group: str = "group_key", held_share: float = 0.5, calibration: float = 0.10, seed: int = 42) -> DataFrame:
+    """(held_out, n_train, n_cal, n_eval, threshold, roc_auc, acc_default, rec_default, acc_tuned, rec_tuned, f1_tuned) for each generator of class 1.
+
+    The model never sees the held-out generator nor the held half of class 0. A slice of these, whole groups again, only places the
+    threshold; the rest is scored at 0.5 and at that threshold. No rows with fewer than two generators.
+    """
+    made, real = features.where("label = 1"), features.where("label = 0")
+    tags = sorted(r[0] for r in names.plausible_generators(made, generator).where(F.col(generator).isNotNull()).collect())  # 12 at most
+    schema = "held_out string, n_train long, n_cal long, n_eval long, threshold double, roc_auc double, acc_default double, rec_default double, acc_tuned double, rec_tuned double, f1_tuned double"
+    out = []
+    real = splits.fractional_cut(real, group, held_share, seed, "held_").cache()
+    for tag in tags if len(tags) > 1 else []:
+        learn, held = splits.leave_one_out(made, generator, tag)
+        learn = real.where("not held_").drop("held_").unionByName(learn)
+        cut = lambda rows: splits.fractional_cut(rows, group, calibration, seed + 1, "cal_")
+        rest = cut(real.where("held_").drop("held_")).unionByName(cut(held))
+        learn = models.with_vector(learn).cache()
+        model = pipeline.fit(learn)
+        got = models.scored(model, models.with_vector(rest)).select(F.col("label").alias("y"), "p", "cal_").cache()
+        cal, ev = got.where("cal_"), got.where("not cal_")
+        threshold = float(metrics.youden(cal).first()["threshold"])
+        plain, tuned = (metrics.rates(metrics.confusion(ev, t)).first() for t in (0.5, threshold))
+        out.append((tag, learn.count(), cal.count(), plain["n"], threshold, metrics.roc_auc(ev).first()["auc"], plain["accuracy"], plain["recall"], tuned["accuracy"], tuned["recall"], tuned["f1"]))
+        learn.unpersist()
+        got.unpersist()
+    real.unpersist()
+    return features.sparkSession.createDataFrame(out, schema)  # a row a generator
+
+
+def mean_gain(held_out: DataFrame) -> DataFrame:
+    """(generators, gain): the mean accuracy that moving the threshold alone recovers."""
+    return held_out.agg(F.count("*").alias("generators"), F.avg(F.col("acc_tuned") - F.col("acc_default")).alias("gain"))

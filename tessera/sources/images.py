@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,26 @@ def decoded(spark: SparkSession, folder: str, label: int | None = None) -> DataF
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
     image = image.where(names.extension_of(F.col("origin")).isin("jpg", "jpeg", "png"))
     bad = F.col("height") < 0
-    return image.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(label).cast("int").alias("label"), F.when(bad, "unreadable").alias("error"))
+    plain = image.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(label).cast("int").alias("label"), F.when(bad, "unreadable").alias("error"))
+    # That reader keeps only the low bytes of 16-bit PNGs (byte 25 of the file is the depth): these are decoded here.
+    deep = scan(spark, folder, label, ("png",)).where(F.substring("content", 25, 1) == F.lit(b"\x10"))
+    paths = deep.select("path")
+    deep = deep.select("path", "content", "label").mapInPandas(_deep_rows, "path string, height int, width int, n_channels int, data binary, label int, error string")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    key = paths.select(same("path").alias("path_"))
+    return plain.join(key, same("path") == F.col("path_"), "left_anti").unionByName(deep)
+
+
+def _deep_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for path, content, label in zip(b["path"], b["content"], b["label"], strict=True):
+            try:
+                a = px.rgb8(px.png16(content))
+                out.append((path, a.shape[0], a.shape[1], 3, np.ascontiguousarray(a[:, :, ::-1]).tobytes(), label, None))
+            except (ValueError, IndexError, zlib.error, UnboundLocalError) as e:
+                out.append((path, -1, -1, -1, b"", label, f"unreadable: {e}"))
+        yield pd.DataFrame(out, columns=["path", "height", "width", "n_channels", "data", "label", "error"]).astype({"label": "Int32"})
 
 
 def digested(files: DataFrame) -> DataFrame:
@@ -46,12 +66,44 @@ def digested(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- container headers
 
 
+def _webp(kind: bytes, body: bytes) -> dict:
+    """Size and mode of a WEBP's first chunk: lossy, lossless or extended."""
+    number = lambda at, n: int.from_bytes(body[at : at + n], "little")
+    if kind == b"VP8 " and body[3:6] == b"\x9d\x01\x2a":
+        return {"format": "WEBP", "width": number(6, 2) & 0x3FFF, "height": number(8, 2) & 0x3FFF, "mode": "RGB"}
+    if kind == b"VP8L" and body[:1] == b"\x2f":
+        bits = number(1, 4)
+        return {"format": "WEBP", "width": (bits & 0x3FFF) + 1, "height": (bits >> 14 & 0x3FFF) + 1, "mode": "RGBA" if bits >> 28 & 1 else "RGB"}
+    if kind == b"VP8X":
+        return {"format": "WEBP", "width": number(4, 3) + 1, "height": number(7, 3) + 1, "mode": "RGBA" if body[0] >> 4 & 1 else "RGB"}
+    raise ValueError("unknown WEBP chunk")
+
+
+def _tiff(data: bytes, order: str) -> dict:
+    """Size and mode from a TIFF's first directory."""
+    number = lambda at, n: int.from_bytes(data[at : at + n], order)
+    at = number(4, 4)
+    tags = {}
+    for i in range(number(at, 2)):
+        entry = at + 2 + 12 * i
+        tags[number(entry, 2)] = number(entry + 8, 2 if number(entry + 2, 2) == 3 else 4)
+    if 256 not in tags or 257 not in tags:
+        raise ValueError("no size in the TIFF directory")
+    parts = tags.get(277, 1)
+    mode = "P" if tags.get(262) == 3 else {1: "L", 3: "RGB", 4: "CMYK" if tags.get(262) == 5 else "RGBA"}.get(parts, "?")
+    return {"format": "TIFF", "width": tags[256], "height": tags[257], "mode": mode}
+
+
 def probe_bytes(data: bytes) -> dict:
     """Format, size, quantisation tables and chroma sampling from a file's header; ValueError if it isn't one of the known kinds."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
         return {"format": "PNG", "width": int.from_bytes(data[16:20], "big"), "height": int.from_bytes(data[20:24], "big"), "mode": {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.get(data[25], "?")}
     if data[:2] == b"BM":
         return {"format": "BMP", "width": int.from_bytes(data[18:22], "little"), "height": abs(int.from_bytes(data[22:26], "little", signed=True)), "mode": "RGB"}
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _webp(data[12:16], data[20:])
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff(data, "little" if data[:1] == b"I" else "big")
     if data[:2] != b"\xff\xd8":
         raise ValueError("unknown container")
     out: dict = {"format": "JPEG"}
@@ -158,26 +210,31 @@ def _edited(rest: list[str]):
         for b in batches:
             out = []
             for row in b.to_dict("records"):
-                image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
-                kind = row["variant"]
-                if kind == "normalised":
-                    made = px.normalised(image)
-                elif kind in px.VARIANTS:
-                    made = px.VARIANTS[kind](image)
-                else:
-                    made = px.augmented(image, kind, int(row["quality"]), float(row["factor"]))
-                keep = {c: row[c] for c in rest}
+                kind, status = row["variant"], "DONE"
+                try:
+                    image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
+                    if kind == "normalised":
+                        made = px.normalised(image)
+                    elif kind in px.VARIANTS:
+                        made = px.VARIANTS[kind](image)
+                    else:
+                        made = px.augmented(image, kind, int(row["quality"]), float(row["factor"]))
+                    status = "TOOSMALL" if made is None else status
+                except (ValueError, TypeError, IndexError) as e:
+                    made, status = None, f"error: {e}"
+                keep = {c: row[c] for c in rest} | {"edit_status": status}
                 if made is None:
                     out.append(keep | {"height": None, "width": None, "n_channels": None, "data": None})
                 else:
                     out.append(keep | {"height": made.shape[0], "width": made.shape[1], "n_channels": 3, "data": np.ascontiguousarray(made[:, :, ::-1]).tobytes()})
-            yield pd.DataFrame(out, columns=[*rest, "height", "width", "n_channels", "data"]).astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
+            yield pd.DataFrame(out, columns=[*rest, "edit_status", "height", "width", "n_channels", "data"]).astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
 
     return run
 
 
 def edited(images: DataFrame, kinds: list[str], key: str = "path", seed: int = 42) -> DataFrame:
-    """A row for each image and kind of edit: variant, and the edited pixels (null: the image is too small for it).
+    """A row for each image and kind of edit: variant, and the edited pixels, null where edit_status isn't DONE:
+    TOOSMALL for the edit, or an error, which skips the image and no other.
 
     kinds: `normalised`, those of pixels.VARIANTS, or the augmentations qhi, qlo, soft, rweb, whose
     quality and factor are drawn from a hash of the key and the kind.
@@ -188,13 +245,25 @@ def edited(images: DataFrame, kinds: list[str], key: str = "path", seed: int = 4
     rows = rows.withColumns({"quality": quality, "factor": 0.6 + 0.3 * draw(at, seed + 1)})
     rest = [c for c in rows.columns if c not in ("height", "width", "n_channels", "data")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema)
-    return rows.mapInPandas(_edited(rest), f"{fields}, height int, width int, n_channels int, data binary")
+    return rows.mapInPandas(_edited(rest), f"{fields}, edit_status string, height int, width int, n_channels int, data binary")
+
+
+def edit_counts(made: DataFrame) -> DataFrame:
+    """(variant, written, too_small, skipped) of edited()."""
+    is_ = lambda c: F.count_if(c)
+    return made.groupBy("variant").agg(is_(F.col("edit_status") == "DONE").alias("written"), is_(F.col("edit_status") == "TOOSMALL").alias("too_small"), is_(F.startswith(F.col("edit_status"), F.lit("error"))).alias("skipped"))
 
 
 def large_enough(images: DataFrame, side: int = px.CROP) -> DataFrame:
     return images.where(F.least("height", "width") >= side)
 
 
+def answered(images: DataFrame, values: list[str], side: int = px.CROP) -> DataFrame:
+    """images with status: below the floor an image has no answer (TOOSMALL), and its values are null; that isn't an error."""
+    fine = F.least("height", "width") >= side
+    return images.withColumns({"status": F.when(fine, "DONE").otherwise("TOOSMALL"), **{v: F.when(fine, F.col(v)) for v in values}})
+
+
 def variant_eligible(images: DataFrame, short: int = 350) -> DataFrame:
     return images.where(F.least("height", "width") >= short)
 

@@ -52,8 +52,18 @@ def test_isotonic_map_is_monotone(spark):
     assert all(a[1] <= b[1] + 1e-9 for a, b in zip(rows, rows[1:]))
 
 
-def test_additivity(spark):
-    assert catalog.QUERIES["additivity"](spark, SF).first()["worst"] < 1e-6
+def test_sampled_contributions_add_up(spark):
+    rows = {r.img: r for r in catalog.QUERIES["sampled_contributions"](spark, SF).collect()}
+    p = {r.img: r.p for r in catalog.QUERIES["lr_scores"](spark, SF).collect()}
+    assert len(rows) == 3
+    for img, r in rows.items():
+        assert abs(r.base + sum(r.contributions) - p[img]) < 1e-4 and r.space == "probability" and len(r.contributions) == 64
+
+
+def test_leave_one_generator_out(spark):
+    rows = catalog.QUERIES["loo_generator"](spark, SF).collect()
+    assert [r.held_out for r in sorted(rows)] == ["g0", "g1", "g2"]
+    assert all(r.n_train and r.n_cal and r.n_eval and 0 <= r.roc_auc <= 1 for r in rows)
 
 
 def test_one_calibration_is_chosen(spark):

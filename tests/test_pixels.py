@@ -218,7 +218,8 @@ def test_tree_values_are_exact_shapley_values():
         nodes = []
         grow(4, 100.0)
         x = rng.normal(size=4)
-        base, phi = models.tree_values(nodes, x)
+        base, phi = models.tree_values(nodes, np.stack([x, -x]))
+        phi = phi[0]
         want = np.zeros(4)
         for order in itertools.permutations(range(4)):
             known = set()
@@ -227,3 +228,41 @@ def test_tree_values_are_exact_shapley_values():
                 known.add(f)
                 want[f] += (value(known, x) - before) / 24
         assert abs(base - value(set(), x)) < 1e-9 and np.allclose(phi, want)
+
+
+def test_web_sim_sharpens_before_it_compresses():
+    a = np.random.default_rng(4).integers(0, 256, (360, 400, 3)).astype(np.uint8)
+    want = px.jpeg_round_trip(px.sharpened(px.scaled(a, 0.75)), 85)
+    assert (px.VARIANTS["web_sim"](a) == want).all()
+
+
+def test_a_bad_image_is_skipped(spark):
+    good = np.zeros((300, 300, 3), np.uint8).tobytes()
+    rows = spark.createDataFrame([("a", 300, 300, 3, good), ("b", 300, 300, 3, b"short")], "path string, height int, width int, n_channels int, data binary")
+    made = images.edited(rows, ["control", "normalised"])
+    got = {(r.path, r.variant): r.edit_status for r in made.collect()}
+    assert got["a", "control"] == "DONE" and got["a", "normalised"] == "TOOSMALL" and got["b", "control"].startswith("error")
+    assert {(r.variant, r.written, r.too_small, r.skipped) for r in images.edit_counts(made).collect()} == {("control", 1, 0, 1), ("normalised", 0, 1, 1)}
+
+
+def test_deep_pngs_keep_their_high_bytes(spark, tmp_path):
+    deep = (np.arange(24).reshape(4, 6) * 2500).astype(np.uint16)
+    (tmp_path / "deep.png").write_bytes(png(deep, 16))
+    (tmp_path / "flat.png").write_bytes(png(np.arange(24).reshape(4, 6).astype(np.uint8), 8))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.decoded(spark, str(tmp_path), 1).collect()}
+    assert set(rows) == {"deep.png", "flat.png"} and rows["deep.png"].label == 1
+    got = px.from_spark_image(bytes(rows["deep.png"].data), 4, 6, 3)
+    assert (got == px.rgb8(deep)).all()
+
+
+def test_tiff_and_webp_headers():
+    entry = lambda tag, value: (tag).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + (value).to_bytes(4, "little")
+    tiff = b"II*\0" + (8).to_bytes(4, "little") + (4).to_bytes(2, "little") + entry(256, 640) + entry(257, 480) + entry(262, 2) + entry(277, 3)
+    assert images.probe_bytes(tiff) == {"format": "TIFF", "width": 640, "height": 480, "mode": "RGB"}
+    vp8 = b"\0\0\0\x9d\x01\x2a" + (300).to_bytes(2, "little") + (200).to_bytes(2, "little")
+    riff = lambda kind, body: b"RIFF" + bytes(4) + b"WEBP" + kind + len(body).to_bytes(4, "little") + body
+    assert images.probe_bytes(riff(b"VP8 ", vp8)) == {"format": "WEBP", "width": 300, "height": 200, "mode": "RGB"}
+    lossless = b"\x2f" + (299 | 199 << 14 | 1 << 28).to_bytes(4, "little")
+    assert images.probe_bytes(riff(b"VP8L", lossless)) == {"format": "WEBP", "width": 300, "height": 200, "mode": "RGBA"}
+    extended = bytes([0x10, 0, 0, 0]) + (299).to_bytes(3, "little") + (199).to_bytes(3, "little")
+    assert images.probe_bytes(riff(b"VP8X", extended)) == {"format": "WEBP", "width": 300, "height": 200, "mode": "RGBA"}

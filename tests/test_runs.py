@@ -73,8 +73,10 @@ def test_medians(spark):
 
 
 def test_audit_and_resumption(spark):
-    facts = spark.createDataFrame([(0.5, 0.0, 0.0, 1.0, 1.0, 0.5, 1.0), (0.9, 9.0, 0.9, 2.0, 2.0, 0.95, 1.0)], "auc double, sd_from_chance double, exclusive_share double, density_gap double, resolution_gap double, best_cut double, cut_gap double")
-    assert [(r.problems, r.verdict) for r in audit.verdict(facts).orderBy("auc").collect()] == [(0, "clean"), (5, "uninterpretable")]
+    columns = ("auc", "sd_from_chance", "extension_share", "table_share", "resolution_gap", "resolution_cut", "density_gap", "density_cut")
+    rows = [(0.5, 0.0, 0.0, 0.0, 1.0, 0.5, 1.0, 0.5), (0.6, 3.0, 0.0, 0.0, 1.0, 0.5, 1.0, 0.5), (0.9, 9.0, 0.9, 0.5, 2.0, 0.95, 1.0, 0.95)]
+    facts = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    assert [(r.problems, r.verdict) for r in audit.verdict(facts).orderBy("auc").collect()] == [(0, "clean"), (0, "residual"), (5, "problems")]
     stems = spark.createDataFrame([("a", "a.jpg"), ("A", "b.png"), ("a", "c.png")], "stem string, path string")
     assert sorted(r.target for r in names.renamed(stems).collect()) == ["A__2", "a", "a__3"]
     files = spark.createDataFrame([("x", 320, 320), ("y", 320, 320)], "path string, width int, height int")
@@ -114,3 +116,38 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries(); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_container_audit_finds_an_encoder(spark):
+    rows = [(f"a_{i}.jpg", i % 2, 1000 + i, "JPEG", 500, 400, f"q{i % 2}", 3.0, 9.0, "4:2:0", None, f"a_{i}", f"a_{i}", "jpg", False, 200_000, 1.25, (1000 + i) / 200_000) for i in range(120)]
+    rows.append(("b.jpg", 0, 10, None, None, None, None, None, None, None, "unknown container", "b", "b", "jpg", False, None, None, None))
+    probes = spark.createDataFrame(rows, "path string, label int, size long, format string, width int, height int, qhash string, q_dc double, q_mean double, subsampling string, error string, stem string, source string, ext string, augmented boolean, area int, aspect double, bpp double")
+    found = audit.container_audit(probes, k=3, rounds=3, depth=2)
+    v = found["verdict"].first()
+    assert v.is_tables_exclusive and v.is_cue_uninterpretable and not v.is_extensions_exclusive and v.verdict == "problems"
+    assert found["unreadable"].count() == 1 and found["cue"].count() == 3 and found["crosstabs"].where("property = 'qhash' and exclusive").count() == 2
+
+
+def test_many_ranges(spark):
+    bounds = sorted({float(v) for v in np.random.default_rng(2).integers(0, 10_000, 300)})
+    rows = spark.range(500).select((F.col("id") * 20.5).alias("x"))
+    got = rows.select("x", ordered._place(F.col("x"), bounds).alias("n")).collect()
+    assert all(r.n == sum(b <= r.x for b in bounds) for r in got)
+    words = spark.createDataFrame([(w,) for w in ("b", "a", None, "c", "a", "ab")], "w string")
+    assert {(r.w, r.code) for r in names.ordinal(words, "w", "code").collect()} == {("a", 0), ("ab", 1), ("b", 2), ("c", 3), (None, 4)}
+    many = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("w"))
+    want = {w: i for i, w in enumerate(sorted(r.w for r in many.collect()))}
+    assert {r.w: r.code for r in names.ordinal(many, "w", "code").collect()} == want
+
+
+def test_magnitudes_as_text(spark):
+    values = [0.0, float("nan"), 1.0, 1234.5678, 9999.6, 12345.678, 99999.0, 123456.0, 0.0012345, 0.00099, -2.5, 1000.0, 0.1]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(names.magnitude(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == ["0", "-", "1", "1,235", "1e+04", "1.235e+04", "1e+05", "1.23e+05", "0.001235", "9.90e-04", "-2.5", "1,000", "0.1"]
+
+
+def test_places_in_a_file(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+    lines = spark.read.text(str(tmp_path / "names.txt")).repartition(1)
+    assert all(r.value == f"line {r.pos}" for r in tables.positional(tables.read_names(spark, str(tmp_path / "names.txt")).withColumnRenamed("path", "value")).collect())
+    assert lines.count() == 3000
