@@ -1,24 +1,30 @@
 """Exact top-k inner products over a bit-sliced index.
 
 Components are integers. A block of rows keeps, for each component, a bitmap of its rows for each bit of
-component - smallest. A query's score is a sum of shifted slices: for a positive weight the slices
-of the component, for a negative one their complements, so that only sums of non-negative numbers are
-needed, plus a constant. Slices are added by bitmap full adders, a word at a time for 64 rows. The top k are
-found from the most significant slice of the sums downward: rows with the bit set, if they are at most
+component - smallest, as many as the block's own values of that component take. A query's score is a sum of shifted
+slices: for a positive weight the slices of the component, for a negative one their complements, so that only sums of
+non-negative numbers are needed, plus a constant. Slices are added by bitmap full adders, a word at a time for 64 rows.
+The top k are found from the most significant slice of the sums downward: rows with the bit set, if they are at most
 k, are in; if more, the others are out. What still ties at the end is settled exactly by the smaller id,
 as the rows of a block are in order of their ids.
 
-All rows are indexed and every query meets every block; a group of queries and a block make a task.
-Null, empty and non-finite vectors take no part (zero ones do), nor do vectors of another size than the commonest.
+Rows go into blocks with others of the same magnitude, so that a large component widens no other block. All rows are
+indexed and every query meets every block, in tiles: an index block, some MB, and a group of queries that passes by it.
+
+Components saturate at the square root of 2 ** 62 / dimensions (2 ** 28 for 64, which is 4,194,304 before the scale), so no score
+leaves the range of a long. Null, empty and non-finite vectors take no part (zero ones do), nor do null ids and vectors
+of another size than the commonest. Rows that share an id are candidates of their own, and none of them is a
+candidate of a query with that id; of queries that share an id the one with the least vector, component by component,
+asks. A table without usable vectors gives no rows. Other columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,36 +34,51 @@ from .vectors import matrix, of_one_size, usable
 
 
 class BitSlices:
-    """Of rows of integers, in order: slices[component][bit], a bitmap of 64-row words each."""
+    """Of rows of integers, in order: slices[component][bit], a bitmap of 64-row words each; smallest[component]."""
 
-    def __init__(self, words: np.ndarray, rows: int, smallest: int):
-        self.slices, self.rows, self.smallest = words, rows, smallest
-        self.bits = words.shape[1]
+    def __init__(self, slices: list[np.ndarray], rows: int, smallest: list[int]):
+        self.slices, self.rows, self.smallest = slices, rows, smallest
+        self.words = -(-rows // 64)
 
     @classmethod
-    def of(cls, x: np.ndarray, smallest: int, bits: int) -> BitSlices:
+    def of(cls, x: np.ndarray) -> BitSlices:
         n, d = x.shape
-        padded = np.zeros((-(-n // 64) * 64, d), np.uint64)
-        padded[:n] = (x - smallest).astype(np.uint64)
-        out = np.empty((d, bits, len(padded) // 64), np.uint64)
-        for b in range(bits):
-            plane = (padded >> np.uint64(b) & np.uint64(1)).astype(np.uint8)
-            out[:, b] = np.ascontiguousarray(np.packbits(plane.T, axis=1, bitorder="little")).view(np.uint64)
+        smallest = x.min(0).tolist() if n else [0] * d
+        out = []
+        for c in range(d):
+            value = np.zeros(-(-n // 64) * 64, np.uint64)
+            value[:n] = (x[:, c] - smallest[c]).astype(np.uint64)
+            bits = int(value.max()).bit_length() if n else 0
+            planes = [np.packbits((value >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(bits)]
+            out.append(np.stack(planes) if planes else np.zeros((0, len(value) // 64), np.uint64))
         return cls(out, n, smallest)
 
+    def to_bytes(self) -> tuple[bytes, list[int]]:
+        return b"".join(s.tobytes() for s in self.slices), [len(s) for s in self.slices]
+
+    @classmethod
+    def from_bytes(cls, raw: bytes, bits: list[int], rows: int, smallest: list[int]) -> BitSlices:
+        words = np.frombuffer(raw, np.uint64).reshape(sum(bits), -(-rows // 64))
+        return cls(np.split(words, np.cumsum(bits)[:-1]), rows, smallest)
+
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the scores less a constant, and the constant."""
-        top = (1 << self.bits) - 1
         columns: list[list[np.ndarray]] = []
         constant = 0
-        for weight, slices in zip(query.tolist(), self.slices, strict=True):
-            constant += weight * (self.smallest if weight > 0 else top + self.smallest)
-            for shift in range(abs(weight).bit_length()):
-                if abs(weight) >> shift & 1:
-                    while len(columns) < shift + self.bits:
+        for weight, slices, smallest in zip(query.tolist(), self.slices, self.smallest, strict=True):
+            if not weight:
+                continue
+            constant += weight * (smallest if weight > 0 else (1 << len(slices)) - 1 + smallest)
+            used = [s if weight > 0 else ~s for s in slices]
+            size, shift = abs(weight), 0
+            while size:
+                if size & 1:
+                    while len(columns) < shift + len(used):
                         columns.append([])
-                    for b in range(self.bits):
-                        columns[shift + b].append(slices[b] if weight > 0 else ~slices[b])
+                    for b, s in enumerate(used):
+                        columns[shift + b].append(s)
+                size >>= 1
+                shift += 1
         i = 0
         while i < len(columns):
             column = columns[i]
@@ -76,13 +97,13 @@ class BitSlices:
                 columns[i] = [a ^ b]
                 columns[i + 1].append(a & b)
             i += 1
-        empty = np.zeros(self.slices.shape[2], np.uint64)
+        empty = np.zeros(self.words, np.uint64)
         return [c[0] if c else empty for c in columns], constant
 
     def top(self, query: np.ndarray, k: int, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best rows, ties to the lower place; the places `without` are left out."""
         sums, constant = self.sums(query)
-        tied = np.full(self.slices.shape[2], ~np.uint64(0))
+        tied = np.full(self.words, ~np.uint64(0))
         if self.rows % 64:
             tied[-1] = (np.uint64(1) << np.uint64(self.rows % 64)) - np.uint64(1)
         for p in without.tolist():
@@ -104,10 +125,11 @@ class BitSlices:
         if have < k:
             places = np.concatenate([places, _places(tied)[: k - have]])
         word, bit = places >> 6, (places & 63).astype(np.uint64)
-        scores = np.full(len(places), constant, np.int64)
+        scores = np.full(len(places), constant % (1 << 64), np.uint64)  # modulo 2 ** 64: the score itself fits a long
         for i, s in enumerate(sums):
-            scores += (s[word] >> bit & np.uint64(1)).astype(np.int64) << i
-        return places, scores
+            if i < 64:
+                scores += (s[word] >> bit & np.uint64(1)) << np.uint64(i)
+        return places, scores.view(np.int64)
 
 
 def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -117,57 +139,99 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return words[row] * 64 + bit
 
 
-def _index_rows(smallest: int, bits: int):
-    """A partition's rows as one block."""
+_INDEX = ["block", "ids", "smallest", "bits", "slices"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("id").to_numpy(), matrix(b.column("x"), np.int64)) for b in batches if len(b)]
-        if parts:
-            ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-            order = np.argsort(ids, kind="stable")
-            index = BitSlices.of(x[order], smallest, bits)
-            block = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([index.slices.tobytes()], pa.binary())], ["block", "ids", "slices"])
 
-    return run
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows, sorted by block, as an index for each block."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    block = None
 
+    def made() -> pa.RecordBatch:
+        ids, x = (np.concatenate(p) for p in zip(*held, strict=True))
+        order = np.argsort(ids, kind="stable")
+        index = BitSlices.of(x[order])
+        raw, bits = index.to_bytes()
+        cols = [pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([index.smallest], pa.list_(pa.int64())), pa.array([bits], pa.list_(pa.int32())), pa.array([raw], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, _INDEX)
 
-def _search(d: int, smallest: int, bits: int, k: int):
-    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(queries):
-            own, x = queries.column("id").to_numpy(), matrix(queries.column("x").combine_chunks(), np.int64)
-            for raw_ids, raw in zip(blocks.column("ids").to_pylist(), blocks.column("slices").to_pylist(), strict=True):
-                ids = np.frombuffer(raw_ids, np.int64)
-                index = BitSlices(np.frombuffer(raw, np.uint64).reshape(d, bits, -1), len(ids), smallest)
-                for q, row in zip(own.tolist(), x, strict=True):
-                    same = np.arange(*np.searchsorted(ids, [q, q + 1]))
-                    places, scores = index.top(row, k, same)
+    for batch in batches:
+        blocks, ids, x = batch.column("block").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("x"), np.int64)
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if held and blocks[a] != block:
+                yield made()
+                held = []
+            block = int(blocks[a])
+            held.append((ids[a:b], x[a:b]))
+    if held:
+        yield made()
+
+
+def _tiles(k: int):
+    """Scores a partition sorted by tile, the index row first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index, ids = None, None, None
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            blocks, groups, queries = (batch.column(c).to_pylist() for c in ("block", "grp", "is_query"))
+            for i, here in enumerate(zip(blocks, groups, strict=True)):
+                if not queries[i]:
+                    raw_ids, smallest, bits, raw = (batch.column(c)[i].as_py() for c in _INDEX[1:])
+                    key, ids = here, np.frombuffer(raw_ids, np.int64)
+                    index = BitSlices.from_bytes(raw, bits, len(ids), smallest)
+                elif here == key:
+                    q = batch.column("id")[i].as_py()
+                    places, scores = index.top(batch.column("x")[i].values.to_numpy(zero_copy_only=False), k, np.arange(*np.searchsorted(ids, [q, q + 1])))
                     for c, v in zip(out, (np.full(len(places), q), ids[places], scores), strict=True):
                         c.append(v)
-        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def quantised(v: str, scale: int = 64):
-    """floor(scale * x) of each component, x as double."""
-    return F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+def quantised(v: str, scale: int, limit: int):
+    """floor(scale * x) of each component, x as double, between -limit and limit."""
+    whole = lambda x: F.floor(F.least(F.greatest(x.cast("double") * F.lit(float(scale)), F.lit(-float(limit))), F.lit(float(limit))))
+    return F.transform(v, lambda x: whole(x).cast("long"))
+
 
+def exact_top(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64, block: int = 131_072, group: int = 65_536, tasks: int = 24) -> DataFrame:
+    """Each query's k rows of the largest integer inner product, those of its own id left out: query_id, rank, vec_id, score.
 
-def exact_top(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64, block: int = 32768, group: int = 4096, tasks: int = 48) -> DataFrame:
-    """Each query's k rows of the largest integer inner product, itself left out: query_id, rank, vec_id, score."""
+    tasks: the least number of tiles; queries of a small table are dealt into more groups for it.
+    """
     spark = rows.sparkSession
-    taken = lambda df: df.where(usable(vector, zero=True) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), quantised(vector, scale).alias("x"))
-    rows, d = of_one_size(taken(rows), "x")
-    queries = taken(queries).where(F.size("x") == d)
+    taken = lambda df: df.where(usable(vector, zero=True) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
+    rows, d = of_one_size(taken(rows), "v")
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n, low, high = rows.agg(F.count("*"), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
-    bits, blocks = max(1, (high - low).bit_length()), -(-n // block)
+    limit = 1 << (62 - math.ceil(math.log2(max(2, d)))) // 2
+    rows, queries = (df.select("id", quantised("v", scale, limit).alias("x")) for df in (rows, taken(queries).where(F.size("v") == d)))
+    queries = queries.groupBy("id").agg(F.min("x").alias("x"))
+    # Magnitudes go by the bits of the largest component, those up to 5 bits more than the commonest together; 63 classes at most.
+    size = F.length(F.bin(F.greatest(F.array_max("x"), -F.array_min("x"))))
+    sizes = {r["bits"]: r["count"] for r in rows.groupBy(size.alias("bits")).count().collect()}
+    usual = max(sizes, key=lambda b: (sizes[b], -b))
+    of = {b: (0 if b <= usual + 2 else b) for b in sizes}
+    counts: dict[int, int] = {}
+    for b, n in sizes.items():
+        counts[of[b]] = counts.get(of[b], 0) + n
+    first, blocks = {}, 0
+    for kind, n in sorted(counts.items()):
+        first[kind] = (blocks, -(-n // block))
+        blocks += first[kind][1]
+    place = F.create_map(*(x for b in sizes for x in (F.lit(b), F.struct(F.lit(first[of[b]][0]).alias("at"), F.lit(first[of[b]][1]).alias("n")))))
+    rows = rows.withColumn("p", F.element_at(place, size))
+    rows = rows.select((F.col("p.at") + F.pmod(F.xxhash64("id", "x"), F.col("p.n"))).cast("int").alias("block"), "id", "x")
+    index = written(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_index_rows, "block int, ids binary, smallest array<long>, bits array<int>, slices binary"), "slices")
     groups = max(-(-queries.count() // group), -(-tasks // blocks))
-    index = written(rows.repartition(blocks).mapInArrow(_index_rows(low, bits), "block int, ids binary, slices binary"), "slices")
-    index = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), "id", "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInArrow(_search(d, low, bits, k), "query_id long, vec_id long, score long")
-    return ranked(found, k)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = index.withColumns({"is_query": F.lit(False), "id": F.lit(None).cast("long"), "x": F.lit(None).cast("array<long>")}).withColumn("grp", spread(groups))
+    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), F.lit(True).alias("is_query"), "id", "x").withColumn("block", spread(blocks))
+    met = index.unionByName(asked, allowMissingColumns=True).repartition("block", "grp").sortWithinPartitions("block", "grp", "is_query")
+    return ranked(met.mapInArrow(_tiles(k), "query_id long, vec_id long, score long"), k)

@@ -1,19 +1,27 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiple probes and exact reranking.
 
 For the largest inner product, rows are taken in bands of norms within a factor of 1.25, and made unit ones by a
-further coordinate (the square root of what their squared norm lacks to the band's largest; 0 for queries), padded to a power of two and turned by a
-pseudo-rotation: three rounds of random signs and a fast Hadamard transform. A vector's bucket in a
-table is the signed axis nearest to it. A query probes the `probes` axes nearest to it in each of the
-`tables`. A bucket's queries and rows meet in one task, rows some thousands at a time; inner products
-of all its pairs are exact, of the original vectors in double precision, and the best k go on.
+further coordinate (the square root of what their squared norm lacks to the band's largest; 0 for queries), padded to a
+power of two and turned by a pseudo-rotation: three rounds of random signs and a fast Hadamard transform. A vector's
+bucket in a table is the signed axis nearest to it, of one such polytope or, for tables of over `LARGE` rows, of two
+together, so buckets grow in number with the rows. A query probes the buckets nearest to it in each of the
+`tables`; rows in any of them are its candidates, whose inner products are exact, of the original vectors in double precision.
+
+How many buckets are probed is fitted: among `SAMPLE` rows at most, 256 of them as queries, the nearest of the same
+share as k has of all rows must be met with a frequency of `target`. Clustered vectors need a few probes; vectors
+without structure need buckets that hold a good part of all rows, whatever the index.
+
+Rows and queries meet in tiles: a block of rows, which hashes itself, and a group of queries that passes
+by it in batches, so a vector is shuffled once for each tile it is in and a tile's memory is bounded. Every pair is met once.
 
 All bands are probed. Rows of bands above 1.5 times the median norm are near to any query in inner product
-whatever their direction, so they aren't hashed: every query meets all of them.
+whatever their direction, so they are every query's candidates. A query whose probes met fewer than k rows
+meets all of them.
 
-Hot buckets, known from a count of at most tables x 2 x dimensions buckets, are salted: rows are dealt
-into parts of about `part` rows and queries go to all of these. Null, empty, zero and non-finite
-vectors take no part, nor do vectors of another size than the commonest. A table without usable
-vectors gives no rows.
+Null, empty, zero and non-finite vectors take no part, nor do null ids and vectors of another size than the commonest.
+A table without usable vectors gives no rows. Ties go to the smaller id. Rows that share an id are candidates of
+their own, and none of them is a candidate of a query with that id; of queries that share an id the one with the least
+vector, component by component, asks. Other columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .vectors import best, matrix, of_one_size, usable
 
+#: Rows that the number of probes is fitted on, queries among them, and the table size from which a bucket is made of two polytopes.
+SAMPLE, ASKED, LARGE = 20_000, 256, 4_000_000
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Rows times the normalised Hadamard matrix, in n log n steps."""
@@ -41,169 +52,165 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    def __init__(self, dimensions: int, largest: float, tables: int = 8, seed: int = 1):
-        self.d, self.largest, self.tables = dimensions, largest, tables
-        self.n = 1 << dimensions.bit_length()  # room for the further coordinate
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.n))
+    """bands: the largest norm of each band of rows; rows of those above `whole` are candidates of every query."""
 
-    def axes(self, x: np.ndarray, query: bool) -> Iterator[np.ndarray]:
-        """Of each table, the rotated rows along the 2n signed axes."""
+    def __init__(self, dimensions: int, bands: dict[int, float], whole: float, tables: int = 8, polytopes: int = 1, seed: int = 1):
+        self.d, self.bands, self.whole = dimensions, bands, whole
+        self.tables, self.polytopes = tables, polytopes
+        self.n = 1 << dimensions.bit_length()  # room for the further coordinate
+        self.width = (2 * self.n) ** polytopes
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, polytopes, 3, self.n))
+
+    def _axes(self, y: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        for s in signs:
+            y = hadamard(y * s)
+        return np.concatenate([y, -y], 1)
+
+    def buckets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tables x rows: the bucket of each row, whether a row is every query's candidate)."""
+        norm = np.linalg.norm(x, axis=1)
+        largest = np.maximum(norm, [self.bands.get(b, 0.0) for b in _band(norm).tolist()])  # at an edge, logarithms may round apart
         y = np.zeros((len(x), self.n))
-        y[:, : self.d] = x / (np.linalg.norm(x, axis=1, keepdims=True) if query else self.largest)
-        if not query:
-            y[:, self.d] = np.sqrt(np.maximum(0, 1 - (y**2).sum(1)))
-        for signs in self.signs:
-            z = y
-            for s in signs:
-                z = hadamard(z * s)
-            yield np.concatenate([z, -z], 1)
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """Rows x tables: the nearest signed axis."""
-        return np.stack([a.argmax(1) for a in self.axes(x, False)], 1)
-
-    def probes(self, x: np.ndarray, m: int) -> np.ndarray:
-        """Rows x tables x m: the nearest signed axes."""
-        m = min(m, 2 * self.n)
-        return np.stack([np.argpartition(-a, m - 1, axis=1)[:, :m] for a in self.axes(x, True)], 1)
+        y[:, : self.d] = x / largest[:, None]
+        y[:, self.d] = np.sqrt(np.maximum(0, 1 - (y**2).sum(1)))
+        out = np.zeros((self.tables, len(x)), np.int64)
+        for t, polytopes in enumerate(self.signs):
+            for signs in polytopes:
+                out[t] = out[t] * 2 * self.n + self._axes(y, signs).argmax(1)
+        return out, largest > self.whole
+
+    def nearness(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each table, queries x buckets: how near each bucket's axes are."""
+        y = np.zeros((len(x), self.n))
+        y[:, : self.d] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for polytopes in self.signs:
+            total = self._axes(y, polytopes[0])
+            for signs in polytopes[1:]:
+                total = (total[:, :, None] + self._axes(y, signs)[:, None, :]).reshape(len(x), -1)
+            yield total
+
+    def fitted(self, rows: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
+        """The probes that meet a share of `target` of the k nearest of some of these rows."""
+        queries = rows[:ASKED]
+        scores = queries @ rows.T
+        scores[ids[:ASKED, None] == ids[None, :]] = -np.inf
+        near = np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, :k]
+        place, every = self.buckets(rows)
+        least = np.full(near.shape, self.width)
+        for t, axes in enumerate(self.nearness(queries)):
+            value = np.take_along_axis(axes, place[t][near], 1)
+            for j in range(near.shape[1]):
+                least[:, j] = np.minimum(least[:, j], (axes > value[:, j : j + 1]).sum(1))
+        least[every[near] | (np.take_along_axis(scores, near, 1) == -np.inf)] = 0
+        return int(np.quantile(least, target, method="higher")) + 1
 
 
 def _band(norm: np.ndarray) -> np.ndarray:
     return np.floor(np.log(norm) / np.log(1.25)).astype(np.int64)
 
 
-def _hashed(index: CrossPolytope, probes: int, bands: dict[int, float], whole: float):
-    """A row for each table (rows) or probe (queries). bands: the largest norm of each; rows of those above
-    `whole` go into one further table that every query meets whole."""
+def top_pairs(query: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: np.ndarray, out: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, vec, score) of each query's k best rows but those marked out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                x = matrix(part.column("v"))
-                is_query = part.column("is_query").to_numpy(zero_copy_only=False)
-                every = np.ones(len(x), bool)
-                if not is_query[0]:
-                    norm = np.linalg.norm(x, axis=1)
-                    largest = np.maximum(norm, [bands.get(b, 0.0) for b in _band(norm).tolist()])  # at an edge, logarithms may round apart
-                    every = largest > whole
-                    found = index.buckets(x / largest[:, None])[:, :, None]
-                else:
-                    found = index.probes(x, probes)
-                n, t, m = found.shape
-                row, table, place = (c.ravel() for c in np.broadcast_arrays(np.arange(n)[:, None, None], np.arange(t)[None, :, None], found))
-                if not is_query[0]:
-                    row, table, place = (c[~every[row]] for c in (row, table, place))
-                extra = np.flatnonzero(every)
-                row = pa.array(np.concatenate([row, extra]))
-                table, place = np.concatenate([table, np.full(len(extra), t)]), np.concatenate([place, np.zeros(len(extra), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(table.astype(np.int32)), pa.array(place.astype(np.int32)), part.column("is_query").take(row), part.column("id").take(row), part.column("v").take(row)], ["table", "bucket", "is_query", "id", "v"])
+    A product of matrices may round equal pairs apart, so all within a hair of the k-th are scored again,
+    each by the same sum, and ties are settled by id.
+    """
+    scores = v @ rows.T
+    scores[out] = -np.inf
+    if scores.shape[1] > 2 * k:
+        limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        hair = 1e-12 * np.linalg.norm(v, axis=1) * np.sqrt((rows**2).sum(1).max())
+        i, j = np.nonzero((scores >= (limit - hair)[:, None]) & (scores > -np.inf))
+    else:
+        i, j = np.nonzero(scores > -np.inf)
+    return best(query[i], ids[j], np.einsum("ij,ij->i", v[i], rows[j]), k)
 
-    return run
 
+def _tiles(index: CrossPolytope | None, probes: int, k: int):
+    """Scores a partition sorted by tile, the block's rows first. index None: all rows are candidates."""
 
-def _score(k: int, rows_at_once: int = 4096, pairs_kept: int = 2_000_000):
-    """Scores a partition sorted by bucket, queries of a bucket first."""
+    def candidates(x: np.ndarray, place: np.ndarray, every: np.ndarray) -> np.ndarray:
+        out = np.broadcast_to(every, (len(x), len(every))).copy()
+        m = min(probes, index.width)
+        for t, axes in enumerate(index.nearness(x)):
+            probed = np.zeros(axes.shape, bool)
+            np.put_along_axis(probed, np.argpartition(-axes, m - 1, axis=1)[:, :m], True, axis=1)
+            out |= probed[:, place[t]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        size = 0
-        key, query, vectors = None, [], []
-
-        def emit(found: tuple) -> pa.RecordBatch:
-            q, v, s = found
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-            ends = pa.array(np.append(first, len(q)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(q[first]), pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(s))], ["query_id", "vecs", "scores"])
-
+        key, parts, block = None, [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("table", "bucket", "salt", "is_row")])
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "grp", "is_query")])
             ids, x = batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("v"))
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(ids)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
-                here = tuple(keys[:3, a].tolist())
-                if here != key:
-                    key, query, vectors = here, [], []
-                if not keys[3, a]:
-                    query.append(ids[a:b])
-                    vectors.append(x[a:b])
+                if (here := tuple(keys[:2, a].tolist())) != key:
+                    key, parts, block = here, [], None
+                if not keys[2, a]:
+                    parts.append((ids[a:b], x[a:b]))
                     continue
-                if not query:
+                if not parts and block is None:
                     continue
-                query, vectors = [np.concatenate(query)], [np.concatenate(vectors)]
-                for c in range(a, b, rows_at_once):
-                    v, rows = ids[c : min(b, c + rows_at_once)], x[c : min(b, c + rows_at_once)]
-                    for e in range(0, len(query[0]), 1024):
-                        q = query[0][e : e + 1024]
-                        s = vectors[0][e : e + 1024] @ rows.T
-                        s[q[:, None] == v] = -np.inf
-                        if len(v) > 2 * k:  # all that tie with the k-th stay, so ties are settled by id
-                            limit = np.partition(s, len(v) - k, axis=1)[:, len(v) - k]
-                            i, j = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
-                        else:
-                            i, j = np.nonzero(s > -np.inf)
-                        kept.append((q[i], v[j], s[i, j]))
-                        size += len(i)
-                        if size > pairs_kept:
-                            kept = [best(*map(np.concatenate, zip(*kept, strict=True)), k)]
-                            size = len(kept[0][0])
-                            if size > pairs_kept // 2:
-                                yield emit(kept[0])
-                                kept, size = [], 0
-        if kept:
-            yield emit(best(*map(np.concatenate, zip(*kept, strict=True)), k))
+                if block is None:
+                    own, rows = map(np.concatenate, zip(*parts, strict=True))
+                    block, parts = (own, rows, *(index.buckets(rows) if index else (None, None))), []
+                own, rows, place, every = block
+                step = max(1, (1 << 21) // len(own))
+                for c in range(a, b, step):
+                    q, v = ids[c : min(b, c + step)], x[c : min(b, c + step)]
+                    out = q[:, None] == own
+                    if index:
+                        out |= ~candidates(v, place, every)
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in top_pairs(q, v, own, rows, out, k)], ["query_id", "vec_id", "score"])
 
     return run
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (query_id, vec_id, score), pairs once."""
+    """(query_id, rank, vec_id, score) from (query_id, vec_id, score)."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _ranked_pairs(met: DataFrame, k: int) -> DataFrame:
-    met = met.repartition("table", "bucket", "salt").sortWithinPartitions("table", "bucket", "salt", "is_row")
-    found = met.mapInArrow(_score(k), "query_id long, vecs array<long>, scores array<double>")
-    found = found.select("query_id", F.explode(F.arrays_zip("vecs", "scores")).alias("x"))
-    return ranked(found.groupBy("query_id", F.col("x.vecs").alias("vec_id")).agg(F.max("x.scores").alias("score")), k)
+def _scored(rows: DataFrame, queries: DataFrame, blocks: int, groups: int, tile, k: int) -> DataFrame:
+    """Every query against every block of rows."""
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    rows = rows.select(part(blocks).alias("block"), F.lit(0).alias("is_query"), "id", "v").withColumn("grp", spread(groups))
+    queries = queries.select(part(groups).alias("grp"), F.lit(1).alias("is_query"), "id", "v").withColumn("block", spread(blocks))
+    met = rows.unionByName(queries).repartition("block", "grp").sortWithinPartitions("block", "grp", "is_query")
+    return ranked(met.mapInArrow(tile, "query_id long, vec_id long, score double"), k)
+
 
+def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, target: float = 0.95, block: int = 65_536, group: int = 65_536, tasks: int = 12, seed: int = 1) -> DataFrame:
+    """Each query's k rows found with the largest inner product, those of its own id left out: query_id, rank, vec_id, score.
 
-def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, probes: int = 32, part: int = 16384, seed: int = 1) -> DataFrame:
-    """Each query's k rows found with the largest inner product, itself left out: query_id, rank, vec_id, score."""
+    target: the share of the nearest that the fitted number of probes must meet. tasks: the least number of blocks.
+    """
     spark = rows.sparkSession
-    taken = lambda df, is_query: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(is_query).alias("is_query")).where(usable("v", zero=False) & F.col("id").isNotNull())
-    rows, d = of_one_size(taken(rows, False), "v")
+    taken = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(usable("v", zero=False) & F.col("id").isNotNull())
+    rows, d = of_one_size(taken(rows), "v")
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = taken(queries, True).where(F.size("v") == d)
+    queries = taken(queries).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     norms = rows.select(F.sqrt(squares).alias("norm"))
-    middle = norms.agg(F.percentile_approx("norm", 0.5)).first()[0]
+    n, middle = norms.agg(F.count("*"), F.percentile_approx("norm", 0.5)).first()
     near = F.floor(F.log("norm") / float(np.log(1.25)))
-    found = norms.groupBy(near.alias("band")).agg(F.max("norm")).collect()  # a few bands for each power of ten
-    bands = {int(b): float(m) for b, m in found}
-    index = CrossPolytope(d, 1.0, tables, seed)
-    kind = "array<float>" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "array<double>"
-    schema = f"table int, bucket int, is_query boolean, id long, v {kind}"
-    hashed = lambda df: written(df.mapInArrow(_hashed(index, probes, bands, 1.5 * middle), schema), "hashed")
-    every, asked = rows, queries
-    rows, queries = hashed(rows), hashed(queries)
-    hot = rows.groupBy("table", "bucket").count().where(F.col("count") > part).collect()  # at most tables x 2n buckets
-    parts = F.create_map(*(x for r in hot for x in (F.lit(r[0] << 20 | r[1]), F.lit(-(-r[2] // part))))) if hot else F.create_map(F.lit(-1), F.lit(1))
-    n = F.coalesce(F.try_element_at(parts, F.shiftleft("table", 20).bitwiseOR(F.col("bucket"))), F.lit(1))
-    cols = ["table", "bucket", "salt", "is_row", "id", "v"]
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("is_row", F.lit(1)).select(cols)
-    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("is_row", F.lit(0)).select(cols)
-    score = lambda rows, queries: _ranked_pairs(rows.unionByName(queries), k)
-    found = written(score(rows, queries), "found")
-    # Queries that their probes gave fewer than k meet every row once, in parts.
-    few = written(asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
-    if few.isEmpty():
+    bands = {int(b): float(m) for b, m in norms.groupBy(near.alias("band")).agg(F.max("norm")).collect()}  # a few bands for each power of ten
+    index = CrossPolytope(d, bands, 1.5 * middle, tables, 1 if n <= LARGE else 2, seed)
+    some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
+    probes = index.fitted(np.array([r["v"] for r in some], np.float64), np.array([r["id"] for r in some]), max(1, round(k * len(some) / n)), target)
+    blocks, groups = max(-(-n // block), tasks), -(-max(1, queries.count()) // group)
+    found = written(_scored(rows, queries, blocks, groups, _tiles(index, probes, k), k), "found")
+    # Queries whose probes met fewer than k rows meet every row.
+    few = written(queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
+    short = few.count()
+    if not short:
+        dropped(few)
         return found
-    n = F.lit(-(-every.count() // part))
-    at = lambda df, salt, is_row: df.select(F.lit(0).alias("table"), F.lit(0).alias("bucket"), salt.alias("salt"), F.lit(is_row).alias("is_row"), "id", "v")
-    more = score(at(every, F.pmod(F.xxhash64("id"), n).cast("int"), 1), at(few, F.explode(F.sequence(F.lit(0), n - 1)), 0))
-    return found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
+    more = _scored(rows, few, blocks, -(-short // group), _tiles(None, 0, k), k)
+    return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)

@@ -29,13 +29,8 @@ def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query its k pairs of largest score, ties to the smaller vec, each vec once."""
-    order = np.lexsort((-score, vec, query))
-    q, v = query[order], vec[order]
-    once = np.ones(len(q), bool)
-    once[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
-    order = order[once]
-    order = order[np.lexsort((vec[order], -score[order], query[order]))]
+    """Of each query its k pairs of largest score, ties to the smaller vec."""
+    order = np.lexsort((vec, -score, query))
     q = query[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))

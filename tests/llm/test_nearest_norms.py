@@ -30,5 +30,45 @@ def test_every_query_gets_all_it_is_due(spark, n):
     x = np.random.default_rng(5).normal(0, 1, (n, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<double>")
     for part in (4, 16384):
-        got = cross_polytope.nearest(df, df, part=part).collect()
+        got = cross_polytope.nearest(df, df, block=part, tasks=2).collect()
         assert len(got) == n * min(20, n - 1) and len({(r.query_id, r.vec_id) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("polytopes", [1, 2])
+def test_clusters_need_few_probes(polytopes):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (40, 30))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(0, 0.1, (1200, 30))
+    norm = np.linalg.norm(x, axis=1)
+    bands = {b: float(norm[cross_polytope._band(norm) == b].max()) for b in set(cross_polytope._band(norm).tolist())}
+    index = cross_polytope.CrossPolytope(30, bands, 1.5 * float(np.median(norm)), 8, polytopes)
+    probes = index.fitted(rng.permutation(x), np.arange(1200), 20, 0.95)
+    assert probes <= 0.2 * index.width and index.width == (2 * 32) ** polytopes
+
+
+def test_repeated_ids_and_ties(spark):
+    from tessera.llm import bit_sliced
+
+    v = [1.0, 0.5, -0.25]
+    rows = [(20, v), (20, v), (20, [9.0, 0.0, 0.0]), (7, v), (7, v), (7, [0.5, 0.5, 0.0]), (9, v), (3, v), (40, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for found in (cross_polytope.nearest(df, df.where("vec_id % 20 = 0"), k=4, tasks=2), bit_sliced.exact_top(df, df.where("vec_id % 20 = 0"), k=4)):
+        got = {q: [(r.rank, r.vec_id) for r in found.where(f"query_id = {q}").orderBy("rank").collect()] for q in (20, 40)}
+        assert got[20] == [(1, 3), (2, 7), (3, 7), (4, 9)]
+        assert [r for r, _ in got[40]] == [1, 2, 3, 4] and 40 not in {j for _, j in got[40]}
+
+
+def test_huge_components_saturate_and_widen_no_other_block(spark):
+    from tessera.llm import bit_sliced
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(60)] + [(100, [1e20] + [0.0] * 7), (101, [-3e9, 1.0] + [0.0] * 6), (102, [3e12] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    limit = 1 << (62 - 3) // 2
+    x = {i: np.floor(np.clip(64 * np.array(v), -limit, limit)).astype(object).astype(int).astype(object) for i, v in rows}
+    got = {}
+    for r in bit_sliced.exact_top(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 20, 40, 100):
+        want = sorted((-int(sum(int(a) * int(b) for a, b in zip(x[q], x[j]))), j) for j in x if j != q)[:5]
+        assert [(j, s) for _, j, s in sorted(got[q])] == [(j, -s) for s, j in want]
