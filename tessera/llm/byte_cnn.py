@@ -6,8 +6,9 @@ value in a window goes through a rectifier into a softmax layer. A text's scores
 its windows' probabilities, the last window counting by the bytes it has.
 
 Training takes a bounded sample (`per_class` texts a label, `per_text` windows of each, anywhere in
-the text) chosen by a hash of the id; prediction takes every byte of every text. Null texts and texts
-without a letter are `und` with score 0.
+the text) of every label, chosen by a hash of the id; prediction takes every byte of every text. Null texts and texts
+without a letter are `und` with score 0; of equally likely classes the first by name is told. Repeated rows are told
+alike, an empty table gives none, and columns called lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -157,19 +158,16 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 500, per_text: int = 3, window: int = 256, most_classes: int = 200, **how) -> ByteCNN | None:
-    """A network learned from about per_class texts of each of the most frequent labels; None without labelled text.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 500, per_text: int = 3, window: int = 256, **how) -> ByteCNN | None:
+    """A network learned from about per_class texts of each label; None without labelled text.
 
-    What comes to the driver is at most most_classes x per_class x per_text windows.
+    What comes to the driver is about per_class x per_text windows of `window` characters for each label.
     """
     known = docs.where(~held_out(doc_id) & F.col(label).isNotNull() & (F.length(text) > 0))
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
-    if not counts:
-        return None
+    counts = known.groupBy(F.col(label).alias("of_label")).agg((F.lit(1.2 * per_class) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit("fit"), doc_id, F.length(text)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 1.2 * per_class / r[1])))))
     at = [F.pmod(F.xxhash64(F.lit(i), doc_id), F.greatest(F.length(text) - window // 2, F.lit(1))).cast("int") + 1 for i in range(per_text)]
-    rows = known.where(draw < share[F.col(label)]).select(F.col(label).alias("label"), draw.alias("draw"), F.array(*(F.substring(F.col(text), a, F.lit(window)) for a in at)).alias("parts")).collect()
+    rows = known.select(doc_id, text, label).join(counts, F.col(label) == F.col("of_label")).where(draw < F.col("share")).select(F.col(label).alias("label"), draw.alias("draw"), F.array(*(F.substring(F.col(text), a, F.lit(window)) for a in at)).alias("parts")).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["parts"])):
         by.setdefault(r["label"], []).append(r["parts"])
@@ -188,7 +186,12 @@ def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> Data
 
 
 def known_language(docs: DataFrame, model: ByteCNN | None, text: str = "text", least: float = 0.4) -> DataFrame:
-    """docs whose language is told with a score of at least `least`; the columns stay as they are."""
+    """docs whose language is told with a score of at least `least`; the columns stay as they are.
+
+    Without a model no language can be told, and only texts without a letter go.
+    """
+    if model is None:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     whole, t = fresh(docs, "whole"), F.col(text)
     got = identify(docs.select(F.struct(*docs.columns).alias(whole), t.alias(f"{whole}_text")), model, f"{whole}_text")
     return got.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(f"{whole}.*")

@@ -6,9 +6,10 @@ make one. So that the formatted text is safe as text too, control strings in tex
 every `<|` is written `<||`. The loss mask is 1 on the ids of assistant texts: +1 at a segment's first
 id and -1 behind its last, summed up.
 
-Null roles and texts are empty; a null conv_id is a conversation of its own; equal turns keep an order by
-role and text. Turns are formatted one by one, in parallel; only the digests read a conversation in order,
-as a stream, so a conversation of any length fits.
+Null roles and texts are empty; a null conv_id is a conversation of its own; rows with one turn number keep an order by
+a hash of role and text. Turns are formatted and read back one by one, in parallel; only the digests go over a
+conversation's texts in order, as a stream in one task, so a conversation of any length fits and the longest one bounds the time.
+Columns called ids or loss_mask are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -105,28 +106,14 @@ def placed(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> Da
     return turns.withColumn("first_token", F.coalesce(F.sum(F.size("ids")).over(order), F.lit(0)))
 
 
-class _Reader:
-    """Reads one conversation's ids back, turn by turn."""
-
-    def __init__(self, code: Coder):
-        self.code, self.n, self.chars, self.formatted = code, 0, 0, 0
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-
-    def take(self, ids: list[int], mask: list[int]) -> None:
-        code = self.code
-        body = ids[1 : ids.index(code.end)]
-        seen = code.text(body)
-        head, _, text = seen.partition("\n")
-        role = unescaped(head.replace("\\\\", "\0").replace("\\n", "\n").replace("\0", "\\") if "\0" not in head else _plain(head))
-        self.turns.update(f"{role}\n{unescaped(text)}\n".encode())
-        counted = unescaped(code.text([i for i, m in zip(ids, mask, strict=True) if m]))
-        self.loss.update(counted.encode())
-        self.n += 1
-        self.chars += len(counted)
-        self.formatted += len(START) + len(seen) + len(END) + len(code.text(ids[ids.index(code.end) + 1 :]))
-
-    def row(self) -> tuple:
-        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.formatted
+def read_back(code: Coder, ids: list[int], mask: list[int]) -> tuple[str, str, int]:
+    """(role, line break, text, line break; what the loss mask covers; characters as formatted) of one formatted turn."""
+    end = ids.index(code.end)
+    seen = code.text(ids[1:end])
+    head, _, text = seen.partition("\n")
+    role = unescaped(head.replace("\\\\", "\0").replace("\\n", "\n").replace("\0", "\\") if "\0" not in head else _plain(head))
+    counted = unescaped(code.text([i for i, m in zip(ids, mask, strict=True) if m]))
+    return f"{role}\n{unescaped(text)}\n", counted, len(START) + len(seen) + len(END) + len(code.text(ids[end + 1 :]))
 
 
 def _plain(head: str) -> str:
@@ -142,34 +129,51 @@ def _plain(head: str) -> str:
     return "".join(out)
 
 
-def _digests(path: str):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-
+def _read_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, now, reader = coder(path), None, None
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
+        code = coder(path)
         for batch in batches:
-            done = []
-            for conv, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_mask")), strict=True):
-                if reader is None or conv != now:
-                    if reader:
-                        done.append((now, *reader.row()))
-                    now, reader = conv, _Reader(code)
-                reader.take(ids, mask)
-            if done:
-                yield made(done)
-        if reader:
-            yield made([(now, *reader.row())])
+            out = [read_back(code, ids, mask) for ids, mask in zip(batch.column("ids").to_pylist(), batch.column("loss_mask").to_pylist(), strict=True)]
+            said, counted, size = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "tie")), pa.array(said, pa.string()), pa.array(counted, pa.string()), pa.array(size, pa.int64())], ["conv_id", "turn", "tie", "said", "counted", "size"])
 
     return run
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums up and hashes the turns of a partition sorted by conversation, as a stream."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    now, state = None, None
+
+    def row() -> tuple:
+        n, turns, chars, loss, size = state
+        return now, n, turns.hexdigest(), chars, loss.hexdigest(), size
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        done = []
+        for conv, said, counted, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "said", "counted", "size")), strict=True):
+            if state is None or conv != now:
+                if state:
+                    done.append(row())
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            state[1].update(said.encode())
+            state[3].update(counted.encode())
+            state[0], state[2], state[4] = state[0] + 1, state[2] + len(counted), state[4] + size
+        if done:
+            yield made(done)
+    if state:
+        yield made([row()])
+
+
 def digests(rows: DataFrame, path: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row a conversation, read back from its formatted ids: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    rows = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.xxhash64(role, text).alias("tie"), F.col(role).alias("role"), F.col(text).alias("text"))
-    turns = formatted(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
-    return turns.select("conv_id", "ids", "loss_mask").mapInArrow(_digests(path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.sha2(F.concat_ws("\n", F.coalesce(F.length(role), F.lit(-1)).cast("string"), F.coalesce(role, F.lit("")), F.coalesce(F.length(text), F.lit(-1)).cast("string"), F.coalesce(text, F.lit(""))), 256).alias("tie"), F.col(role).alias("role"), F.col(text).alias("text"))
+    turns = formatted(rows, path)  # read back turn by turn before anything is shuffled
+    kind = turns.schema["turn"].dataType.simpleString()
+    turns = turns.mapInArrow(_read_rows(path), f"conv_id long, turn {kind}, tie string, said string, counted string, size long")
+    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+    return turns.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

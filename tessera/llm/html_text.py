@@ -7,11 +7,17 @@ within main text, and the labelling with the largest likelihood under that rule
 ancestor and descendant contradict each other. The text of main nodes is the result.
 
 The trees learn from pages made here (page_templates.py) with known parts, a bounded, seeded sample.
-Null and empty pages, and pages without main text, give the empty text.
+
+Null and empty pages, and pages without main text, give the empty text; an empty table gives none; repeated rows are
+pages of their own. Reading takes time in proportion to the page, however long or broken: a quote counts only as
+an attribute's value, one that nothing ends counts as a letter, and a tag or comment that nothing ends takes the rest
+of the page with it, as browsers have it. Pictures (svg) and what a page never shows aren't text; fallbacks of
+embedded things and formulas are. A column called text or n_chars is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
@@ -25,20 +31,25 @@ from pyspark.sql import types as T
 from .boosting import BoostedTrees
 from .common import fresh, others, plus, text_or_empty
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration, or a tag with its slash, name, attributes and end. Nothing is looked at twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(>|\Z)", re.S)
 _CLASSES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.!?]")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark noscript object picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
+#: Formulas: part of the text around them.
+INLINE |= frozenset("math mfrac mi mn mo mover mrow mspace msqrt mroot msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style template textarea title noscript iframe object svg math canvas video audio select button datalist".split())
+RAW = frozenset("script style template textarea title iframe svg select button datalist".split())
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these kinds, up to one of the others.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+#: Elements deeper than this follow each other instead, as in browsers; their text stays.
+DEPTH = 512
 #: Kinds of tags; each is a feature.
 KINDS = ["article main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "aside", "header", "footer", "form fieldset", "table tbody tr td th", "blockquote pre", "figure figcaption", "body html", "#text"]
 KIND = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
@@ -81,6 +92,8 @@ class Page:
         self.parent, self.tag, self.bits = [-1], ["body"], [0]
         self.runs: list[tuple[int, str, int]] = []
         stack, names = [0], ["body"]
+        open_: dict[str, int] = {}
+        unended: set[str] = set()
         text: list[str] = []
         linked, links, pos, end = 0, 0, 0, len(source)
 
@@ -96,6 +109,8 @@ class Page:
 
         def close(upto: int) -> None:
             flush()
+            for gone in names[upto:]:
+                open_[gone] -= 1
             del stack[upto:], names[upto:]
 
         find = _TOKEN.search
@@ -112,12 +127,14 @@ class Page:
             name = m[2]
             if name is None:
                 continue
+            if not m[4]:
+                break
             name = name.lower()
             if m[1]:
                 if name in INLINE:
                     links = max(0, links - 1) if name == "a" else links
-                elif name in names[1:]:
-                    close(len(names) - 1 - names[::-1].index(name))
+                elif open_.get(name):
+                    close(next(i for i in range(len(names) - 1, 0, -1) if names[i] == name))
                     links = 0
             elif name in INLINE:
                 if name == "a":
@@ -125,11 +142,14 @@ class Page:
                 elif name == "br":
                     text.append(" ")
             elif name in RAW:
-                stop = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, pos) if m[3][-1:] != "/" else None
+                whole = m[3][-1:] != "/" and name not in unended
+                stop = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, pos) if whole else None
                 if stop:
                     pos = stop.end()
-                elif m[3][-1:] != "/" and name in ("script", "style", "textarea", "title"):
+                elif whole and name in ("script", "style", "textarea", "title"):
                     break
+                elif whole:
+                    unended.add(name)
                 text.append(" ")
             elif name in VOID:
                 if name == "hr":
@@ -141,7 +161,7 @@ class Page:
             else:
                 if name in ENDS_P and names[-1] == "p":
                     close(len(names) - 1)
-                elif name in IMPLIED:
+                elif name in IMPLIED and any(open_.get(k) for k in IMPLIED[name][0]):
                     kinds, stops = IMPLIED[name]
                     for i in range(len(names) - 1, 0, -1):
                         if names[i] in stops:
@@ -149,6 +169,8 @@ class Page:
                         if names[i] in kinds and (name != "tr" or names[i] == "tr"):
                             close(i)
                             break
+                if len(names) > DEPTH:
+                    close(DEPTH)
                 flush()
                 links = 0
                 self.parent.append(stack[-1])
@@ -156,6 +178,7 @@ class Page:
                 self.bits.append(attribute_kinds(m[3]) if m[3] else 0)
                 stack.append(len(self.tag) - 1)
                 names.append(name)
+                open_[name] = open_.get(name, 0) + 1
         flush()
         self._own_text_nodes()
 
@@ -257,8 +280,9 @@ class Page:
         return "\n\n".join(run for node, run, _ in self.runs if main[node])
 
 
+@functools.lru_cache(4)
 def fit(pages: int = 900, seed: int = 20) -> BoostedTrees:
-    """Trees learned from `pages` made pages."""
+    """Trees learned from `pages` made pages, once a session."""
     from .page_templates import labelled_pages
 
     x, y = [], []

@@ -9,7 +9,8 @@ the target is met. At most one document a source is taken in part (`partial`), o
 Nothing of a source is gathered: sizes are summed by hash bucket, which finds the bucket where a
 target is met; only that bucket, one of `buckets`, is put in order. Null texts are empty and have size 0; null
 sources are a source of their own, last in order. Equal rows are taken alike (they tie in the hash
-order and then by size), so reruns agree.
+order, then by size, id and the text's hash), so reruns agree. Only sizes and hashes of texts are shuffled, so long texts
+cost nothing but their reading; an empty table gives none; other columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def mix(rows: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
     ahead = written(ahead.select(F.col(source).alias("s_source"), F.col("slot").alias("s_slot"), "source_size", "target", "whole", "need", "ahead", (F.col("ahead") + F.col("slot_size")).alias("upto")), "ahead")
     out = rows.join(ahead, F.col(source).eqNullSafe(F.col("s_source")) & (F.col("slot") == F.col("s_slot")))
     split = (F.col("ahead") < F.col("need")) & (F.col("need") < F.col("upto"))
-    order = Window.partitionBy(source, "slot").orderBy("draw", "size", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(source, "slot").orderBy("draw", "size", doc_id, *(["tag"] if "tag" in have else [])).rowsBetween(Window.unboundedPreceding, -1)
     cut = out.where(split).withColumn("left", F.col("need") - F.col("ahead") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     rest = out.where(~split).withColumn("left", F.when(F.col("upto") <= F.col("need"), F.col("size")).otherwise(F.lit(0)))
     out = rest.unionByName(cut).withColumn("extra", F.least("size", F.greatest("left", F.lit(0))))

@@ -6,7 +6,8 @@ segmenting each distinct marked word once and joining ids by position gives the
 A task keeps the table over its batches, up to `most` chunks; ids come from the library, and each
 chunk's text comes from the library's decode of its ids.
 
-Null texts are empty and have no ids. Very long chunks are encoded but not kept.
+Null texts are empty and have no ids. Very long chunks are encoded but not kept. Repeated rows are encoded
+alike, an empty table gives none, and columns with a result's name are replaced.
 """
 
 from __future__ import annotations

@@ -9,60 +9,36 @@ The grid cuts the 32 coordinates into `distance` + `spare` blocks. Embeddings at
 `distance` differ in so many blocks at most, so they share a cell in the grid over some `spare`
 blocks: each fingerprint goes into one cell for each choice of them. Pairs of a cell must pass the
 Manhattan bound and then the exact Hamming distance. Texts with one fingerprint are one node; only
-distinct fingerprints go into cells. A large cell gives a spanning forest of its links instead of all of
-them: its components are the same, and its links are fewer than its members.
+distinct fingerprints go into cells. `spare` grows with their number, so cells stay small. A large cell gives a
+spanning forest of its links instead of all of them: its components are the same, and its links are fewer than its
+members. A very large cell is cut further by the blocks it doesn't fix, on the same ground.
+
+one_of_each() with a `similarity` goes by that of the shingle sets instead (simhash_similar).
 
 Words are runs of non-white space with A-Z lower-cased. Null and wordless texts have the fingerprint
-zero, linked like any other; texts of fewer words than a shingle are one shingle. A null id never
-names a group unless all ids of the group are null.
+zero, linked like any other; texts of fewer words than a shingle are one shingle; a very long text is
+held whole, about 60 bytes a word, in one task. A null id never names a group unless all ids of the group are null.
+Repeated rows are members of their group. An empty table gives none. Columns may have any names; one_of_each() keeps them all.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty, written
+from . import simhash_similar
+from .common import dropped, fresh, text_or_empty, written
 from .components import components
+from .shingles import fingerprint
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
-#: Row v: the bits of the byte v, lowest first.
-_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 EVEN = 0x5555555555555555
 
 
-def shingle_hashes(raw: bytes, words: int, seed: int) -> list[int]:
-    found = [w for w in _SPLIT.split(raw.translate(_LOWER)) if w]
-    if not found:
-        return []
-    line = b" ".join(found)
-    if len(found) <= words:
-        return [xxhash.xxh64_intdigest(line, seed)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(sizes)
-    starts, ends = (ends - sizes).tolist(), (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)]
-
-
-def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
-    hashes = shingle_hashes(raw, words, seed)
-    n = len(hashes)
-    if not n:
-        return 0
-    each = np.array(hashes, np.uint64).view(np.uint8).reshape(n, 8)
-    ones = np.concatenate([np.bincount(each[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
-
-
 def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +87,25 @@ def spanning(prints: np.ndarray, marks: np.ndarray, distance: int) -> tuple[np.n
     return tuple(np.concatenate(e) if e else np.zeros(0, np.uint64) for e in ends)
 
 
-def _links(distance: int, small: int = 24):
+def within(prints: np.ndarray, marks: np.ndarray, distance: int, free: int, full: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """spanning() of a cell of any size: above `full` members, the segments that the cell doesn't fix (`free`: their bits) are cut into
+    distance + 1 blocks, one of which any two embeddings within the distance share."""
+    segments = [3 << 2 * i for i in range(32) if free >> 2 * i & 1]
+    if len(prints) <= full or len(segments) <= distance:
+        return spanning(prints, marks, distance)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in np.array_split(np.arange(len(segments)), distance + 1):
+        mask = sum(segments[i] for i in block.tolist())
+        key = marks & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                ends.append(within(prints[order[a:b]], marks[order[a:b]], distance, free & ~mask, full))
+    return tuple(np.concatenate(e) if ends else np.zeros(0, np.uint64) for e in (zip(*ends, strict=True) if ends else ((), ())))
+
+
+def _links(masks: list[int], distance: int, small: int = 24):
     """Links of each cell of a sorted partition: all of a small cell's, a spanning forest of a larger one's."""
 
     def settle(t: np.ndarray, cell: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +115,7 @@ def _links(distance: int, small: int = 24):
         cut = np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1])) + 1
         first = np.concatenate([[0], cut])
         sizes = np.diff(np.append(first, len(f)))
-        out = [spanning(f[a : a + n], marks[a : a + n], distance) for a, n in zip(first[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)]
+        out = [within(f[a : a + n], marks[a : a + n], distance, ~masks[t[a]] & (1 << 64) - 1) for a, n in zip(first[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)]
         run, of = np.repeat(np.arange(len(first)), sizes), np.repeat(sizes, sizes)
         for step in range(1, small):
             a = np.flatnonzero((run[step:] == run[:-step]) & (of[step:] <= small))
@@ -159,23 +153,32 @@ def _links(distance: int, small: int = 24):
     return run
 
 
-def links(prints: DataFrame, f: str = "f", distance: int = 4, spare: int = 3) -> DataFrame:
+def spare_blocks(n: int) -> int:
+    """Blocks that make a cell, so that n distinct fingerprints are some to a cell: 3 up to 2 ** 24, 4, 5 and 6 beyond."""
+    return 3 + sum(n > 1 << bits for bits in (24, 28, 31))
+
+
+def links(prints: DataFrame, f: str = "f", distance: int = 4, spare: int | None = None) -> DataFrame:
     """(fa, fb): links between distinct fingerprints at Hamming distance 1 to `distance` that connect whatever all such links connect."""
-    masks = F.array(*(F.lit(m).cast("long") for m in grid_masks(distance, spare)))
-    cells = prints.select(F.col(f).alias("f"), embedded(f).alias("e")).distinct().select("f", "e", F.posexplode(masks).alias("t", "m"))
+    distinct = prints.select(F.col(f).alias("f")).distinct()
+    found = grid_masks(distance, spare or spare_blocks(distinct.count()))
+    masks = F.array(*(F.lit(m).cast("long") for m in found))
+    cells = distinct.select("f", embedded("f").alias("e")).select("f", "e", F.posexplode(masks).alias("t", "m"))
     cells = cells.select("t", F.col("e").bitwiseAND(F.col("m")).alias("cell"), "f")
-    return cells.repartition("t", "cell").sortWithinPartitions("t", "cell").mapInArrow(_links(distance), "fa long, fb long")
+    return cells.repartition("t", "cell").sortWithinPartitions("t", "cell").mapInArrow(_links(found, distance), "fa long, fb long")
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str, words: int, distance: int, seed: int) -> DataFrame:
     """(id, tag: a hash of the text, f: its fingerprint, component, component_id) of each document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text_or_empty(text).alias("t"))
     rows = written(rows.mapInArrow(_fingerprints(words, seed), "id long, tag long, f long"), "fingerprints")
-    nodes = rows.groupBy("f").agg(F.min("id").alias("least"))
+    nodes = written(rows.groupBy("f").agg(F.min("id").alias("least")), "nodes")
     comp = components(links(nodes, "f", distance), "fa", "fb")
     # A component's name comes from ids, not from fingerprints: the least id over its nodes.
-    named = nodes.join(comp, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(nodes.join(comp, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("component")), "named")
+    dropped(nodes)
+    # Sums are written before they are joined: a join right above a sum can't split its hot keys.
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     return rows.join(named.join(least, "component").select("f", "component", "component_id"), "f", "left")
 
 
@@ -195,6 +198,14 @@ def least_rows(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Data
     return kept.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(f"{key}_row")).select(f"{key}_row.*")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one row left of each group, that with the smallest id (null ids last, then by text hash and row); all columns stay."""
-    return least_rows(docs, labelled(docs, doc_id, text, words, distance, seed), doc_id, text)
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, seed: int = 42, similarity: tuple[int, int] | None = None, samples: int = 20, rows: int = 4, small: int = 24, tile: int = 2_000_000) -> DataFrame:
+    """docs with one row left of each group, that with the smallest id (null ids last, then by text hash and row); all columns stay.
+
+    Groups are linked by fingerprints within `distance`, or, with a `similarity` such as (4, 5), by the Jaccard similarity of the shingle
+    sets, for which samples, rows, small and tile are simhash_similar's.
+    """
+    if similarity:
+        found = simhash_similar.labelled(docs, doc_id, text, words, similarity, samples, rows, seed, small, tile)
+    else:
+        found = labelled(docs, doc_id, text, words, distance, seed)
+    return least_rows(docs, found, doc_id, text)

@@ -7,8 +7,9 @@ batch's keys are looked up by one vectorised binary search, and a hit counts onl
 is the same, so colliding digests do no harm. The longest fitting rule wins (of equally long ones that with the longer
 host); without one a url is allowed.
 
-The file travels by the session's file distribution, not by a shared path. Null urls and urls without
-`://` have an empty host and path, and no rule fits them.
+The file travels by the session's file distribution, not by a shared path, once for each application and set of
+rules. Null urls and urls without `://` have an empty host and path, and no rule fits them. Very long urls are matched
+whole; repeated rows are judged alike; an empty table gives none; columns with a result's name are replaced.
 """
 
 from __future__ import annotations

@@ -173,7 +173,7 @@ def test_groups_are_those_of_brute_force(spark):
     prints = {i: brute_fingerprint(t) for i, t, _, _ in rows}
     assert {i: int(r.fingerprint, 16) for i, r in got.items()} == prints
     assert {i: r.component_id for i, r in got.items()} == brute_components(prints)
-    kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA), words=4).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(brute_components(prints).values()))
 
 
@@ -216,6 +216,32 @@ def test_spanning_links_of_a_ball():
     assert len(a) == len(ball) - 1 and (np.bitwise_count(a ^ b) <= 4).all()
 
 
+def test_a_full_cell_is_cut_further():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 3, np.uint64)
+    ball = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 150, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150, np.uint64)) for b in base]))
+    high = ball >> np.uint64(1)
+    even = np.uint64(simhash_dedup.EVEN)
+    marks = ((ball | high) & even) | ((ball & high) & even) << np.uint64(1)
+    a, b = simhash_dedup.within(ball, marks, 4, (1 << 64) - 1, full=20)
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+
+    def groups(x, y):
+        up = {p: p for p in ball.tolist()}
+
+        def top(p):
+            while up[p] != p:
+                p = up[p]
+            return p
+
+        for p, q in zip(x.tolist(), y.tolist()):
+            up[max(top(p), top(q))] = min(top(p), top(q))
+        return {p: top(p) for p in up}
+
+    assert groups(a, b) == groups(*simhash_dedup.spanning(ball, marks, 4))
+    assert [simhash_dedup.spare_blocks(n) for n in (10, 1 << 24, (1 << 24) + 1, 1 << 30, 1 << 32)] == [3, 3, 4, 5, 6]
+
+
 def test_near_dedup_of_repeated_and_null_rows(spark):
     rows = [(5, "a b c d e", "x", "y"), (5, "a b c d e", "x", "y"), (None, "a b c d e", None, None), (None, "other words are these here", None, None), (9, None, None, None)]
     kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA))

@@ -211,3 +211,29 @@ def test_clashing_columns_are_replaced_or_kept(spark, trees):
     chats = spark.createDataFrame([(1, 0, "assistant", "hi", "x", "x", "x")], "conv_id long, turn long, role string, text string, r string, t string, ids string")
     out = chat_format.formatted(chats, queries.tokenizer(queries.CHAT_BPE)).first()
     assert (out.r, out.t) == ("x", "x") and isinstance(out.ids, list)
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a =">" ', "<!", "<!--", "<select>", "<div>", "</x>", "<td><div>", "<li><div></x>", "<p title='"])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    def took(size):
+        start = time.perf_counter()
+        html_text.Page(piece * (size // len(piece))).features()
+        return time.perf_counter() - start
+
+    took(10_000)
+    assert took(1_000_000) < 20
+
+
+def test_odd_quotes_and_fallbacks():
+    runs = lambda s: [r for _, r, _ in html_text.Page(s).runs]
+    assert runs("<p title='it's'>hello</p><p class=\"x>y\">more</p>") == ["hello", "more"]
+    assert runs("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object>a picture</object></p><p>3 < 4</p>") == ["so x=1 and a picture", "3 < 4"]
+    assert runs("kept<!-- gone <p>gone") == ["kept"] and runs("kept <p class='a") == ["kept"]
+    assert runs("<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>after") == ["deep", "after"]
+
+
+def test_pages_without_rows(spark):
+    none = spark.createDataFrame([], "page_id long, html string, text string")
+    assert html_text.extracted(none, html_text.fit()).columns == ["page_id", "text", "n_chars"] and html_text.extracted(none, html_text.fit()).count() == 0

@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import byte_cnn, mixing, pieces, queries
-from tests.llm.test_dedup import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_kept
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,8 +173,7 @@ def test_pipeline_is_that_of_brute_force(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     known = {r.doc_id: r for r in byte_cnn.identify(docs.select("doc_id", "text"), byte_cnn.fit(docs)).collect()}
     stay = {i for i, r in known.items() if r.lang_pred != "und" and r.score >= 0.4}
-    comp = brute_components({i: brute_fingerprint(rows[i].text) for i in stay})
-    stay = sorted(i for i in stay if comp[i] == i)
+    stay = sorted(brute_kept((i, rows[i].text) for i in stay))
     text = dict(zip(stay, cut_repeats([rows[i].text for i in stay])))
     sizes = {}
     for i in stay:
@@ -202,3 +202,48 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "clash"])
+def test_pipeline_of_odd_tables(spark, tmp_path, kind):
+    """Empty and null-only tables, and further columns with names that stages use, end to end."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    if kind == "empty":
+        made = docs.limit(0)
+    elif kind == "nulls":
+        made = docs.limit(5).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes))
+    else:
+        made = docs.limit(40).withColumns({c: F.lit("x") for c in ("k1", "k2", "spans", "size", "tag", "id", "component", "lang_pred", "score", "t", "copies")})
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    n = out.count()
+    assert n == 0 if kind != "clash" else n > 0
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_probabilities_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    samples = [bytes(rng.choice(list(b"abcde "), 90).tolist()) for _ in range(30)] + [bytes(rng.choice(list(b"vwxyz "), 90).tolist()) for _ in range(30)]
+    model = byte_cnn.ByteCNN.train(samples, ["a"] * 30 + ["z"] * 30, window=64, epochs=2)
+
+    def window(row):
+        top = [max(sum(table[i][row[at + i]][f] for i in range(w)) for at in range(len(row) - w + 1)) for w, table in zip(model.widths, model.tables) for f in range(table.shape[2])]
+        z = np.maximum(np.array(top) + model.bias, 0) @ model.out + model.out_bias
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    raw = samples[0] + samples[40] + b"tail"
+    rows, share = byte_cnn.windows_of(raw, 64, max(model.widths) - 1)
+    want = np.stack([window(r.tolist()) for r in rows])
+    assert np.allclose(model.probabilities(rows, model.lookups()), want, atol=1e-5)
+    step = 64 - (max(model.widths) - 1)
+    assert [r.tolist() for r in rows] == [list(raw[i * step : i * step + 64].ljust(64, b"\0")) for i in range(len(rows))]
+    assert share.sum() == len(raw) - (max(model.widths) - 1)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, "αβγδ εζηθ " * 9 if i % 300 == 1 else f"plain words number {i} " * 5, f"l{i % 300}") for i in range(900)]
+    model = byte_cnn.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=2, epochs=1)
+    assert len(model.classes) > 250
+    none = spark.createDataFrame([(1, "words", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert byte_cnn.fit(none) is None and [r.doc_id for r in byte_cnn.known_language(none, None).collect()] == [1]
