@@ -74,6 +74,16 @@ def shared_keys(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     return test.select(key).intersect(train.select(key))
 
 
+def all_values(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct values of either table; a null counts as a value."""
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def first_examples(rows: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """The k rows whose paths come first: a top-k, not a sort of all rows."""
+    return rows.orderBy(path).limit(k)
+
+
 def ordinal(rows: DataFrame, column: str, name: str) -> DataFrame:
     """rows with the place of their value among the sorted distinct ones, from 0; nulls are a value of their own, last."""
     codes = dense_places(rows, column, name).withColumn(name, F.col(name).cast("int"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,9 @@ def effect_sizes(long: DataFrame, name: str = "name", label: str = "label", x: s
 
 def top(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(k)
+
+
+def placed(report: DataFrame, by: str, tie: str, descending: bool = False, name: str = "place") -> DataFrame:
+    """A report's rows with their place, from 1, in the order it is shown in. For tables of a few rows, such as a row a variant or block."""
+    first = F.round(by, 12)
+    return report.withColumn(name, F.row_number().over(Window.orderBy(first.desc() if descending else first.asc(), tie)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, step: str) -> str:
-    """A new path in the folder that executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that executors share: spark.checkpoint.dir; where that is unset, the warehouse, or on one machine a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tessera-{step}-{uuid.uuid4().hex}"
 
 

@@ -413,6 +413,31 @@ def worst_variant(spark, sf_dir):
     return audit.worst_variant(audit.flip_table(b.variant_scores(spark, sf_dir), control="view", gate=1.0), "view").select("variant", "flip_rate")
 
 
+@query(f"WITH {LOGS}, r AS (SELECT variant, avg((p >= 0.5)::INT) AS flip FROM variants GROUP BY 1) SELECT variant, {R6('flip')} AS flip_rate, (row_number() OVER (ORDER BY round(flip, 12), variant))::INT AS place FROM r")
+def flip_report(spark, sf_dir):
+    """Variants in the order of a report: the least flips first."""
+    return stats.placed(audit.flip_table(b.variant_scores(spark, sf_dir), control="view"), "flip_rate", "variant").select("variant", "flip_rate", "place")
+
+
+@query(f"WITH {_SHIFT}, blocks AS (SELECT col0 // 8 AS block, avg(shift) AS shift FROM f WHERE set = 0 GROUP BY 1) SELECT block, {R6('shift')} AS shift, (row_number() OVER (ORDER BY round(shift, 12) DESC, block))::INT AS place FROM blocks")
+def block_report(spark, sf_dir):
+    """Blocks in the order of a report: the largest shift first."""
+    blocks = spark.range(64).select(F.col("id").cast("int").alias("col0"), F.floor(F.col("id") / 8).cast("int").alias("block"))
+    return stats.placed(audit.block_shift(_shift(spark, sf_dir).where("set = 0"), blocks), "shift", "block", descending=True).select("block", "shift", "place")
+
+
+@query(f"WITH {FILES}, p AS (SELECT stem || '_' || doc_id || '.' || ext AS path FROM files) SELECT path FROM p ORDER BY path LIMIT 5")
+def first_examples(spark, sf_dir):
+    rows = b.file_records(spark, sf_dir).select(F.concat("stem", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), "ext").alias("path"))
+    return names.first_examples(rows, "path")
+
+
+@query("SELECT source FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE lang = 'de'")
+def all_values(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents")
+    return names.all_values(docs.where("lang = 'en'"), docs.where("lang = 'de'"), "source")
+
+
 @query("SELECT c AS \"check\", value, least, value >= least AS ok FROM (SELECT 'documents' AS c, count(*) AS value, 200 AS least FROM documents UNION ALL SELECT 'benchmark', count(*), 1000000 FROM benchmark)")
 def setup_counts(spark, sf_dir):
     rows = lambda name, least: b.table(spark, sf_dir, name).agg(F.lit(name).alias("check"), F.count("*").alias("value"), F.lit(least).alias("least"))
