@@ -51,7 +51,7 @@ def test_vector_width_and_luminance():
     rng = np.random.default_rng(0)
     v = feat.vector(rng.integers(0, 256, (300, 280, 3)).astype(np.uint8))
     assert v.shape == (WIDTH,) == (len(feature_names()),) and np.isfinite(v).all()
-    assert feature_names()[94][2] == "R_cD1_std"
+    assert feature_names()[94][2] == "wavelet cD1 std (red)"
     red = np.zeros((1, 1, 3))
     red[..., 0] = 255
     assert feat.luminance(red)[0, 0] == 76
