@@ -162,7 +162,8 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.
     """Order of the suffixes data[start:end] by group, then content; and each one's common extension with the one before it (0 in another group).
 
     A mergesort from the bottom up over all groups at once: every element finds its place in the sibling
-    run by binary search, and one comparison takes a logarithmic number of hash look-ups.
+    run by binary search, and one comparison takes a logarithmic number of hash look-ups. Where hashes that
+    collide send two suffixes to one place, or the bytes show neighbours in the wrong order, the group is sorted by its bytes.
     """
     prefix, n = prefix_hashes(data), len(start)
     order = np.argsort(group, kind="stable")
@@ -170,7 +171,7 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.
     base = np.repeat(np.cumsum(counts) - counts, counts)  # where the group begins
     size = np.repeat(counts, counts)
     at = np.arange(n) - base
-    width = 1
+    width, failed = 1, np.zeros(n, bool)  # failed: places of groups that comparisons didn't order
     while n and width < counts.max():
         run = at // width
         sibling = run ^ 1
@@ -190,24 +191,32 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.
             low[active] = np.where(before, mid + 1, low[active])
             high[active] = np.where(before, high[active], mid)
         place = base + (run & ~1) * width + (at - run * width) + (low - first)
-        out = np.empty_like(order)
+        twice = np.bincount(place, minlength=n) != 1
+        if twice.any():
+            failed |= np.isin(base, base[twice])
+        place = np.where(failed, base + at, place)  # a failed group stays as it is
+        out = order.copy()
         out[place] = order
         order, width = out, width * 2
-    for _ in range(2):
+
+    def by_bytes(bases: np.ndarray) -> None:
+        for b in np.unique(bases).tolist():
+            i = np.flatnonzero(base == b)
+            order[i] = sorted(order[i].tolist(), key=lambda z: data[start[z] : end[z]].tobytes())
+
+    by_bytes(base[failed])
+    while True:
         lcp = np.zeros(n, np.int64)
         same = np.flatnonzero(group[order[1:]] == group[order[:-1]])
         x, y = order[same], order[same + 1]
         room = np.minimum(end[x] - start[x], end[y] - start[y])
         k = lcp[same + 1] = extensions(data, prefix, start[x], start[y], room)
-        # An order is right if each neighbour is: hashes that collided show here, and their groups are sorted by the bytes.
+        # An order is right if each neighbour is.
         at_x, at_y = (data[np.minimum(start[z] + k, max(0, len(data) - 1))] for z in (x, y))
         bad = np.where(k < room, at_x > at_y, end[x] - start[x] > end[y] - start[y])
         if not bad.any():
-            break
-        for g in np.unique(group[x[bad]]).tolist():
-            i = np.flatnonzero(group[order] == g)
-            order[i] = sorted(order[i].tolist(), key=lambda z: data[start[z] : end[z]].tobytes())
-    return order, lcp
+            return order, lcp
+        by_bytes(base[same[bad]])
 
 
 def farthest(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:

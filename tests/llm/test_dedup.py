@@ -258,3 +258,28 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_spans_merge():
     assert suffix_dedup.merge_spans([(5, 9), (1, 3), (3, 4), (8, 12)]) == [(1, 4), (5, 12)]
     assert F is not None
+
+
+@pytest.mark.parametrize("bits", [*range(9), 64])
+def test_suffix_sort_under_colliding_hashes(monkeypatch, bits):
+    """Whatever hashes propose, an order is a permutation, sorted by the bytes, with the bytes' own extensions."""
+    true = suffix_dedup.windows_hashes
+    monkeypatch.setattr(suffix_dedup, "windows_hashes", lambda *a: true(*a) & np.uint64((1 << bits) - 1))
+    for seed in range(100):
+        rng = np.random.default_rng(seed)
+        data = rng.integers(97, 99, 200).astype(np.uint8)
+        n = int(rng.integers(1, 60))
+        start = rng.integers(0, 170, n)
+        end = start + rng.integers(0, 31, n)
+        group = rng.integers(0, 3, n)
+        order, lcp = suffix_dedup.suffix_sort(data, start, end, group)
+        raw = [(int(g), data[a:b].tobytes()) for g, a, b in zip(group, start, end)]
+        assert sorted(order.tolist()) == list(range(n)) and [raw[i] for i in order] == sorted(raw)
+        for i in range(1, n):
+            (g, x), (h, y) = raw[order[i - 1]], raw[order[i]]
+            assert lcp[i] == (next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) if g == h else 0)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4, 5, 6, 7, 8])
+def test_buckets_under_more_colliding_hashes(monkeypatch, bits):
+    test_bucket_of_colliding_hashes(monkeypatch, bits)
