@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, byte_cnn, chat_format, cross_polytope, html_text, mixing, pieces, simhash_dedup, suffix_dedup, url_filter
+from . import bit_sliced, byte_cnn, chat_format, cross_polytope, hamerly, html_text, mixing, pieces, simhash_dedup, suffix_dedup, url_filter
 from .common import table
 
 
@@ -70,7 +70,34 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_text.fit())
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_pieces, op4_url_filter, op5_language_id, op6_chat_format, op7_suffix_dedup, op8_simhash_dedup, op9_exact_top, op10_html_text)}
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_nearest, op2_mixing, op3_pieces, op4_url_filter, op5_language_id, op6_chat_format, op7_suffix_dedup, op8_simhash_dedup, op9_exact_top, op10_html_text, op11_hamerly)
+}
+
+
+def _rounds(n: int) -> str:
+    """SQL of n rounds of exact k-means: c0 are the starting centroids, kept and parts the vectors and their components."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""
+a{i} AS (
+  SELECT vec_id, cluster, distance FROM (
+    SELECT k.vec_id, c.cluster, d.distance, row_number() OVER (PARTITION BY k.vec_id ORDER BY d.distance, c.cluster) AS n
+    FROM kept k, c{i} c, LATERAL (SELECT list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance) d)
+  WHERE n = 1)""")
+        if i < n:
+            out.append(f"""
+m{i} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS x
+  FROM (SELECT cluster, place, sum(v)::BIGINT AS s, count(*) AS n FROM parts JOIN a{i} USING (vec_id) GROUP BY cluster, place) GROUP BY cluster),
+c{i + 1} AS (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (cluster))""")
+    return ",".join(out)
+
 
 ORACLES: dict[str, str] = {
     "op4_url_filter": """
@@ -106,5 +133,15 @@ s AS (
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_hamerly": f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS (SELECT vec_id, unnest(range(64)) AS place, unnest(x) AS v FROM kept),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)))::INTEGER - 1 AS cluster, x FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),{_rounds(3)}
+SELECT vec_id, a3.cluster, distance, (sum(distance) OVER (PARTITION BY a3.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.cluster = a3.cluster
 """,
 }
