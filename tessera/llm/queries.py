@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, byte_cnn, chat_format, cross_polytope, hamerly, html_text, mixing, pieces, simhash_dedup, suffix_dedup, url_filter
+from . import bit_sliced, byte_cnn, chat_format, cross_polytope, cross_tokens, hamerly, html_text, mixing, pieces, simhash_dedup, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -16,6 +16,7 @@ def tokenizer(name: str) -> str:
 
 
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 CHAT_BPE = "byte_bpe_50k.tiktoken"
 
 #: The rules that op4 judges by, (host, path, verdict).
@@ -74,9 +75,17 @@ def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTES), tokenizer(PIECES))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTES))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest, op2_mixing, op3_pieces, op4_url_filter, op5_language_id, op6_chat_format, op7_suffix_dedup, op8_simhash_dedup, op9_exact_top, op10_html_text, op11_hamerly)
+    for f in (op1_nearest, op2_mixing, op3_pieces, op4_url_filter, op5_language_id, op6_chat_format, op7_suffix_dedup, op8_simhash_dedup, op9_exact_top, op10_html_text, op11_hamerly, op12_cross_tokens, op13_token_counts)
 }
 
 
