@@ -11,26 +11,26 @@ as the rows of a block are in order of their ids.
 Rows go into blocks with others of the same magnitude, so that a large component widens no other block. All rows are
 indexed and every query meets every block, in tiles: an index block, some MB, and a group of queries that passes by it.
 
-Components saturate at the square root of 2 ** 62 / dimensions (2 ** 28 for 64, which is 4,194,304 before the scale), so no score
-leaves the range of a long. Null, empty and non-finite vectors take no part (zero ones do), nor do null ids and vectors
-of another size than the commonest. Rows that share an id are candidates of their own, and none of them is a
+Components of any size are exact, as slices are as many as they need: they travel as doubles, which hold floor(scale * x) wholly.
+A score beyond a long is given as the nearest long, but ranked by what it is. Null, empty and non-finite vectors take no part (zero ones do),
+nor do vectors with a scale * x that isn't finite, null ids and vectors of another size than the commonest. Rows that share an id are candidates of their own, and none of them is a
 candidate of a query with that id; of queries that share an id the one with the least vector, component by component,
 asks. A table without usable vectors gives no rows. Other columns don't matter, whatever they are called.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .cross_polytope import ranked
-from .vectors import matrix, of_one_size, usable
+from .vectors import matrix, of_one_size, usable, whole
+
+LEAST, LARGEST = -(1 << 63), (1 << 63) - 1
 
 
 class BitSlices:
@@ -42,14 +42,18 @@ class BitSlices:
 
     @classmethod
     def of(cls, x: np.ndarray) -> BitSlices:
+        """Of doubles of whole value."""
         n, d = x.shape
-        smallest = x.min(0).tolist() if n else [0] * d
+        smallest = [int(v) for v in x.min(0)] if n else [0] * d
+        plain = not n or abs(x).max() < 1 << 62
+        x = x.astype(np.int64) if plain else np.array([[int(v) for v in r] for r in x], object)
         out = []
         for c in range(d):
-            value = np.zeros(-(-n // 64) * 64, np.uint64)
-            value[:n] = (x[:, c] - smallest[c]).astype(np.uint64)
+            value = np.zeros(-(-n // 64) * 64, np.uint64 if plain else object)
+            value[:n] = x[:, c] - smallest[c]
             bits = int(value.max()).bit_length() if n else 0
-            planes = [np.packbits((value >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(bits)]
+            one = np.uint64 if plain else int
+            planes = [np.packbits((value >> one(b) & one(1)).astype(np.uint8), bitorder="little").view(np.uint64) for b in range(bits)]
             out.append(np.stack(planes) if planes else np.zeros((0, len(value) // 64), np.uint64))
         return cls(out, n, smallest)
 
@@ -65,7 +69,7 @@ class BitSlices:
         """Slices of the scores less a constant, and the constant."""
         columns: list[list[np.ndarray]] = []
         constant = 0
-        for weight, slices, smallest in zip(query.tolist(), self.slices, self.smallest, strict=True):
+        for weight, slices, smallest in zip(map(int, query.tolist()), self.slices, self.smallest, strict=True):
             if not weight:
                 continue
             constant += weight * (smallest if weight > 0 else (1 << len(slices)) - 1 + smallest)
@@ -125,11 +129,25 @@ class BitSlices:
         if have < k:
             places = np.concatenate([places, _places(tied)[: k - have]])
         word, bit = places >> 6, (places & 63).astype(np.uint64)
-        scores = np.full(len(places), constant % (1 << 64), np.uint64)  # modulo 2 ** 64: the score itself fits a long
-        for i, s in enumerate(sums):
-            if i < 64:
-                scores += (s[word] >> bit & np.uint64(1)) << np.uint64(i)
-        return places, scores.view(np.int64)
+        set_ = [s[word] >> bit & np.uint64(1) for s in sums]
+        if len(sums) < 62 and abs(constant) < 1 << 62:
+            scores = np.full(len(places), constant, np.int64)
+            for i, s in enumerate(set_):
+                scores += s.astype(np.int64) << i
+        else:
+            scores = np.full(len(places), constant, object)
+            for i, s in enumerate(set_):
+                scores += s.astype(object) * (1 << i)
+        return places, scores
+
+
+def beyond(score: int) -> bytes | None:
+    """For a score that doesn't fit a long, bytes that sort as such scores do; positive ones begin with a byte over 127."""
+    if LEAST <= score <= LARGEST:
+        return None
+    raw = abs(score).to_bytes((score.bit_length() + 7) // 8)
+    raw = b"\xff" + len(raw).to_bytes(4) + raw
+    return raw if score > 0 else bytes(255 - b for b in raw)
 
 
 def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -152,11 +170,11 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ids, kind="stable")
         index = BitSlices.of(x[order])
         raw, bits = index.to_bytes()
-        cols = [pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([index.smallest], pa.list_(pa.int64())), pa.array([bits], pa.list_(pa.int32())), pa.array([raw], pa.binary())]
+        cols = [pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([list(map(float, index.smallest))], pa.list_(pa.float64())), pa.array([bits], pa.list_(pa.int32())), pa.array([raw], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, _INDEX)
 
     for batch in batches:
-        blocks, ids, x = batch.column("block").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("x"), np.int64)
+        blocks, ids, x = batch.column("block").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("x"))
         edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(ids)]
         for a, b in zip(edges, edges[1:], strict=False):
             if a == b:
@@ -182,24 +200,21 @@ def _tiles(k: int):
                 if not queries[i]:
                     raw_ids, smallest, bits, raw = (batch.column(c)[i].as_py() for c in _INDEX[1:])
                     key, ids = here, np.frombuffer(raw_ids, np.int64)
-                    index = BitSlices.from_bytes(raw, bits, len(ids), smallest)
+                    index = BitSlices.from_bytes(raw, bits, len(ids), list(map(int, smallest)))
                 elif here == key:
                     q = batch.column("id")[i].as_py()
                     places, scores = index.top(batch.column("x")[i].values.to_numpy(zero_copy_only=False), k, np.arange(*np.searchsorted(ids, [q, q + 1])))
                     for c, v in zip(out, (np.full(len(places), q), ids[places], scores), strict=True):
                         c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                query, vec, score = map(np.concatenate, out)
+                more = [beyond(s) if score.dtype == object else None for s in score.tolist()]
+                score = score if score.dtype != object else [min(max(s, LEAST), LARGEST) for s in score.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score, pa.int64()), pa.array(more, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
 
     return run
 
 
-def quantised(v: str, scale: int, limit: int):
-    """floor(scale * x) of each component, x as double, between -limit and limit."""
-    whole = lambda x: F.floor(F.least(F.greatest(x.cast("double") * F.lit(float(scale)), F.lit(-float(limit))), F.lit(float(limit))))
-    return F.transform(v, lambda x: whole(x).cast("long"))
-
-
 def exact_top(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64, block: int = 131_072, group: int = 65_536, tasks: int = 24) -> DataFrame:
     """Each query's k rows of the largest integer inner product, those of its own id left out: query_id, rank, vec_id, score.
 
@@ -210,11 +225,11 @@ def exact_top(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     rows, d = of_one_size(taken(rows), "v")
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    limit = 1 << (62 - math.ceil(math.log2(max(2, d)))) // 2
-    rows, queries = (df.select("id", quantised("v", scale, limit).alias("x")) for df in (rows, taken(queries).where(F.size("v") == d)))
+    rows, queries = (df.select("id", whole("v", scale).alias("x")).where(~F.exists("x", lambda c: F.abs(c) == float("inf"))) for df in (rows, taken(queries).where(F.size("v") == d)))
     queries = queries.groupBy("id").agg(F.min("x").alias("x"))
-    # Magnitudes go by the bits of the largest component, those up to 5 bits more than the commonest together; 63 classes at most.
-    size = F.length(F.bin(F.greatest(F.array_max("x"), -F.array_min("x"))))
+    # Magnitudes go by the bits of the largest component, those up to 2 bits more than the commonest together; 1024 classes at most.
+    largest = F.greatest(F.array_max("x"), -F.array_min("x"))
+    size = F.when(largest < 1, 1).otherwise(F.floor(F.log2(F.greatest(largest, F.lit(1.0)))) + 1).cast("int")
     sizes = {r["bits"]: r["count"] for r in rows.groupBy(size.alias("bits")).count().collect()}
     usual = max(sizes, key=lambda b: (sizes[b], -b))
     of = {b: (0 if b <= usual + 2 else b) for b in sizes}
@@ -223,15 +238,18 @@ def exact_top(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
         counts[of[b]] = counts.get(of[b], 0) + n
     first, blocks = {}, 0
     for kind, n in sorted(counts.items()):
-        first[kind] = (blocks, -(-n // block))
+        first[kind] = (blocks, -(-n // max(1024, block * 24 // max(24, kind))))  # wide slices, fewer rows
         blocks += first[kind][1]
     place = F.create_map(*(x for b in sizes for x in (F.lit(b), F.struct(F.lit(first[of[b]][0]).alias("at"), F.lit(first[of[b]][1]).alias("n")))))
     rows = rows.withColumn("p", F.element_at(place, size))
     rows = rows.select((F.col("p.at") + F.pmod(F.xxhash64("id", "x"), F.col("p.n"))).cast("int").alias("block"), "id", "x")
-    index = written(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_index_rows, "block int, ids binary, smallest array<long>, bits array<int>, slices binary"), "slices")
+    index = written(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_index_rows, "block int, ids binary, smallest array<double>, bits array<int>, slices binary"), "slices")
     groups = max(-(-queries.count() // group), -(-tasks // blocks))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = index.withColumns({"is_query": F.lit(False), "id": F.lit(None).cast("long"), "x": F.lit(None).cast("array<long>")}).withColumn("grp", spread(groups))
+    index = index.withColumns({"is_query": F.lit(False), "id": F.lit(None).cast("long"), "x": F.lit(None).cast("array<double>")}).withColumn("grp", spread(groups))
     asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), F.lit(True).alias("is_query"), "id", "x").withColumn("block", spread(blocks))
     met = index.unionByName(asked, allowMissingColumns=True).repartition("block", "grp").sortWithinPartitions("block", "grp", "is_query")
-    return ranked(met.mapInArrow(_tiles(k), "query_id long, vec_id long, score long"), k)
+    found = met.mapInArrow(_tiles(k), "query_id long, vec_id long, score long, beyond binary")
+    side = F.when(F.col("beyond").isNull(), 0).otherwise(F.signum("score"))
+    order = Window.partitionBy("query_id").orderBy(side.desc(), F.desc("beyond"), F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -68,7 +68,7 @@ class CrossPolytope:
 
     def buckets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables x rows: the bucket of each row, whether a row is every query's candidate)."""
-        norm = np.linalg.norm(x, axis=1)
+        norm = norms(x)
         largest = np.maximum(norm, [self.bands.get(b, 0.0) for b in _band(norm).tolist()])  # at an edge, logarithms may round apart
         y = np.zeros((len(x), self.n))
         y[:, : self.d] = x / largest[:, None]
@@ -82,7 +82,7 @@ class CrossPolytope:
     def nearness(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """Of each table, queries x buckets: how near each bucket's axes are."""
         y = np.zeros((len(x), self.n))
-        y[:, : self.d] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        y[:, : self.d] = x / norms(x)[:, None]
         for polytopes in self.signs:
             total = self._axes(y, polytopes[0])
             for signs in polytopes[1:]:
@@ -105,6 +105,12 @@ class CrossPolytope:
         return int(np.quantile(least, target, method="higher")) + 1
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows; divided by their largest component first, so that squares neither vanish nor overflow."""
+    most = abs(x).max(1, keepdims=True, initial=0)
+    return most[:, 0] * np.linalg.norm(x / np.where(most > 0, most, 1), axis=1)
+
+
 def _band(norm: np.ndarray) -> np.ndarray:
     return np.floor(np.log(norm) / np.log(1.25)).astype(np.int64)
 
@@ -196,11 +202,12 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = taken(queries).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    norms = rows.select(F.sqrt(squares).alias("norm"))
-    n, middle = norms.agg(F.count("*"), F.percentile_approx("norm", 0.5)).first()
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("most"), F.lit(2)))
+    lengths = rows.select("v", most.alias("most")).select((F.col("most") * F.sqrt(squares)).alias("norm"))
+    n, middle = lengths.agg(F.count("*"), F.percentile_approx("norm", 0.5)).first()
     near = F.floor(F.log("norm") / float(np.log(1.25)))
-    bands = {int(b): float(m) for b, m in norms.groupBy(near.alias("band")).agg(F.max("norm")).collect()}  # a few bands for each power of ten
+    bands = {int(b): float(m) for b, m in lengths.groupBy(near.alias("band")).agg(F.max("norm")).collect()}  # a few bands for each power of ten
     index = CrossPolytope(d, bands, 1.5 * middle, tables, 1 if n <= LARGE else 2, seed)
     some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
     probes = index.fitted(np.array([r["v"] for r in some], np.float64), np.array([r["id"] for r in some]), max(1, round(k * len(some) / n)), target)

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
-from .vectors import matrix, usable
+from .vectors import matrix, usable, whole
 
 #: Integers up to SMALL have squared distances in 64 components, and LIMB bits have products with them, that doubles hold exactly.
 SMALL, LIMB = 1 << 22, 20
@@ -209,15 +209,6 @@ def moved(state: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     return [[v // t[size] for v in t[:size]] if t[size] else c for c, t in zip(centroids, totals, strict=True)]
 
 
-def whole(vector: str, scale: float) -> Column:
-    """Components as floor(scale * x), in doubles: from 2 ** 53 on every double is whole."""
-
-    def floor(v: Column) -> Column:
-        return F.when(F.abs(v) < float(1 << 53), F.floor(v).cast("double")).otherwise(v)
-
-    return F.transform(vector, lambda c: floor(F.lit(float(scale)) * c.cast("double")))
-
-
 def clusters(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 16, rounds: int = 3, size: int = 64, scale: float = 64, seed: str = "1") -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every vector that takes part."""
     kept = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("x")).where(usable("x", zero=True) & (F.size("x") == size))

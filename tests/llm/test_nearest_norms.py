@@ -1,5 +1,7 @@
 """The nearest search where norms differ."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -58,17 +60,38 @@ def test_repeated_ids_and_ties(spark):
         assert [r for r, _ in got[40]] == [1, 2, 3, 4] and 40 not in {j for _, j in got[40]}
 
 
-def test_huge_components_saturate_and_widen_no_other_block(spark):
+def brute_scores(rows, q, k):
+    """(vec_id, score as a long) of the k best by exact score."""
+    x = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(x[q], x[j])), j) for j in x if j != q)[:k]
+    return [(j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for s, j in want]
+
+
+def test_huge_components_are_exact_and_widen_no_other_block(spark):
     from tessera.llm import bit_sliced
 
     rng = np.random.default_rng(8)
-    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(60)] + [(100, [1e20] + [0.0] * 7), (101, [-3e9, 1.0] + [0.0] * 6), (102, [3e12] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    limit = 1 << (62 - 3) // 2
-    x = {i: np.floor(np.clip(64 * np.array(v), -limit, limit)).astype(object).astype(int).astype(object) for i, v in rows}
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(60)]
+    rows += [(100, [1e20] + [0.0] * 7), (101, [-3e9, 1.0] + [0.0] * 6), (102, [3e12] * 8), (103, [1e160] * 8), (104, [-1e160] * 8), (120, [0.0] * 7 + [1e300]), (140, [-1e9] + [0.5] * 7)]
+    df = spark.createDataFrame([*rows, (160, [1e308] * 8)], "vec_id long, embedding array<double>")
     got = {}
-    for r in bit_sliced.exact_top(df, df.where("vec_id % 20 = 0"), k=5).collect():
+    for r in bit_sliced.exact_top(df, df.where("vec_id % 20 = 0"), k=66).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q in (0, 20, 40, 100):
-        want = sorted((-int(sum(int(a) * int(b) for a, b in zip(x[q], x[j]))), j) for j in x if j != q)[:5]
-        assert [(j, s) for _, j, s in sorted(got[q])] == [(j, -s) for s, j in want]
+    assert set(got) == {0, 20, 40, 100, 120, 140}
+    for q, found in got.items():
+        assert [(j, s) for _, j, s in sorted(found)] == brute_scores(rows, q, 66)
+
+
+def test_large_scores_that_fit_a_long(spark):
+    from tessera.llm import bit_sliced
+
+    rows = [(20, [1.0, 0.0]), (1, [5e6, 0.0]), (2, [1e7, 0.0]), (3, [2e14, 7.0]), (4, [-2e14, 7.0])]
+    got = bit_sliced.exact_top(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.where("vec_id = 20"), k=4).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(3, 64 * 64 * 200_000_000_000_000), (2, 40_960_000_000), (1, 20_480_000_000), (4, -64 * 64 * 200_000_000_000_000)]
+
+
+def test_tiny_vectors_take_part(spark):
+    rows = [(i, [1e-170 * (i + 1), 1e-171, 0.0]) for i in range(30)] + [(40, [1.0, 2.0, 3.0]), (60, [3e200, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = cross_polytope.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    assert len(got) == 4 * 5 and all(r.rank <= 5 for r in got)
