@@ -13,19 +13,20 @@ alike, an empty table gives none, and columns called lang_pred or score are repl
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, others, plus, text_or_empty
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 _built: dict[int, tuple] = {}
 
@@ -158,20 +159,23 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 500, per_text: int = 3, window: int = 256, **how) -> ByteCNN | None:
-    """A network learned from about per_class texts of each label; None without labelled text.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 500, per_text: int = 3, window: int = 256, most: int = 20_000, **how) -> ByteCNN | None:
+    """A network learned from about per_class texts of each label, `most` in all; None without labelled text.
 
-    What comes to the driver is about per_class x per_text windows of `window` characters for each label.
+    What comes to the driver is about `most` x per_text windows of `window` characters at most; where labels are so many that
+    per_class of each would be more, each gives fewer.
     """
     known = docs.where(~held_out(doc_id) & F.col(label).isNotNull() & (F.length(text) > 0))
-    counts = known.groupBy(F.col(label).alias("of_label")).agg((F.lit(1.2 * per_class) / F.count("*")).alias("share"))
+    counts = known.groupBy(F.col(label).alias("of_label")).agg(F.count("*").alias("n"))
+    per_class = min(per_class, most / max(1, counts.count()))
+    counts = counts.select("of_label", (F.lit(1.2 * per_class) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit("fit"), doc_id, F.length(text)), F.lit(1 << 30)) / float(1 << 30)
     at = [F.pmod(F.xxhash64(F.lit(i), doc_id), F.greatest(F.length(text) - window // 2, F.lit(1))).cast("int") + 1 for i in range(per_text)]
     rows = known.select(doc_id, text, label).join(counts, F.col(label) == F.col("of_label")).where(draw < F.col("share")).select(F.col(label).alias("label"), draw.alias("draw"), F.array(*(F.substring(F.col(text), a, F.lit(window)) for a in at)).alias("parts")).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["parts"])):
         by.setdefault(r["label"], []).append(r["parts"])
-    pairs = [(p.encode()[:window], name) for name, texts in sorted(by.items()) for parts in texts[:per_class] for p in dict.fromkeys(parts) if p]
+    pairs = [(p.encode()[:window], name) for name, texts in sorted(by.items()) for parts in texts[: math.ceil(per_class)] for p in dict.fromkeys(parts) if p]
     return ByteCNN.train([p for p, _ in pairs], [n for _, n in pairs], window=window, **how) if pairs else None
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import fresh, others, plus, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 _coders: dict[str, Coder] = {}
+#: White space as the encoder has it.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def escaped(text: str) -> str:
@@ -54,11 +57,20 @@ class Coder:
 
     def turn(self, role: str, text: str, loss: bool) -> tuple[list[int], list[int], list[int]]:
         """Ids of a turn, its segments' ends, and which segments count for the loss."""
-        head = self.bpe.encode_ordinary(escaped(role).replace("\\", "\\\\").replace("\n", "\\n") + "\n")
-        body = self.bpe.encode_ordinary(escaped(text))
+        head = self.encode(escaped(role).replace("\\", "\\\\").replace("\n", "\\n") + "\n")
+        body = self.encode(escaped(text))
         parts = [[self.start], head, body, [self.end], self.line]
         return [i for p in parts for i in p], [len(p) for p in parts], [0, 0, int(loss), 0, 0]
 
+    def encode(self, text: str) -> list[int]:
+        """The library's ids. Its pattern can't take very long white space, which is a piece of its own but for its last character before other text."""
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            ids += self.bpe.encode_ordinary(text[at : run.start()])
+            at = run.end() - (run.end() < len(text))
+            ids += self.bpe._encode_single_piece(text[run.start() : at])
+        return ids + self.bpe.encode_ordinary(text[at:])
+
     def text(self, ids: list[int]) -> str:
         return self.bpe.decode(ids)
 

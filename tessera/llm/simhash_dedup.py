@@ -195,7 +195,11 @@ def least_rows(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Data
     named = lambda i, tag: F.concat_ws(":", i.cast("string"), tag.cast("string"))
     kept = docs.withColumn(key, named(F.col(doc_id).cast("long"), F.xxhash64(text)))
     kept = kept.join(best.select(named(F.col("best.id"), F.col("best.tag")).alias(key)), key, "left_semi")
-    return kept.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(f"{key}_row")).select(f"{key}_row.*")
+    if not any("map<" in kind for _, kind in docs.dtypes):
+        least = F.min(F.struct(*docs.columns))
+    else:  # maps have no order, their texts have
+        least = F.min_by(F.struct(*docs.columns), F.struct(*(F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes)))
+    return kept.groupBy(key).agg(least.alias(f"{key}_row")).select(f"{key}_row.*")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, seed: int = 42, similarity: tuple[int, int] | None = None, samples: int = 20, rows: int = 4, small: int = 24, tile: int = 2_000_000) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import others, plus
 
 _maps: dict[str, DigestArray] = {}
-_sent: set[tuple[str, str]] = set()
+_sent: dict[tuple, str] = {}
 
 
 def host_of(url: str | Column) -> Column:
@@ -85,7 +85,7 @@ class DigestArray:
 
         self.keys, self.ends = part(np.uint64, n), part(np.int64, n + 1)
         self.lengths, self.hosts, self.block = part(np.int32, m).tolist(), part(np.int32, n), part(np.uint8, n)
-        self.strings = whole[at:]
+        self.strings, self.sizes = whole[at:], [h for h in np.unique(self.hosts).tolist() if h]
 
     def find(self, candidates: list[tuple[str, int]]) -> list[int]:
         """Of each (string, host bytes) its rule's place, -1 without one."""
@@ -104,14 +104,14 @@ class DigestArray:
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str]]:
         candidates, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            tail = host
-            while tail:
-                size = len(tail.encode())
-                for n in self.lengths:
-                    if n <= len(path):
-                        candidates.append((tail + path[:n], size))
-                        owner.append(i)
-                tail = tail.partition(".")[2]
+            raw = host.encode()
+            for size in self.sizes:  # only ends as long as some rule's host can be one
+                if size == len(raw) or size < len(raw) and raw[-size - 1 :][:1] == b".":
+                    tail = raw[-size:].decode()
+                    for n in self.lengths:
+                        if n <= len(path):
+                            candidates.append((tail + path[:n], size))
+                            owner.append(i)
         best: list[tuple] = [(-1, -1, None, "allow")] * len(hosts)
         for i, (text, size), k in zip(owner, candidates, self.find(candidates) if candidates else [], strict=True):
             if k >= 0 and (len(text), size) > best[i][:2]:
@@ -121,12 +121,12 @@ class DigestArray:
 
 def shipped(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
     """Writes the rules' file and gives it to all executors, once for each application and set of rules; returns its name there."""
-    path = DigestArray.write(rules, tempfile.mkdtemp(prefix="tessera-rules-"))
-    name = os.path.basename(path)
-    if (spark.sparkContext.applicationId, name) not in _sent:
+    key = (spark.sparkContext.applicationId, tuple(map(tuple, rules)))
+    if key not in _sent:
+        path = DigestArray.write(rules, tempfile.mkdtemp(prefix="tessera-rules-"))  # the driver serves the file from there
         spark.sparkContext.addFile(path)
-        _sent.add((spark.sparkContext.applicationId, name))
-    return name
+        _sent[key] = os.path.basename(path)
+    return _sent[key]
 
 
 def _judge(name: str, rest: list[str]):
