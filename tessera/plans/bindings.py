@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import scratch, written  # noqa: F401
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,22 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, step: str) -> str:
-    """A new path in the folder that executors share: spark.checkpoint.dir; where that is unset, the warehouse, or on one machine a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tessera-{step}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, step: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that what follows reads it more than once."""
-    path = scratch(df.sparkSession, step)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tidy(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded (and -0 made 0), so that results can be compared between engines."""
     return df.select(*(F.round(c, places).__add__(F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))

@@ -160,9 +160,11 @@ def test_features_in_and_out(spark, tmp_path):
     with pytest.raises(ValueError):
         validated(spark.createDataFrame([([1.0], 3)], "f array<double>, label int"))
     assert problems(df).first()["n"] == 5
-    names_ = spark.createDataFrame([(f"p{i}",) for i in range(5)], "path string")
-    assert tables.joined_by_position(df, names_).where("path is not null").count() == 5
-    assert tables.joined_by_position(df, names_.limit(3)).where("path is null").count() == 5
+    for n in (5, 3):
+        (tmp_path / f"names{n}.txt").write_text("".join(f"p{i}\n" for i in range(n)))
+    placed = tables.read_features(spark, str(tmp_path / "csv"), labelled=True, place=True)
+    assert tables.joined_by_position(placed, tables.read_names(spark, str(tmp_path / "names5.txt"), place=True)).where("path is not null").count() == 5
+    assert tables.joined_by_position(placed, tables.read_names(spark, str(tmp_path / "names3.txt"), place=True)).where("path is null").count() == 5
 
 
 def test_names(spark):

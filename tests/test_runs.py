@@ -148,6 +148,30 @@ def test_magnitudes_as_text(spark):
 
 def test_places_in_a_file(spark, tmp_path):
     (tmp_path / "names.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
-    lines = spark.read.text(str(tmp_path / "names.txt")).repartition(1)
-    assert all(r.value == f"line {r.pos}" for r in tables.positional(tables.read_names(spark, str(tmp_path / "names.txt")).withColumnRenamed("path", "value")).collect())
-    assert lines.count() == 3000
+    rows = tables.read_names(spark, str(tmp_path / "names.txt"), place=True).collect()
+    assert len(rows) == 3000 and all(r.path == f"line {r.pos}" for r in rows)
+
+
+@pytest.mark.parametrize("split", ["128m", "700b"])
+def test_places_over_part_files_of_different_sizes(spark, tmp_path, split):
+    """Feature and name files whose sizes are in opposite order, whole and cut into many blocks."""
+    cuts = {"features": (0, 4, 30, 90, 100), "names": (0, 60, 75, 80, 100)}
+    for kind, at in cuts.items():
+        (tmp_path / kind).mkdir()
+        for part, (a, z) in enumerate(zip(at, at[1:])):
+            lines = [",".join(map(str, (float(i), 0.5, i % 2))) if kind == "features" else f"name {i}" for i in range(a, z)]
+            (tmp_path / kind / f"part-{part:05d}.csv").write_text("".join(x + "\n" for x in lines))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        features = tables.read_features(spark, str(tmp_path / "features"), labelled=True, width=2, place=True)
+        names_ = tables.read_names(spark, str(tmp_path / "names"), place=True)
+        assert sorted((r.pos, r.f[0]) for r in features.collect()) == [(i, float(i)) for i in range(100)]
+        got = tables.joined_by_position(features, names_).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 100 and all(r.path == f"name {int(r.f[0])}" and r.label == int(r.f[0]) % 2 for r in got)
+    with pytest.raises(ValueError):
+        tables.joined_by_position(features.drop("pos"), names_)
