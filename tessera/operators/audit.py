@@ -5,13 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import compare, metrics, names, splits, stats
+from ..steps import dropped, written
+from . import boosting, compare, metrics, names, splits, stats
 from .ordered import with_medians
 
 
@@ -20,7 +18,7 @@ CUE_NUMERIC = ("size", "bpp", "width", "height", "area", "aspect", "q_dc", "q_me
 CUE_CATEGORICAL = ("qhash", "subsampling", "ext")
 
 
-def trivial_cue(probes: DataFrame, numeric: Sequence[str] = CUE_NUMERIC, categorical: Sequence[str] = CUE_CATEGORICAL, group: str = "source", label: str = "label", k: int = 5, rounds: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+def trivial_cue(probes: DataFrame, numeric: Sequence[str] = CUE_NUMERIC, categorical: Sequence[str] = CUE_CATEGORICAL, group: str = "source", label: str = "label", k: int = 5, rounds: int = 100, seed: int = 42) -> DataFrame:
     """(fold, n, accuracy, auc) of a classifier on metadata only, balanced grouped folds. Near 0.5 is what one wants.
 
     Missing numbers are -1, missing categories a code of their own. A fold that can't be learnt (one class) is left out.
@@ -31,18 +29,15 @@ def trivial_cue(probes: DataFrame, numeric: Sequence[str] = CUE_NUMERIC, categor
     rows = splits.balanced_folds(rows, group, label, k, seed)
     used = [*(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in numeric), *(F.col(f"{c}_code").cast("double").alias(c) for c in categorical)]
     rows = rows.select(F.col(label).alias("label"), "fold", *used)
-    rows = VectorAssembler(inputCols=[*numeric, *categorical], outputCol="features").transform(rows).select("label", "fold", "features").cache()
+    rows = written(rows.select("label", "fold", F.array(*numeric, *categorical).alias("f")), "cues")
+    models = boosting.fit(rows, range(k), fold="fold", rules=boosting.Rules(rounds))  # all folds in the same jobs
     out = []
-    for fold in range(k):
-        learn = rows.where(F.col("fold") != fold)
-        if learn.select("label").distinct().count() < 2:
-            continue
-        model = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed).fit(learn)
-        test = model.transform(rows.where(F.col("fold") == fold)).select(F.col("label").alias("y"), vector_to_array("probability")[1].alias("p")).cache()
+    for fold, model in sorted(models.items()):
+        test = written(model.scored(rows.where(F.col("fold") == fold)).select(F.col("label").alias("y"), "p"), "scores")
         one = metrics.rates(metrics.confusion(test)).join(F.broadcast(metrics.roc_auc(test))).select(F.lit(fold).alias("fold"), "n", "accuracy", "auc")  # one row each
         out.append(tuple(one.first()))
-        test.unpersist()
-    rows.unpersist()
+        dropped(test)
+    dropped(rows)
     return probes.sparkSession.createDataFrame(out, "fold int, n long, accuracy double, auc double")  # k rows
 
 
@@ -88,17 +83,18 @@ def verdict(facts: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("problems") > 0, "problems").when(F.col("sd_from_chance") >= 3, "residual").otherwise("clean"))
 
 
-def container_audit(probes: DataFrame, k: int = 5, rounds: int = 100, depth: int = 5, every: bool = True) -> dict[str, DataFrame]:
+def container_audit(probes: DataFrame, k: int = 5, rounds: int = 100, every: bool = True) -> dict[str, DataFrame]:
     """The whole audit over probes(): is the label recoverable without pixels?
 
     unreadable: files that couldn't be read, left out of the rest; counts by class and augmentation; collisions of
     stems among the originals; crosstabs by property; numbers by class; folds of the classifier without pixels over
     the originals (cue) and, with `every`, over all files (cue_all); and the verdict over the originals.
     """
+    probes = written(probes, "probes")  # files are read and parsed once
     fine = probes.where(F.col("error").isNull())
     native = fine.where(~F.col("augmented"))
     tables = lambda rows, kinds: functools.reduce(DataFrame.unionByName, (compare.crosstab(rows, c, top=12).withColumn("property", F.lit(c)) for c in kinds))
-    cue = trivial_cue(native, k=k, rounds=rounds, depth=depth)
+    cue = trivial_cue(native, k=k, rounds=rounds)
     found = {
         "unreadable": probes.where(F.col("error").isNotNull()).select("path", "error"),
         "counts": fine.groupBy("label", "augmented").agg(F.count("*").alias("n")),
@@ -110,7 +106,7 @@ def container_audit(probes: DataFrame, k: int = 5, rounds: int = 100, depth: int
         "verdict": verdict(container_facts(native, cue)),
     }
     if every and not fine.where("augmented").isEmpty():
-        found["cue_all"] = trivial_cue(fine, k=k, rounds=rounds, depth=depth)
+        found["cue_all"] = trivial_cue(fine, k=k, rounds=rounds)
     return found
 
 

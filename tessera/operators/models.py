@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import metrics
+from .boosting import Boosting, HistogramModel, Rules
 from .splits import balanced_folds
 
 
@@ -34,12 +35,15 @@ def forest(trees: int = 300, depth: int = 10, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)])
 
 
-def boosted(rounds: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)])
+def boosted(rounds: int = 100, depth: int | None = None, rate: float = 0.1, leaves: int = 31, least: int = 20) -> Boosting:
+    """Histogram boosting, leaf by leaf."""
+    return Boosting(Rules(rounds, leaves, least, rate, depth))
 
 
-def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def scored(model: PipelineModel | HistogramModel, rows: DataFrame) -> DataFrame:
     """rows with p, the probability of class 1."""
+    if isinstance(model, HistogramModel):
+        return model.scored(rows)
     out = model.transform(rows)
     return out.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
 
@@ -92,7 +96,7 @@ def choose_calibration(slice_: DataFrame, group: str, bins: int = 15, seed: int
 
 def importances(model: PipelineModel, width: int, spark) -> DataFrame:
     """(col0, importance) of a tree ensemble."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances() if isinstance(model, HistogramModel) else model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(i, float(values[i])) for i in range(width)], "col0 int, importance double")
 
 
@@ -118,8 +122,9 @@ def linear_contributions(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def exported_trees(model: PipelineModel) -> list[tuple[float, list[tuple]]]:
     """(weight, nodes) of each tree; a node is (feature, threshold, left, right, value, cover). Categorical splits don't occur."""
+    if isinstance(model, HistogramModel):
+        return model.exported()
     ensemble = model.stages[-1]
-    boosted_ = hasattr(ensemble, "treeWeights") and "GBT" in type(ensemble).__name__
     out = []
     for tree, weight in zip(ensemble.trees, ensemble.treeWeights, strict=True):
         nodes: list[tuple] = []
@@ -134,12 +139,11 @@ def exported_trees(model: PipelineModel) -> list[tuple[float, list[tuple]]]:
                 nodes[at] = (split.featureIndex(), split.threshold(), left, right, 0.0, cover)
             else:
                 stats = node.impurityStats()
-                value = node.prediction() if boosted_ else stats.stats()[1] / max(cover, 1e-12)
-                nodes[at] = (-1, 0.0, -1, -1, float(value), cover)
+                nodes[at] = (-1, 0.0, -1, -1, float(stats.stats()[1] / max(cover, 1e-12)), cover)
             return at
 
         walk(tree._call_java("rootNode"))
-        out.append((2 * weight if boosted_ else weight / len(ensemble.trees), nodes))
+        out.append((weight / len(ensemble.trees), nodes))
     return out
 
 
@@ -199,14 +203,14 @@ def leaf_values(leaves: list[tuple], x: np.ndarray) -> tuple[float, np.ndarray]:
     return expected, phi
 
 
-def _explained(trees: list, rest: list[str]):
+def _explained(start: float, trees: list, rest: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest_ = [(w, leaves_of(nodes)) for w, nodes in trees]
         for b in batches:
             if not len(b):
                 continue
             x = np.stack([np.asarray(v, np.float64) for v in b["f"]])
-            base, values = 0.0, np.zeros(x.shape)
+            base, values = start, np.zeros(x.shape)
             for w, leaves in forest_:
                 expected, phi = leaf_values(leaves, x)
                 base += w * expected
@@ -221,7 +225,8 @@ def tree_contributions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     plain = [f for f in rows.schema if f.dataType.typeName() != "udt"]
     schema = T.StructType([*plain, T.StructField("base", T.DoubleType()), T.StructField("contributions", T.ArrayType(T.DoubleType()))])
     names = [f.name for f in plain]
-    return rows.select(*names).mapInPandas(_explained(exported_trees(model), names), schema)
+    start = model.start if isinstance(model, HistogramModel) else 0.0
+    return rows.select(*names).mapInPandas(_explained(start, exported_trees(model), names), schema)
 
 
 def sampled_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int, orders: int = 4, seed: int = 42) -> DataFrame:
@@ -252,9 +257,9 @@ def sampled_contributions(model: PipelineModel, rows: DataFrame, background: Dat
 
 def contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int) -> DataFrame:
     """(key, base, contributions, space): exact for trees (`logit` for boosted ones), sampled in probability for other models."""
-    ensemble = model.stages[-1]
-    if hasattr(ensemble, "trees"):
-        space = "logit" if "GBT" in type(ensemble).__name__ else "probability"
+    boosted_ = isinstance(model, HistogramModel)
+    if boosted_ or hasattr(model.stages[-1], "trees"):
+        space = "logit" if boosted_ else "probability"
         return tree_contributions(model, rows.select(key, "f")).select(key, "base", "contributions", F.lit(space).alias("space"))
     return sampled_contributions(model, rows, background, key, width).withColumn("space", F.lit("probability"))
 

@@ -93,7 +93,8 @@ def leave_one_generator_out(features: DataFrame, pipeline, generator: str = "gen
         model = pipeline.fit(learn)
         got = models.scored(model, models.with_vector(rest)).select(F.col("label").alias("y"), "p", "cal_").cache()
         cal, ev = got.where("cal_"), got.where("not cal_")
-        threshold = float(metrics.youden(cal).first()["threshold"])
+        best = metrics.youden(cal).first()
+        threshold = float(best["threshold"]) if best and best["threshold"] is not None else 0.5  # a slice of one class
         plain, tuned = (metrics.rates(metrics.confusion(ev, t)).first() for t in (0.5, threshold))
         out.append((tag, learn.count(), cal.count(), plain["n"], threshold, metrics.roc_auc(ev).first()["auc"], plain["accuracy"], plain["recall"], tuned["accuracy"], tuned["recall"], tuned["f1"]))
         learn.unpersist()

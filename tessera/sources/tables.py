@@ -107,7 +107,10 @@ def machine_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def save_bundle(spark: SparkSession, path: str, model, scalars: dict, tables: dict[str, DataFrame]) -> None:
     """A fitted pipeline, its scalars (one row of JSON) and its reference tables under one path."""
-    model.write().overwrite().save(f"{path}/model")
+    if hasattr(model, "to_json"):
+        scalars = scalars | {"model_json": model.to_json()}
+    else:
+        model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(scalars, sort_keys=True),)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/scalars")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -116,5 +119,9 @@ def save_bundle(spark: SparkSession, path: str, model, scalars: dict, tables: di
 def load_bundle(spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> tuple:
     from pyspark.ml import PipelineModel
 
+    from ..operators.boosting import HistogramModel
+
     scalars = json.loads(spark.read.text(f"{path}/scalars").first()[0])
-    return PipelineModel.load(f"{path}/model"), scalars, {t: spark.read.parquet(f"{path}/{t}") for t in tables}
+    made = scalars.pop("model_json", None)
+    model = HistogramModel.from_json(made) if made else PipelineModel.load(f"{path}/model")
+    return model, scalars, {t: spark.read.parquet(f"{path}/{t}") for t in tables}

@@ -122,7 +122,7 @@ def test_container_audit_finds_an_encoder(spark):
     rows = [(f"a_{i}.jpg", i % 2, 1000 + i, "JPEG", 500, 400, f"q{i % 2}", 3.0, 9.0, "4:2:0", None, f"a_{i}", f"a_{i}", "jpg", False, 200_000, 1.25, (1000 + i) / 200_000) for i in range(120)]
     rows.append(("b.jpg", 0, 10, None, None, None, None, None, None, None, "unknown container", "b", "b", "jpg", False, None, None, None))
     probes = spark.createDataFrame(rows, "path string, label int, size long, format string, width int, height int, qhash string, q_dc double, q_mean double, subsampling string, error string, stem string, source string, ext string, augmented boolean, area int, aspect double, bpp double")
-    found = audit.container_audit(probes, k=3, rounds=3, depth=2)
+    found = audit.container_audit(probes, k=3, rounds=3)
     v = found["verdict"].first()
     assert v.is_tables_exclusive and v.is_cue_uninterpretable and not v.is_extensions_exclusive and v.verdict == "problems"
     assert found["unreadable"].count() == 1 and found["cue"].count() == 3 and found["crosstabs"].where("property = 'qhash' and exclusive").count() == 2
