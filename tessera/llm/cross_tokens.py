@@ -22,8 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,82 +62,131 @@ class Transducer:
             self.seen[key] = after
         return after
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-        """Groups of both sides' ids, and a link's ids as id of a << 32 | id of b, in order."""
-        sides, at = (a, b), [0, 0]
-        groups: list[tuple[list[int], list[int]]] = []
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """Groups as text (`a1,a2|b1`), and each link's ids as id of a << 32 | id of b, in order."""
+        a_bytes, seen, step = self.bytes[0], self.seen, self.step
+        a_names, b_names = list(map(str, a)), list(map(str, b))
+        groups: list[str] = []
         links: list[int] = []
-        while at[0] < len(a):
-            lead, head, group = 0, a[at[0]], ([a[at[0]]], [])
-            at[0] += 1
-            residual = self.bytes[0][head]
-            while residual:
-                side = 1 - lead
-                token = sides[side][at[side]]
-                at[side] += 1
-                group[side].append(token)
-                links.append(token << 32 | head if lead else head << 32 | token)
-                now, residual = self.step(lead, residual, token)
-                if now != lead:
-                    lead, head = now, token
-            groups.append(group)
-        if at[1] < len(b):
+        i = j = 0
+        try:
+            while i < len(a):
+                head, token = a[i], b[j]
+                links.append(head << 32 | token)
+                lead, residual = seen.get((0, a_bytes[head], token)) or step(0, a_bytes[head], token)
+                if not residual:  # both begin and end together
+                    groups.append(f"{a_names[i]}|{b_names[j]}")
+                    i += 1
+                    j += 1
+                    continue
+                first_a, first_b = i, j
+                if lead:
+                    head = token
+                i += 1
+                j += 1
+                while residual:
+                    if lead:
+                        token = a[i]
+                        i += 1
+                        links.append(token << 32 | head)
+                    else:
+                        token = b[j]
+                        j += 1
+                        links.append(head << 32 | token)
+                    now, residual = seen.get((lead, residual, token)) or step(lead, residual, token)
+                    if now != lead:
+                        lead, head = now, token
+                groups.append(f"{','.join(a_names[first_a:i])}|{','.join(b_names[first_b:j])}")
+        except IndexError:
+            j = -1
+        if j != len(b):
             raise ValueError("tokens of the two sides spell different bytes")
         return groups, links
 
 
 class Chunk:
-    """One stretch of text aligned: numbers of tokens and groups, the groups as text, links."""
+    """One stretch of text aligned: a number of its own, numbers of tokens and groups, the groups as text, links."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
+    __slots__ = ("number", "n_a", "n_b", "n_groups", "groups", "links")
 
-    def __init__(self, transducer: Transducer, a: list[int], b: list[int]):
-        groups, self.links = transducer.align(a, b)
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+    def __init__(self, number: int, transducer: Transducer, a: list[int], b: list[int]):
+        groups, links = transducer.align(a, b)
+        self.number, self.n_a, self.n_b, self.n_groups = number, len(a), len(b), len(groups)
+        self.groups, self.links = ";".join(groups), array("q", links)
 
 
-class Aligner:
-    """Both tokenizers and the chunks a task has aligned, up to `most` of them."""
+class ByteLevel:
+    """ids of chunks by byte-level BPE: the library's, by way of a quicker one for ASCII where ids are in order of merging."""
 
-    def __init__(self, a: str, b: str, most: int = 200_000, longest: int = 40):
+    def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import sentencepiece
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(a, encoding="utf-8") as f:
+        with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         byte_level(spec)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
-        a_bytes = [b""] * (1 + max(vocab.values()))
+        self.bytes = [b""] * (1 + max(vocab.values()))
         for piece, i in vocab.items():
-            a_bytes[i] = bytes(map(letters.__getitem__, piece))
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
+            self.bytes[i] = bytes(map(letters.__getitem__, piece))
+        self.library = Tokenizer.from_file(file)
+        self.library.encode_special_tokens = True  # their strings are plain text
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        ranks = {raw: i for i, raw in enumerate(self.bytes) if raw}
+        in_order = [vocab[a + b] for a, b in merges] == list(range(256, 256 + len(merges))) and len(ranks) == len(vocab)
+        self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if in_order else None
+
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [self.quick(c) if self.quick and len(c) < 1000 and c.isascii() else None for c in chunks]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+
+class Aligner:
+    """Both tokenizers and the chunks a task has aligned: some `most` of late, and as many before them, of which those seen again stay."""
+
+    def __init__(self, a: str, b: str, most: int = 120_000, longest: int = 40):
+        import sentencepiece
+
+        self.a, self.b = ByteLevel(a), sentencepiece.SentencePieceProcessor(model_file=b)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces) or self.b.encode("a") != [self.b.piece_to_id("▁a")]:
             raise ValueError("pieces of this model cross white-space markers, or it adds no leading one")
         b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.transducer, self.mark = Transducer(a_bytes, b_bytes), self.b.piece_to_id("▁")
-        self.most, self.longest, self.table = most, longest, {}
+        self.transducer, self.mark = Transducer(self.a.bytes, b_bytes), self.b.piece_to_id("▁")
+        self.most, self.longest, self.made = most, longest, 0
+        self.table: dict[str, Chunk | None] = {}
+        self.older: dict[str, Chunk | None] = {}
 
     def learn(self, chunks: list[str]) -> None:
         """Each chunk, which begins with a space, encoded and aligned; None where its tokens don't spell it."""
-        of_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        of_b = [ids if len(c) > 1 else [self.mark] for c, ids in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
-        a_bytes, b_bytes = self.transducer.bytes
-        for c, a, b in zip(chunks, of_a, of_b, strict=True):
-            raw = c.encode()
-            same = b"".join([a_bytes[i] for i in a]) == raw == b"".join([b_bytes[i] for i in b])
-            self.table[c] = Chunk(self.transducer, a, b) if same else None
+        of_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        b_bytes = self.transducer.bytes[1]
+        for c, a, b in zip(chunks, self.a.encode(chunks), of_b, strict=True):
+            if len(c) == 1:
+                b = [self.mark]
+            found = None
+            if b"".join([b_bytes[i] for i in b]) == c.encode():
+                try:
+                    found = Chunk(self.made, self.transducer, a, b)
+                    self.made += 1
+                except ValueError:  # the other side spells something else
+                    pass
+            self.table[c] = found
 
     def aligned(self, texts: list[str]) -> list[list[Chunk]]:
         """Of each text its chunks by position; none for a text without tokens."""
         if len(self.table) > self.most:
-            self.table.clear()
+            self.table, self.older = {}, self.table
         split = [chunks_of(f" {t}") if t else [] for t in texts]
-        new = list({c for chunks in split for c in chunks} - self.table.keys())
+        new = {c for chunks in split for c in chunks} - self.table.keys()
+        again = new & self.older.keys()
+        self.table.update((c, self.older[c]) for c in again)
+        new = list(new - again)
         self.learn(new)
         out = [[self.table[c] for c in chunks] for chunks in split]
         for i, found in enumerate(out):
@@ -163,35 +212,39 @@ class Block:
     NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "chunks")
 
     def __init__(self):
-        self.rows: list[tuple] = []
-        self.places: dict[int, int] = {}
-        self.chunks: list[Chunk] = []
+        self.ids: list = []
+        self.digests: list[str] = []
+        self.counts: list[int] = []
+        self.chunks: list[Chunk] = []  # of all texts, one after the other
         self.size = 0
 
     def add(self, doc_id, chunks: list[Chunk], size: int) -> None:
-        at = []
-        for c in chunks:
-            i = self.places.setdefault(id(c), len(self.chunks))
-            if i == len(self.chunks):
-                self.chunks.append(c)  # held here, so its id stays its own
-            at.append(i)
-        n_a, n_b, n_groups = (sum(getattr(c, n) for c in chunks) for n in ("n_a", "n_b", "n_groups"))
-        digest = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-        self.rows.append((doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, digest, np.array(at, np.int32)))
+        self.ids.append(doc_id)
+        self.digests.append(hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else "")
+        self.counts.append(len(chunks))
+        self.chunks += chunks
         self.size += size
 
     def batches(self, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         """A row a text; the first one also has the block's pairs, how often each occurs, and each chunk's links as places among the pairs."""
-        size = np.array([len(c.links) for c in self.chunks], np.int32)
-        pairs, link = np.unique(np.fromiter(chain.from_iterable(c.links for c in self.chunks), np.int64, int(size.sum())), return_inverse=True)
-        often = np.bincount(np.concatenate([r[-1] for r in self.rows]), minlength=len(size))
+        _, first, at = np.unique(np.array([c.number for c in self.chunks], np.int64), return_index=True, return_inverse=True)
+        distinct = [self.chunks[i] for i in first.tolist()]
+        size = np.array([len(c.links) for c in distinct], np.int32)
+        pairs, link = np.unique(np.frombuffer(b"".join([c.links.tobytes() for c in distinct]), np.int64), return_inverse=True)
+        often = np.bincount(at, minlength=len(size))
         times = np.bincount(link, np.repeat(often, size), len(pairs)).astype(np.int64)
+        ends = np.cumsum([0, *self.counts])
+        sums = {}
+        for name in ("n_a", "n_b", "n_groups"):
+            along = np.concatenate([[0], np.cumsum(np.array([getattr(c, name) for c in distinct], np.int64)[at])])
+            sums[name] = along[ends[1:]] - along[ends[:-1]]
+        sums["n_links"] = sums["n_a"] + sums["n_b"] - sums["n_groups"]
         more = {"pairs": (pairs, pa.int64()), "times": (times, pa.int64()), "links": (link.astype(np.int32), pa.int32()), "sizes": (size, pa.int32())}
-        for at in range(0, len(self.rows), 2000):
-            part = list(zip(*self.rows[at : at + 2000], strict=True))
-            n = len(part[0])
-            arrays = [pa.array([number] * n, pa.int64()), pa.array(part[0], id_type), *(pa.array(x, pa.int64()) for x in part[1:5]), pa.array(part[5], pa.string()), pa.array(part[6], pa.list_(pa.int32()))]
-            arrays += [pa.array([x if at + i == 0 else None for i in range(n)], pa.list_(kind)) for x, kind in more.values()]
+        for x in range(0, len(self.ids), 2000):
+            y = min(x + 2000, len(self.ids))
+            own = pa.ListArray.from_arrays(pa.array((ends[x : y + 1] - ends[x]).astype(np.int32)), pa.array(at[ends[x] : ends[y]].astype(np.int32)))
+            arrays = [pa.array([number] * (y - x), pa.int64()), pa.array(self.ids[x:y], id_type), *(pa.array(v[x:y]) for v in sums.values()), pa.array(self.digests[x:y], pa.string()), own]
+            arrays += [pa.array([v if x + i == 0 else None for i in range(y - x)], pa.list_(kind)) for v, kind in more.values()]
             yield pa.RecordBatch.from_arrays(arrays, ["block", *self.NAMES, *more])
 
 
@@ -209,7 +262,7 @@ def _blocks(a: str, b: str, block_bytes: int):
                 if block.size > block_bytes:
                     yield from block.batches(number, kind)
                     block, number = Block(), number + 1
-        if block.rows:
+        if block.ids:
             yield from block.batches(number, kind)
 
     return run

@@ -145,7 +145,7 @@ def test_alignment_of_nothing(spark):
 
 def test_transducer_groups_and_links():
     t = cross_tokens.Transducer([b"ab", b"c", b"abc", b"de"], [b"a", b"bc", b"d", b"e", b"cde"])
-    assert t.align([0, 1, 3], [0, 1, 2, 3]) == ([([0, 1], [0, 1]), ([3], [2, 3])], [0 << 32 | 0, 0 << 32 | 1, 1 << 32 | 1, 3 << 32 | 2, 3 << 32 | 3])
+    assert t.align([0, 1, 3], [0, 1, 2, 3]) == (["0,1|0,1", "3|2,3"], [0 << 32 | 0, 0 << 32 | 1, 1 << 32 | 1, 3 << 32 | 2, 3 << 32 | 3])
     assert t.seen[0, b"ab", 0] == (0, b"b") and t.seen[0, b"b", 1] == (1, b"c")
     with pytest.raises(ValueError):
         t.align([0], [2])
