@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
 from .ordered import medians, running_sums, with_medians
 
 
@@ -43,7 +44,7 @@ def numeric_summary(long: DataFrame, name: str = "name", label: str = "label", x
 
 def best_cut(rows: DataFrame, x: str, label: str = "label") -> DataFrame:
     """(n, base, accuracy): the best accuracy of one threshold on x in either direction; cuts lie between distinct values only."""
-    t = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.count_if(F.col(label) == 0).alias("c0"), F.count_if(F.col(label) == 1).alias("c1"))
+    t = written(rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.count_if(F.col(label) == 0).alias("c0"), F.count_if(F.col(label) == 1).alias("c1")), "tallies")
     totals = t.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.max("x").alias("last"))
     t = running_sums(t, "x", {"below0": "c0", "below1": "c1"}).join(F.broadcast(totals))  # one row
     n = F.col("n0") + F.col("n1")

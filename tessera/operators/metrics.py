@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import written
 from .ordered import running_sums, with_medians
 
 
 def tallies(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """(p, pos, neg): one row for each distinct score. All rank metrics start from this."""
-    return scored.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    return written(scored.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")), "tallies")
 
 
 def average_ranks(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:

@@ -1,5 +1,7 @@
 """Running sums, places and medians over a whole table without sending it to one task.
 
+Medians are selected bit by bit, from counts. For running sums, whose input is best a written table as it is read several times:
+
 Rows are dealt by value into ranges between approximate quantiles, about one for every `FULL` rows and 4096 at
 most; the quantiles are all that the driver sees. Sums within a range come from a window over it, sums before it
 from the ranges' totals. Separate runs (`within`) have quantiles of their own, so a narrow run is cut too.
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import dropped, written
+
 
 def count_at_or_below(x: Column, bounds: Sequence[float]) -> Column:
     """How many of the bounds are at or below x: plain comparisons, so that they are compiled."""
@@ -89,14 +93,61 @@ def running_max(df: DataFrame, value: str, of: str, name: str = "before") -> Dat
     return rows.join(F.broadcast(tops), "bucket_").withColumn(name, F.greatest("earlier_", here)).drop("bucket_", "earlier_")
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median") -> DataFrame:
-    """(by, name): exact medians from counts of distinct values and their running sums; no task holds a group's values. Null values don't count."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count("*").alias("n_"))
-    totals = counts.groupBy(*by).agg(F.sum("n_").alias("total_"))
-    rows = running_sums(counts, "value_", {"upto_": "n_"}, within=by).join(totals, list(by))
-    first = lambda k: F.min(F.when(F.col("upto_") >= k, F.col("value_")))
-    total = F.col("total_")
-    return rows.groupBy(*by).agg(((first(F.floor((total + 1) / 2)) + first(F.floor(total / 2) + 1)) / 2).alias(name))
+#: Bits of a key that a step of the selection counts by, and rows of a group up to which the rest of the key is counted at once.
+STEP, DIRECT = 16, 500_000
+TOP = (1 << 63) - 1
+
+
+def _double_bits(method: str, x: Column) -> Column:
+    return F.reflect(F.lit("java.lang.Double"), F.lit(method), x)
+
+
+def keyed(df: DataFrame, value: str, by: Sequence[str], key: str = "key_") -> DataFrame:
+    """(by, key): of each value that isn't null a long that sorts as the value does as a double (NaN last, -0 as 0)."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, _double_bits("doubleToLongBits", F.col(value).cast("double") + F.lit(0.0)).cast("long").alias(key))
+    bits = F.col(key)
+    return rows.withColumn(key, F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(TOP))))
+
+
+def medians(df: DataFrame, value: str, by: Sequence[str], name: str = "median", direct: int = DIRECT) -> DataFrame:
+    """(by, name): exact medians by selection on the bits of order-keeping keys. Null values don't count; a null group is a group.
+
+    The first scan counts each group's rows by the upper 16 bits, which tells the two bins that hold its middle ranks. The second reads
+    only rows of these bins and counts them by the rest of the key; if a group has more than `direct` rows there, by the
+    next 16 bits, and so on. A group's counts are 65,536 rows or `direct` at most, and nothing is shuffled but counts.
+    """
+    own, keys = [f"by{i}_" for i in range(len(by))], keyed(df, value, by)
+    keys = keys.select(*(F.col(c).alias(k) for c, k in zip(by, own, strict=True)), "key_")
+    total, steps, done = F.col("total_"), [], 0
+    ranks = [F.floor((total + 1) / 2), F.floor(total / 2) + 1]
+    hit = [(F.col("before_") < r) & (r <= F.col("before_") + F.col("n_")) for r in ranks]
+    picked = None
+    while True:
+        bits = 64 if picked is not None and most <= direct else done + STEP
+        prefix = F.shiftright("key_", 64 - bits).alias("prefix_") if bits < 64 else F.col("key_").alias("prefix_")
+        if picked is None:
+            counts = keys.groupBy(*own, prefix).agg(F.count("*").alias("n_"))
+            whole = Window.partitionBy(*own)
+            counts = counts.withColumns({"total_": F.sum("n_").over(whole), "before_": F.sum("n_").over(whole.orderBy("prefix_")) - F.col("n_")})
+        else:
+            bins = picked.select(*(F.col(k).alias(f"of_{k}") for k in own), F.col("prefix_").alias("parent_"), F.col("before_").alias("below_"), "total_")
+            same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in own] + [F.shiftright("key_", 64 - done) == F.col("parent_")]
+            rows = keys.join(bins, functools.reduce(Column.__and__, same)).select(*own, "parent_", prefix, "below_", "total_")
+            counts = rows.groupBy(*own, "parent_", "prefix_").agg(F.count("*").alias("n_"), F.first("below_").alias("below_"), F.first("total_").alias("total_"))
+            inside = F.sum("n_").over(Window.partitionBy(*own, "parent_").orderBy("prefix_"))
+            counts = counts.withColumn("before_", F.col("below_") + inside - F.col("n_"))
+        counts = counts.where(hit[0] | hit[1]).select(*own, "prefix_", "n_", "total_", "before_")
+        if bits == 64:
+            break
+        picked, done = written(counts, "bins"), bits  # two rows a group at most
+        steps.append(picked)
+        most = picked.groupBy(*own).agg(F.sum("n_").alias("n")).agg(F.max("n")).first()[0] or 0
+    back = F.when(F.col("prefix_") >= 0, F.col("prefix_")).otherwise(F.col("prefix_").bitwiseXOR(F.lit(TOP)))
+    counts = counts.select(*own, "total_", "before_", "n_", _double_bits("longBitsToDouble", back).cast("double").alias("value_"))
+    middle = [F.max(F.when(h, F.col("value_"))) for h in hit]
+    out = written(counts.groupBy(*own).agg(((middle[0] + middle[1]) / 2).alias(name)), "medians")  # a row a group
+    dropped(*steps)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(by, own, strict=True)), name)
 
 
 def with_medians(summary: DataFrame, rows: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from .bindings import query
 from .catalog_stats import R6
 
 
-@query(f"""SELECT 'img_' || vec_id || CASE WHEN label % 2 = 1 THEN '_gen.png' ELSE '_cam.png' END AS path, (label % 2)::INT AS label, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last,
+@query(f"""SELECT 'img_' || vec_id || CASE WHEN label % 2 = 1 THEN '_gen.png' ELSE '_cam.png' END AS path, (label % 2)::INT AS label, {R6('embedding[1]::DOUBLE')} AS first, {R6('embedding[64]::DOUBLE')} AS last,
 {R6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS total FROM embeddings""")
 def aligned_names(spark, sf_dir):
     """A headerless feature CSV and an aligned list of names, written in several part files each, and joined again by place."""
