@@ -215,6 +215,15 @@ def augmented(a: np.ndarray, kind: str, quality: int, factor: float) -> np.ndarr
     return jpeg_round_trip(small, quality) if min(small.shape[:2]) >= 256 else None
 
 
+def png8(image: np.ndarray) -> bytes:
+    """An 8-bit gray or RGB image as a PNG file, without loss."""
+    a = image if image.ndim == 3 else image[:, :, None]
+    lines = np.concatenate([np.zeros((a.shape[0], 1), np.uint8), a.astype(np.uint8).reshape(a.shape[0], -1)], axis=1)
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    head = a.shape[1].to_bytes(4, "big") + a.shape[0].to_bytes(4, "big") + bytes([8, {1: 0, 3: 2}[a.shape[2]], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def png16(data: bytes) -> np.ndarray:
     """A 16-bit, non-interlaced PNG: the JVM's reader keeps only the low bytes of these."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

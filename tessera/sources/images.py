@@ -21,19 +21,33 @@ AUDIT_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 
 def scan(spark: SparkSession, folder: str, label: int | None = None, extensions=("jpg", "jpeg", "png")) -> DataFrame:
-    """(path, size, modified, content, label) of a folder's image files, unsorted; sort by path where order matters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(path, size, modified, content, label) of a folder's own image files, whole; not of its subfolders'. Sort by path where order matters.
+
+    Where only headers matter, trees.headers() reads no more than these.
+    """
+    files = _own(spark, "binaryFile", folder)
     files = files.where(names.extension_of(F.col("path")).isin(*extensions))
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content", F.lit(label).cast("int").alias("label"))
 
 
+def _own(spark: SparkSession, kind: str, folder: str) -> DataFrame:
+    """Files right in the folder, read as a kind of source. Those of subfolders are listed, but their path rules them out before they are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = spark.read.format(kind).option("recursiveFileLookup", "true").load(folder)
+    if any(c in folder for c in "*?[{"):
+        return files
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString().rstrip("/")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return files.where(same(F.regexp_replace("_metadata.file_path", "/[^/]*$", "")) == same(F.lit(whole)))
+
+
 def two_classes(spark: SparkSession, real: str, made: str) -> DataFrame:
     return scan(spark, real, 0).unionByName(scan(spark, made, 1))
 
 
 def decoded(spark: SparkSession, folder: str, label: int | None = None) -> DataFrame:
     """(path, height, width, n_channels, data, label, error) from the JVM's reader; an unreadable file is a row with an error."""
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    image = _own(spark, "image", folder).select("image.*")
     image = image.where(names.extension_of(F.col("origin")).isin("jpg", "jpeg", "png"))
     bad = F.col("height") < 0
     plain = image.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(label).cast("int").alias("label"), F.when(bad, "unreadable").alias("error"))
@@ -173,6 +187,21 @@ def probes(files: DataFrame) -> DataFrame:
     return rows.withColumns({"stem": stem, "source": names.group_key(stem), "ext": names.extension_of(F.col("path")), "augmented": names.is_augmented(stem), "area": area, "aspect": F.col("width") / F.greatest("height", F.lit(1)), "bpp": F.try_divide("size", area)})
 
 
+def png_files(made: DataFrame, target: str = "target") -> DataFrame:
+    """(name, content): pixels of edited() as PNG files called <target>.png, for trees.write_tree(). Rows without pixels are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, h, w, n, data in zip(b["name"], b["height"], b["width"], b["n_channels"], b["data"], strict=True):
+                image = px.rgb8(px.from_spark_image(bytes(data), int(h), int(w), int(n)))
+                out.append((f"{name}.png", px.png8(image)))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    rows = made.where(F.col("data").isNotNull()).select(F.col(target).alias("name"), "height", "width", "n_channels", "data")
+    return rows.mapInPandas(run, "name string, content binary")
+
+
 # ---------------------------------------------------------------- measuring
 
 
