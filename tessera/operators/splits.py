@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
 from .ordered import running_sums
 
 
@@ -20,20 +21,38 @@ def fold_of(key: Column, k: int, seed: int = 42) -> Column:
     return F.floor(draw(key, seed) * k).cast("int")
 
 
-def balanced_folds(rows: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
-    """rows with fold: groups of like class share and size are dealt in turn, so folds are near in both; no group is in two.
+def group_shapes(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """(group, n0, n1) as a written table: a group's rows of either class; its shape is the pair of numbers."""
+    ones = F.count_if(F.col(label) == 1)
+    return written(rows.groupBy(group).agg((F.count("*") - ones).alias("n0"), ones.alias("n1")), "groups")
+
 
-    Groups are summed up first. Dealing is a window over the groups of a stratum and a slot; there is a slot for every 200,000 groups.
+def dealt(groups: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
+    """group_shapes() with fold: all groups in one order are dealt to the folds forth and back.
+
+    The order goes by n1 from large to small, by n0 upwards and downwards in turn, so that neighbours are alike in both, then by a seeded
+    draw. So the folds' numbers of class 1 are within the largest group's of each other. A group's place is the number of groups of
+    earlier shapes, a sum over the small table of shapes, plus its place within its shape, in order of the draw.
     """
-    groups = rows.groupBy(group).agg(F.count("*").alias("n_"), F.avg(F.col(label).cast("double")).alias("share_"))
-    slots = max(1, groups.count() // 200_000)
-    stratum = [F.round(F.col("share_"), 1), F.length(F.bin("n_"))]
-    slot = F.floor(draw(F.col(group), seed + 7) * slots)
-    order = F.row_number().over(Window.partitionBy(*stratum, slot).orderBy(draw(F.col(group), seed), group))
-    # Strata begin at different folds, so that small ones don't all end in the first.
-    first = F.pmod(F.length(F.bin("n_")) + F.round(F.col("share_") * 10).cast("int") + slot, F.lit(k))
-    groups = groups.select(group, ((order - 1 + first) % k).cast("int").alias("fold"))
-    return rows.join(groups, group)
+    turn = F.when(F.col("n1") % 2 == 0, F.col("n0")).otherwise(-F.col("n0"))
+    shapes = written(groups.groupBy("n0", "n1").agg(F.count("*").alias("m_")).withColumn("turn_", turn), "shapes")
+    before = running_sums(shapes, "n1", {"upto_": "m_"}, descending=True, ties=("turn_",)).select("n0", "n1", (F.col("upto_") - F.col("m_")).alias("before_"))
+    before = written(before, "offsets")
+    inside = running_sums(groups.withColumn("draw_", draw(F.col(group), seed)), "draw_", {"inside_": F.lit(1)}, within=("n0", "n1"), ties=(group,))
+    r = F.pmod(F.col("before_") + F.col("inside_") - 1, F.lit(2 * k))
+    fold = F.when(r < k, r).otherwise(2 * k - 1 - r).cast("int")
+    return inside.join(before, ["n0", "n1"]).select(group, "n0", "n1", fold.alias("fold"))
+
+
+def with_parts(rows: DataFrame, groups: DataFrame, group: str, *columns: str) -> DataFrame:
+    """rows with what their group has been given; a null group is a group too."""
+    given = groups.select(F.col(group).alias("of_"), *columns)
+    return rows.join(given, F.col(group).eqNullSafe(F.col("of_"))).drop("of_")
+
+
+def balanced_folds(rows: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
+    """rows with fold: whole groups, dealt so that folds are near in size and class shares; no group is in two."""
+    return with_parts(rows, dealt(group_shapes(rows, group, label), group, k, seed), group, "fold")
 
 
 def kfold_count(fraction: float) -> int:
@@ -44,13 +63,14 @@ def kfold_count(fraction: float) -> int:
 def split_3way(rows: DataFrame, group: str, label: str = "label", test: float = 0.2, calibration: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with part: test, cal or train, whole groups at a time and near in class shares.
 
-    test is the first of kfold_count(test) balanced folds, cal the first of those of the rest.
+    test is the first of kfold_count(test) balanced folds, cal the first of those of the rest. Groups are counted once.
     """
     share = min(0.5, max(1e-6, calibration / (1 - test)))
-    rows = balanced_folds(rows, group, label, kfold_count(test), seed).withColumnRenamed("fold", "fold_")
-    rest = balanced_folds(rows.where("fold_ <> 0"), group, label, kfold_count(share), seed + 1)
-    rest = rest.withColumn("part", F.when(F.col("fold") == 0, "cal").otherwise("train")).drop("fold", "fold_")
-    return rows.where("fold_ = 0").withColumn("part", F.lit("test")).drop("fold_").unionByName(rest)
+    first = written(dealt(group_shapes(rows, group, label), group, kfold_count(test), seed), "folds")
+    rest = dealt(first.where("fold <> 0").drop("fold"), group, kfold_count(share), seed + 1)
+    parts = first.where("fold = 0").select(group, F.lit("test").alias("part"))
+    parts = parts.unionByName(rest.select(group, F.when(F.col("fold") == 0, "cal").otherwise("train").alias("part")))
+    return with_parts(rows, parts, group, "part")
 
 
 def split_rows(rows: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:

@@ -230,8 +230,9 @@ _U = lambda key, seed: f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}
 
 def _folds(name: str, source: str, key: str, label: str, k: int, seed: int = 42) -> str:
     """CTE `name`: the rows of source with fold."""
-    return f"""{name}_s AS (SELECT {key} AS g_, length(bin(count(*))) AS b_, round(avg({label}::DOUBLE) * 10)::INT AS r_ FROM {source} GROUP BY {key}),
-{name}_f AS (SELECT g_, ((row_number() OVER (PARTITION BY r_, b_ ORDER BY {_U('g_', seed)}, g_) - 1 + (b_ + r_) % {k}) % {k})::INT AS fold FROM {name}_s), {name} AS (SELECT s.*, f.fold FROM {source} s JOIN {name}_f f ON s.{key} = f.g_)"""
+    return f"""{name}_s AS (SELECT {key} AS g_, count(*) FILTER (WHERE {label} IS DISTINCT FROM 1) AS n0, count(*) FILTER (WHERE {label} = 1) AS n1 FROM {source} GROUP BY {key}),
+{name}_p AS (SELECT g_, (row_number() OVER (ORDER BY n1 DESC, CASE WHEN n1 % 2 = 0 THEN n0 ELSE -n0 END, {_U('g_', seed)}, g_) - 1) % {2 * k} AS r FROM {name}_s),
+{name}_f AS (SELECT g_, (CASE WHEN r < {k} THEN r ELSE {2 * k - 1} - r END)::INT AS fold FROM {name}_p), {name} AS (SELECT s.*, f.fold FROM {source} s JOIN {name}_f f ON s.{key} IS NOT DISTINCT FROM f.g_)"""
 
 
 _ORDERS = "o AS (SELECT o_orderkey, o_custkey AS custkey, (o_orderstatus = 'F')::INT AS label FROM orders)"
