@@ -25,7 +25,12 @@ def average_ranks(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 def roc_auc(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """(n1, n0, auc) by the rank identity; null with one class only."""
-    t = running_sums(tallies(scored, p, y).withColumn("n", F.col("pos") + F.col("neg")), "p", {"upto": "n"})
+    return auc_of(tallies(scored, p, y))
+
+
+def auc_of(counts: DataFrame) -> DataFrame:
+    """roc_auc() of tallies()."""
+    t = running_sums(counts.withColumn("n", F.col("pos") + F.col("neg")), "p", {"upto": "n"})
     rank = F.col("upto") - (F.col("n") - 1) / 2e0
     sums = t.agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(rank * F.col("pos")).alias("r1"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")

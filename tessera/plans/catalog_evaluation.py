@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, compare, metrics, names, ordered, splits, stats
+from ..operators import audit, compare, metrics, names, ordered, sketch, splits, stats
 from ..sources import images, tables
 from . import bindings as b
 from . import folders
@@ -455,3 +455,37 @@ def missing_keys(spark, sf_dir):
 def marker_check(spark, sf_dir):
     lines = b.table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("text").alias("value"))
     return audit.markers(lines, ["the", "zzz"]).select(F.col("path").alias("source"), "has_the", "has_zzz")
+
+
+# ---------------------------------------------------------------- the evaluation sketch
+
+_EDGES = ", ".join(f"({i}, {e!r}::DOUBLE)" for i, e in enumerate(sketch.edges()))
+_CELLS = f"e(i, edge) AS (VALUES {_EDGES}), cells AS (SELECT generator, y, coalesce((SELECT max(edge) FROM e WHERE edge <= p), '-infinity'::DOUBLE) AS low, p FROM scored)"
+
+
+@query(f"WITH {SCORED}, {_CELLS} SELECT generator, y::INT AS y, CASE WHEN isinf(low) THEN -1 ELSE {R6('low')} END AS low, count(*) AS n, {R6('sum(p)')} AS sum_p, {R6('sum((p - y) * (p - y))')} AS sum_gap FROM cells GROUP BY generator, y, cells.low")
+def evaluation_sketch(spark, sf_dir):
+    """Counts between all bin edges and thresholds, for each set and class."""
+    cells = sketch.sketch(b.scored(spark, sf_dir), sketch.edges(), ["generator"])
+    return cells.withColumn("low", F.greatest("low", F.lit(-1.0)))
+
+
+def _bins(n: int) -> str:
+    """SQL of the calibration error over n right-closed bins."""
+    return f"(SELECT sum(n * abs(my - mp)) / sum(n) FROM (SELECT count(*) AS n, avg(p) AS mp, avg(y::DOUBLE) AS my FROM scored GROUP BY (SELECT count(*) FROM range(1, {n}) t(i) WHERE p > i / {n}e0)))"
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT least(floor(p * 40), 39) AS bin, count(*) AS n FROM scored WHERE y = 1 GROUP BY 1)
+SELECT count(*) AS n, {R6(_bins(10))} AS ece10, {R6(_bins(15))} AS ece15, {R6('avg((p - y) * (p - y))')} AS brier, {R6('avg(((p >= 0.5)::INT = y)::INT::DOUBLE)')} AS accuracy,
+count(*) FILTER (p >= 0.7 AND y = 1) AS tp_at_7, (SELECT bin::INT FROM h ORDER BY n DESC, bin LIMIT 1) AS fullest_bin FROM scored""")
+def merged_sketch_report(spark, sf_dir):
+    """One row of reports from the merged sketches of two halves of the scores."""
+    rows = b.scored(spark, sf_dir)
+    halves = [b.written(sketch.sketch(rows.where(F.col("doc_id") % 2 == k), sketch.edges()), "sketch") for k in (0, 1)]
+    cells = sketch.merged(halves)
+    one = sketch.sweep(cells, [0.5, 0.7]).agg(F.max("n").alias("n"), F.max(F.when(F.col("threshold") == 0.5, F.col("accuracy"))).alias("accuracy"), F.max(F.when(F.col("threshold") == 0.7, F.col("tp"))).alias("tp_at_7"))
+    errors = [sketch.calibration_error(cells, k).select(F.col("ece").alias(f"ece{k}")) for k in (10, 15)]
+    full = sketch.histogram(cells).where("y = 1").agg(F.max(F.struct("n", (-F.col("bin")).alias("bin"))).alias("h")).select((-F.col("h.bin")).cast("int").alias("fullest_bin"))
+    for more in (*errors, sketch.brier(cells), full):
+        one = one.join(F.broadcast(more))  # one row each
+    return one

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models, names, splits, stats
+from ..operators import metrics, models, names, sketch, splits, stats
+from ..steps import written
 
 
 @dataclass
@@ -47,14 +48,24 @@ def train(features: DataFrame, pipeline, group: str = "group_key", threshold_on:
 
 
 def final_test(scored: DataFrame, threshold: float, train_keys: DataFrame, key: str = "group_key") -> dict[str, DataFrame]:
-    """Counts with intervals, AUC, calibration, sweep, and whether test groups occur in training."""
-    counts = metrics.rates(metrics.confusion(scored, threshold), undefined=None)
-    low, high = metrics.wilson(F.col("tp") + F.col("tn"), F.col("n"))
+    """Counts with intervals, AUC, calibration, sweep, histogram, and whether test groups occur in training.
+
+    Scores are read once, into a count of each distinct one; the AUC and the sketch that all else follows from come from that.
+    """
+    counts = metrics.tallies(scored)
+    classes = F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("neg").alias("n")), F.struct(F.lit(1).alias("y"), F.col("pos").alias("n")))).alias("c")
+    rows = counts.select("p", classes).select("p", "c.y", "c.n").where("n > 0")
+    wanted = sorted({*sketch.SWEEP, threshold})
+    cells = written(sketch.sketch(rows, sketch.edges(wanted), n="n"), "sketch")
     return {
-        "rates": counts.withColumns({"accuracy_low": low, "accuracy_high": high}),
-        "auc": metrics.roc_auc(scored),
-        "ece": metrics.calibration_error(scored, 10),
-        "sweep": metrics.threshold_sweep(scored, [0.3, 0.4, 0.5, threshold, 0.6, 0.7]),
+        "rates": sketch.sweep(cells, [threshold], undefined=None).drop("threshold"),
+        "auc": metrics.auc_of(counts),
+        "ece": sketch.calibration_error(cells, 10),
+        "reliability": sketch.reliability(cells, 10),
+        "brier": sketch.brier(cells),
+        "histogram": sketch.histogram(cells),
+        "sweep": sketch.sweep(cells, wanted),
+        "sketch": cells,
         "contamination": names.contamination(train_keys, scored, key),
     }
 
