@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -21,6 +22,10 @@ from .boosting import Boosting, HistogramModel, Rules
 from .splits import balanced_folds
 
 
+#: Fixed value: rows of a background for explanations, at most.
+BACKGROUND = 200
+
+
 def with_vector(features: DataFrame, f: str = "f") -> DataFrame:
     return features.withColumn("features", array_to_vector(F.col(f)))
 
@@ -229,30 +234,70 @@ def tree_contributions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows.select(*names).mapInPandas(_explained(start, exported_trees(model), names), schema)
 
 
-def sampled_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int, orders: int = 4, seed: int = 42) -> DataFrame:
+def numpy_scores(model: PipelineModel | HistogramModel) -> Callable[[np.ndarray], np.ndarray]:
+    """The probability of class 1 for rows of a matrix, as a function that tasks can take along."""
+    if isinstance(model, HistogramModel):
+        return lambda x: 1 / (1 + np.exp(-model.margins(x)))
+    last = model.stages[-1]
+    if hasattr(last, "trees"):
+        trees = [(w, np.array(nodes)) for w, nodes in exported_trees(model)]
+
+        def votes(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x))
+            for weight, nodes in trees:
+                at = np.zeros(len(x), np.int64)
+                while (inner := np.flatnonzero(nodes[at, 0] >= 0)).size:
+                    here = nodes[at[inner]]
+                    at[inner] = np.where(x[inner, here[:, 0].astype(np.int64)] <= here[:, 1], here[:, 2], here[:, 3]).astype(np.int64)
+                out += weight * nodes[at, 4]
+            return out
+
+        return votes
+    scale = model.stages[0]
+    std = scale.std.toArray()
+    weights, start = np.where(std > 0, last.coefficients.toArray() / np.where(std > 0, std, 1), 0.0), float(last.intercept)
+    start -= float(scale.mean.toArray() @ weights)
+    return lambda x: 1 / (1 + np.exp(-(x @ weights + start)))
+
+
+def walked(scores: Callable[[np.ndarray], np.ndarray], own: np.ndarray, background: np.ndarray, walks: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
+    """What each feature adds for one row: along each walk over the features its values replace the background's, in blocks of some steps x background."""
+    width, n = len(own), len(background)
+    out, some = np.zeros(width), max(1, cells // (n * width))
+    for walk in walks:
+        place = np.empty(width, np.int64)
+        place[walk] = np.arange(width)  # when each feature is replaced
+        means = np.concatenate([
+            scores(np.where((place < np.arange(a, min(a + some, width + 1))[:, None])[:, None, :], own, background).reshape(-1, width)).reshape(-1, n).mean(axis=1)
+            for a in range(0, width + 1, some)
+        ])
+        out[walk] += np.diff(means)
+    return out / len(walks)
+
+
+def sampled_contributions(model: PipelineModel | HistogramModel, rows: DataFrame, background: DataFrame, key: str, width: int, orders: int = 4, seed: int = 42) -> DataFrame:
     """(key, base, contributions): what each feature adds to the probability, for a model of any kind.
 
-    For a few rows to explain against a small background (vectors f): along `orders` seeded orders of the features, the row's
-    values replace the background's one by one, and the mean probability's steps are the contributions. Each
-    order goes forth and back. They add up to the row's probability less the background's mean.
+    Along `orders` seeded orders of the features, each forth and back, the row's values replace those of the background's rows
+    one by one, and the mean probability's steps are the contributions. They add up to the row's probability less the
+    background's mean. The background, BACKGROUND rows at most (exact_sample() draws them), goes to every task.
     """
-    walk = [np.random.default_rng(seed + i).permutation(width).tolist() for i in range(orders)]
-    walk += [w[::-1] for w in walk]
-    places = [[w.index(f) for f in range(width)] for w in walk]  # when each feature is replaced
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(i, w, p) for i, (w, p) in enumerate(zip(walk, places, strict=True))], "walk int, order_ array<int>, places array<int>")
-    # orders x 2 walks and a small background: the product is what the method evaluates.
-    mixed = rows.select(key, F.col("f").alias("own")).join(F.broadcast(table)).join(F.broadcast(background.select(F.col("f").alias("other"))))
-    mixed = mixed.select(key, "walk", "order_", "places", "own", "other", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("step"))
-    f = F.transform("own", lambda x, i: F.when(F.element_at("places", i + 1) < F.col("step"), x).otherwise(F.element_at("other", i + 1)))
-    p = scored(model, with_vector(mixed.select(key, "walk", "order_", "step", f.alias("f"))).drop("f"))
-    p = p.groupBy(key, "walk", "step").agg(F.avg("p").alias("p"), F.first("order_").alias("order_"))
-    before = F.lag("p").over(Window.partitionBy(key, "walk").orderBy("step"))
-    steps = p.select(key, "walk", "step", (F.col("p") - before).alias("gain"), "p", F.when(F.col("step") > 0, F.element_at("order_", F.greatest("step", F.lit(1)))).alias("col0"))
-    base = steps.where("step = 0").groupBy(key).agg(F.avg("p").alias("base"))
-    each = steps.where("step > 0").groupBy(key, "col0").agg(F.avg("gain").alias("gain"))
-    values = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col0", "gain"))), lambda t: t["gain"]).alias("contributions"))
-    return base.join(values, key)
+    few = background.select("f").limit(BACKGROUND + 1).collect()
+    if len(few) > BACKGROUND:
+        raise ValueError(f"draw a background of {BACKGROUND} rows at most")
+    other, scores = np.array([r.f for r in few], np.float64), numpy_scores(model)
+    walks = [np.random.default_rng(seed + i).permutation(width) for i in range(orders)]
+    walks += [w[::-1] for w in walks]
+    base = float(scores(other).mean())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [walked(scores, np.array(f, np.float64), other, walks) for f in b.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([base] * len(b), pa.float64()), pa.array(found, pa.list_(pa.float64()))], [key, "base", "contributions"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    spread = rows.select(key, "f").repartition(rows.sparkSession.sparkContext.defaultParallelism)  # a row takes long, whatever its size
+    return spread.mapInArrow(run, f"`{key}` {kind}, base double, contributions array<double>")
 
 
 def contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, width: int) -> DataFrame:

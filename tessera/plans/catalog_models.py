@@ -109,11 +109,21 @@ def best_model(spark, sf_dir):
 
 @query()
 def sampled_contributions(spark, sf_dir):
-    """The explanation of three rows for a model that isn't made of trees, in probability."""
+    """The explanation of the test rows for a model that isn't made of trees, in probability."""
     rows, model = _fit(spark, sf_dir, models.logistic(500))
-    few = rows.where("part = 'test'").orderBy("img").select("img", "f").limit(3)
-    background = rows.where("part = 'train'").orderBy("img").select("f").limit(8)
-    return models.contributions(model, few, background, "img", 64)
+    background = splits.exact_sample(rows.where("part = 'train'"), "img", models.BACKGROUND)
+    return models.contributions(model, rows.where("part = 'test'").select("img", "f"), background, "img", 64)
+
+
+@query("SELECT count(*) AS rows, true AS adds_up FROM embeddings")
+def sampled_additivity(spark, sf_dir):
+    """(rows, adds_up): whether base and sampled contributions make each row's probability, over all rows."""
+    rows, model = _fit(spark, sf_dir, models.logistic(500))
+    background = splits.exact_sample(rows.where("part = 'train'"), "img", models.BACKGROUND)
+    found = models.sampled_contributions(model, rows, background, "img", 64, orders=1)
+    both = found.join(models.scored(model, rows).select("img", "p"), "img")
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, x: s + x)
+    return both.agg(F.count("*").alias("rows"), (F.max(F.abs(total - F.col("p"))) < 1e-9).alias("adds_up"))
 
 
 @query()

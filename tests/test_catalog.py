@@ -55,9 +55,9 @@ def test_isotonic_map_is_monotone(spark):
 def test_sampled_contributions_add_up(spark):
     rows = {r.img: r for r in catalog.QUERIES["sampled_contributions"](spark, SF).collect()}
     p = {r.img: r.p for r in catalog.QUERIES["lr_scores"](spark, SF).collect()}
-    assert len(rows) == 3
+    assert set(rows) == set(p)
     for img, r in rows.items():
-        assert abs(r.base + sum(r.contributions) - p[img]) < 1e-4 and r.space == "probability" and len(r.contributions) == 64
+        assert abs(r.base + sum(r.contributions) - p[img]) < 1e-6 and r.space == "probability" and len(r.contributions) == 64
 
 
 def test_leave_one_generator_out(spark):
