@@ -3,16 +3,17 @@
 For the largest inner product, rows are taken in bands of norms within a factor of 1.25, and made unit ones by a
 further coordinate (the square root of what their squared norm lacks to the band's largest; 0 for queries), padded to a
 power of two and turned by a pseudo-rotation: three rounds of random signs and a fast Hadamard transform. A vector's
-bucket in a table is the signed axis nearest to it, of one such polytope or, for tables of over `LARGE` rows, of two
-together, so buckets grow in number with the rows. A query probes the buckets nearest to it in each of the
-`tables`; rows in any of them are its candidates, whose inner products are exact, of the original vectors in double precision.
+bucket in a table is the signed axis nearest to it, of one such polytope or of `polytopes` together. A query probes the buckets
+nearest to it in each of the `tables`; rows in any of them are its candidates, and only with these is it multiplied:
+exactly, by the original vectors in double precision.
 
 How many buckets are probed is fitted: among `SAMPLE` rows at most, 256 of them as queries, the nearest of the same
 share as k has of all rows must be met with a frequency of `target`. Clustered vectors need a few probes; vectors
 without structure need buckets that hold a good part of all rows, whatever the index.
 
-Rows and queries meet in tiles: a block of rows, which hashes itself, and a group of queries that passes
-by it in batches, so a vector is shuffled once for each tile it is in and a tile's memory is bounded. Every pair is met once.
+Each row is hashed once and each query's probes are found once. They meet in tiles: a block of rows, which lists its rows by
+table and bucket, and a group of queries, each of which gathers the lists of its probes and multiplies the rows in them, each
+once. A vector is shuffled once for each tile it is in, and a tile's memory is bounded.
 
 All bands are probed. Rows of bands above 1.5 times the median norm are near to any query in inner product
 whatever their direction, so they are every query's candidates. A query whose probes met fewer than k rows
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 from .vectors import best, matrix, of_one_size, usable
 
-#: Rows that the number of probes is fitted on, queries among them, and the table size from which a bucket is made of two polytopes.
-SAMPLE, ASKED, LARGE = 20_000, 256, 4_000_000
+#: Rows that the number of probes is fitted on, and queries among them.
+SAMPLE, ASKED = 20_000, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -115,40 +116,75 @@ def _band(norm: np.ndarray) -> np.ndarray:
     return np.floor(np.log(norm) / np.log(1.25)).astype(np.int64)
 
 
-def top_pairs(query: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: np.ndarray, out: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, vec, score) of each query's k best rows but those marked out.
+class Lists:
+    """A block's rows by table and bucket."""
+
+    def __init__(self, place: np.ndarray, every: np.ndarray, width: int):
+        self.order = [np.argsort(p, kind="stable") for p in place]
+        self.starts = [np.searchsorted(p[o], np.arange(width + 1)).tolist() for p, o in zip(place, self.order, strict=True)]
+        self.every, self.seen = np.flatnonzero(every), np.zeros(len(every), bool)
+
+    def candidates(self, probed: np.ndarray) -> np.ndarray:
+        """Rows in any of the probed buckets (tables x probes), each once."""
+        for order, starts, buckets in zip(self.order, self.starts, probed.tolist(), strict=True):
+            self.seen[np.concatenate([order[starts[b] : starts[b + 1]] for b in buckets])] = True
+        self.seen[self.every] = True
+        out = np.flatnonzero(self.seen)
+        self.seen[out] = False
+        return out
+
+
+def top_of(v: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k rows nearest to one query.
 
     A product of matrices may round equal pairs apart, so all within a hair of the k-th are scored again,
     each by the same sum, and ties are settled by id.
     """
-    scores = v @ rows.T
-    scores[out] = -np.inf
-    if scores.shape[1] > 2 * k:
-        limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        hair = 1e-12 * np.linalg.norm(v, axis=1) * np.sqrt((rows**2).sum(1).max())
-        i, j = np.nonzero((scores >= (limit - hair)[:, None]) & (scores > -np.inf))
-    else:
-        i, j = np.nonzero(scores > -np.inf)
-    return best(query[i], ids[j], np.einsum("ij,ij->i", v[i], rows[j]), k)
-
-
-def _tiles(index: CrossPolytope | None, probes: int, k: int):
-    """Scores a partition sorted by tile, the block's rows first. index None: all rows are candidates."""
-
-    def candidates(x: np.ndarray, place: np.ndarray, every: np.ndarray) -> np.ndarray:
-        out = np.broadcast_to(every, (len(x), len(every))).copy()
-        m = min(probes, index.width)
-        for t, axes in enumerate(index.nearness(x)):
-            probed = np.zeros(axes.shape, bool)
-            np.put_along_axis(probed, np.argpartition(-axes, m - 1, axis=1)[:, :m], True, axis=1)
-            out |= probed[:, place[t]]
-        return out
+    scores = rows @ v
+    if len(scores) > 2 * k:
+        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
+        hair = 1e-12 * norms(v[None, :])[0] * norms(rows).max()
+        near = np.flatnonzero(~(scores < limit - hair))
+        rows, ids = rows[near], ids[near]
+    _, ids, scores = best(np.zeros(len(ids), np.int64), ids, np.einsum("ij,ij->i", np.broadcast_to(v, rows.shape), rows), k)
+    return ids, scores
+
+
+def _placed(index: CrossPolytope):
+    """Rows with their bucket in each table, and whether every query takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, every = index.buckets(matrix(b.column("v"))) if len(b) else (np.zeros((index.tables, 0), np.int64), np.zeros(0, bool))
+            hashed = pa.array([r.tobytes() for r in place.T.astype(np.int32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), hashed, pa.array(every)], ["id", "v", "hashed", "every"])
+
+    return run
+
+
+def _probing(index: CrossPolytope, probes: int):
+    """Queries with the buckets they probe in each table."""
+    m = min(probes, index.width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 1000):
+                b = whole.slice(a, 1000)
+                found = np.stack([np.argpartition(-axes, m - 1, axis=1)[:, :m] for axes in index.nearness(matrix(b.column("v")))], axis=1)
+                hashed = pa.array([r.tobytes() for r in found.astype(np.int32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), hashed, pa.array([False] * len(b))], ["id", "v", "hashed", "every"])
+
+    return run
+
+
+def _tiles(index: CrossPolytope, k: int, listed: bool):
+    """Scores a partition sorted by tile, the block's rows first. Not listed: all rows are candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, block = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "grp", "is_query")])
-            ids, x = batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("v"))
+            ids, x, hashed = batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("v")), batch.column("hashed")
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(ids)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
@@ -156,21 +192,22 @@ def _tiles(index: CrossPolytope | None, probes: int, k: int):
                 if (here := tuple(keys[:2, a].tolist())) != key:
                     key, parts, block = here, [], None
                 if not keys[2, a]:
-                    parts.append((ids[a:b], x[a:b]))
+                    parts.append((ids[a:b], x[a:b], hashed[a:b].to_pylist(), batch.column("every")[a:b].to_numpy(zero_copy_only=False)))
                     continue
                 if not parts and block is None:
                     continue
                 if block is None:
-                    own, rows = map(np.concatenate, zip(*parts, strict=True))
-                    block, parts = (own, rows, *(index.buckets(rows) if index else (None, None))), []
-                own, rows, place, every = block
-                step = max(1, (1 << 21) // len(own))
-                for c in range(a, b, step):
-                    q, v = ids[c : min(b, c + step)], x[c : min(b, c + step)]
-                    out = q[:, None] == own
-                    if index:
-                        out |= ~candidates(v, place, every)
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in top_pairs(q, v, own, rows, out, k)], ["query_id", "vec_id", "score"])
+                    own, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    place = np.frombuffer(b"".join(h for p in parts for h in p[2]), np.int32).reshape(len(own), -1).T
+                    block, parts = (own, rows, Lists(place, np.concatenate([p[3] for p in parts]), index.width) if listed else None), []
+                own, rows, lists = block
+                found = []
+                for i in range(a, b):
+                    at = lists.candidates(np.frombuffer(hashed[i].as_py(), np.int32).reshape(index.tables, -1)) if lists else np.arange(len(own))
+                    at = at[own[at] != ids[i]]
+                    near, scores = top_of(x[i], rows[at], own[at], k)
+                    found.append((np.full(len(near), ids[i]), near, scores))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -185,16 +222,17 @@ def _scored(rows: DataFrame, queries: DataFrame, blocks: int, groups: int, tile,
     """Every query against every block of rows."""
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    rows = rows.select(part(blocks).alias("block"), F.lit(0).alias("is_query"), "id", "v").withColumn("grp", spread(groups))
-    queries = queries.select(part(groups).alias("grp"), F.lit(1).alias("is_query"), "id", "v").withColumn("block", spread(blocks))
+    rows = rows.select(part(blocks).alias("block"), F.lit(0).alias("is_query"), "id", "v", "hashed", "every").withColumn("grp", spread(groups))
+    queries = queries.select(part(groups).alias("grp"), F.lit(1).alias("is_query"), "id", "v", "hashed", "every").withColumn("block", spread(blocks))
     met = rows.unionByName(queries).repartition("block", "grp").sortWithinPartitions("block", "grp", "is_query")
     return ranked(met.mapInArrow(tile, "query_id long, vec_id long, score double"), k)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, target: float = 0.95, block: int = 65_536, group: int = 65_536, tasks: int = 12, seed: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8, target: float = 0.95, block: int = 65_536, group: int = 65_536, tasks: int = 12, seed: int = 1, polytopes: int = 1) -> DataFrame:
     """Each query's k rows found with the largest inner product, those of its own id left out: query_id, rank, vec_id, score.
 
-    target: the share of the nearest that the fitted number of probes must meet. tasks: the least number of blocks.
+    target: the share of the nearest that the fitted number of probes must meet. tasks: the least number of blocks. polytopes: how many make a bucket; two give
+    buckets in the square of their number, for tables of very many clustered vectors.
     """
     spark = rows.sparkSession
     taken = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(usable("v", zero=False) & F.col("id").isNotNull())
@@ -208,16 +246,19 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     n, middle = lengths.agg(F.count("*"), F.percentile_approx("norm", 0.5)).first()
     near = F.floor(F.log("norm") / float(np.log(1.25)))
     bands = {int(b): float(m) for b, m in lengths.groupBy(near.alias("band")).agg(F.max("norm")).collect()}  # a few bands for each power of ten
-    index = CrossPolytope(d, bands, 1.5 * middle, tables, 1 if n <= LARGE else 2, seed)
+    index = CrossPolytope(d, bands, 1.5 * middle, tables, polytopes, seed)
     some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
     probes = index.fitted(np.array([r["v"] for r in some], np.float64), np.array([r["id"] for r in some]), max(1, round(k * len(some) / n)), target)
     blocks, groups = max(-(-n // block), tasks), -(-max(1, queries.count()) // group)
-    found = written(_scored(rows, queries, blocks, groups, _tiles(index, probes, k), k), "found")
+    shape = f"id long, v {rows.schema['v'].dataType.simpleString()}, hashed binary, every boolean"
+    rows, asked = rows.mapInArrow(_placed(index), shape), queries.mapInArrow(_probing(index, probes), shape.replace(rows.schema["v"].dataType.simpleString(), queries.schema["v"].dataType.simpleString()))
+    found = written(_scored(rows, asked, blocks, groups, _tiles(index, k, True), k), "found")
     # Queries whose probes met fewer than k rows meet every row.
     few = written(queries.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti").select("id", "v"), "short")
     short = few.count()
     if not short:
         dropped(few)
         return found
-    more = _scored(rows, few, blocks, -(-short // group), _tiles(None, 0, k), k)
+    few = few.withColumns({"hashed": F.lit(None).cast("binary"), "every": F.lit(False)})
+    more = _scored(rows, few, blocks, -(-short // group), _tiles(index, k, False), k)
     return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)

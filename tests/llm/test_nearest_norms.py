@@ -95,3 +95,34 @@ def test_tiny_vectors_take_part(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = cross_polytope.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect()
     assert len(got) == 4 * 5 and all(r.rank <= 5 for r in got)
+
+
+@pytest.mark.parametrize(("kind", "n", "most"), [("clustered", 4000, 0.15), ("clustered", 12000, 0.15), ("spread", 4000, 0.9)])
+def test_buckets_decide_what_is_multiplied(kind, n, most):
+    """Pairs scored, as a share of all, and recall against brute force, at two sizes."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (n, 64))
+    if kind == "clustered":
+        x = np.repeat(rng.normal(0, 1, (n // 40, 64)), 40, axis=0) + rng.normal(0, 0.15, (n, 64))
+        x = rng.permutation(x)
+    norm = cross_polytope.norms(x)
+    bands = {b: float(norm[cross_polytope._band(norm) == b].max()) for b in set(cross_polytope._band(norm).tolist())}
+    index = cross_polytope.CrossPolytope(64, bands, 1.5 * float(np.median(norm)))
+    probes = index.fitted(x, np.arange(n), 20, 0.95)
+    place, every = index.buckets(x)
+    lists = cross_polytope.Lists(place, every, index.width)
+    queries = np.arange(0, n, n // 50)
+    probed = np.stack([np.argpartition(-a, probes - 1, axis=1)[:, :probes] for a in index.nearness(x[queries])], axis=1)
+    scored = hits = 0
+    for q, buckets in zip(queries, probed):
+        at = lists.candidates(buckets)
+        assert not lists.seen.any() and len(set(at.tolist())) == len(at)
+        assert set(at.tolist()) == {i for i in range(n) if every[i] or any(place[t][i] in buckets[t] for t in range(8))} if q < 400 else True
+        at = at[at != q]
+        scored += len(at)
+        near, _ = cross_polytope.top_of(x[q], x[at], at, 20)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(near.tolist()) & set(np.argsort(-s)[:20].tolist()))
+    print(kind, n, probes, scored / len(queries) / n, hits / 20 / len(queries))
+    assert hits / 20 / len(queries) >= 0.9 and scored / len(queries) / n <= most
