@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables as functions
 from ..operators import audit, compare, metrics, names, ordered, sketch, splits, stats
 from ..sources import images, tables
 from . import bindings as b
@@ -489,3 +490,19 @@ def merged_sketch_report(spark, sf_dir):
     for more in (*errors, sketch.brier(cells), full):
         one = one.join(F.broadcast(more))  # one row each
     return one
+
+
+@query(f"WITH {SCORED} SELECT generator, (1 + (SELECT count(*) FROM range(1, 10) t(i) WHERE p > i / 10e0))::INT AS bin, count(*) AS n, {R6('avg(p)')} AS mean_p, {R6('avg(y::DOUBLE)')} AS mean_y FROM scored GROUP BY generator, 2")
+def reliability_rows(spark, sf_dir):
+    """A reliability table for each set, by the table function over its sketch, from SQL."""
+    functions.register(spark)
+    cells = b.written(sketch.sketch(b.scored(spark, sf_dir), sketch.edges(), ["generator"]), "sketch")
+    return spark.sql("SELECT * FROM reliability_rows(TABLE({cells}) PARTITION BY (generator), 'generator', 10)", cells=cells)
+
+
+@query(f"WITH {SCORED}, t(threshold) AS (VALUES (0.4e0), (0.6e0)) SELECT generator, threshold, count(*) FILTER (p >= threshold AND y = 1) AS tp, count(*) FILTER (p < threshold AND y = 0) AS tn, count(*) FILTER (p >= threshold AND y = 0) AS fp, count(*) FILTER (p < threshold AND y = 1) AS fn, {R6('avg(((p >= threshold)::INT = y)::INT::DOUBLE)')} AS accuracy FROM scored, t GROUP BY 1, 2")
+def sweep_rows(spark, sf_dir):
+    """Counts at thresholds for each set, by the table function over its sketch, from SQL."""
+    functions.register(spark)
+    cells = b.written(sketch.sketch(b.scored(spark, sf_dir), sketch.edges(), ["generator"]), "sketch")
+    return spark.sql("SELECT * FROM sweep_rows(TABLE({cells}) PARTITION BY (generator), 'generator', array(0.4D, 0.6D))", cells=cells)
