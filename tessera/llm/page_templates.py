@@ -22,7 +22,7 @@ class Maker:
         if r.random() < 0.15:
             out = [r.choice([w, w[0], str(len(w))]) for w in out]
         if self.noise:
-            out = [w + r.choice(["%%%", "***", "$$$", "&&&", "###"]) for w in out]
+            out = [w + r.choice("!#$%&*+-=@^_|~") * r.randint(1, 4) for w in out]
         elif r.random() < 0.7:
             for i in range(7, len(out), r.randint(6, 14)):
                 out[i] += r.choice([".", ",", "."])
