@@ -364,6 +364,18 @@ def verdict_rules(spark, sf_dir):
     return audit.verdict(spark.createDataFrame(_CASES, ", ".join(f"{c} double" for c in _FACT_COLS)))
 
 
+#: Facts at, beside and far from the rules' limits, from a part's key and size; the same expressions in both dialects.
+_PART_FACTS = {"auc": "0.5e0 + (p_partkey % 40) / 100e0", "sd_from_chance": "(p_size % 9) / 2e0", "extension_share": "(p_partkey % 11) / 10e0 - 0.5e0", "table_share": "(p_size % 7) / 10e0",
+               "resolution_gap": "1e0 + (p_partkey % 12) / 20e0", "resolution_cut": "0.5e0 + (p_size % 6) / 10e0", "density_gap": "1e0 + (p_size % 11) / 20e0", "density_cut": "0.5e0 + (p_partkey % 6) / 10e0"}
+
+
+@query(f"WITH facts AS (SELECT {', '.join(f'({e})::DOUBLE AS {c}' for c, e in _PART_FACTS.items())} FROM part), {_RULED} SELECT CASE WHEN problems > 0 THEN 'problems' WHEN sd_from_chance >= 3 THEN 'residual' ELSE 'clean' END AS verdict, problems, {', '.join(f'count(*) FILTER (is_{k}) AS {k}' for k in _RULES)}, count(*) AS n FROM counted GROUP BY 1, 2")
+def verdicts_of_parts(spark, sf_dir):
+    """The rules over facts made from each part, counted by verdict."""
+    facts = b.table(spark, sf_dir, "part").select(*(F.expr(e).cast("double").alias(c) for c, e in _PART_FACTS.items()))
+    return audit.verdict(facts).groupBy("verdict", "problems").agg(*(F.count_if(f"is_{k}").alias(k) for k in _RULES), F.count("*").alias("n"))
+
+
 _OUTCOMES = f"""{FILES}, n AS (SELECT *, 'dir' || doc_id || '/' || stem || '.' || ext AS path FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path) AS k FROM n), t AS (SELECT *, CASE WHEN k > 1 THEN stem || '__' || k ELSE stem END AS target FROM r),
 o AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN {_AUG} THEN 'skipped_augmented' WHEN least(width, height) < 448 THEN 'skipped_small' WHEN target IN (SELECT stem FROM files WHERE label = 1) THEN 'existed' ELSE 'written' END AS outcome FROM t)"""
 

@@ -197,6 +197,13 @@ def feature_dictionary(spark, sf_dir):
     return feature_dict(spark)
 
 
+@query(f"WITH {PX}, d AS ({b.ORACLES['feature_dictionary']}), l AS (SELECT (r * 8 + c)::INT AS col0, v FROM px) SELECT d.block, d.channel, d.name, count(*) AS n, {R6('avg(v)')} AS mean, {R6('max(v)')} AS largest FROM l JOIN d USING (col0) GROUP BY 1, 2, 3")
+def named_features(spark, sf_dir):
+    """Measures joined with the layout's dictionary: (block, channel, name, n, mean, largest)."""
+    rows = feature_long(spark, sf_dir).join(F.broadcast(feature_dict(spark)), "col0")  # 230 rows
+    return rows.groupBy("block", "channel", "name").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("largest"))
+
+
 # ---------------------------------------------------------------- whole images
 
 
