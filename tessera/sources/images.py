@@ -8,11 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import features as feat
 from ..functions import pixels as px
+from ..functions import tiles
 from ..operators import names
 from ..operators.splits import draw, uniform_int
 
@@ -205,33 +209,70 @@ def png_files(made: DataFrame, target: str = "target") -> DataFrame:
 # ---------------------------------------------------------------- measuring
 
 
-def _measured(rest: list[str], mode: str, normalise: bool):
+_TILE = "image string, part int, status string, kind int, place int, rows int, columns int, first int, pivots array<double>, ranges array<double>, tile binary"
+_TILE_NAMES = [c.split()[0] for c in _TILE.split(", ")]
+
+
+def _tile_rows(rest: list[str], mode: str, normalise: bool):
+    """Rows of tiles; the columns that stay are on an image's first one only. An image without an answer is one row without a tile."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
         for b in batches:
-            values, status = [], []
-            for h, w, n, data in zip(b["height"], b["width"], b["n_channels"], b["data"], strict=True):
+            for at in range(len(b)):
+                row = b.iloc[at]
+                # The name is the row's own, with a number for its like in this partition, so that a task run anew gives it again.
+                name = hashlib.md5(repr([row[c] for c in rest]).encode() + bytes(row["data"] or b"")).hexdigest()
+                seen[name] = seen.get(name, 0) + 1
+                name = f"{TaskContext.get().partitionId()}:{name}:{seen[name]}"
                 try:
-                    image = px.from_spark_image(bytes(data), int(h), int(w), int(n))
+                    image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
                     if normalise:
                         image = px.normalised(image)
-                    values.append(None if image is None else feat.vector(image, mode))
-                    status.append("TOOSMALL" if image is None else "DONE")
+                    found = [] if image is None else list(tiles.tiles_of(image, mode))
+                    status = "TOOSMALL" if image is None else "DONE"
                 except (ValueError, TypeError, IndexError) as e:
-                    values.append(None)
-                    status.append(f"error: {e}")
-            yield b[rest].assign(f=values, status=status)
+                    found, status = [], f"error: {e}"
+                rows = [(name, i, status, *t) for i, t in enumerate(found)] or [(name, 0, status, *[None] * 8)]
+                out = pd.DataFrame(rows, columns=_TILE_NAMES)
+                kept = pd.concat([b[rest].iloc[[at]]] + [b[rest].iloc[[at]].map(lambda _: None)] * (len(rows) - 1), ignore_index=True) if rest else b[rest].iloc[[0] * len(rows)]
+                yield pd.concat([kept.reset_index(drop=True).astype(object).where(lambda k: k.notna(), None), out.astype({c: "Int32" for c in ("kind", "place", "rows", "columns", "first")})], axis=1)
 
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each tile's share of its image's sums, in place of the tile."""
+    keep = ("row", "image", "part", "status")
+    for whole in batches:
+        for a in range(0, len(whole), 64):
+            b = whole.slice(a, 64)
+            cols = [b.column(c).to_pylist() for c in ("kind", "place", "rows", "columns", "first", "pivots", "ranges", "tile")]
+            found = [tiles.partial_sums(t) if t[0] is not None else np.zeros(tiles.LENGTH) for t in zip(*cols, strict=True)]
+            ends = pa.array(np.arange(0, (len(b) + 1) * tiles.LENGTH, tiles.LENGTH, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else np.zeros(0)))], [*keep, "sums"])
+
+
+def _features(sums: pd.Series) -> pd.Series:
+    return pd.Series([tiles.features_of(np.asarray(s, np.float64)).tolist() for s in sums], dtype=object)
+
+
 def measured(images: DataFrame, mode: str = "crop", normalise: bool = False) -> DataFrame:
-    """images with f (230 values, null if there is no answer) and status; one decode and one pass an image, no shuffle.
+    """images with f (230 values, null if there is no answer) and status.
 
-    Filter rows before this: no predicate moves below it.
+    Pixels, bands and spectrum of each image become rows of tiles, tiles become partial sums where they are, and Spark adds these up by
+    image, in each task before the shuffle: what is shuffled of an image is its sums, 53 KB. Filter rows before this: no predicate moves below it.
     """
     rest = [c for c in images.columns if c not in ("height", "width", "n_channels", "data")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*rest).schema)
-    return images.mapInPandas(_measured(rest, mode, normalise), f"{fields}, f array<double>, status string")
+    kept = images.select(*rest, "height", "width", "n_channels", "data")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*rest).schema]
+    cut = kept.mapInPandas(_tile_rows(rest, mode, normalise), ", ".join([*fields, _TILE]))
+    row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+    shape = images.select(row.alias("row")).schema["row"].dataType.simpleString()
+    sums = cut.select(row.alias("row"), *_TILE_NAMES).mapInArrow(_sums, f"row {shape}, image string, part int, status string, sums array<double>")
+    total = sums.groupBy("image").agg(F.min_by("row", "part").alias("row"), F.first("status").alias("status"), Summarizer.sum(array_to_vector("sums")).alias("total"))
+    f = F.when(F.col("status") == "DONE", F.pandas_udf(_features, "array<double>")(vector_to_array("total")))
+    return total.select("row.*", f.alias("f"), "status") if rest else total.select(f.alias("f"), "status")
 
 
 def _edited(rest: list[str]):
