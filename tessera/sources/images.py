@@ -215,18 +215,19 @@ _TILE_NAMES = [c.split()[0] for c in _TILE.split(", ")]
 
 def _tile_rows(rest: list[str], mode: str, normalise: bool):
     """Rows of tiles; the columns that stay are on an image's first one only. An image without an answer is one row without a tile."""
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 5, *[pa.list_(pa.float64())] * 2, pa.binary()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for b in batches:
             for at in range(len(b)):
-                row = b.iloc[at]
+                one = {c: b.column(c)[at].as_py() for c in (*rest, "height", "width", "n_channels", "data")}
                 # The name is the row's own, with a number for its like in this partition, so that a task run anew gives it again.
-                name = hashlib.md5(repr([row[c] for c in rest]).encode() + bytes(row["data"] or b"")).hexdigest()
+                name = hashlib.md5(repr([one[c] for c in rest]).encode() + (one["data"] or b"")).hexdigest()
                 seen[name] = seen.get(name, 0) + 1
                 name = f"{TaskContext.get().partitionId()}:{name}:{seen[name]}"
                 try:
-                    image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
+                    image = px.from_spark_image(one["data"], int(one["height"]), int(one["width"]), int(one["n_channels"]))
                     if normalise:
                         image = px.normalised(image)
                     found = [] if image is None else list(tiles.tiles_of(image, mode))
@@ -234,23 +235,28 @@ def _tile_rows(rest: list[str], mode: str, normalise: bool):
                 except (ValueError, TypeError, IndexError) as e:
                     found, status = [], f"error: {e}"
                 rows = [(name, i, status, *t) for i, t in enumerate(found)] or [(name, 0, status, *[None] * 8)]
-                out = pd.DataFrame(rows, columns=_TILE_NAMES)
-                kept = pd.concat([b[rest].iloc[[at]]] + [b[rest].iloc[[at]].map(lambda _: None)] * (len(rows) - 1), ignore_index=True) if rest else b[rest].iloc[[0] * len(rows)]
-                yield pd.concat([kept.reset_index(drop=True).astype(object).where(lambda k: k.notna(), None), out.astype({c: "Int32" for c in ("kind", "place", "rows", "columns", "first")})], axis=1)
+                kept = [pa.concat_arrays([b.column(c).slice(at, 1), pa.nulls(len(rows) - 1, b.column(c).type)]) for c in rest]
+                cut = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *cut], [*rest, *_TILE_NAMES])
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each tile's share of its image's sums, in place of the tile."""
+    """Sums of each run of an image's tiles, on the row of the run's first."""
     keep = ("row", "image", "part", "status")
-    for whole in batches:
-        for a in range(0, len(whole), 64):
-            b = whole.slice(a, 64)
-            cols = [b.column(c).to_pylist() for c in ("kind", "place", "rows", "columns", "first", "pivots", "ranges", "tile")]
-            found = [tiles.partial_sums(t) if t[0] is not None else np.zeros(tiles.LENGTH) for t in zip(*cols, strict=True)]
-            ends = pa.array(np.arange(0, (len(b) + 1) * tiles.LENGTH, tiles.LENGTH, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else np.zeros(0)))], [*keep, "sums"])
+    for b in batches:
+        images, first, sums = b.column("image").to_pylist(), [], []
+        cols = [b.column(c) for c in ("kind", "place", "rows", "columns", "first", "pivots", "ranges", "tile")]
+        for i, image in enumerate(images):
+            if not i or image != images[i - 1]:
+                first.append(i)
+                sums.append(np.zeros(tiles.LENGTH))
+            if cols[0][i].is_valid:
+                sums[-1] += tiles.partial_sums(tuple(c[i].as_py() for c in cols))
+        ends = pa.array(np.arange(0, (len(sums) + 1) * tiles.LENGTH, tiles.LENGTH, dtype=np.int32))
+        at = pa.array(first, pa.int32())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sums) if sums else np.zeros(0)))], [*keep, "sums"])
 
 
 def _features(sums: pd.Series) -> pd.Series:
@@ -266,7 +272,7 @@ def measured(images: DataFrame, mode: str = "crop", normalise: bool = False) ->
     rest = [c for c in images.columns if c not in ("height", "width", "n_channels", "data")]
     kept = images.select(*rest, "height", "width", "n_channels", "data")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*rest).schema]
-    cut = kept.mapInPandas(_tile_rows(rest, mode, normalise), ", ".join([*fields, _TILE]))
+    cut = kept.mapInArrow(_tile_rows(rest, mode, normalise), ", ".join([*fields, _TILE]))
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
     shape = images.select(row.alias("row")).schema["row"].dataType.simpleString()
     sums = cut.select(row.alias("row"), *_TILE_NAMES).mapInArrow(_sums, f"row {shape}, image string, part int, status string, sums array<double>")
