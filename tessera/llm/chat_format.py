@@ -29,8 +29,9 @@ from .common import fresh, others, plus, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 _coders: dict[str, Coder] = {}
-#: White space as the encoder has it.
-_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: White space as the encoder has it, from so many characters on.
+LONG = 10_000
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
 def escaped(text: str) -> str:
@@ -64,6 +65,8 @@ class Coder:
 
     def encode(self, text: str) -> list[int]:
         """The library's ids. Its pattern can't take very long white space, which is a piece of its own but for its last character before other text."""
+        if len(text) < LONG:
+            return self.bpe.encode_ordinary(text)
         ids, at = [], 0
         for run in _LONG_SPACE.finditer(text):
             ids += self.bpe.encode_ordinary(text[at : run.start()])
