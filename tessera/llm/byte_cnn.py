@@ -167,8 +167,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     """
     known = docs.where(~held_out(doc_id) & F.col(label).isNotNull() & (F.length(text) > 0))
     counts = known.groupBy(F.col(label).alias("of_label")).agg(F.count("*").alias("n"))
-    per_class = min(per_class, most / max(1, counts.count()))
+    labels = counts.count()
+    per_class = min(per_class, most / max(1, labels))
     counts = counts.select("of_label", (F.lit(1.2 * per_class) / F.col("n")).alias("share"))
+    counts = F.broadcast(counts) if labels <= 100_000 else counts  # else all texts would be shuffled by label, of which one may have most
     draw = F.pmod(F.xxhash64(F.lit("fit"), doc_id, F.length(text)), F.lit(1 << 30)) / float(1 << 30)
     at = [F.pmod(F.xxhash64(F.lit(i), doc_id), F.greatest(F.length(text) - window // 2, F.lit(1))).cast("int") + 1 for i in range(per_text)]
     rows = known.select(doc_id, text, label).join(counts, F.col(label) == F.col("of_label")).where(draw < F.col("share")).select(F.col(label).alias("label"), draw.alias("draw"), F.array(*(F.substring(F.col(text), a, F.lit(window)) for a in at)).alias("parts")).collect()
