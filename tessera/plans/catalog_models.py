@@ -210,17 +210,17 @@ def named_features(spark, sf_dir):
 def made_images(spark, sf_dir, side: int = 460):
     """(path, label, height, width, n_channels, data): each embedding's plane enlarged, with texture from its values, as an image."""
     import numpy as np
-    import pandas as pd
 
-    def run(batches):
+    def made(batches):
         for pdf in batches:
-            out = []
             for img, label, plane in zip(pdf["img"], pdf["label"], pdf["plane"], strict=True):
                 a = px.rounded((np.asarray(plane).reshape(8, 8, 1) + 0.6) / 1.2 * 255)
                 a = px.resized(np.concatenate([a, a[::-1], a[:, ::-1]], 2), side, side).astype(np.int64)
                 grain = np.random.default_rng(int(img)).integers(-12, 13, a.shape)
-                out.append((f"img_{img}_{'gen' if label else 'cam'}.png", int(label), side, side, 3, px.rounded((a + grain).astype(np.float64)).tobytes()))
-            yield pd.DataFrame(out, columns=["path", "label", "height", "width", "n_channels", "data"])
+                yield f"img_{img}_{'gen' if label else 'cam'}.png", int(label), side, side, 3, np.clip(a + grain, 0, 255).astype(np.uint8).tobytes()
+
+    def run(batches):
+        return images.frames(made(batches), ["path", "label", "height", "width", "n_channels", "data"], "data")
 
     spread = spark.sparkContext.defaultParallelism * 4  # a small file would be one task, and an image takes a tenth of a second
     return b.planes(spark, sf_dir).repartition(spread, "img").mapInPandas(run, "path string, label int, height int, width int, n_channels int, data binary")

@@ -24,6 +24,23 @@ from ..operators.splits import draw, uniform_int
 AUDIT_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 
+#: Bytes of pixels or files that a task hands on at once, whatever its batches hold.
+HANDED = 1 << 24
+
+
+def frames(rows: Iterator[tuple], columns: list[str], held: str, most: int = HANDED) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some `most` bytes in column `held` each."""
+    at, out, size = columns.index(held), [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[at] or b"") + 64 * len(row)
+        if size >= most:
+            yield pd.DataFrame(out, columns=columns)
+            out, size = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def scan(spark: SparkSession, folder: str, label: int | None = None, extensions=("jpg", "jpeg", "png")) -> DataFrame:
     """(path, size, modified, content, label) of a folder's own image files, whole; not of its subfolders'. Sort by path where order matters.
 
@@ -194,13 +211,13 @@ def probes(files: DataFrame) -> DataFrame:
 def png_files(made: DataFrame, target: str = "target") -> DataFrame:
     """(name, content): pixels of edited() as PNG files called <target>.png, for trees.write_tree(). Rows without pixels are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
-            out = []
             for name, h, w, n, data in zip(b["name"], b["height"], b["width"], b["n_channels"], b["data"], strict=True):
-                image = px.rgb8(px.from_spark_image(bytes(data), int(h), int(w), int(n)))
-                out.append((f"{name}.png", px.png8(image)))
-            yield pd.DataFrame(out, columns=["name", "content"])
+                yield f"{name}.png", px.png8(px.rgb8(px.from_spark_image(bytes(data), int(h), int(w), int(n))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(files(batches), ["name", "content"], "content")
 
     rows = made.where(F.col("data").isNotNull()).select(F.col(target).alias("name"), "height", "width", "n_channels", "data")
     return rows.mapInPandas(run, "name string, content binary")
@@ -281,29 +298,31 @@ def measured(images: DataFrame, mode: str = "crop", normalise: bool = False) ->
     return total.select("row.*", f.alias("f"), "status") if rest else total.select(f.alias("f"), "status")
 
 
-def _edited(rest: list[str]):
+def _edited(rest: list[str], kinds: list[str]):
+    """Rows of all edits of an image, which goes to the task once."""
+    columns = [*rest, "variant", "quality", "factor", "edit_status", "height", "width", "n_channels", "data"]
+
+    def one(row: dict, kind: str, quality: int, factor: float) -> tuple:
+        made, status = None, "DONE"
+        try:
+            image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
+            if kind == "normalised":
+                made = px.normalised(image)
+            elif kind in px.VARIANTS:
+                made = px.VARIANTS[kind](image)
+            else:
+                made = px.augmented(image, kind, quality, factor)
+            status = "TOOSMALL" if made is None else status
+        except (ValueError, TypeError, IndexError) as e:
+            status = f"error: {e}"
+        pixels = (None, None, None, None) if made is None else (*made.shape[:2], 3, np.ascontiguousarray(made[:, :, ::-1]).tobytes())
+        return (*(row[c] for c in rest), kind, quality, factor, status, *pixels)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                kind, status = row["variant"], "DONE"
-                try:
-                    image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
-                    if kind == "normalised":
-                        made = px.normalised(image)
-                    elif kind in px.VARIANTS:
-                        made = px.VARIANTS[kind](image)
-                    else:
-                        made = px.augmented(image, kind, int(row["quality"]), float(row["factor"]))
-                    status = "TOOSMALL" if made is None else status
-                except (ValueError, TypeError, IndexError) as e:
-                    made, status = None, f"error: {e}"
-                keep = {c: row[c] for c in rest} | {"edit_status": status}
-                if made is None:
-                    out.append(keep | {"height": None, "width": None, "n_channels": None, "data": None})
-                else:
-                    out.append(keep | {"height": made.shape[0], "width": made.shape[1], "n_channels": 3, "data": np.ascontiguousarray(made[:, :, ::-1]).tobytes()})
-            yield pd.DataFrame(out, columns=[*rest, "edit_status", "height", "width", "n_channels", "data"]).astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
+        rows = (row for b in batches for row in b.to_dict("records"))
+        made = (one(row, kind, int(q), float(f)) for row in rows for kind, q, f in zip(kinds, row["qualities_"], row["factors_"], strict=True))
+        for frame in frames(made, columns, "data"):
+            yield frame.astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
 
     return run
 
@@ -313,15 +332,16 @@ def edited(images: DataFrame, kinds: list[str], key: str = "path", seed: int = 4
     TOOSMALL for the edit, or an error, which skips the image and no other.
 
     kinds: `normalised`, those of pixels.VARIANTS, or the augmentations qhi, qlo, soft, rweb, whose
-    quality and factor are drawn from a hash of the key and the kind.
+    quality and factor are drawn from a hash of the key and the kind. A task holds a batch of images and some edits, not all of a batch's.
     """
-    rows = images.withColumn("variant", F.explode(F.array(*map(F.lit, kinds))))
-    at = F.concat_ws("|", F.col(key).cast("string"), "variant")
-    quality = F.when(F.col("variant") == "qlo", uniform_int(at, 40, 70, seed)).otherwise(uniform_int(at, 70, 95, seed))
-    rows = rows.withColumns({"quality": quality, "factor": 0.6 + 0.3 * draw(at, seed + 1)})
-    rest = [c for c in rows.columns if c not in ("height", "width", "n_channels", "data")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema)
-    return rows.mapInPandas(_edited(rest), f"{fields}, edit_status string, height int, width int, n_channels int, data binary")
+    at = {k: F.concat_ws("|", F.col(key).cast("string"), F.lit(k)) for k in kinds}
+    qualities = F.array(*(uniform_int(x, *((40, 70) if k == "qlo" else (70, 95)), seed) for k, x in at.items()))
+    factors = F.array(*(0.6 + 0.3 * draw(x, seed + 1) for x in at.values()))
+    pixels = ("height", "width", "n_channels", "data")
+    rest = [c for c in images.columns if c not in (*pixels, "variant", "quality", "factor")]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*rest).schema), "variant string, quality int, factor double"])
+    rows = images.select(*rest, *pixels, qualities.alias("qualities_"), factors.alias("factors_"))
+    return rows.mapInPandas(_edited(rest, list(at)), f"{fields}, edit_status string, height int, width int, n_channels int, data binary")
 
 
 def edit_counts(made: DataFrame) -> DataFrame:
