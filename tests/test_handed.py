@@ -66,3 +66,9 @@ def test_each_edit_of_each_image_comes_back(spark):
     rows = {(r.path, r.variant): r for r in got.collect()}
     assert len(rows) == 9 and all((rows[f"p{i}", "rweb"].edit_status, rows[f"p{i}", "control"].edit_status) == ("TOOSMALL", "DONE") for i in range(3))
     assert bytes(rows["p0", "control"].data) == pixels(1, 90).data[0] and 70 <= rows["p0", "jpeg60"].quality <= 95
+
+
+def test_measuring_sends_no_tiles_and_no_sums(spark):
+    df = spark.createDataFrame([(p.path, 90, 90, 3, bytearray(p.data)) for p in pixels(3, 90).itertuples()], "path string, height int, width int, n_channels int, data binary")
+    plan = images.measured(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
