@@ -30,7 +30,11 @@ def shingle_hashes(raw: bytes, words: int, seed: int) -> list[int]:
 
 def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; 0 without words."""
-    hashes = shingle_hashes(raw, words, seed)
+    return of_hashes(shingle_hashes(raw, words, seed))
+
+
+def of_hashes(hashes: list[int]) -> int:
+    """fingerprint() of a text's shingle hashes, repeats included."""
     n = len(hashes)
     if not n:
         return 0

@@ -13,7 +13,7 @@ distinct fingerprints go into cells. `spare` grows with their number, so cells s
 spanning forest of its links instead of all of them: its components are the same, and its links are fewer than its
 members. A very large cell is cut further by the blocks it doesn't fix, on the same ground.
 
-one_of_each() with a `similarity` goes by that of the shingle sets instead (simhash_similar).
+one_of_each() with a `similarity` lets the shingle sets decide on these links, and on those of samples (simhash_similar).
 
 Words are runs of non-white space with A-Z lower-cased. Null and wordless texts have the fingerprint
 zero, linked like any other; texts of fewer words than a shingle are one shingle; a very long text is
@@ -206,10 +206,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     """docs with one row left of each group, that with the smallest id (null ids last, then by text hash and row); all columns stay.
 
     Groups are linked by fingerprints within `distance`, or, with a `similarity` such as (4, 5), by the Jaccard similarity of the shingle
-    sets, for which samples, rows, small and tile are simhash_similar's.
+    sets of texts that are so linked or share a cell of samples, for which samples, rows, small and tile are simhash_similar's.
     """
     if similarity:
-        found = simhash_similar.labelled(docs, doc_id, text, words, similarity, samples, rows, seed, small, tile)
+        found = simhash_similar.labelled(docs, doc_id, text, words, similarity, samples, rows, seed, small, tile, lambda prints: links(prints, "f", distance))
     else:
         found = labelled(docs, doc_id, text, words, distance, seed)
     return least_rows(docs, found, doc_id, text)

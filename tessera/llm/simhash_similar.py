@@ -7,6 +7,9 @@ probability j^rows and then have the same fingerprint, so at 0.8 all but 3 of 10
 more. A fingerprint's embedding of segment bit counts is its cell; nothing is linked by that alone: the exact
 similarity of the two sets must be `similarity` or more. Texts with one set of shingle hashes are one node.
 
+First of all the whole texts' own fingerprints are joined by simhash_dedup's grid, under its Manhattan bound and within its Hamming
+distance; its links, and texts of one fingerprint, are pairs to be decided like the samples'. The samples add those further apart.
+
 A cell of up to `small` nodes proposes all its pairs whose sizes allow the similarity. A larger one first proposes
 each node with one other, so a dense group costs as many pairs as it has nodes. Where that leaves its nodes
 unconnected, those not connected yet are compared in tiles of `tile` shingles a side. The components are those of all pairs.
@@ -17,7 +20,7 @@ shingle. Very long texts are one set each. An empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, text_or_empty, written
 from .components import components
-from .shingles import majority, shingle_hashes
+from .shingles import majority, of_hashes, shingle_hashes
 
 #: Up to so many keys are broadcast, having been counted: 8 MB.
 FEW = 1_000_000
@@ -63,15 +66,18 @@ def _signed(words: int, seed: int, samples: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = Samples(samples, rows, seed)
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, keys, prints = [], [], [], []
             for text in batch.column("t"):
-                found = shingle_set(text.as_buffer().to_pybytes(), words, seed)
+                hashes = shingle_hashes(text.as_buffer().to_pybytes(), words, seed)
+                prints.append(of_hashes(hashes))
+                found = np.unique(np.array(hashes, np.uint64))
                 names.append(_name(found))
                 sizes.append(len(found))
                 keys.append(sample.prints(found).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "tag", "s", "n", "keys"])
+            s, f = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, prints))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), s, f, pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "tag", "s", "f", "n", "keys"])
 
     return run
 
@@ -179,14 +185,27 @@ def _tiles(members: DataFrame, sets: DataFrame, apart: DataFrame, tile: int) ->
     return rows.join(sets, "s")
 
 
-def grouped(rows: DataFrame, docs: DataFrame, text: str, words: int, similarity: tuple[int, int], seed: int, small: int, tile: int) -> DataFrame:
+def _near(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): pairs of nodes whose whole fingerprints are linked or the same, one node for each fingerprint and link."""
+    first = written(nodes.groupBy("f").agg(F.min("s").alias("first")), "firsts")
+    at = lambda end: first.select(F.col("f").alias(f"f{end}"), F.col("first").alias(end))
+    linked = links(first).join(at("a"), "fa").join(at("b"), "fb").select("a", "b")
+    same = nodes.select("f", "s").join(first, "f").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    found = written(linked.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near")
+    dropped(first)
+    return found
+
+
+def grouped(rows: DataFrame, docs: DataFrame, text: str, words: int, similarity: tuple[int, int], seed: int, small: int, tile: int, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) over all links between sets at `similarity` or more among the cells."""
     top, of = similarity
-    nodes = written(rows.groupBy("s").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    nodes = written(rows.groupBy("s").agg(F.min("tag").alias("tag"), F.min("f").alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
     cells = nodes.select("s", "n", F.posexplode("keys").alias("band", "key")).select("band", "key", "n", "s")
     found = cells.repartition("band", "key").sortWithinPartitions("band", "key", "n", "s").mapInArrow(_proposed(top, of, small), "a long, b long, bucket long")
     found = written(found, "proposed")
-    pairs = written(found.where("bucket is null").select("a", "b").distinct(), "pairs")
+    near = _near(nodes, links)
+    pairs = written(found.where("bucket is null").select("a", "b").unionByName(near).distinct(), "pairs")
+    dropped(near)
     members = found.where("bucket is not null").select("bucket", F.col("a").alias("s"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(members.select("s")).distinct()
     tags = written(nodes.join(asked, "s", "left_semi").select("tag"), "tags")
@@ -218,9 +237,9 @@ def grouped(rows: DataFrame, docs: DataFrame, text: str, words: int, similarity:
     return comp
 
 
-def labelled(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tuple[int, int], samples: int, rows: int, seed: int, small: int, tile: int) -> DataFrame:
+def labelled(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tuple[int, int], samples: int, rows: int, seed: int, small: int, tile: int, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, tag: a hash of the text, component) of each document."""
     signed = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text_or_empty(text).alias("t"))
-    signed = written(signed.mapInArrow(_signed(words, seed, samples, rows), "id long, tag long, s long, n int, keys array<long>"), "samples")
-    comp = grouped(signed, docs, text, words, similarity, seed, small, tile)
+    signed = written(signed.mapInArrow(_signed(words, seed, samples, rows), "id long, tag long, s long, f long, n int, keys array<long>"), "samples")
+    comp = grouped(signed, docs, text, words, similarity, seed, small, tile, links)
     return signed.select("id", "tag", "s").join(comp, F.col("s") == F.col("node"), "left").select("id", "tag", F.coalesce("component", "s").alias("component"))
