@@ -22,8 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ class Transducer:
     def __init__(self, a: list[bytes], b: list[bytes], most: int = 1_000_000):
         self.bytes, self.most = (a, b), most
         self.seen: dict[tuple[int, bytes, int], tuple[int, bytes]] = {}
+        self._forget()
 
     def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes]:
         """The state after the other side's next token: who leads, and what of it is unmatched."""
@@ -103,16 +104,72 @@ class Transducer:
             raise ValueError("tokens of the two sides spell different bytes")
         return groups, links
 
-
-class Chunk:
-    """One stretch of text aligned: a number of its own, numbers of tokens and groups, the groups as text, links."""
-
-    __slots__ = ("number", "n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, number: int, transducer: Transducer, a: list[int], b: list[int]):
-        groups, links = transducer.align(a, b)
-        self.number, self.n_a, self.n_b, self.n_groups = number, len(a), len(b), len(groups)
-        self.groups, self.links = ";".join(groups), array("q", links)
+    def _state(self, lead: int, residual: bytes) -> int:
+        """The number of a state; 0 is the empty residual, whoever led."""
+        if not residual:
+            return 0
+        number = self.numbers.setdefault((lead, residual), len(self.states))
+        if number == len(self.states):
+            self.states.append((lead, residual))
+        return number
+
+    def _forget(self) -> None:
+        self.states: list[tuple[int, bytes]] = [(0, b"")]
+        self.numbers: dict[tuple[int, bytes], int] = {}
+        self.first = np.full(len(self.bytes[0]), -1, np.int64)
+        self.keys, self.next = np.array([-1]), np.zeros(1, np.int64)
+
+    def _after(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """step() of many states at once, by a sorted table of the transitions met so far."""
+        key = state << 32 | token
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        missed = key[self.keys[at] != key]
+        if len(missed):
+            new = np.unique(missed)
+            found = [self._state(*self.step(*self.states[k >> 32], k & LOW)) for k in new.tolist()]
+            keys = np.concatenate([self.keys, new])
+            order = np.argsort(keys)
+            self.keys, self.next = keys[order], np.concatenate([self.next, found])[order]
+            at = np.searchsorted(self.keys, key)
+        return self.next[at]
+
+    def align_all(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """align() of many stretches in step: a and b hold their tokens one after the other, n_a and n_b say how many are whose.
+
+        Each stretch must be spelt alike by both, without empty tokens. Returns which tokens of a and of b end a group, all links by stretch, and how many are whose.
+        """
+        if max(len(self.states), len(self.keys)) > self.most:
+            self._forget()
+        end = np.cumsum(n_a)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        who, i, j = np.arange(len(n_a)), end - n_a, np.cumsum(n_b) - n_b
+        state, head = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(who):
+            fresh = np.flatnonzero(state == 0)
+            head[fresh] = begun = a[i[fresh]]
+            i[fresh] += 1
+            for t in np.unique(begun[self.first[begun] < 0]).tolist():
+                self.first[t] = self._state(0, self.bytes[0][t])
+            state[fresh] = self.first[begun]
+            of_a = np.array([lead for lead, _ in self.states], bool)[state]
+            token = np.empty(len(who), np.int64)
+            token[of_a], token[~of_a] = a[i[of_a]], b[j[~of_a]]
+            i += of_a
+            j += ~of_a
+            steps.append((who, np.where(of_a, token << 32 | head, head << 32 | token)))
+            state = self._after(state, token)
+            turned = np.array([lead for lead, _ in self.states], bool)[state] != of_a
+            head = np.where(turned, token, head)
+            closed = state == 0
+            last_a[i[closed] - 1] = last_b[j[closed] - 1] = True
+            going = ~closed | (i < end[who])
+            who, i, j, state, head = who[going], i[going], j[going], state[going], head[going]
+        n_links = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(n_a)) if steps else np.zeros(0, np.int64)
+        start, links = np.cumsum(n_links) - n_links, np.empty(n_links.sum(), np.int64)
+        for k, (w, link) in enumerate(steps):
+            links[start[w] + k] = link
+        return last_a, last_b, links, n_links
 
 
 class ByteLevel:
@@ -131,6 +188,7 @@ class ByteLevel:
         self.bytes = [b""] * (1 + max(vocab.values()))
         for piece, i in vocab.items():
             self.bytes[i] = bytes(map(letters.__getitem__, piece))
+        self.lengths = np.array(list(map(len, self.bytes)))
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True  # their strings are plain text
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -138,18 +196,39 @@ class ByteLevel:
         in_order = [vocab[a + b] for a, b in merges] == list(range(256, 256 + len(merges))) and len(ranks) == len(vocab)
         self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if in_order else None
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [self.quick(c) if self.quick and len(c) < 1000 and c.isascii() else None for c in chunks]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.library.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks in another order, all their ids one after the other, how many are whose. Chunks behind which a border may be are encoded as one text."""
+        plain, other, rest = [], [], []
+        for c in chunks:
+            end = c[-1]
+            if len(c) >= 1000 or not ("!" <= end <= "~" or end.isalnum()):
+                rest.append(c)
+            elif self.quick and c.isascii():
+                plain.append(c)
+            else:
+                other.append(c)
+        runs = [(part, self.quick("".join(part))) for part in _parts(plain)]
+        runs += [(part, self.library.encode("".join(part), add_special_tokens=False).ids) for part in _parts(other)]
+        runs += [([c], e.ids) for c, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True)]
+        ids = np.fromiter(chain.from_iterable(found for _, found in runs), np.int64)
+        order = [c for part, _ in runs for c in part]
+        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, map(str.encode, order))))
+        until = np.searchsorted(ends, wanted)
+        if len(order) and (until[-1] != len(ids) - 1 or not np.array_equal(ends[until], wanted)):
+            raise ValueError("this tokenizer's tokens cross the borders of chunks")
+        return order, ids, np.diff(until, prepend=-1) if len(order) else np.zeros(0, np.int64)
+
+
+def _parts(chunks: list[str], most: int = 1000) -> Iterator[list[str]]:
+    return (chunks[i : i + most] for i in range(0, len(chunks), most))
 
 
 class Aligner:
-    """Both tokenizers and the chunks a task has aligned: some `most` of late, and as many before them, of which those seen again stay."""
+    """Both tokenizers and the chunks a task has aligned, by number; of some `most` chunks those met most often stay."""
+
+    COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "links")
 
-    def __init__(self, a: str, b: str, most: int = 120_000, longest: int = 40):
+    def __init__(self, a: str, b: str, most: int = 240_000, longest: int = 40, in_step: int = 64):
         import sentencepiece
 
         self.a, self.b = ByteLevel(a), sentencepiece.SentencePieceProcessor(model_file=b)
@@ -158,46 +237,125 @@ class Aligner:
             raise ValueError("pieces of this model cross white-space markers, or it adds no leading one")
         b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.transducer, self.mark = Transducer(self.a.bytes, b_bytes), self.b.piece_to_id("▁")
-        self.most, self.longest, self.made = most, longest, 0
-        self.table: dict[str, Chunk | None] = {}
-        self.older: dict[str, Chunk | None] = {}
+        self.b_lengths = np.array(list(map(len, b_bytes)))
+        self.names = np.array([str(i) for i in range(max(len(self.a.bytes), len(b_bytes)))], object)
+        self.most, self.longest, self.in_step, self.made = most, longest, in_step, 0
+        self.table: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.held: dict[str, list[np.ndarray]] = {c: [] for c in self.COLUMNS}
+        self.uses = np.zeros(0, np.int64)
+
+    def column(self, name: str) -> np.ndarray:
+        """What is known of all chunks by number; links are those of all chunks one after the other."""
+        parts = self.held[name]
+        if len(parts) != 1:
+            parts[:] = [np.concatenate([np.zeros(0, np.int64), *parts])]
+        return parts[0]
+
+    def _keep(self, groups: list[str], **columns: np.ndarray) -> None:
+        self.groups += groups
+        for c in self.COLUMNS:
+            self.held[c].append(columns[c])
+
+    @staticmethod
+    def _spelt(chunks: list[str], ids: np.ndarray, n: np.ndarray, known: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Which chunks their tokens spell."""
+        text, end = b"".join(map(known.__getitem__, ids.tolist())), np.concatenate([[0], np.cumsum(lengths[ids])])[np.cumsum(n)]
+        wanted = list(map(str.encode, chunks))
+        if text == b"".join(wanted) and np.array_equal(end, np.cumsum(list(map(len, wanted)))):
+            return np.ones(len(chunks), bool)
+        end = end.tolist()
+        return np.array([text[x:y] == w for x, y, w in zip([0, *end], end, wanted)], bool)
 
     def learn(self, chunks: list[str]) -> None:
-        """Each chunk, which begins with a space, encoded and aligned; None where its tokens don't spell it."""
-        of_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        b_bytes = self.transducer.bytes[1]
-        for c, a, b in zip(chunks, self.a.encode(chunks), of_b, strict=True):
-            if len(c) == 1:
-                b = [self.mark]
-            found = None
-            if b"".join([b_bytes[i] for i in b]) == c.encode():
-                try:
-                    found = Chunk(self.made, self.transducer, a, b)
-                    self.made += 1
-                except ValueError:  # the other side spells something else
-                    pass
-            self.table[c] = found
-
-    def aligned(self, texts: list[str]) -> list[list[Chunk]]:
-        """Of each text its chunks by position; none for a text without tokens."""
-        if len(self.table) > self.most:
-            self.table, self.older = {}, self.table
+        """Each chunk, which begins with a space, encoded and aligned; number -1 where its tokens don't spell it."""
+        self.made += len(chunks)
+        chunks, a, n_a = self.a.encode(chunks)
+        of_b = [ids if len(c) > 1 else [self.mark] for c, ids in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        b, n_b = np.fromiter(chain.from_iterable(of_b), np.int64), np.array(list(map(len, of_b)), np.int64)
+        spelt = self._spelt(chunks, a, n_a, self.transducer.bytes[0], self.a.lengths) & self._spelt(chunks, b, n_b, self.transducer.bytes[1], self.b_lengths)
+        empty = [np.bincount(np.repeat(np.arange(len(n)), n)[length[ids] == 0], minlength=len(n)) > 0 for ids, n, length in ((a, n_a, self.a.lengths), (b, n_b, self.b_lengths))]
+        long = (n_a + n_b > self.in_step) | empty[0] | empty[1]
+        self._learn_in_step(chunks, a, n_a, b, n_b, spelt & ~long)
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        for i in np.flatnonzero(spelt & long).tolist():
+            try:
+                groups, links = self.transducer.align(a[ends_a[i] - n_a[i] : ends_a[i]].tolist(), b[ends_b[i] - n_b[i] : ends_b[i]].tolist())
+            except ValueError:
+                spelt[i] = False
+                continue
+            self.table[chunks[i]] = len(self.groups)
+            one = {"n_a": n_a[i : i + 1], "n_b": n_b[i : i + 1], "n_groups": np.array([len(groups)]), "n_links": np.array([len(links)]), "links": np.array(links, np.int64)}
+            self._keep([";".join(groups)], **one)
+        for i in np.flatnonzero(~spelt).tolist():
+            self.table[chunks[i]] = -1
+
+    def _learn_in_step(self, chunks: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, chosen: np.ndarray) -> None:
+        if not chosen.any():
+            return
+        a, b, n_a, n_b = a[np.repeat(chosen, n_a)], b[np.repeat(chosen, n_b)], n_a[chosen], n_b[chosen]
+        last_a, last_b, links, n_links = self.transducer.align_all(a, n_a, b, n_b)
+        # Groups as text: a token's place is behind all tokens of earlier groups, and one of b behind its group's of a.
+        end_a, end_b, until = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1, np.cumsum(n_b)
+        at_a = np.arange(len(a)) + np.concatenate([[0], end_b])[np.cumsum(last_a) - last_a]
+        at_b = np.arange(len(b)) + end_a[np.cumsum(last_b) - last_b]
+        text, width = np.empty(2 * (len(a) + len(b)), object), np.ones(2 * (len(a) + len(b)), np.int64)
+        for at, ids in ((at_a, a), (at_b, b)):
+            text[2 * at] = self.names[ids]
+            width[2 * at] = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+        text[1::2] = ","
+        text[2 * at_a[last_a] + 1], text[2 * at_b[last_b] + 1] = "|", ";"
+        whole, end = "".join(text.tolist()), np.cumsum(width)[2 * at_b[until - 1] + 1].tolist()
+        own = [c for c, x in zip(chunks, chosen.tolist(), strict=True) if x]
+        self.table.update(zip(own, range(len(self.groups), len(self.groups) + len(own)), strict=True))
+        n_groups = np.diff(np.concatenate([[0], np.cumsum(last_a)])[np.concatenate([[0], np.cumsum(n_a)])])
+        self._keep([whole[x : y - 1] for x, y in zip([0, *end], end)], n_a=n_a, n_b=n_b, n_groups=n_groups, n_links=n_links, links=links)
+
+    def aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' chunks by position, and how many are whose; none for a text without tokens."""
         split = [chunks_of(f" {t}") if t else [] for t in texts]
-        new = {c for chunks in split for c in chunks} - self.table.keys()
-        again = new & self.older.keys()
-        self.table.update((c, self.older[c]) for c in again)
-        new = list(new - again)
-        self.learn(new)
-        out = [[self.table[c] for c in chunks] for chunks in split]
-        for i, found in enumerate(out):
-            if None in found:
-                self.learn([whole := f" {texts[i]}"])
-                chunk = self.table.pop(whole)
-                out[i] = [chunk] if chunk else []
-        for c in new:
-            if len(c) > self.longest:
-                self.table.pop(c, None)
-        return out
+        chunks, counts = list(chain.from_iterable(split)), np.array(list(map(len, split)), np.int64)
+        get = self.table.get
+        numbers = np.fromiter(map(get, chunks, repeat(-2)), np.int64, len(chunks))
+        unknown = np.flatnonzero(numbers == -2).tolist()
+        if unknown:
+            new = list(dict.fromkeys(map(chunks.__getitem__, unknown)))
+            self.learn(new)
+            numbers[unknown] = [get(chunks[i]) for i in unknown]
+            for c in new:
+                if len(c) > self.longest:
+                    self.table.pop(c, None)
+        if len(numbers) and numbers.min() < 0:
+            parts = np.split(numbers, np.cumsum(counts)[:-1])
+            for i in {np.searchsorted(np.cumsum(counts), k, "right") for k in np.flatnonzero(numbers < 0).tolist()}:
+                known = self.table.pop(whole := f" {texts[i]}", None)
+                self.learn([whole])
+                found = self.table.pop(whole)
+                if known is not None:
+                    self.table[whole] = known
+                parts[i] = np.array([found] if found >= 0 else [], np.int64)
+            numbers, counts = np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+        return numbers, counts
+
+    def settled(self, distinct: np.ndarray, often: np.ndarray) -> None:
+        """Counts a block's chunks, and with over `most` chunks (or 16 links for each) forgets those met least; numbers change then."""
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.groups) - len(self.uses), np.int64)])
+        self.uses[distinct] += often
+        size = self.column("n_links")
+        if len(self.groups) <= self.most and size.sum() <= 16 * self.most:
+            return
+        kept = np.array([n for n in self.table.values() if n >= 0], np.int64)
+        least = 2
+        while np.count_nonzero(self.uses[kept] >= least) > self.most // 2 or size[kept][self.uses[kept] >= least].sum() > 8 * self.most:
+            least *= 2
+        stays = np.zeros(len(self.groups), bool)
+        stays[kept] = self.uses[kept] >= least
+        place, flags = (np.cumsum(stays) - 1).tolist(), stays.tolist()
+        self.table = {c: place[n] for c, n in self.table.items() if n >= 0 and flags[n]}
+        self.groups = [g for g, x in zip(self.groups, flags, strict=True) if x]
+        for c in self.COLUMNS:
+            self.held[c] = [self.column(c)[np.repeat(stays, size) if c == "links" else stays]]
+        self.uses = self.uses[stays] // 2
 
 
 def aligner_of(a: str, b: str) -> Aligner:
@@ -211,57 +369,66 @@ class Block:
 
     NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "chunks")
 
-    def __init__(self):
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
         self.ids: list = []
         self.digests: list[str] = []
-        self.counts: list[int] = []
-        self.chunks: list[Chunk] = []  # of all texts, one after the other
+        self.counts: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []  # of all texts' chunks, one after the other
         self.size = 0
 
-    def add(self, doc_id, chunks: list[Chunk], size: int) -> None:
-        self.ids.append(doc_id)
-        self.digests.append(hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else "")
-        self.counts.append(len(chunks))
-        self.chunks += chunks
-        self.size += size
+    def add(self, ids: list, texts: list[str]) -> None:
+        numbers, counts = self.aligner.aligned(texts)
+        groups, at = list(map(self.aligner.groups.__getitem__, numbers.tolist())), 0
+        for n in counts.tolist():
+            self.digests.append(hashlib.sha256(";".join(groups[at : at + n]).encode()).hexdigest() if n else "")
+            at += n
+        self.ids += ids
+        self.counts.append(counts)
+        self.numbers.append(numbers)
+        self.size += sum(map(len, texts))
 
     def batches(self, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         """A row a text; the first one also has the block's pairs, how often each occurs, and each chunk's links as places among the pairs."""
-        _, first, at = np.unique(np.array([c.number for c in self.chunks], np.int64), return_index=True, return_inverse=True)
-        distinct = [self.chunks[i] for i in first.tolist()]
-        size = np.array([len(c.links) for c in distinct], np.int32)
-        pairs, link = np.unique(np.frombuffer(b"".join([c.links.tobytes() for c in distinct]), np.int64), return_inverse=True)
-        often = np.bincount(at, minlength=len(size))
+        numbers, known = np.concatenate(self.numbers), self.aligner.column
+        met = np.bincount(numbers, minlength=len(self.aligner.groups))
+        distinct = np.flatnonzero(met)
+        often, at = met[distinct], (np.cumsum(met > 0) - 1)[numbers]
+        own = {c: known(c)[distinct] for c in ("n_a", "n_b", "n_groups", "n_links")}
+        size = own["n_links"].astype(np.int32)
+        start = (np.cumsum(known("n_links")) - known("n_links"))[distinct]
+        links = known("links")[np.repeat(start - (np.cumsum(own["n_links"]) - own["n_links"]), own["n_links"]) + np.arange(own["n_links"].sum())]
+        self.aligner.settled(distinct, often)
+        pairs, link = np.unique(links, return_inverse=True)
         times = np.bincount(link, np.repeat(often, size), len(pairs)).astype(np.int64)
-        ends = np.cumsum([0, *self.counts])
+        ends = np.cumsum(np.concatenate([[0], *self.counts]))
         sums = {}
-        for name in ("n_a", "n_b", "n_groups"):
-            along = np.concatenate([[0], np.cumsum(np.array([getattr(c, name) for c in distinct], np.int64)[at])])
+        for name, values in own.items():
+            along = np.concatenate([[0], np.cumsum(values[at])])
             sums[name] = along[ends[1:]] - along[ends[:-1]]
-        sums["n_links"] = sums["n_a"] + sums["n_b"] - sums["n_groups"]
         more = {"pairs": (pairs, pa.int64()), "times": (times, pa.int64()), "links": (link.astype(np.int32), pa.int32()), "sizes": (size, pa.int32())}
         for x in range(0, len(self.ids), 2000):
             y = min(x + 2000, len(self.ids))
-            own = pa.ListArray.from_arrays(pa.array((ends[x : y + 1] - ends[x]).astype(np.int32)), pa.array(at[ends[x] : ends[y]].astype(np.int32)))
-            arrays = [pa.array([number] * (y - x), pa.int64()), pa.array(self.ids[x:y], id_type), *(pa.array(v[x:y]) for v in sums.values()), pa.array(self.digests[x:y], pa.string()), own]
+            own_chunks = pa.ListArray.from_arrays(pa.array((ends[x : y + 1] - ends[x]).astype(np.int32)), pa.array(at[ends[x] : ends[y]].astype(np.int32)))
+            arrays = [pa.array([number] * (y - x), pa.int64()), pa.array(self.ids[x:y], id_type), *(pa.array(v[x:y]) for v in sums.values()), pa.array(self.digests[x:y], pa.string()), own_chunks]
             arrays += [pa.array([v if x + i == 0 else None for i in range(y - x)], pa.list_(kind)) for v, kind in more.values()]
             yield pa.RecordBatch.from_arrays(arrays, ["block", *self.NAMES, *more])
 
 
 def _blocks(a: str, b: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, block, kind = aligner_of(a, b), Block(), None
+        aligner, kind = aligner_of(a, b), None
+        block = Block(aligner)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, kind = batch.column("doc_id").to_pylist(), batch.schema.field("doc_id").type
             at = 0
-            for texts in some_at_once(batch.column("t").to_pylist()):
-                for chunks, text in zip(aligner.aligned(texts), texts, strict=True):
-                    block.add(ids[at], chunks, len(text))
-                    at += 1
+            for texts in some_at_once(batch.column("t").to_pylist(), min(1 << 20, block_bytes)):
+                block.add(ids[at : at + len(texts)], texts)
+                at += len(texts)
                 if block.size > block_bytes:
                     yield from block.batches(number, kind)
-                    block, number = Block(), number + 1
+                    block, number = Block(aligner), number + 1
         if block.ids:
             yield from block.batches(number, kind)
 
