@@ -207,6 +207,10 @@ def named_features(spark, sf_dir):
 # ---------------------------------------------------------------- whole images
 
 
+#: Images a task is meant to have.
+IMAGES = 200
+
+
 def made_images(spark, sf_dir, side: int = 460):
     """(path, label, height, width, n_channels, data): each embedding's plane enlarged, with texture from its values, as an image."""
     import numpy as np
@@ -222,8 +226,10 @@ def made_images(spark, sf_dir, side: int = 460):
     def run(batches):
         return images.frames(made(batches), ["path", "label", "height", "width", "n_channels", "data"], "data")
 
-    spread = spark.sparkContext.defaultParallelism * 4  # a small file would be one task, and an image takes a tenth of a second
-    return b.planes(spark, sf_dir).repartition(spread, "img").mapInPandas(run, "path string, label int, height int, width int, n_channels int, data binary")
+    planes = b.planes(spark, sf_dir)
+    # A small file would be one task, and an image takes a tenth of a second; of many images a task has some IMAGES, so its batches don't grow with the table.
+    spread = max(spark.sparkContext.defaultParallelism * 4, -(-planes.count() // IMAGES))
+    return planes.repartition(spread, "img").mapInPandas(run, "path string, label int, height int, width int, n_channels int, data binary")
 
 
 @query()

@@ -11,6 +11,7 @@ Any file system that pyarrow reaches by a URI will do (local, HDFS, S3, GCS); ex
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -118,21 +119,20 @@ class TreeWriter(DataSourceWriter):
         task = TaskContext.get()
         own = f"{path}/{HIDDEN}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
         found.create_dir(own, recursive=True)
-        notes = []
-        for row in rows:
-            name, content = row["name"], bytes(row["content"])
-            if not name or "/" in name or name[0] in "._":
-                raise ValueError(f"{name!r} is no plain file name")
-            with found.open_output_stream(f"{own}/{name}") as f:
-                f.write(content)
-            notes.append(json.dumps({"name": name, "size": len(content), "md5": hashlib.md5(content).hexdigest()}))
-        for note in map(json.loads, notes):
-            found.move(f"{own}/{note['name']}", f"{path}/{note['name']}")
-        if not notes:
+        manifest, any_row = f"{own}.json", False
+        with found.open_output_stream(manifest) as notes:
+            for row in rows:
+                name, content, any_row = row["name"], bytes(row["content"]), True
+                if not name or "/" in name or name[0] in "._":
+                    raise ValueError(f"{name!r} is no plain file name")
+                with found.open_output_stream(f"{own}/{name}") as f:
+                    f.write(content)
+                notes.write((json.dumps({"name": name, "size": len(content), "md5": hashlib.md5(content).hexdigest()}) + "\n").encode())
+        if not any_row:
             return Written(None)
-        manifest = f"{path}/{HIDDEN}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}.json"
-        with found.open_output_stream(manifest) as f:
-            f.write("".join(n + "\n" for n in notes).encode())
+        with found.open_input_stream(manifest) as notes:
+            for note in map(json.loads, io.TextIOWrapper(notes, "utf-8")):
+                found.move(f"{own}/{note['name']}", f"{path}/{note['name']}")
         return Written(manifest)
 
     def commit(self, messages: list[Written | None]) -> None:
