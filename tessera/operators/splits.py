@@ -90,14 +90,32 @@ def fractional_cut(rows: DataFrame, group: str, fraction: float, seed: int = 42,
     return rows.join(chosen, F.col(group).eqNullSafe(F.col("of_"))).drop("of_")
 
 
+#: Chosen tags that are handed to every task, and the most that one task holds where they are dealt out.
+SMALL, HELD = 100_000, 500_000
+
+
+def marked(rows: DataFrame, tag: str, chosen: Sequence | DataFrame, name: str, small: int = SMALL, held: int = HELD) -> DataFrame:
+    """rows with a mark on those whose tag is one of the chosen: a list, or a table whose first column holds the tags. A null tag isn't.
+
+    A table is counted first. Up to `small` tags are broadcast; more are dealt by hash to so many tasks that each looks its rows up in some
+    `held` tags. Rows are neither sorted nor held, so a frequent tag costs its task time but no memory.
+    """
+    if not isinstance(chosen, DataFrame):
+        return rows.withColumn(name, F.coalesce(F.col(tag).isin(*chosen), F.lit(False)) if len(chosen) else F.lit(False))
+    keys = chosen.select(F.col(chosen.columns[0]).alias("chosen_"))
+    n = keys.count()
+    if n <= small:
+        keys = F.broadcast(keys.distinct())
+    else:
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // held))
+        rows, keys = rows.repartition(tasks, tag), keys.repartition(tasks, "chosen_").distinct().hint("shuffle_hash")
+    return rows.join(keys, F.col(tag) == F.col("chosen_"), "left").withColumn(name, F.col("chosen_").isNotNull()).drop("chosen_")
+
+
 def among(rows: DataFrame, tag: str, chosen: Sequence | DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose tag is one of the chosen, the others); chosen is a list, or a table whose first column holds the tags. A null tag is with the others."""
-    if isinstance(chosen, DataFrame):
-        keys = chosen.select(F.col(chosen.columns[0]).alias("chosen_")).distinct()
-        same = F.col(tag) == F.col("chosen_")
-        return rows.join(keys, same, "left_semi"), rows.join(keys, same, "left_anti")
-    inside = F.coalesce(F.col(tag).isin(*chosen), F.lit(False)) if len(chosen) else F.lit(False)
-    return rows.where(inside), rows.where(~inside)
+    """(rows that marked() marks, the others)."""
+    both = marked(rows, tag, chosen, "among_")
+    return both.where("among_").drop("among_"), both.where("NOT among_").drop("among_")
 
 
 def exact_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -271,11 +271,10 @@ def fractional_cut(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(l_returnflag IN ('A', 'R'), false) AS by_list, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS by_table FROM lineitem")
 def membership(spark, sf_dir):
-    """Rows whose tag is among chosen ones, and the others, for a list and for a table of tags."""
+    """Which rows' tags are among chosen ones, for a list and for a table of tags."""
     rows = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    both = lambda df, tag, chosen, name: (lambda x: x[0].withColumn(name, F.lit(True)).unionByName(x[1].withColumn(name, F.lit(False))))(splits.among(df, tag, chosen))
-    out = both(rows, "l_returnflag", ["A", "R"], "by_list")
-    return both(out, "l_orderkey", b.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "by_table").drop("l_returnflag")
+    out = splits.marked(rows, "l_returnflag", ["A", "R"], "by_list").drop("l_returnflag")
+    return splits.marked(out, "l_orderkey", b.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "by_table")
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_U('doc_id', 42)}, doc_id LIMIT 200")
