@@ -2,7 +2,8 @@
 
 Both token sequences spell the same bytes. The transducer's state is the side that leads and its unmatched bytes, the
 residual. The other side's next token either shortens the residual or passes it and leads from then on; each such step is a
-link (the two tokens overlap), and an empty residual closes a group. Transitions are kept by (side, residual, token).
+link (the two tokens overlap), and an empty residual closes a group. Transitions are kept by (side, residual, token). New
+chunks go through it in step: each of them makes one transition at a time, looked up for all at once.
 
 A space behind a letter, a number or visible ASCII ends a token on both sides, and so a group: each distinct chunk of text
 between such spaces is encoded and aligned once by a task, and texts are put together from chunks (a text with a chunk that
