@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,18 @@ def written(df: DataFrame, step: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """What is written meanwhile hands Python at most so many rows at a time: long texts at Spark's 10,000 take some 100 MB of a task in the executor and its worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)

@@ -10,7 +10,7 @@ between such spaces is encoded and aligned once by a task, and texts are put tog
 isn't spelt by its tokens is aligned as a whole).
 
 1. Texts become blocks of some MB: a row a text with the places of its chunks in the block's list, and with the block's
-   first row the distinct id pairs of the block and their numbers of links.
+   first row the distinct id pairs of the block and their numbers of links. Places are packed, those met often in a byte.
 2. Numbers are summed by pair over the blocks. A pair is in a block at most once, so no pair is hot: it has a row a block.
 3. Sums go back to the blocks' pairs by one join, and each block meets its answers by the block's number.
 
@@ -20,6 +20,8 @@ block of its own. Repeated rows are documents of their own, an empty table gives
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import byte_level, byte_letters, chunks_of, some_at_once
-from .common import text_or_empty, written
+from .common import small_batches, text_or_empty, written
 
 LOW = (1 << 32) - 1
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -365,6 +367,37 @@ def aligner_of(a: str, b: str) -> Aligner:
     return _aligners[a, b]
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**35 as bytes of seven bits, the lowest first, with the eighth bit in all but a number's last; and how many bytes each takes."""
+    width = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    start, out = np.cumsum(width) - width, np.empty(width.sum(), np.uint8)
+    for k in range(5):
+        own = width > k
+        out[start[own] + k] = numbers[own] >> 7 * k & 127 | (width[own] > k + 1) << 7
+    return out, width
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The numbers whose bytes packed() gave."""
+    end = np.flatnonzero(data < 128)
+    start = np.concatenate([[0], end + 1])[:-1]
+    out = (data[start] & 127).astype(np.int64)
+    for k in range(1, 5):
+        own = np.flatnonzero(end - start >= k)
+        out[own] |= (data[start[own] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def _forget_aligners() -> None:
+    """Workers go on from the blocks' tasks to others: those need no tokenizers and chunks, whose memory the system gets back."""
+    if _aligners:
+        _aligners.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 class Block:
     """Rows of some texts together, and the distinct chunks and id pairs of them."""
 
@@ -394,38 +427,45 @@ class Block:
         numbers, known = np.concatenate(self.numbers), self.aligner.column
         met = np.bincount(numbers, minlength=len(self.aligner.groups))
         distinct = np.flatnonzero(met)
-        often, at = met[distinct], (np.cumsum(met > 0) - 1)[numbers]
+        distinct = distinct[np.argsort(-met[distinct], kind="stable")]  # what comes often has a small place, which takes a byte
+        place = np.zeros(len(met), np.int64)
+        place[distinct] = np.arange(len(distinct))
+        often, at = met[distinct], place[numbers]
         own = {c: known(c)[distinct] for c in ("n_a", "n_b", "n_groups", "n_links")}
-        size = own["n_links"].astype(np.int32)
+        size = own["n_links"]
         start = (np.cumsum(known("n_links")) - known("n_links"))[distinct]
         links = known("links")[np.repeat(start - (np.cumsum(own["n_links"]) - own["n_links"]), own["n_links"]) + np.arange(own["n_links"].sum())]
         self.aligner.settled(distinct, often)
         pairs, link = np.unique(links, return_inverse=True)
         times = np.bincount(link, np.repeat(often, size), len(pairs)).astype(np.int64)
+        order = np.argsort(-times, kind="stable")
+        pairs, times, link = pairs[order], times[order], np.argsort(order)[link]
         ends = np.cumsum(np.concatenate([[0], *self.counts]))
         sums = {}
         for name, values in own.items():
             along = np.concatenate([[0], np.cumsum(values[at])])
             sums[name] = along[ends[1:]] - along[ends[:-1]]
-        more = {"pairs": (pairs, pa.int64()), "times": (times, pa.int64()), "links": (link.astype(np.int32), pa.int32()), "sizes": (size, pa.int32())}
+        more = {"pairs": (pairs, pa.list_(pa.int64())), "times": (times, pa.list_(pa.int64())), "links": (packed(link)[0].tobytes(), pa.binary()), "sizes": (packed(size)[0].tobytes(), pa.binary())}
+        chunks, width = packed(at)
+        ends = np.concatenate([[0], np.cumsum(width)])[ends]
         for x in range(0, len(self.ids), 2000):
             y = min(x + 2000, len(self.ids))
-            own_chunks = pa.ListArray.from_arrays(pa.array((ends[x : y + 1] - ends[x]).astype(np.int32)), pa.array(at[ends[x] : ends[y]].astype(np.int32)))
+            own_chunks = pa.Array.from_buffers(pa.binary(), y - x, [None, *map(pa.py_buffer, ((ends[x : y + 1] - ends[x]).astype(np.int32), chunks[ends[x] : ends[y]]))])
             arrays = [pa.array([number] * (y - x), pa.int64()), pa.array(self.ids[x:y], id_type), *(pa.array(v[x:y]) for v in sums.values()), pa.array(self.digests[x:y], pa.string()), own_chunks]
-            arrays += [pa.array([v if x + i == 0 else None for i in range(y - x)], pa.list_(kind)) for v, kind in more.values()]
+            arrays += [pa.array([v if x + i == 0 else None for i in range(y - x)], kind) for v, kind in more.values()]
             yield pa.RecordBatch.from_arrays(arrays, ["block", *self.NAMES, *more])
 
 
-def _blocks(a: str, b: str, block_bytes: int):
+def _blocks(a: str, b: str, block_bytes: int, at_once: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, kind = aligner_of(a, b), None
         block = Block(aligner)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, kind = batch.column("doc_id").to_pylist(), batch.schema.field("doc_id").type
+            ids, kind = batch.column("doc_id"), batch.schema.field("doc_id").type
             at = 0
-            for texts in some_at_once(batch.column("t").to_pylist(), min(1 << 20, block_bytes)):
-                block.add(ids[at : at + len(texts)], texts)
+            for texts in some_at_once((t.as_py() for t in batch.column("t")), min(at_once, block_bytes)):
+                block.add(ids.slice(at, len(texts)).to_pylist(), texts)
                 at += len(texts)
                 if block.size > block_bytes:
                     yield from block.batches(number, kind)
@@ -438,8 +478,14 @@ def _blocks(a: str, b: str, block_bytes: int):
 
 def _answered(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """A block's rows with the sums over their links; answers holds each of its pairs' count and whether that is its B id's highest."""
+    _forget_aligners()
     first = rows.column("links").is_valid().to_numpy().argmax()
-    links, sizes = (np.asarray(rows.column(c)[int(first)].values) for c in ("links", "sizes"))
+    links, sizes = (unpacked(np.frombuffer(rows.column(c)[int(first)].as_py(), np.uint8)) for c in ("links", "sizes"))
+    chunks = rows.column("chunks").cast(pa.binary()).combine_chunks()
+    border, data = (np.frombuffer(x or b"", kind) for x, kind in zip(chunks.buffers()[1:], (np.int32, np.uint8), strict=True))
+    border = border[chunks.offset : chunks.offset + len(chunks) + 1]
+    data = data[border[0] : border[-1]]
+    at, ends = unpacked(data), np.concatenate([[0], np.cumsum(data < 128)])[border - border[0]]
     order = np.argsort(answers.column("place").to_numpy())
     sums = {}
     for name in ("best", "count"):
@@ -447,7 +493,8 @@ def _answered(rows: pa.Table, answers: pa.Table) -> pa.Table:
         along = np.concatenate([[0], np.cumsum(value[links])]) if len(links) else np.zeros(1, np.int64)
         end = np.cumsum(sizes)
         chunk = along[end] - along[end - sizes] if len(sizes) else np.zeros(0, np.int64)
-        sums[name] = pa.array([int(chunk[np.asarray(c.values)].sum()) for c in rows.column("chunks")], pa.int64())
+        along = np.concatenate([[0], np.cumsum(chunk[at])])
+        sums[name] = pa.array(along[ends[1:]] - along[ends[:-1]], pa.int64())
     keep = rows.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
     return keep.append_column("n_best", sums["best"]).append_column("count_sum", sums["count"]).append_column("groups_sha256", rows.column("groups_sha256"))
 
@@ -462,14 +509,16 @@ def aligned(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str =
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row; a is the path of a byte-level .json, b of a SentencePiece .model."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks array<int>, pairs array<long>, times array<long>, links array<int>, sizes array<int>"
-    blocks = written(rows.mapInArrow(_blocks(a, b, block_bytes), shape), "blocks")
-    counts = written(pair_counts(blocks), "pairs")
+    shape = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary, pairs array<long>, times array<long>, links binary, sizes binary"
+    with small_batches(docs.sparkSession):
+        blocks = written(rows.mapInArrow(_blocks(a, b, block_bytes), shape), "blocks")
+    counts = pair_counts(blocks)
     # A B id has at most as many pairs as A has ids.
     best = F.col("count") == F.max("count").over(Window.partitionBy(F.col("pair").bitwiseAND(LOW)))
     judged = counts.select("pair", "count", best.alias("best"))
     asked = blocks.where("pairs IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(judged, "pair").select("of", "place", "count", "best")
+    # Judged pairs are no more than the two vocabularies have in common, whatever the corpus: a task holds its part in a table, and the blocks' many pairs aren't sorted.
+    answers = asked.join(judged.hint("shuffle_hash"), "pair").select("of", "place", "count", "best")
     texts = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "chunks", "links", "sizes")
     out = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_answered, out)
