@@ -211,25 +211,33 @@ def named_features(spark, sf_dir):
 IMAGES = 200
 
 
+def _spread_planes(spark, sf_dir):
+    """(img, label, plane), dealt out for work on images."""
+    planes = b.planes(spark, sf_dir)
+    # A small file would be one task, and an image takes a tenth of a second; of many images a task has some IMAGES, so its batches don't grow with the table.
+    spread = max(spark.sparkContext.defaultParallelism * 4, -(-planes.count() // IMAGES))
+    return planes.repartition(spread, "img")
+
+
 def made_images(spark, sf_dir, side: int = 460):
     """(path, label, height, width, n_channels, data): each embedding's plane enlarged, with texture from its values, as an image."""
-    import numpy as np
 
     def made(batches):
         for pdf in batches:
             for img, label, plane in zip(pdf["img"], pdf["label"], pdf["plane"], strict=True):
-                a = px.rounded((np.asarray(plane).reshape(8, 8, 1) + 0.6) / 1.2 * 255)
-                a = px.resized(np.concatenate([a, a[::-1], a[:, ::-1]], 2), side, side).astype(np.int64)
-                grain = np.random.default_rng(int(img)).integers(-12, 13, a.shape)
-                yield f"img_{img}_{'gen' if label else 'cam'}.png", int(label), side, side, 3, np.clip(a + grain, 0, 255).astype(np.uint8).tobytes()
+                yield f"img_{img}_{'gen' if label else 'cam'}.png", int(label), side, side, 3, px.grained(plane, int(img), side).tobytes()
 
     def run(batches):
         return images.frames(made(batches), ["path", "label", "height", "width", "n_channels", "data"], "data")
 
-    planes = b.planes(spark, sf_dir)
-    # A small file would be one task, and an image takes a tenth of a second; of many images a task has some IMAGES, so its batches don't grow with the table.
-    spread = max(spark.sparkContext.defaultParallelism * 4, -(-planes.count() // IMAGES))
-    return planes.repartition(spread, "img").mapInPandas(run, "path string, label int, height int, width int, n_channels int, data binary")
+    return _spread_planes(spark, sf_dir).mapInPandas(run, "path string, label int, height int, width int, n_channels int, data binary")
+
+
+def images_to_make(spark, sf_dir, side: int = 460):
+    """(path, label, height, width, img, plane), and what makes the pixels of made_images() from a row in the task that needs them: none are sent from task to task."""
+    name = F.concat(F.lit("img_"), F.col("img").cast("string"), F.when(F.col("label") != 0, "_gen.png").otherwise("_cam.png"))
+    rows = _spread_planes(spark, sf_dir).select(name.alias("path"), F.col("label").cast("int").alias("label"), F.lit(side).alias("height"), F.lit(side).alias("width"), "img", "plane")
+    return rows, (("img", "plane"), lambda row: px.grained(row["plane"], int(row["img"]), side)[:, :, ::-1])
 
 
 @query()
@@ -245,8 +253,9 @@ def normalise_images(spark, sf_dir):
 
 @query()
 def augment_variants(spark, sf_dir):
-    rows = images.edited(made_images(spark, sf_dir), ["qhi", "qlo", "soft", "rweb"])
-    return rows.select("path", "variant", "quality", "height", "width", F.md5("data").alias("digest"))
+    rows, decode = images_to_make(spark, sf_dir)
+    made = images.edited(rows, ["qhi", "qlo", "soft", "rweb"], decode=decode, digest=True)
+    return made.select("path", "variant", "quality", "height", "width", "digest")
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,10 @@ from ..operators.splits import draw, uniform_int
 AUDIT_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 
+#: An image's own columns, and what gives pixels from other ones: (columns, function of a row with these).
+PIXELS = ("height", "width", "n_channels", "data")
+Decoder = tuple[tuple[str, ...], Callable[[dict], np.ndarray]]
+
 #: Bytes of pixels or files that a task hands on at once, whatever its batches hold.
 HANDED = 1 << 24
 
@@ -261,50 +265,63 @@ def measured(images: DataFrame, mode: str = "crop", normalise: bool = False) ->
     return kept.mapInArrow(_measures(rest, mode, normalise), ", ".join([*fields, "f array<double>, status string"]))
 
 
-def _edited(rest: list[str], kinds: list[str]):
-    """Rows of all edits of an image, which goes to the task once."""
-    columns = [*rest, "variant", "quality", "factor", "edit_status", "height", "width", "n_channels", "data"]
+def _pixels(row: dict) -> np.ndarray:
+    return px.from_spark_image(row["data"], int(row["height"]), int(row["width"]), int(row["n_channels"]))
+
 
-    def one(row: dict, kind: str, quality: int, factor: float) -> tuple:
+def _edited(rest: list[str], kinds: list[str], pixels: Callable[[dict], np.ndarray], digest: bool):
+    """Rows of all edits of an image, which goes to the task once, and whose edits share what they start from."""
+    held = "digest" if digest else "data"
+    columns = [*rest, "variant", "quality", "factor", "edit_status", "height", "width", "n_channels", held]
+
+    def one(row: dict, image: px.Shared | Exception, kind: str, quality: int, factor: float) -> tuple:
         made, status = None, "DONE"
         try:
-            image = px.from_spark_image(bytes(row["data"]), int(row["height"]), int(row["width"]), int(row["n_channels"]))
-            if kind == "normalised":
-                made = px.normalised(image)
-            elif kind in px.VARIANTS:
-                made = px.VARIANTS[kind](image)
-            else:
-                made = px.augmented(image, kind, quality, factor)
+            if isinstance(image, Exception):
+                raise image
+            made = px.edit(image, kind, quality, factor)
             status = "TOOSMALL" if made is None else status
         except (ValueError, TypeError, IndexError) as e:
             status = f"error: {e}"
-        pixels = (None, None, None, None) if made is None else (*made.shape[:2], 3, np.ascontiguousarray(made[:, :, ::-1]).tobytes())
-        return (*(row[c] for c in rest), kind, quality, factor, status, *pixels)
+        found = (None, None, None, None)
+        if made is not None:
+            data = px.to_spark_image(made)
+            found = (*made.shape[:2], 3, hashlib.md5(data).hexdigest() if digest else data)
+        return (*(row[c] for c in rest), kind, quality, factor, status, *found)
+
+    def edits(row: dict) -> Iterator[tuple]:
+        try:
+            image = px.Shared(pixels(row))
+        except (ValueError, TypeError, IndexError) as e:
+            image = e
+        return (one(row, image, kind, int(q), float(f)) for kind, q, f in zip(kinds, row["qualities_"], row["factors_"], strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for b in batches for row in b.to_dict("records"))
-        made = (one(row, kind, int(q), float(f)) for row in rows for kind, q, f in zip(kinds, row["qualities_"], row["factors_"], strict=True))
-        for frame in frames(made, columns, "data"):
+        made = (found for b in batches for row in b.to_dict("records") for found in edits(row))
+        for frame in frames(made, columns, held):
             yield frame.astype({"height": "Int32", "width": "Int32", "n_channels": "Int32"})
 
     return run
 
 
-def edited(images: DataFrame, kinds: list[str], key: str = "path", seed: int = 42) -> DataFrame:
+def edited(images: DataFrame, kinds: list[str], key: str = "path", seed: int = 42, decode: Decoder | None = None, digest: bool = False) -> DataFrame:
     """A row for each image and kind of edit: variant, and the edited pixels, null where edit_status isn't DONE:
     TOOSMALL for the edit, or an error, which skips the image and no other.
 
     kinds: `normalised`, those of pixels.VARIANTS, or the augmentations qhi, qlo, soft, rweb, whose
     quality and factor are drawn from a hash of the key and the kind. A task holds a batch of images and some edits, not all of a batch's.
+
+    decode: (columns, function of a row with these that gives its pixels), where images don't hold pixels; they are decoded in the task that edits them.
+    digest: the edited pixels' md5 instead of them, so that they don't leave their task.
     """
     at = {k: F.concat_ws("|", F.col(key).cast("string"), F.lit(k)) for k in kinds}
     qualities = F.array(*(uniform_int(x, *((40, 70) if k == "qlo" else (70, 95)), seed) for k, x in at.items()))
     factors = F.array(*(0.6 + 0.3 * draw(x, seed + 1) for x in at.values()))
-    pixels = ("height", "width", "n_channels", "data")
-    rest = [c for c in images.columns if c not in (*pixels, "variant", "quality", "factor")]
+    columns, pixels = decode or (PIXELS, _pixels)
+    rest = [c for c in images.columns if c not in (*PIXELS, *columns, "variant", "quality", "factor")]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*rest).schema), "variant string, quality int, factor double"])
-    rows = images.select(*rest, *pixels, qualities.alias("qualities_"), factors.alias("factors_"))
-    return rows.mapInPandas(_edited(rest, list(at)), f"{fields}, edit_status string, height int, width int, n_channels int, data binary")
+    rows = images.select(*rest, *columns, qualities.alias("qualities_"), factors.alias("factors_"))
+    return rows.mapInPandas(_edited(rest, list(at), pixels, digest), f"{fields}, edit_status string, height int, width int, n_channels int, {'digest string' if digest else 'data binary'}")
 
 
 def edit_counts(made: DataFrame) -> DataFrame:
