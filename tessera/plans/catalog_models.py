@@ -260,8 +260,9 @@ def augment_variants(spark, sf_dir):
 
 @query()
 def edit_variants(spark, sf_dir):
-    rows = images.edited(images.variant_eligible(made_images(spark, sf_dir)), list(px.VARIANTS))
-    return rows.select("path", "variant", "height", "width", F.md5("data").alias("digest"))
+    rows, decode = images_to_make(spark, sf_dir)
+    made = images.edited(images.variant_eligible(rows), list(px.VARIANTS), decode=decode, digest=True)
+    return made.select("path", "variant", "height", "width", "digest")
 
 
 def _jpeg_files(spark, sf_dir):

@@ -138,6 +138,22 @@ def test_augmenting_takes_less_than_half_of_the_dense_formulas_time():
     assert least(strips) < least(dense) / 2
 
 
+def test_variants_take_less_than_half_of_the_dense_formulas_time():
+    a = image(460, 460)
+
+    def dense():
+        small = scaled(a, 0.75)
+        web = jpeg_round_trip(sharpened(scaled(a, 0.75)), 85)
+        return [a, small, jpeg_round_trip(a, 85), jpeg_round_trip(a, 60), by_channel(lambda x: blurred(x, 0.6), a), sharpened(a), web]
+
+    def strips():
+        s = px.Shared(a)
+        return [px.edit(s, k, 0, 0) for k in px.VARIANTS]
+
+    assert all((x == y).all() for x, y in zip(strips(), dense()))
+    assert least(strips) < least(dense) / 2
+
+
 def test_digests_and_decoded_images_are_those_of_pixels(spark):
     rows, decode = catalog_models.images_to_make(spark, SF, 300)
     kinds, few = ["control", "normalised", "qlo", "rweb"], F.col("path").rlike("_[12][0-9]?_")
@@ -159,7 +175,7 @@ def test_a_row_that_gives_no_pixels_is_skipped(spark):
     assert {(r.path, r.edit_status, r.digest is None) for r in made} == {("a", "error: no image", True), ("b", "DONE", False)} and len(made) == 4
 
 
-@pytest.mark.parametrize("name", ["augment_variants"])
+@pytest.mark.parametrize("name", ["augment_variants", "edit_variants"])
 def test_pixels_stay_in_the_task_that_makes_them(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "data#" not in plan
