@@ -247,8 +247,9 @@ def extract230(spark, sf_dir):
 
 @query()
 def normalise_images(spark, sf_dir):
-    rows = images.large_enough(made_images(spark, sf_dir))
-    return images.edited(rows, ["normalised"]).select("path", "variant", "height", "width", F.md5("data").alias("digest"))
+    rows, decode = images_to_make(spark, sf_dir)
+    made = images.edited(images.large_enough(rows), ["normalised"], decode=decode, digest=True)
+    return made.select("path", "variant", "height", "width", "digest")
 
 
 @query()

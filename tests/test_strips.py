@@ -154,6 +154,13 @@ def test_variants_take_less_than_half_of_the_dense_formulas_time():
     assert least(strips) < least(dense) / 2
 
 
+def test_normalising_takes_less_than_half_of_the_dense_formulas_time():
+    a = image(460, 460)
+    dense = lambda: jpeg_round_trip(decimated_chroma(resized(px.centre_crop(a, 448), 320, 320)), 85)
+    assert (px.normalised(a) == dense()).all()
+    assert least(lambda: px.normalised(a)) < least(dense) / 2
+
+
 def test_digests_and_decoded_images_are_those_of_pixels(spark):
     rows, decode = catalog_models.images_to_make(spark, SF, 300)
     kinds, few = ["control", "normalised", "qlo", "rweb"], F.col("path").rlike("_[12][0-9]?_")
@@ -175,7 +182,7 @@ def test_a_row_that_gives_no_pixels_is_skipped(spark):
     assert {(r.path, r.edit_status, r.digest is None) for r in made} == {("a", "error: no image", True), ("b", "DONE", False)} and len(made) == 4
 
 
-@pytest.mark.parametrize("name", ["augment_variants", "edit_variants"])
+@pytest.mark.parametrize("name", ["augment_variants", "edit_variants", "normalise_images"])
 def test_pixels_stay_in_the_task_that_makes_them(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "data#" not in plan
